@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.text import sha_hex
+from docloom.operators.translate import TranslationConfig
+from docloom.schemas import JOB_STATES
+
+CONFIG = TranslationConfig(model_id="model-a", endpoint_fingerprint="fp-1", context_window=4096)
 
 
 def digit(key: Column | str) -> Column:
@@ -203,3 +207,85 @@ class Corpus:
             n.blocks = materialize(n.blocks, "blocks")
             _NORMALIZED[key] = n
         return _NORMALIZED[key]
+
+    # ---- translation ---------------------------------------------------------------
+    @cached_property
+    def prepared(self) -> DataFrame:
+        from docloom.operators.translate import prepare_blocks
+
+        return prepare_blocks(self.normalized.blocks, CONFIG)
+
+    @property
+    def batched(self) -> DataFrame:
+        """Prepared blocks with their batch and request id; written once."""
+        from docloom.functions.stage import materialize
+        from docloom.operators.translate import plan_batches
+
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, "batched")
+        if key not in _NORMALIZED:
+            rows = plan_batches(self.prepared, CONFIG).withColumn(
+                "request_id", F.concat("chapter_id", F.lit("#"), F.col("batch").cast("string")))
+            _NORMALIZED[key] = materialize(rows, "batched")
+        return _NORMALIZED[key]
+
+    @cached_property
+    def chapter_jobs(self) -> DataFrame:
+        from docloom.operators.translate import plan_digests
+
+        k = digit("chapter_id")
+        states = F.array(*[F.lit(s) for s in JOB_STATES])
+        ch = self.normalized.chapters.filter(k > 3)
+        return ch.join(plan_digests(self.prepared), "chapter_id", "left").select(
+            F.concat(F.lit("job-"), "chapter_id").alias("id"), "chapter_id", "doc_id",
+            F.when(k == 15, "stale").otherwise(F.col("plan_digest")).alias("plan_digest"),
+            F.when(k % 2 == 0, "translate").otherwise("prefetch").alias("kind"),
+            F.get(states, k % 6).alias("state"),
+            F.when(k % 6 == 3, "The request timed out").alias("safe_message"),
+            F.col("order_index").cast("long").alias("created_at"), F.col("order_index").cast("long").alias("rowid"))
+
+    @cached_property
+    def translations(self) -> DataFrame:
+        k = digit("block_id")
+        state = (
+            F.when(k.between(3, 6) | k.isin(8, 9), "ready").when(k == 7, "failed").when(k == 10, "queued")
+            .otherwise("translating"))
+        null = F.lit(None).cast("string")
+        return self.prepared.filter(k > 2).select(
+            F.concat(F.lit("tr-"), "block_id").alias("id"), F.concat(F.lit("job-"), "chapter_id").alias("job_id"),
+            "block_id", F.when(k == 8, sha_hex("request_digest")).otherwise(F.col("request_digest")).alias("request_digest"),
+            "source_digest", state.alias("state"), (k != 9).alias("is_active"), null.alias("target_json"),
+            F.when(state == "ready", F.col("source")).alias("target_plain_text"), null.alias("validation_json"),
+            F.when(k == 7, "timeout").alias("error_code"), F.when(k == 7, "late").alias("error_message"),
+            F.col("order_index").cast("long").alias("created_at"), F.col("order_index").cast("long").alias("updated_at"))
+
+    @cached_property
+    def records(self) -> DataFrame:
+        """Model answers with the usual faults, one row per returned record."""
+        k = digit("block_id")
+        source = F.col("source")
+        target = (
+            F.when(k == 3, F.lit("   ")).when(k == 4, F.repeat(source, 9)).when(k == 5, F.concat(source, F.lit(" ⟦WEAVE:X")))
+            .when(k == 6, F.replace(source, F.lit("⟧"), F.lit(">"))).otherwise(F.concat(F.lit("译"), source)))
+        place = F.col("order_index") * 10 + F.when(k == 2, 15).otherwise(0)
+        rows = self.batched.filter("batch IS NOT NULL").filter(k > 0).select(
+            "request_id", F.explode(F.sequence(F.lit(0), F.when(k == 1, 1).otherwise(0))).alias("copy"),
+            place.alias("place"), "block_id", target.alias("target"))
+        return rows.select("request_id", (F.col("place") * 2 + F.col("copy")).alias("ord"), "block_id", "target")
+
+    @cached_property
+    def responses(self) -> DataFrame:
+        return self.batched.filter("batch IS NOT NULL").select("request_id").distinct().select(
+            "request_id", F.when(digit("request_id") < 8, "stop").otherwise("length").alias("finish_reason"))
+
+    @cached_property
+    def bodies(self) -> DataFrame:
+        """The same answers as text: fenced array, JSON lines, or lines with a torn tail."""
+        js = F.to_json(F.struct(F.col("block_id").alias("id"), "target"))
+        rows = self.records.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("ord", js.alias("j")))).alias("r"))
+        parts = F.transform("r", lambda x: x["j"])
+        k = digit("request_id")
+        body = (
+            F.when(k < 5, F.concat(F.lit("```json\n["), F.array_join(parts, ","), F.lit("]\n```")))
+            .when(k < 10, F.array_join(parts, "\n"))
+            .otherwise(F.concat(F.lit("Here: "), F.array_join(parts, " \\ "), F.lit(" {\"id\": \"torn"))))
+        return rows.select("request_id", body.alias("body"))

@@ -40,10 +40,12 @@ def cte(name: str, sql: str) -> None:
 def compose(body: str) -> str:
     """Put every derived table the query reads, and those they read, in front of it."""
     order: list[str] = []
+    entered: set[str] = set()
 
     def visit(sql: str) -> None:
         for word in dict.fromkeys(re.findall(r"\b(?:FROM|JOIN)\s+([a-z_][a-z0-9_]*)\b", sql)):
-            if word in CTES and word not in order:
+            if word in CTES and word not in entered:
+                entered.add(word)
                 visit(CTES[word])
                 order.append(word)
 
@@ -169,7 +171,7 @@ SELECT doc_id, pos, page_idx + 1, segment, 2, sha, NULL, 'caption', {clean('foot
 FROM segmented WHERE type IN ('image', 'chart') AND img_path IS NOT NULL AND {clean('foot_line')} <> ''
 UNION ALL
 SELECT doc_id, pos, page_idx + 1, segment, 0, sha, img_path, 'table',
-  coalesce('Figure' || coalesce(nullif(chr(10) || {clean('cap_line')}, chr(10)), '') || chr(10), '') || 'a' || chr(9) || {clean(CELL)} || chr(10) || pos || ' [1]'
+  CASE WHEN cap_line IS NULL THEN '' ELSE 'Figure' || coalesce(nullif(chr(10) || {clean('cap_line')}, chr(10)), '') || chr(10) END || 'a' || chr(9) || {clean(CELL)} || chr(10) || pos || ' [1]'
   || coalesce(nullif(chr(10) || {clean('foot_line')}, chr(10)), ''),
   CASE WHEN cap_line IS NOT NULL THEN 'Figure' END, {clean(CELL)}
 FROM segmented WHERE type = 'table'""")
@@ -228,3 +230,97 @@ cte("translatable", f"""
 SELECT *, kind = 'table' OR (kind IN ('heading', 'paragraph', 'list', 'caption') AND EXISTS (
   SELECT 1 FROM text_atoms a WHERE a.block_id = b.block_id AND NOT a.special AND regexp_matches(a.value, '{NOT_WS_RE2}'))) AS translatable
 FROM blocks_all b""")
+
+# ---- translation ------------------------------------------------------------------------
+from docloom.operators import translate as _t  # noqa: E402
+from docloom.plans.bridge import CONFIG  # noqa: E402
+
+
+def length_prefixed(*parts: str) -> str:
+    return "sha256(" + " || ".join(
+        f"unhex(lpad(printf('%x', octet_length(encode({p}))), 16, '0')) || encode({p})" for p in parts) + ")"
+
+
+DIGEST = length_prefixed("source_digest", "'zh-CN'", f"'{CONFIG.endpoint_fingerprint}'", f"'{CONFIG.model_id}'",
+                         "'academic-blocks-v1'", "'academic'", "''")
+cte("digested", f"SELECT *, {DIGEST} AS request_digest FROM translatable WHERE translatable")
+cte("stems", "SELECT *, '⟦WEAVE:' || upper(left(sha256(block_id || request_digest), 8)) || ':' AS stem FROM digested")
+cte("woven", """
+SELECT s.block_id, string_agg(CASE WHEN NOT special THEN value ELSE stem || CASE WHEN value LIKE '$%' THEN 'F' ELSE 'C' END || ':' || lpad((n)::VARCHAR, 4, '0') || '⟧' END, '' ORDER BY akey) AS source
+FROM (SELECT *, count(*) FILTER (special) OVER (PARTITION BY block_id ORDER BY akey ROWS UNBOUNDED PRECEDING) AS n FROM text_atoms) a
+JOIN stems s ON s.block_id = a.block_id GROUP BY s.block_id""")
+_seq = ["TS", "RS", "CS", "'a'", "CE", "CS", "cell", "CE", "RE", "RS", "CS", "num", "C", "CE", "RE", "TE"]
+_parts, _n = [], 0
+for _x in _seq:
+    if _x == "'a'":
+        _parts.append("'a'")
+    elif _x == "cell":
+        _parts.append("cell")
+    elif _x == "num":
+        _parts.append("pos || ' '")
+    else:
+        _n += 1
+        _parts.append(f"stem || '{_x}:{_n:04d}⟧'")
+TABLE_SOURCE = " || ".join(_parts) + f" || CASE WHEN img_path IS NOT NULL THEN stem || 'A:{_n + 1:04d}⟧' ELSE '' END"
+cte("woven_tables", f"""
+SELECT s.block_id, {TABLE_SOURCE.replace("pos ||", "s.pos ||")} AS source FROM stems s
+JOIN block_parts b ON b.doc_id = s.doc_id AND b.pos = s.pos AND b.sub = s.sub WHERE s.kind = 'table'""")
+cte("prepared", """
+SELECT s.doc_id, s.chapter_id, s.block_id, s.order_index, s.kind, s.source_digest, s.request_digest, coalesce(w.source, t.source) AS source
+FROM stems s LEFT JOIN woven w ON w.block_id = s.block_id LEFT JOIN woven_tables t ON t.block_id = s.block_id""")
+ROOM = CONFIG.byte_capacity - len(_t.REQUEST_HEAD) - len(_t.REQUEST_TAIL) + 1
+cte("items", """
+SELECT *, row_number() OVER (PARTITION BY chapter_id ORDER BY order_index) AS rn,
+  octet_length(encode('{"id":"' || block_id || '","kind":"' || kind || '","source":' || to_json(source)::VARCHAR || '}')) + 1 AS w FROM prepared""")
+
+
+def packing(name: str, source: str, key: str) -> None:
+    cte(name, f"""
+SELECT {key}, rn, block_id, CASE WHEN w > {ROOM} THEN 0 ELSE w END AS used, CASE WHEN w > {ROOM} THEN -1 ELSE 0 END AS seen,
+  CASE WHEN w <= {ROOM} THEN 0 END AS batch FROM {source} WHERE rn = 1
+UNION ALL
+SELECT i.{key}, i.rn, i.block_id, CASE WHEN i.w > {ROOM} THEN 0 WHEN p.used > 0 AND p.used + i.w <= {ROOM} THEN p.used + i.w ELSE i.w END,
+  CASE WHEN i.w > {ROOM} OR (p.used > 0 AND p.used + i.w <= {ROOM}) THEN p.seen ELSE p.seen + 1 END,
+  CASE WHEN i.w > {ROOM} THEN NULL WHEN p.used > 0 AND p.used + i.w <= {ROOM} THEN p.seen ELSE p.seen + 1 END
+FROM {name} p JOIN {source} i ON i.{key} = p.{key} AND i.rn = p.rn + 1""")
+
+
+packing("packed", "items", "chapter_id")
+cte("batched", """
+SELECT i.*, p.batch::BIGINT AS batch, i.chapter_id || '#' || p.batch AS request_id FROM items i JOIN packed p ON p.block_id = i.block_id""")
+cte("plan_digests", """
+SELECT chapter_id, sha256(unhex(string_agg('0000000000000040' || hex(encode(request_digest)), '' ORDER BY order_index))) AS plan_digest FROM prepared GROUP BY 1""")
+STATE_LIST = "['queued', 'running', 'succeeded', 'failed', 'cancelled', 'interrupted']"
+cte("chapter_jobs", f"""
+SELECT 'job-' || c.chapter_id AS id, c.chapter_id, doc_id, CASE WHEN k = 15 THEN 'stale' ELSE plan_digest END AS plan_digest,
+  CASE WHEN k % 2 = 0 THEN 'translate' ELSE 'prefetch' END AS kind, {STATE_LIST}[k % 6 + 1] AS state,
+  CASE WHEN k % 6 = 3 THEN 'The request timed out' END AS safe_message, order_index::BIGINT AS created_at
+FROM (SELECT *, {digit('chapter_id')} AS k FROM chapters_all) c LEFT JOIN plan_digests p ON p.chapter_id = c.chapter_id WHERE k > 3""")
+cte("translations", f"""
+SELECT 'tr-' || block_id AS id, 'job-' || chapter_id AS job_id, block_id, CASE WHEN k = 8 THEN sha256(request_digest) ELSE request_digest END AS request_digest,
+  source_digest, CASE WHEN k BETWEEN 3 AND 6 OR k IN (8, 9) THEN 'ready' WHEN k = 7 THEN 'failed' WHEN k = 10 THEN 'queued' ELSE 'translating' END AS state,
+  k <> 9 AS is_active, CASE WHEN k BETWEEN 3 AND 6 OR k IN (8, 9) THEN source END AS target_plain_text,
+  CASE WHEN k = 7 THEN 'timeout' END AS error_code, CASE WHEN k = 7 THEN 'late' END AS error_message,
+  order_index::BIGINT AS created_at, order_index::BIGINT AS updated_at, chapter_id, order_index
+FROM (SELECT *, {digit('block_id')} AS k FROM prepared) WHERE k > 2""")
+cte("records", f"""
+SELECT request_id, (order_index * 10 + CASE WHEN k = 2 THEN 15 ELSE 0 END) * 2 + copy AS ord, block_id,
+  CASE WHEN k = 3 THEN ' ' || chr(8195) || ' ' WHEN k = 4 THEN repeat(source, 9) WHEN k = 5 THEN source || ' ⟦WEAVE:X'
+    WHEN k = 6 THEN replace(source, '⟧', '>') ELSE '译' || source END AS target
+FROM (SELECT *, unnest(CASE WHEN k = 1 THEN [0, 1] ELSE [0] END) AS copy FROM (SELECT *, {digit('block_id')} AS k FROM batched WHERE batch IS NOT NULL) WHERE k > 0)""")
+cte("responses", f"SELECT DISTINCT request_id, CASE WHEN {digit('request_id')} < 8 THEN 'stop' ELSE 'length' END AS finish_reason FROM batched WHERE batch IS NOT NULL")
+cte("judged", f"""
+SELECT b.request_id, b.chapter_id, b.block_id, b.source, b.order_index, r.target, CASE WHEN copies > 1 THEN 'duplicate_block'
+    WHEN copies IS NULL THEN CASE WHEN finish_reason = 'stop' THEN 'missing_block' ELSE 'truncated' END
+    WHEN moved THEN 'block_order_changed' WHEN NOT regexp_matches(r.target, '{NOT_WS_RE2}') THEN 'empty_target'
+    WHEN {nbytes('r.target')} > least(8 * {nbytes('b.source')}, 131072) THEN 'target_too_large'
+    WHEN regexp_extract_all(r.target, '⟦WEAVE:[^⟧]*⟧') <> regexp_extract_all(b.source, '⟦WEAVE:[^⟧]*⟧')
+      OR contains(regexp_replace(r.target, '⟦WEAVE:[^⟧]*⟧', '|', 'g'), '⟦WEAVE:') THEN 'protected_marker_changed'
+    WHEN b.kind = 'table' AND left(b.source, 2) = '⟦W' AND contains(r.target, '⟧译⟦WEAVE') THEN 'protected_marker_changed' END AS code
+FROM batched b JOIN responses p ON p.request_id = b.request_id
+LEFT JOIN (SELECT request_id, block_id, count(*) AS copies, bool_or(coalesce(hi > place OR lo < place, false)) AS moved, arg_max(target, ord) AS target FROM (
+  SELECT r.*, b.order_index AS place,
+    max(b.order_index) OVER (PARTITION BY r.request_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hi,
+    min(b.order_index) OVER (PARTITION BY r.request_id ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS lo
+  FROM records r JOIN batched b ON b.request_id = r.request_id AND b.block_id = r.block_id) GROUP BY 1, 2) r
+ON r.request_id = b.request_id AND r.block_id = b.block_id""")

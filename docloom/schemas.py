@@ -71,3 +71,7 @@ CELL_TYPE = T.StructType([
     T.StructField("content", T.ArrayType(LEAF_TYPE)),
 ])
 TABLE_TYPE = T.ArrayType(T.ArrayType(CELL_TYPE))
+ATOM_TYPE = T.StructType([
+    *LEAF_TYPE.fields, T.StructField("assetId", T.StringType()), T.StructField("alt", T.StringType()),
+    T.StructField("rows", TABLE_TYPE),
+])
