@@ -656,7 +656,8 @@ def classify_provider_log(log: DataFrame) -> DataFrame:
     seconds = F.expr("try_cast(CASE WHEN retry_after RLIKE '^[0-9]+$' THEN retry_after END AS bigint)")
     date = F.expr("try_to_timestamp(CASE WHEN retry_after LIKE '% GMT' THEN substring(retry_after, 6, 20) END, 'dd MMM yyyy HH:mm:ss')")
     wait = F.unix_seconds(date) - F.col("at")
-    after = F.least(F.coalesce(seconds, F.when(wait > 0, wait)), F.lit(MAX_RETRY_AFTER))
+    given = F.coalesce(seconds, F.when(wait > 0, wait))
+    after = F.when(given.isNotNull(), F.least(given, F.lit(MAX_RETRY_AFTER)))
     retry = (F.col("attempt") < PROVIDER_ATTEMPTS) & F.col("kind").isin("transport", "timeout", "rate_limited")
     delay = F.when(F.col("retry"), F.when(F.col("kind") == "rate_limited", F.coalesce(after, F.lit(1)))
                    .when(F.col("attempt") == 1, 1).otherwise(4)).cast("long")

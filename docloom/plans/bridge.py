@@ -23,6 +23,8 @@ def digit(key: Column | str) -> Column:
     return F.conv(F.substring(sha_hex(key), 1, 1), 16, 10).cast("int")
 
 
+OPERATION_STATES = ["queued", "uploading", "processing", "downloading", "normalizing", "succeeded", "failed",
+                    "cancelled", "status_unknown"]
 _NORMALIZED: dict[tuple[str, str], object] = {}
 
 
@@ -289,3 +291,66 @@ class Corpus:
             .when(k < 10, F.array_join(parts, "\n"))
             .otherwise(F.concat(F.lit("Here: "), F.array_join(parts, " \\ "), F.lit(" {\"id\": \"torn"))))
         return rows.select("request_id", body.alias("body"))
+
+    # ---- logs ----------------------------------------------------------------------
+    @cached_property
+    def job_history(self) -> DataFrame:
+        """Events as writes of job rows: one job per (user, k)."""
+        e = self.table("events")
+        k = F.get_json_object("props", "$.k").cast("int")
+        t = F.col("event_type")
+        state = (
+            F.when(t == "signup", "queued").when(t == "view", "running").when(t == "click", "succeeded")
+            .when(t == "error", "failed").otherwise(F.when(F.col("event_id") % 5 == 0, "cancelled").otherwise("interrupted")))
+        i = F.col("event_id")
+        return e.select(
+            F.concat(F.lit("job-"), "user_id", F.lit("-"), (k % 8).cast("string")).alias("id"), i.alias("seq"),
+            F.concat(F.lit("doc-"), (F.col("user_id") % 50).cast("string")).alias("document_id"),
+            F.when(k % 8 != 7, F.concat(F.lit("ch-"), (F.col("user_id") % 50).cast("string"), F.lit("-"), (k % 3).cast("string"))).alias("chapter_id"),
+            F.when(k % 8 > 3, "prefetch").otherwise("translate").alias("kind"),
+            F.when(k % 8 > 3, 10).otherwise(100).alias("priority"), state.alias("state"),
+            F.when(k % 8 != 6, F.concat(F.lit("plan-"), (k % 2).cast("string"))).alias("plan_digest"),
+            F.when(t == "error", "timeout").alias("error_code"), F.when(t == "error", "late").alias("safe_message"),
+            i.alias("created_at"), i.alias("updated_at"), F.when(state != "queued", i).alias("started_at"),
+            F.when(state.isin("succeeded", "failed", "cancelled"), i).alias("completed_at"))
+
+    @cached_property
+    def jobs(self) -> DataFrame:
+        from docloom.operators.oplog import upsert_jobs
+
+        return upsert_jobs(self.job_history).withColumn("rowid", F.col("created_at"))
+
+    @cached_property
+    def job_events(self) -> DataFrame:
+        from docloom.operators.oplog import state_change_events
+
+        return state_change_events(self.job_history.withColumnRenamed("id", "job_id")).select("job_id", "sequence", "state", F.col("seq").alias("created_at"))
+
+    @cached_property
+    def job_translations(self) -> DataFrame:
+        """Translation rows of the event jobs: two per job."""
+        rows = self.jobs.select(F.col("id").alias("job_id"), "created_at", F.explode(F.array(F.lit(0), F.lit(1))).alias("n"))
+        k = digit(F.concat("job_id", F.col("n").cast("string")))
+        return rows.select(
+            F.concat("job_id", F.lit("/"), F.col("n").cast("string")).alias("id"), "job_id",
+            F.when(k < 5, "queued").when(k < 9, "translating").when(k < 13, "ready").otherwise("failed").alias("state"),
+            (k % 3 != 0).alias("is_active"), F.lit(None).cast("string").alias("error_code"),
+            F.lit(None).cast("string").alias("error_message"), F.col("created_at").alias("updated_at"))
+
+    @cached_property
+    def operations(self) -> DataFrame:
+        e = self.table("events")
+        i = F.col("event_id")
+        states = F.array(*[F.lit(s) for s in OPERATION_STATES])
+        return e.select(
+            F.concat(F.lit("op-"), i).alias("id"), F.concat(F.lit("doc-"), "user_id").alias("document_id"),
+            F.concat(F.lit("job-"), "user_id", F.lit("-"), (F.get_json_object("props", "$.k").cast("int") % 8).cast("string")).alias("job_id"),
+            F.when(i % 6 == 0, "local").otherwise("cloud_mineru").alias("backend"),
+            F.get(states, (i % 9).cast("int")).alias("state"),
+            F.when(i % 7 == 0, "old").otherwise("mineru-v4-vlm").alias("parser_version"),
+            F.when(i % 5 == 0, "old").otherwise("mineru-v2").alias("normalizer_version"),
+            F.when(i % 4 == 0, "other").otherwise("endpoint-1").alias("endpoint_fingerprint"),
+            F.when(i % 3 == 0, F.concat(F.lit("batch-"), i)).alias("batch_id"),
+            F.when(i % 2 == 0, F.lit(0.5)).alias("progress"),
+            F.when(i % 8 == 0, "parser_version_changed").alias("error_code"),
+            i.alias("created_at"), i.alias("updated_at"), F.lit(None).cast("long").alias("completed_at"))

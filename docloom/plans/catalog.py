@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from docloom.plans import q_library, q_normalize, q_translate  # noqa: F401
+from docloom.plans import q_library, q_normalize, q_oplog, q_translate  # noqa: F401
 from docloom.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -324,3 +324,39 @@ LEFT JOIN (SELECT request_id, block_id, count(*) AS copies, bool_or(coalesce(hi
     min(b.order_index) OVER (PARTITION BY r.request_id ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS lo
   FROM records r JOIN batched b ON b.request_id = r.request_id AND b.block_id = r.block_id) GROUP BY 1, 2) r
 ON r.request_id = b.request_id AND r.block_id = b.block_id""")
+
+# ---- logs -------------------------------------------------------------------------------
+cte("event_keys", "SELECT *, (props::JSON->>'k')::INT AS k FROM events")
+cte("job_history", """
+SELECT 'job-' || user_id || '-' || (k % 8) AS id, event_id AS seq, 'doc-' || (user_id % 50) AS document_id,
+  CASE WHEN k % 8 <> 7 THEN 'ch-' || (user_id % 50) || '-' || (k % 3) END AS chapter_id,
+  CASE WHEN k % 8 > 3 THEN 'prefetch' ELSE 'translate' END AS kind, CASE WHEN k % 8 > 3 THEN 10 ELSE 100 END AS priority, state,
+  CASE WHEN k % 8 <> 6 THEN 'plan-' || (k % 2) END AS plan_digest, CASE WHEN event_type = 'error' THEN 'timeout' END AS error_code,
+  CASE WHEN event_type = 'error' THEN 'late' END AS safe_message, event_id AS created_at, event_id AS updated_at,
+  CASE WHEN state <> 'queued' THEN event_id END AS started_at, CASE WHEN state IN ('succeeded', 'failed', 'cancelled') THEN event_id END AS completed_at
+FROM (SELECT *, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'succeeded' WHEN 'error' THEN 'failed'
+  ELSE CASE WHEN event_id % 5 = 0 THEN 'cancelled' ELSE 'interrupted' END END AS state FROM event_keys)""")
+cte("job_ranked", """
+SELECT *, min(CASE WHEN state = 'cancelled' THEN seq END) OVER (PARTITION BY id) AS dead, max(seq) OVER (PARTITION BY id) AS last_seq,
+  min(seq) OVER (PARTITION BY id) AS first_seq, min(started_at) OVER (PARTITION BY id) AS first_start FROM job_history""")
+cte("jobs", """
+SELECT l.id, f.document_id, f.chapter_id, l.kind, l.priority, l.state, l.plan_digest, l.error_code, l.safe_message, f.created_at, l.updated_at,
+  l.first_start AS started_at, l.completed_at, f.created_at AS rowid
+FROM job_ranked l JOIN job_ranked f ON f.id = l.id AND f.seq = f.first_seq WHERE l.seq = coalesce(l.dead, l.last_seq)""")
+cte("job_events", """
+SELECT id AS job_id, row_number() OVER (PARTITION BY id ORDER BY seq) AS sequence, state, seq AS created_at FROM (
+  SELECT *, lag(state) OVER (PARTITION BY id ORDER BY seq) AS prev FROM job_ranked WHERE dead IS NULL OR seq <= dead)
+WHERE prev IS DISTINCT FROM state""")
+cte("job_translations", f"""
+SELECT job_id || '/' || n AS id, job_id, CASE WHEN k < 5 THEN 'queued' WHEN k < 9 THEN 'translating' WHEN k < 13 THEN 'ready' ELSE 'failed' END AS state,
+  k % 3 <> 0 AS is_active, created_at AS updated_at
+FROM (SELECT *, {digit("job_id || n")} AS k FROM (SELECT id AS job_id, created_at, unnest([0, 1]) AS n FROM jobs))""")
+OPS = "['queued', 'uploading', 'processing', 'downloading', 'normalizing', 'succeeded', 'failed', 'cancelled', 'status_unknown']"
+cte("operations", f"""
+SELECT 'op-' || event_id AS id, 'doc-' || user_id AS document_id, 'job-' || user_id || '-' || (k % 8) AS job_id,
+  CASE WHEN event_id % 6 = 0 THEN 'local' ELSE 'cloud_mineru' END AS backend, {OPS}[event_id % 9 + 1] AS state,
+  CASE WHEN event_id % 7 = 0 THEN 'old' ELSE 'mineru-v4-vlm' END AS parser_version, CASE WHEN event_id % 5 = 0 THEN 'old' ELSE 'mineru-v2' END AS normalizer_version,
+  CASE WHEN event_id % 4 = 0 THEN 'other' ELSE 'endpoint-1' END AS endpoint_fingerprint, CASE WHEN event_id % 3 = 0 THEN 'batch-' || event_id END AS batch_id,
+  CASE WHEN event_id % 2 = 0 THEN 0.5::DOUBLE END AS progress, CASE WHEN event_id % 8 = 0 THEN 'parser_version_changed' END AS error_code,
+  event_id AS created_at, event_id AS updated_at, NULL::BIGINT AS completed_at FROM event_keys""")
+OPEN_OPS = "('queued', 'uploading', 'processing', 'downloading', 'normalizing', 'status_unknown')"
