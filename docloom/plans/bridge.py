@@ -23,6 +23,7 @@ def digit(key: Column | str) -> Column:
     return F.conv(F.substring(sha_hex(key), 1, 1), 16, 10).cast("int")
 
 
+CONTEXT_BUDGET = 2200
 OPERATION_STATES = ["queued", "uploading", "processing", "downloading", "normalizing", "succeeded", "failed",
                     "cancelled", "status_unknown"]
 _NORMALIZED: dict[tuple[str, str], object] = {}
@@ -354,3 +355,146 @@ class Corpus:
             F.when(i % 2 == 0, F.lit(0.5)).alias("progress"),
             F.when(i % 8 == 0, "parser_version_changed").alias("error_code"),
             i.alias("created_at"), i.alias("updated_at"), F.lit(None).cast("long").alias("completed_at"))
+
+    # ---- conversations -------------------------------------------------------------
+    @cached_property
+    def messages(self) -> DataFrame:
+        """Chats as reader questions and assistant answers to the latest question before them."""
+        from docloom.functions.scan import ordered_scan
+
+        t = self.table("conversations").filter("role IN ('user', 'assistant')")
+        mid = F.concat(F.lit("m-"), "conv_id", F.lit("-"), "turn")
+        cid = F.concat(F.lit("c-"), "conv_id")
+        base = t.select(
+            mid.alias("id"), cid.alias("conversation_id"), F.when(F.col("role") == "user", "reader").otherwise("assistant").alias("role"),
+            "text", (F.col("turn") + 1).alias("sequence"))
+        seen = ordered_scan(base, ["conversation_id"], "sequence", {"__q": ("max", F.when(
+            F.col("role") == "reader", F.struct(F.col("sequence").alias("s"), F.col("id").alias("i"))))}, inclusive=False)
+        k = digit("id")
+        state = F.when(F.col("role") == "reader", "ready").when(k == 0, "failed").when(k == 1, "cancelled").when(k == 2, "streaming").otherwise("ready")
+        return seen.filter("role = 'reader' OR __q IS NOT NULL").select(
+            "id", "conversation_id", "role", state.alias("state"), "text", "sequence",
+            F.when(F.col("role") == "assistant", F.col("__q.i")).alias("responding_to"),
+            F.when((F.col("role") == "reader") & (k < 9), F.concat(F.lit("sel-"), "id")).alias("selection"),
+            F.col("sequence").alias("updated_at"))
+
+    @cached_property
+    def chats(self) -> DataFrame:
+        c = self.table("conversations").groupBy("conv_id").agg(F.max("turn").alias("n"))
+        return c.select(
+            F.concat(F.lit("c-"), "conv_id").alias("id"), F.concat(F.lit("doc-"), "conv_id").alias("document_id"),
+            F.col("n").alias("created_at"), (F.col("n") * 7 % 5).alias("updated_at"))
+
+    @cached_property
+    def turns(self) -> DataFrame:
+        """New questions: one or two per conversation, some of them retries or faulty."""
+        m = self.messages.filter("role = 'reader'")
+        k = digit(F.concat(F.lit("turn"), "id"))
+        return m.filter(k < 8).select(
+            F.concat(F.lit("t-"), "id").alias("turn_id"), "conversation_id",
+            F.when(k < 3, F.col("id")).otherwise(F.concat(F.lit("new-"), "id")).alias("reader_id"),
+            F.concat(F.lit("a-"), "id").alias("assistant_id"), F.when(k == 7, F.lit(" \t ")).otherwise(F.col("text")).alias("text"),
+            F.when(k == 4, F.lit("sel-new")).alias("selection"), k.isin(0, 1).alias("is_retry"), F.col("sequence").alias("created_at"))
+
+    @cached_property
+    def selections(self) -> DataFrame:
+        """One selection of translated text per ready translation, every third one faulty."""
+        t = self.translations.filter("state = 'ready' AND is_active")
+        k = digit(F.concat(F.lit("sel"), "block_id"))
+        text = F.col("target_plain_text")
+        end = F.least(F.lit(12), F.length(text))
+        return t.select(
+            F.concat(F.lit("s-"), "block_id").alias("selection_id"), F.when(k == 1, F.lit("none")).otherwise(F.col("block_id")).alias("block_id"),
+            F.when(k == 2, F.lit("other")).when(k == 0, F.lit(" ")).otherwise(F.col("source_digest")).alias("source_digest"),
+            F.when(k == 3, 12).otherwise(2).alias("start_utf16"), F.when(k == 4, end + 400).otherwise(end).alias("end_utf16"),
+            F.when(k == 5, F.lit("else")).otherwise(F.substring(text, F.lit(3), end - 2)).alias("selected_text"),
+            F.concat(F.lit("c-"), (digit("block_id") * 3 + k).cast("string")).alias("conversation_id"))
+
+    @cached_property
+    def block_facts(self) -> DataFrame:
+        return self.normalized.blocks.select(
+            "block_id", "chapter_id", "order_index", "page", "source_digest", F.col("content.plainText").alias("plain_text"))
+
+    @cached_property
+    def view(self) -> DataFrame:
+        """Current translations: the active row where its digest is the one wanted now."""
+        return self.translations.filter("is_active").join(self.prepared.select("block_id", "request_digest"), ["block_id", "request_digest"])
+
+    @cached_property
+    def contexts(self) -> DataFrame:
+        from docloom.operators.conversation import neighbour_context, validate_selections
+
+        ok = validate_selections(self.selections, self.block_facts, self.view).filter("error_code IS NULL").drop("error_code")
+        rows = neighbour_context(ok, self.block_facts, self.view, CONTEXT_BUDGET)
+        return rows.filter("context_error IS NULL").withColumn("request_id", F.col("selection_id")).withColumn(
+            "question", F.concat(F.lit("Why \""), "selected_text", F.lit("\"?")))
+
+    @cached_property
+    def answers(self) -> DataFrame:
+        """Assistant texts with citation markers, some unknown, repeated, oversized or unfinished."""
+        a = self.messages.filter("role = 'assistant'")
+        k = digit("id")
+        mark = F.concat(F.lit("⟦WEAVE-CITE:ctx-"), F.col("sequence").cast("string"), F.lit("⟧"))
+        text = F.concat(
+            F.substring("text", 1, 40), mark, F.substring("text", 41, 40),
+            F.when(k % 3 == 0, mark).otherwise(""), F.when(k % 4 == 1, F.lit("⟦WEAVE-CITE:ctx-x⟧")).otherwise(""), F.substring("text", 81, 100000),
+            F.when(k == 2, F.concat(F.lit("⟦WEAVE-CITE:"), F.repeat(F.lit("y"), 130), F.lit("⟧"))).otherwise(""),
+            F.when(k == 3, F.lit("⟦WEAVE-CITE:ct")).when(k == 4, F.lit("⟦WEA")).otherwise(""))
+        return a.select(F.col("id").alias("request_id"), text.alias("text"), "sequence")
+
+    @cached_property
+    def allowed(self) -> DataFrame:
+        return self.answers.select("request_id", F.concat(F.lit("ctx-"), F.col("sequence").cast("string")).alias("context_id"))
+
+    # ---- sessions ------------------------------------------------------------------
+    @cached_property
+    def commands(self) -> DataFrame:
+        """Events as commands: a user is a session, every so often an id comes again."""
+        e = self.table("events")
+        i = F.col("event_id")
+        k = F.get_json_object("props", "$.k").cast("int")
+        return e.select(
+            F.concat(F.lit("session-"), "user_id").alias("session_id"), i.alias("seq"),
+            F.concat(F.lit("cmd-"), F.when(k < 20, k).otherwise(i + 1000)).alias("command_id"),
+            F.when(k % 3 != 0, (k % 37).cast("long")).alias("expected_revision"),
+            F.when(F.col("event_type") == "view", "focus_chapter").when(F.col("event_type") == "error", "retry_translation").otherwise("reading_assistant").alias("type"),
+            (k % 11 == 5).alias("failed"))
+
+    @cached_property
+    def open_log(self) -> DataFrame:
+        e = self.table("events")
+        return e.select(
+            F.concat(F.lit("doc-"), "user_id").alias("document_id"), F.col("event_id").alias("seq"),
+            F.when(F.col("event_type").isin("view", "signup"), "open").otherwise("close").alias("action"))
+
+    @cached_property
+    def endpoints(self) -> DataFrame:
+        e = self.table("events")
+        i = F.col("event_id")
+        host = F.concat(F.lit("Host"), (i % 20).cast("string"), F.lit(".Example.COM"))
+        url = (
+            F.when(i % 12 == 0, F.concat(F.lit("  "), host, F.lit("/v1/  "))).when(i % 12 == 1, F.concat(F.lit("https://"), host, F.lit(":443/v1//")))
+            .when(i % 12 == 2, F.concat(F.lit("HTTPS://"), host, F.lit("/v1?x=1#y"))).when(i % 12 == 3, F.concat(F.lit("http://"), host))
+            .when(i % 12 == 4, "http://localhost:8080/").when(i % 12 == 5, F.concat(F.lit("https://me:pw@"), host)).when(i % 12 == 6, "ftp://files")
+            .when(i % 12 == 7, "http://127.0.0.1:80/api").when(i % 12 == 8, " ").when(i % 12 == 9, "http://[::1]:9/x")
+            .when(i % 12 == 10, F.concat(F.lit("https://"), host, F.lit(":8443"))).otherwise(F.lit("https:///path")))
+        return e.select("event_id", F.when(i % 2 == 0, "translation").otherwise("mineru").alias("kind"), url.alias("endpoint"))
+
+    @cached_property
+    def profile_updates(self) -> DataFrame:
+        e = self.table("events")
+        i = F.col("event_id")
+        return self.endpoints.join(e.select("event_id", "user_id"), "event_id").select(
+            F.concat(F.lit("u-"), "user_id").alias("owner_id"), "kind", "endpoint",
+            F.when(i % 5 != 0, F.concat(F.lit("model-"), (i % 3).cast("string"))).alias("model_id"),
+            F.when(i % 7 == 0, 100).when(i % 7 < 4, 8192).cast("long").alias("context_window"), i.alias("updated_at"))
+
+    @cached_property
+    def probes(self) -> DataFrame:
+        e = self.table("events")
+        i = F.col("event_id")
+        bodies = ['{"code":0,"data":{}}', '{"msgCode":"A0202","msg":"no"}', '{"code":1,"msg":"User Authenticate failed"}', '{"code":"ok"}', "oops",
+                  '{"data":[]}', '[1,2]', '{"msgCode":7,"traceId":"t"}', '{"code":"A0211"}', '{"msg":5,"code":1}']
+        return e.select("event_id", F.when(i % 2 == 0, "translation").otherwise("mineru").alias("kind"),
+                        F.get(F.array(*[F.lit(s) for s in (200, 200, 200, 404, 401, 429, 503)]), (i % 7).cast("int")).alias("status"),
+                        F.get(F.array(*[F.lit(b) for b in bodies]), (i % 10).cast("int")).alias("body"))

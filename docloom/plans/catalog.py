@@ -1,4 +1,6 @@
 """All registered queries."""
 
-from docloom.plans import q_library, q_normalize, q_oplog, q_translate  # noqa: F401
+from docloom.plans import (  # noqa: F401
+    q_conversation, q_library, q_normalize, q_oplog, q_sessions, q_translate,
+)
 from docloom.plans.registry import ORACLES, QUERIES  # noqa: F401

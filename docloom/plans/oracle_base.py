@@ -360,3 +360,58 @@ SELECT 'op-' || event_id AS id, 'doc-' || user_id AS document_id, 'job-' || user
   CASE WHEN event_id % 2 = 0 THEN 0.5::DOUBLE END AS progress, CASE WHEN event_id % 8 = 0 THEN 'parser_version_changed' END AS error_code,
   event_id AS created_at, event_id AS updated_at, NULL::BIGINT AS completed_at FROM event_keys""")
 OPEN_OPS = "('queued', 'uploading', 'processing', 'downloading', 'normalizing', 'status_unknown')"
+
+# ---- conversations ----------------------------------------------------------------------
+from docloom.plans.bridge import CONTEXT_BUDGET  # noqa: E402
+
+cte("messages", f"""
+SELECT id, conversation_id, role, CASE WHEN role = 'reader' THEN 'ready' WHEN k = 0 THEN 'failed' WHEN k = 1 THEN 'cancelled' WHEN k = 2 THEN 'streaming' ELSE 'ready' END AS state,
+  text, sequence, CASE WHEN role = 'assistant' THEN q END AS responding_to, CASE WHEN role = 'reader' AND k < 9 THEN 'sel-' || id END AS selection, k
+FROM (SELECT *, {digit('id')} AS k, last_value(CASE WHEN role = 'reader' THEN id END IGNORE NULLS) OVER (PARTITION BY conversation_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS q
+  FROM (SELECT 'm-' || conv_id || '-' || turn AS id, 'c-' || conv_id AS conversation_id, CASE WHEN role = 'user' THEN 'reader' ELSE 'assistant' END AS role, text, turn + 1 AS sequence
+    FROM conversations WHERE role IN ('user', 'assistant'))) WHERE role = 'reader' OR q IS NOT NULL""")
+cte("chats", "SELECT 'c-' || conv_id AS id, 'doc-' || conv_id AS document_id, max(turn) AS created_at, max(turn) * 7 % 5 AS updated_at FROM conversations GROUP BY conv_id")
+cte("turns", f"""
+SELECT 't-' || id AS turn_id, conversation_id, CASE WHEN kt < 3 THEN id ELSE 'new-' || id END AS reader_id, 'a-' || id AS assistant_id,
+  CASE WHEN kt = 7 THEN ' ' ELSE text END AS text, CASE WHEN kt = 4 THEN 'sel-new' END AS selection, kt IN (0, 1) AS is_retry, sequence AS created_at
+FROM (SELECT *, {digit("'turn' || id")} AS kt FROM messages WHERE role = 'reader') WHERE kt < 8""")
+cte("selections", f"""
+SELECT 's-' || block_id AS selection_id, CASE WHEN k = 1 THEN 'none' ELSE block_id END AS block_id, CASE WHEN k = 2 THEN 'other' WHEN k = 0 THEN ' ' ELSE source_digest END AS source_digest,
+  CASE WHEN k = 3 THEN 12 ELSE 2 END AS start_utf16, CASE WHEN k = 4 THEN e + 400 ELSE e END AS end_utf16,
+  CASE WHEN k = 5 THEN 'else' ELSE substr(target_plain_text, 3, e - 2) END AS selected_text, 'c-' || (kb * 3 + k) AS conversation_id, source_digest AS real_digest, target_plain_text, k, block_id AS real_block
+FROM (SELECT *, {digit("'sel' || block_id")} AS k, {digit("block_id")} AS kb, least(12, length(target_plain_text)) AS e FROM translations WHERE state = 'ready' AND is_active)""")
+cte("view_rows", "SELECT t.* FROM translations t JOIN prepared p ON p.block_id = t.block_id AND p.request_digest = t.request_digest WHERE t.is_active")
+cte("selections_judged", f"""
+SELECT s.*, b.chapter_id, b.order_index, b.page, b.plain_text AS aligned_source,
+  CASE WHEN s.k = 0 OR s.start_utf16 >= s.end_utf16 OR NOT regexp_matches(s.selected_text, '{NOT_WS_RE2}') OR length(s.selected_text) > 4096 THEN 'invalid_input'
+    WHEN b.block_id IS NULL OR v.block_id IS NULL OR s.k = 2 OR s.end_utf16 > length(v.target_plain_text)
+      OR substr(v.target_plain_text, s.start_utf16 + 1, s.end_utf16 - s.start_utf16) <> s.selected_text THEN 'stale_selection' END AS error_code
+FROM selections s LEFT JOIN blocks_all b ON b.block_id = s.block_id LEFT JOIN view_rows v ON v.block_id = s.block_id AND v.state = 'ready'""")
+cte("context_facts", """
+SELECT b.chapter_id, b.order_index, b.block_id, b.page, b.plain_text, v.target_plain_text AS translated FROM blocks_all b LEFT JOIN view_rows v ON v.block_id = b.block_id AND v.state = 'ready'""")
+SEL_JSON = """'{"blockId":"' || s.block_id || '","chapterId":"' || s.chapter_id || '","pageStart":' || s.page || ',"pageEnd":' || s.page || ',"sourceDigest":"' || s.source_digest
+  || '","startUtf16":' || s.start_utf16 || ',"endUtf16":' || s.end_utf16 || ',"selectedText":' || to_json(s.selected_text)::VARCHAR || ',"alignedSource":' || to_json(s.aligned_source)::VARCHAR || '}'"""
+cte("candidates", f"""
+SELECT s.selection_id, f.order_index - s.order_index AS off, f.block_id, f.page, f.plain_text, f.translated, {SEL_JSON} AS sel_json, s.selected_text, s.conversation_id, s.chapter_id,
+  octet_length(encode('{{"blockId":"' || f.block_id || '","pageStart":' || f.page || ',"pageEnd":' || f.page || ',"sourceText":' || to_json(f.plain_text)::VARCHAR
+    || CASE WHEN f.translated IS NOT NULL THEN ',"translatedText":' || to_json(f.translated)::VARCHAR ELSE '' END || ',"selected":' || CASE WHEN f.order_index = s.order_index THEN 'true' ELSE 'false' END || '}}')) AS size
+FROM selections_judged s JOIN context_facts f ON f.chapter_id = s.chapter_id AND f.order_index BETWEEN s.order_index - 2 AND s.order_index + 2 WHERE s.error_code IS NULL""")
+cte("admission0", """
+SELECT selection_id, any_value(sel_json) AS sel_json, octet_length(encode(any_value(sel_json))) + 26 + max(size) FILTER (off = 0) AS base, max(size) FILTER (off = -1) AS b1, max(size) FILTER (off = 1) AS a1,
+  max(size) FILTER (off = -2) AS b2, max(size) FILTER (off = 2) AS a2 FROM candidates GROUP BY 1""")
+_prev, _used = "admission0", "base"
+for _i, _b in enumerate(("b1", "a1", "b2", "a2"), 1):
+    cte(f"admission{_i}", f"""SELECT *, {_used} + CASE WHEN {_used} + {_b} + 1 <= {CONTEXT_BUDGET} THEN {_b} + 1 ELSE 0 END AS u{_i}, coalesce({_used} + {_b} + 1 <= {CONTEXT_BUDGET}, false) AS k_{_b} FROM (
+  SELECT * REPLACE (coalesce({_b}, 9999999) AS {_b}) FROM {_prev})""")
+    _prev, _used = f"admission{_i}", f"u{_i}"
+cte("admitted", f"""
+SELECT c.*, a.u4 AS used, a.base FROM candidates c JOIN admission4 a ON a.selection_id = c.selection_id
+WHERE a.base <= {CONTEXT_BUDGET} AND (off = 0 OR (off = -1 AND k_b1) OR (off = 1 AND k_a1) OR (off = -2 AND k_b2) OR (off = 2 AND k_a2))""")
+cte("history", """
+SELECT conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY sequence) AS turn, sequence, responding_to, question, answer FROM (
+  SELECT a.conversation_id, a.sequence, a.responding_to, q.text AS question, a.text AS answer, row_number() OVER (PARTITION BY a.conversation_id ORDER BY a.sequence DESC) AS r
+  FROM messages a JOIN messages q ON q.conversation_id = a.conversation_id AND q.id = a.responding_to AND q.role = 'reader' WHERE a.role = 'assistant' AND a.state = 'ready') WHERE r <= 4""")
+cte("answers", f"""
+SELECT id AS request_id, left(text, 40) || mark || substr(text, 41, 40) || CASE WHEN k % 3 = 0 THEN mark ELSE '' END || CASE WHEN k % 4 = 1 THEN '⟦WEAVE-CITE:ctx-x⟧' ELSE '' END || substr(text, 81, 100000)
+  || CASE WHEN k = 2 THEN '⟦WEAVE-CITE:' || repeat('y', 130) || '⟧' ELSE '' END || CASE WHEN k = 3 THEN '⟦WEAVE-CITE:ct' WHEN k = 4 THEN '⟦WEA' ELSE '' END AS text, text AS original, k, sequence
+FROM (SELECT *, '⟦WEAVE-CITE:ctx-' || sequence || '⟧' AS mark FROM messages WHERE role = 'assistant')""")

@@ -69,7 +69,7 @@ register("T12_restore_targets", lambda c: T.restore_targets(
     c.prepared.filter("kind <> 'table'").withColumn("target", F.concat(F.lit("译"), "source"))).select(
     "block_id", F.col("restored.plainText").alias("plain_text"), F.size("restored.atoms").alias("atom_count")),
     compose("""WITH p AS (SELECT p.block_id, string_agg(CASE WHEN special AND value LIKE '$%' THEN value[2:-2] ELSE value END, '' ORDER BY akey) AS t,
-  count(*) + CASE WHEN bool_or(special AND akey = 1) THEN 1 ELSE 0 END AS n FROM prepared p JOIN text_atoms a ON a.block_id = p.block_id WHERE kind <> 'table' GROUP BY 1)
+  count(*) + CASE WHEN min(akey) = 1 THEN 1 ELSE 0 END AS n FROM prepared p JOIN text_atoms a ON a.block_id = p.block_id WHERE kind <> 'table' GROUP BY 1)
 SELECT block_id, '译' || t AS plain_text, n::INT AS atom_count FROM p"""))
 register("T12_restore_tables", lambda c: T.restore_targets(
     c.prepared.filter("kind = 'table'").withColumn("target", F.replace("source", F.lit("a⟦"), F.lit("甲⟦")))).select(
