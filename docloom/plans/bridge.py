@@ -498,3 +498,17 @@ class Corpus:
         return e.select("event_id", F.when(i % 2 == 0, "translation").otherwise("mineru").alias("kind"),
                         F.get(F.array(*[F.lit(s) for s in (200, 200, 200, 404, 401, 429, 503)]), (i % 7).cast("int")).alias("status"),
                         F.get(F.array(*[F.lit(b) for b in bodies]), (i % 10).cast("int")).alias("body"))
+
+
+class StreamCorpus(Corpus):
+    """The same derivations with the driver tables read as streams of files."""
+
+    def table(self, name: str) -> DataFrame:
+        schema = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").schema
+        return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.sf_dir)
+
+    @cached_property
+    def touches(self) -> DataFrame:
+        return self.table("events").select(
+            F.concat(F.lit("c-"), (F.col("user_id") % 3).cast("string")).alias("client_id"), F.lit("reader").alias("resource_id"), "ts",
+            F.col("event_type").isin("view", "click").alias("heartbeat"))
