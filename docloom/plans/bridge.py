@@ -510,5 +510,5 @@ class StreamCorpus(Corpus):
     @cached_property
     def touches(self) -> DataFrame:
         return self.table("events").select(
-            F.concat(F.lit("c-"), (F.col("user_id") % 3).cast("string")).alias("client_id"), F.lit("reader").alias("resource_id"), "ts",
+            F.concat(F.lit("c-"), (F.col("user_id") % 3).cast("string")).alias("client_id"), F.lit("reader").alias("resource_id"), F.col("ts").cast("timestamp").alias("ts"),
             F.col("event_type").isin("view", "click").alias("heartbeat"))

@@ -1,81 +1,72 @@
-"""Stateful stream operators: commands, answers, translation records, job events.
+"""Stateful stream operators: commands, leases, answers, translation records, job events.
 
-Rows of one key within a micro-batch are ordered by ``seq``; a row whose predecessor has not
-come yet waits in state. What a key keeps is bounded: a revision, receipts with a time to
-live, one unfinished response (at most 2 MiB), one state name.
+State travels with the rows of its key in Arrow batches (one read and one write per key and
+batch). What a key keeps is bounded: a revision and the last receipts, one unfinished response
+(at most 2 MiB), one state name. Rows of a key are taken in order of ``seq``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docloom.operators.conversation import CITE_TAG, MAX_MARKER_BYTES
 from docloom.operators.sessions import FREE_COMMAND
 from docloom.operators.translate import read_records
 from docloom.schemas import MAX_RESPONSE_BYTES
 
-STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-RECEIPT_TTL_MS = 24 * 3600 * 1000
+# fixed values
+KEPT_RECEIPTS = 1024
 CHECKPOINT_BYTES = 8 * 1024
-
-
-def use_state_store(spark: SparkSession) -> None:
-    """State variables need the RocksDB store."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
-
-
-def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    parts = list(rows)
-    return pd.concat(parts).sort_values("seq") if parts else pd.DataFrame()
+STATE = "data string"
 
 
 def _none(value):
     return None if value is None or value is pd.NA or (isinstance(value, float) and value != value) else value
 
 
-class CommandProcessor(StatefulProcessor):
-    """Receipts of one session's commands."""
+def per_key(rows: DataFrame, key: str, schema: str, initial: dict, step: Callable) -> DataFrame:
+    """``step(key, state, rows in order)`` returns the new state and output rows of one key."""
+    names = [part.split()[0] for part in schema.split(", ")]
 
-    def init(self, handle):
-        self.revision = handle.getValueState("revision", "revision long")
-        self.receipts = handle.getMapState("receipts", "command_id string", "revision long", ttlDurationMs=RECEIPT_TTL_MS)
+    def run(keys: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        state = json.loads(group.get[0]) if group.exists else json.loads(json.dumps(initial))
+        ordered = pd.concat(list(batches)).sort_values("seq", kind="stable")
+        state, out = step(keys[0], state, list(ordered.itertuples(index=False)))
+        group.update((json.dumps(state),))
+        yield pd.DataFrame(out, columns=names)
 
-    def handleInputRows(self, key, rows, timerValues):
-        batch = _in_order(rows)
-        revision = self.revision.get()[0] if self.revision.exists() else 0
-        out, fresh = [], {}
-        for row in batch.itertuples(index=False):
-            seen = fresh.get(row.command_id)
-            if seen is None and self.receipts.containsKey((row.command_id,)):
-                seen = self.receipts.getValue((row.command_id,))[0]
-            if seen is not None:
-                out.append((key[0], row.seq, row.command_id, "duplicate", seen))
-                continue
-            expected = _none(row.expected_revision)
-            stale = expected is not None and row.type != FREE_COMMAND and int(expected) != revision
-            accepted = not stale and not row.failed
-            revision += int(accepted)
-            fresh[row.command_id] = revision
-            out.append((key[0], row.seq, row.command_id, "accepted" if accepted else "rejected", revision))
-        for command, value in fresh.items():
-            self.receipts.updateValue((command,), (value,))
-        self.revision.update((revision,))
-        yield pd.DataFrame(out, columns=["session_id", "seq", "command_id", "status", "revision"])
+    return rows.groupBy(key).applyInPandasWithState(run, schema, STATE, "append", GroupStateTimeout.NoTimeout)
 
-    def close(self):
-        pass
+
+def _command_step(key: str, state: dict, rows: list) -> tuple[dict, list]:
+    revision, receipts, out = state["revision"], state["receipts"], []
+    for row in rows:
+        if row.command_id in receipts:
+            out.append((key, row.seq, row.command_id, "duplicate", receipts[row.command_id]))
+            continue
+        expected = _none(row.expected_revision)
+        stale = expected is not None and row.type != FREE_COMMAND and int(expected) != revision
+        accepted = not stale and not row.failed
+        revision += int(accepted)
+        receipts[row.command_id] = revision
+        if len(receipts) > KEPT_RECEIPTS:
+            # the oldest goes first
+            del receipts[next(iter(receipts))]
+        out.append((key, row.seq, row.command_id, "accepted" if accepted else "rejected", revision))
+    return {"revision": revision, "receipts": receipts}, out
 
 
 def stream_commands(commands: DataFrame) -> DataFrame:
-    use_state_store(commands.sparkSession)
-    return commands.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=CommandProcessor(), outputMode="Append", timeMode="ProcessingTime",
-        outputStructType="session_id string, seq long, command_id string, status string, revision long")
+    """Receipts of commands as they come; a session remembers its last 1024 of them."""
+    return per_key(
+        commands, "session_id", "session_id string, seq long, command_id string, status string, revision long",
+        {"revision": 0, "receipts": {}}, _command_step)
 
 
 def stream_leases(touches: DataFrame, lateness: str = "10 minutes") -> DataFrame:
@@ -158,137 +149,94 @@ class Ordered:
             self.expected += 1
 
 
-class ResponseProcessor(StatefulProcessor):
-    """One answer stream: text checkpoints, citations and warnings.
+def _rows_of(state: dict, rows: list) -> tuple[Ordered, Iterator[tuple]]:
+    line = Ordered({int(k): tuple(v) for k, v in state["waiting"].items()}, state["expected"])
+    fresh = [(int(r.seq), r.fragment or "", _none(r.finish_reason), bool(r.done)) for r in rows]
+    return line, line.take(fresh)
 
-    A checkpoint goes out with the first text, after each 8 KiB, and at the end.
-    """
 
-    def init(self, handle):
-        self.state = handle.getValueState(
-            "stream", "expected long, pending string, discarding boolean, seen array<string>, allowed array<string>, text string, saved long, "
-            "version long, events long, closed boolean, waiting array<struct<seq:long,fragment:string,finish:string,done:boolean>>")
-
-    def handleInputRows(self, key, rows, timerValues):
-        batch = _in_order(rows)
-        if self.state.exists():
-            expected, pending, discarding, seen, allowed, text, saved, version, number, closed, waiting = self.state.get()
-        else:
-            expected, pending, discarding, seen, text, saved, version, number, closed, waiting = 0, "", False, [], "", 0, 0, 0, False, []
-            allowed = list(batch["allowed"].iloc[0])
-        reader = CitationReader(allowed, seen, pending, discarding)
-        line = Ordered({w[0]: tuple(w) for w in waiting}, expected)
-        out = []
-
-        def emit(kind, value):
-            nonlocal number
-            out.append((key[0], number, kind, value))
-            number += 1
-
-        fresh = [(int(r.seq), r.fragment, _none(r.finish_reason), bool(r.done)) for r in batch.itertuples(index=False)]
-        for _, fragment, _finish, done in line.take(fresh):
-            if closed:
-                continue
-            for kind, value in reader.feed(fragment or "", done):
-                if kind != "text":
-                    emit(kind, value)
-                    continue
-                text += value
-            size = len(text.encode())
-            if size > MAX_RESPONSE_BYTES:
-                emit("error", "response_too_large")
-                closed = True
-            elif done or (size and version == 0) or size - saved >= CHECKPOINT_BYTES:
-                version, saved = version + 1, size
-                emit("final" if done else "checkpoint", text)
-                closed = done
-        waiting = [line.waiting[k] for k in sorted(line.waiting)]
-        self.state.update((line.expected, reader.pending, reader.discarding, reader.seen, allowed, "" if closed else text, saved, version,
-                           number, closed, [] if closed else waiting))
-        if out:
-            yield pd.DataFrame(out, columns=["request_id", "event_no", "event", "value"])
-
-    def close(self):
-        pass
+def _response_step(key: str, state: dict, rows: list) -> tuple[dict, list]:
+    allowed = state["allowed"] if state["allowed"] is not None else [str(x) for x in rows[0].allowed]
+    reader = CitationReader(allowed, state["seen"], state["pending"], state["discarding"])
+    line, ready = _rows_of(state, rows)
+    text, size, saved, version, closed, number = (state[k] for k in ("text", "size", "saved", "version", "closed", "events"))
+    out = []
 
+    def emit(kind: str, value: str) -> None:
+        nonlocal number
+        out.append((key, number, kind, value))
+        number += 1
 
-def stream_responses(fragments: DataFrame) -> DataFrame:
-    """Events of answer streams (request_id, seq from 0, fragment, finish_reason, done, allowed array)."""
-    use_state_store(fragments.sparkSession)
-    return fragments.groupBy("request_id").transformWithStateInPandas(
-        statefulProcessor=ResponseProcessor(), outputMode="Append", timeMode="None",
-        outputStructType="request_id string, event_no long, event string, value string")
-
-
-class RecordProcessor(StatefulProcessor):
-    """One translation response: kept until its end or error, then read as records."""
-
-    def init(self, handle):
-        self.state = handle.getValueState(
-            "response", "expected long, body string, closed boolean, waiting array<struct<seq:long,fragment:string,finish:string,done:boolean>>")
-
-    def handleInputRows(self, key, rows, timerValues):
-        batch = _in_order(rows)
-        expected, body, closed, waiting = self.state.get() if self.state.exists() else (0, "", False, [])
-        line = Ordered({w[0]: tuple(w) for w in waiting}, expected)
-        out = []
-        for row in line.take([(int(r.seq), r.fragment, _none(r.finish_reason), bool(r.done)) for r in batch.itertuples(index=False)]):
-            if closed:
-                continue
-            body += row[1] or ""
-            closed = row[3]
-            if len(body.encode()) > MAX_RESPONSE_BYTES:
-                closed, body = True, ""
-                out.append((key[0], -1, None, None, "response_too_large"))
-            elif closed:
-                lines = [x for x in body.replace("\r\n", "\n").split("\n") if not x.lstrip().startswith("```")]
-                records = read_records("\n".join(lines).strip())
-                if records is None:
-                    out.append((key[0], -1, None, None, "invalid_json"))
-                out.extend((key[0], i, r["id"], r["target"], None) for i, r in enumerate(records or []))
-        waiting = [] if closed else [line.waiting[k] for k in sorted(line.waiting)]
-        self.state.update((line.expected, "" if closed else body, closed, waiting))
-        if out:
-            yield pd.DataFrame(out, columns=["request_id", "ord", "block_id", "target", "error_code"])
-
-    def close(self):
-        pass
+    for _, fragment, _finish, done in ready:
+        if closed:
+            continue
+        for kind, value in reader.feed(fragment, done):
+            if kind == "text":
+                text, size = text + value, size + len(value.encode())
+            else:
+                emit(kind, value)
+        if size > MAX_RESPONSE_BYTES:
+            emit("error", "response_too_large")
+            closed = True
+        elif done or (size and version == 0) or size - saved >= CHECKPOINT_BYTES:
+            version, saved, closed = version + 1, size, done
+            emit("final" if done else "checkpoint", text)
+    kept = {} if closed else {str(k): v for k, v in line.waiting.items()}
+    return {
+        "allowed": allowed, "seen": reader.seen, "pending": reader.pending, "discarding": reader.discarding, "waiting": kept,
+        "expected": line.expected, "text": "" if closed else text, "size": size, "saved": saved, "version": version,
+        "closed": closed, "events": number}, out
 
 
-def stream_translation_records(fragments: DataFrame) -> DataFrame:
-    """Records of responses once they end, also by an error: what came in whole is kept."""
-    use_state_store(fragments.sparkSession)
-    return fragments.groupBy("request_id").transformWithStateInPandas(
-        statefulProcessor=RecordProcessor(), outputMode="Append", timeMode="None",
-        outputStructType="request_id string, ord int, block_id string, target string, error_code string")
+def stream_responses(fragments: DataFrame) -> DataFrame:
+    """Events of answer streams (request_id, seq from 0, fragment, finish_reason, done, allowed).
 
+    Citations and warnings come at once; the text so far with the first text, after each
+    8 KiB and at the end. Fragments may arrive in any order.
+    """
+    initial = {"allowed": None, "seen": [], "pending": "", "discarding": False, "waiting": {}, "expected": 0, "text": "", "size": 0,
+               "saved": 0, "version": 0, "closed": False, "events": 0}
+    return per_key(fragments, "request_id", "request_id string, event_no long, event string, value string", initial, _response_step)
+
+
+def _record_step(key: str, state: dict, rows: list) -> tuple[dict, list]:
+    line, ready = _rows_of(state, rows)
+    parts, size, closed, out = state["parts"], state["size"], state["closed"], []
+    for _, fragment, _finish, done in ready:
+        if closed:
+            continue
+        parts.append(fragment)
+        size += len(fragment.encode())
+        closed = done or size > MAX_RESPONSE_BYTES
+        if size > MAX_RESPONSE_BYTES:
+            out.append((key, -1, None, None, "response_too_large"))
+        elif done:
+            lines = [x for x in "".join(parts).replace("\r\n", "\n").split("\n") if not x.lstrip().startswith("```")]
+            records = read_records("\n".join(lines).strip())
+            if records is None:
+                out.append((key, -1, None, None, "invalid_json"))
+            out.extend((key, i, r["id"], r["target"], None) for i, r in enumerate(records or []))
+    kept = {} if closed else {str(k): v for k, v in line.waiting.items()}
+    return {"parts": [] if closed else parts, "size": size, "closed": closed, "waiting": kept, "expected": line.expected}, out
 
-class JobEventProcessor(StatefulProcessor):
-    """State changes of one job; nothing follows a cancelled state."""
 
-    def init(self, handle):
-        self.state = handle.getValueState("job", "state string, sequence long")
+def stream_translation_records(fragments: DataFrame) -> DataFrame:
+    """Records of responses once they end, also by an error: what came in whole is kept."""
+    initial = {"parts": [], "size": 0, "closed": False, "waiting": {}, "expected": 0}
+    return per_key(
+        fragments, "request_id", "request_id string, ord int, block_id string, target string, error_code string", initial, _record_step)
 
-    def handleInputRows(self, key, rows, timerValues):
-        batch = _in_order(rows)
-        state, sequence = self.state.get() if self.state.exists() else (None, 0)
-        out = []
-        for row in batch.itertuples(index=False):
-            if state == "cancelled" or row.state == state:
-                continue
-            state, sequence = row.state, sequence + 1
-            out.append((key[0], sequence, state, row.seq))
-        self.state.update((state, sequence))
-        if out:
-            yield pd.DataFrame(out, columns=["job_id", "sequence", "state", "created_at"])
 
-    def close(self):
-        pass
+def _job_step(key: str, state: dict, rows: list) -> tuple[dict, list]:
+    current, sequence, out = state["state"], state["sequence"], []
+    for row in rows:
+        if current == "cancelled" or row.state == current:
+            continue
+        current, sequence = row.state, sequence + 1
+        out.append((key, sequence, current, row.seq))
+    return {"state": current, "sequence": sequence}, out
 
 
 def stream_job_events(changes: DataFrame) -> DataFrame:
-    """Events of job writes (job_id, seq, state) as they come."""
-    use_state_store(changes.sparkSession)
-    return changes.groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=JobEventProcessor(), outputMode="Append", timeMode="None",
-        outputStructType="job_id string, sequence long, state string, created_at long")
+    """Events of job writes (job_id, seq, state) as they come; nothing follows a cancelled state."""
+    return per_key(changes, "job_id", "job_id string, sequence long, state string, created_at long", {"state": None, "sequence": 0}, _job_step)
