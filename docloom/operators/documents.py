@@ -56,12 +56,13 @@ def assemble_documents(
 ) -> DataFrame:
     """One nested document value per document (``n`` is a ``Normalized``).
 
-    Documents above ``max_blocks`` keep ``chapters`` null here; their content is whole in
-    ``chapter_values``, which a writer stores as parts next to the manifest.
+    Documents above ``max_blocks`` blocks or assets keep ``chapters`` null here; their content is
+    whole in ``chapter_values`` and ``n.assets``, which a writer stores next to the manifest.
     """
     limit = max_blocks or scan.CHUNK_ROWS
     sizes = n.chapters.groupBy("doc_id").agg(F.sum("block_count").alias("block_count"))
-    small = sizes.filter(F.col("block_count") <= limit).select("doc_id")
+    many = n.assets.groupBy("doc_id").count().filter(F.col("count") > limit).select("doc_id")
+    small = sizes.filter(F.col("block_count") <= limit).select("doc_id").join(many, "doc_id", "left_anti")
     values = chapter_values(n.chapters, n.blocks, part_rows).join(small, "doc_id", "left_semi")
     chapters = values.groupBy("doc_id").agg(
         F.transform(
@@ -73,7 +74,7 @@ def assemble_documents(
         "id", F.col("mime_type").alias("mimeType"), F.col("relative_path").alias("relativePath"),
         "sha256", F.col("size_bytes").alias("sizeBytes"),
     )
-    assets = n.assets.groupBy("doc_id").agg(
+    assets = n.assets.join(small, "doc_id", "left_semi").groupBy("doc_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", asset.alias("a")))), lambda x: x["a"]).alias("assets")
     )
     pages = n.pages.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("page_count"))

@@ -420,11 +420,13 @@ def normalize(
     unique, aliases, bad_assets = canonical_assets(assets)
     boxed, bad_rows = scale_bboxes(raw, pages)
     resolved, bad_paths = resolve_assets(drop_layout_noise(boxed), aliases)
-    classified = classify_text(resolved)
     # positions are checked once; only a corpus with a huge document pays for the chunked scan
     chunk_rows = chunk_rows or scan.scan_chunks(raw, "pos")
-    if chunk_rows != scan.ONE_CHUNK:
-        classified = materialize(classified, "classified")
+    if chunk_rows == scan.ONE_CHUNK:
+        # the windows need this shuffle anyway; taken here it also spreads the text work
+        classified = classify_text(resolved.repartition("doc_id"))
+    else:
+        classified = materialize(classify_text(resolved), "classified")
     titles = pick_title(classified)
     segmented = materialize(segment_chapters(classified, chunk_rows), "segmented")
     blocks, bad_tables = expand_blocks(segmented)
@@ -438,7 +440,8 @@ def normalize(
     problems = bad_sources.unionByName(violation(no_layout, F.lit("no_pages")))
     for more in (bad_pages, bad_assets, bad_rows, bad_paths, bad_tables):
         problems = problems.unionByName(more)
-    first = reject_documents(problems)
+    # a few rows that every output is checked against; the checks read the whole input
+    first = materialize(reject_documents(problems), "violations")
     empty = sources.join(first, "doc_id", "left_anti").join(
         chapters.select("doc_id").distinct(), "doc_id", "left_anti"
     )

@@ -178,15 +178,19 @@ def normalize_endpoints(raw: DataFrame) -> DataFrame:
     HTTP is for loopback only.
     """
     text = utrim("endpoint")
-    url = F.when(text.contains("://"), text).otherwise(F.concat(F.lit("https://"), text))
+    given = F.col("__text")
+    url = F.when(given.contains("://"), given).otherwise(F.concat(F.lit("https://"), given))
     pattern = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#\\]*)([^?#]*)"
-    rows = raw.withColumn("__url", url).withColumn("__scheme", ascii_lower(F.regexp_extract("__url", pattern, 1))).withColumn(
+    rows = raw.withColumn("__text", text).withColumn("__url", url).withColumn("__scheme", ascii_lower(F.regexp_extract("__url", pattern, 1))).withColumn(
         "__auth", F.regexp_extract("__url", pattern, 2)).withColumn("__path", F.regexp_extract("__url", pattern, 3))
     # userinfo ends at the last @; an empty one is the same as none
     user, place = F.regexp_extract("__auth", r"^(.*)@", 1), F.regexp_replace("__auth", r"^.*@", "")
+    rows = rows.withColumn("__user", user).withColumn("__place", place)
+    user, place = F.col("__user"), F.col("__place")
     rows = rows.withColumn("__host", ascii_lower(F.regexp_extract(place, r"^(\[[0-9A-Fa-f:.]+\]|[^:\[\]\s]*)(?::([0-9]*))?$", 1))).withColumn(
         "__port", F.regexp_extract(place, r"^(\[[0-9A-Fa-f:.]+\]|[^:\[\]\s]*)(?::([0-9]*))?$", 2))
-    host, scheme, port = F.col("__host"), F.col("__scheme"), F.col("__port").try_cast("int")
+    rows = rows.withColumn("__port", F.col("__port").try_cast("int"))
+    host, scheme, port, text = F.col("__host"), F.col("__scheme"), F.col("__port"), F.col("__text")
     loopback = (host == "localhost") | host.endswith(".localhost") | host.rlike(r"^127(\.[0-9]{1,3}){3}$") | (host == "[::1]")
     code = (
         F.when((text == "") | (scheme == ""), "invalid_url").when(~scheme.isin("http", "https"), "invalid_url")
@@ -195,11 +199,12 @@ def normalize_endpoints(raw: DataFrame) -> DataFrame:
     default = ((scheme == "https") & (port == 443)) | ((scheme == "http") & (port == 80)) | port.isNull()
     origin = F.concat(scheme, F.lit("://"), host, F.when(default, "").otherwise(F.concat(F.lit(":"), port.cast("string"))))
     path = F.regexp_replace("__path", "/+$", "")
-    out = rows.withColumn("error_code", code).withColumn("origin", F.when(code.isNull(), origin)).withColumn(
-        "base_path", F.when(code.isNull(), path))
+    out = rows.withColumn("error_code", code)
+    fine = F.col("error_code").isNull()
+    out = out.withColumn("origin", F.when(fine, origin)).withColumn("base_path", F.when(fine, path))
     return out.withColumn("fingerprint", F.sha2(F.concat(
         "kind", F.lit("\n"), "origin", "base_path", F.lit("\n" + ADAPTER_PROTOCOL_VERSION)), 256)).drop(
-        "__url", "__scheme", "__auth", "__path", "__host", "__port")
+        "__text", "__url", "__scheme", "__auth", "__user", "__place", "__path", "__host", "__port")
 
 
 def profile_errors(updates: DataFrame) -> Column:

@@ -218,6 +218,13 @@ class Corpus:
 
         return prepare_blocks(self.normalized.blocks, CONFIG)
 
+    @cached_property
+    def block_chunks(self) -> int | None:
+        """How to scan chapters: in one window where no chapter is longer than a chunk."""
+        from docloom.functions.scan import scan_chunks
+
+        return scan_chunks(self.normalized.blocks, "order_index")
+
     @property
     def batched(self) -> DataFrame:
         """Prepared blocks with their batch and request id; written once."""
@@ -226,7 +233,7 @@ class Corpus:
 
         key = (self.spark.sparkContext.applicationId, self.sf_dir, "batched")
         if key not in _NORMALIZED:
-            rows = plan_batches(self.prepared, CONFIG).withColumn(
+            rows = plan_batches(self.prepared, CONFIG, chunk_rows=self.block_chunks).withColumn(
                 "request_id", F.concat("chapter_id", F.lit("#"), F.col("batch").cast("string")))
             _NORMALIZED[key] = materialize(rows, "batched")
         return _NORMALIZED[key]
@@ -505,7 +512,8 @@ class StreamCorpus(Corpus):
 
     def table(self, name: str) -> DataFrame:
         schema = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").schema
-        return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.sf_dir)
+        return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option(
+            "maxFilesPerTrigger", 16).parquet(self.sf_dir)
 
     @cached_property
     def touches(self) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docloom.functions.scan import CHUNK_ROWS
 from docloom.functions.stage import stage_path
 from docloom.operators import library as L
 from docloom.plans.bridge import Corpus, StreamCorpus, digit
@@ -24,8 +25,10 @@ register("S1_scan_pdf_inventory", lambda c: S.scan_pdf_inventory(c.spark, c.sf_d
 
 def _content_lists(c: Corpus):
     row = F.struct(*[x for x in c.raw.columns if x not in ("doc_id", "pos")])
-    return c.raw.groupBy("doc_id").agg(F.to_json(F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", F.struct(row.alias("r")).alias("s")))), lambda x: x["s"]["r"])).alias("content_list"))
+    part = F.floor(F.col("pos") / CHUNK_ROWS)
+    return c.raw.groupBy("doc_id", part.alias("part")).agg(F.to_json(F.transform(
+        F.array_sort(F.collect_list(F.struct("pos", F.struct(row.alias("r")).alias("s")))), lambda x: x["s"]["r"])).alias("content_list")).withColumn(
+        "first_pos", F.col("part") * CHUNK_ROWS)
 
 
 register("S2_scan_parser_output", lambda c: S.parse_content_lists(_content_lists(c)).select("doc_id", "pos", "type", "text", "text_level", "page_idx", "img_path"),

@@ -40,7 +40,7 @@ register("T5_active_cache_complete", lambda c: T.active_cache_complete(c.prepare
 FROM prepared p LEFT JOIN translations t ON t.block_id = p.block_id AND t.is_active GROUP BY 1"""))
 register("T6_estimate_tokens", lambda c: c.table("documents").select("doc_id", T.estimate_tokens("text").alias("tokens")),
          "SELECT doc_id, (octet_length(encode(text)) + 2) // 3 AS tokens FROM documents")
-register("T7_plan_batches", lambda c: T.plan_batches(c.prepared, CONFIG).select("chapter_id", "block_id", "batch"),
+register("T7_plan_batches", lambda c: T.plan_batches(c.prepared, CONFIG, chunk_rows=c.block_chunks).select("chapter_id", "block_id", "batch"),
          compose("SELECT chapter_id, block_id, batch FROM batched"))
 register("T8_build_requests", lambda c: T.build_requests(c.batched, CONFIG).select(
     "chapter_id", "batch", "block_count", F.sha2("input_json", 256).alias("input_digest"), "input_tokens"),
@@ -57,7 +57,7 @@ SELECT *, row_number() OVER (PARTITION BY half_key ORDER BY order_index) AS rn F
     SELECT *, count(*) OVER (PARTITION BY chapter_id, batch) AS n, row_number() OVER (PARTITION BY chapter_id, batch ORDER BY order_index) - 1 AS i
     FROM batched WHERE batch IS NOT NULL AND {sql_digit('request_id')} < 6)))""")
 register("T9_split_batches", lambda c: T.split_batches(
-    c.batched.filter("batch IS NOT NULL").filter(digit("request_id") < 6).withColumn("split_once", F.lit(False)), CONFIG).select(
+    c.batched.filter("batch IS NOT NULL").filter(digit("request_id") < 6).withColumn("split_once", F.lit(False)), CONFIG, c.block_chunks).select(
     "block_id", "parent_batch", "half", "batch"),
     compose("""SELECT i.block_id, i.parent_batch, i.half::INT AS half, CASE WHEN i.half IS NOT NULL THEN p.batch END::BIGINT AS batch
 FROM half_items i LEFT JOIN halves_packed p ON p.half_key = i.half_key AND p.block_id = i.block_id"""))
@@ -144,7 +144,7 @@ def _flagged(c: Corpus):
 
 register("T17_chapter_progress", lambda c: T.chapter_progress(_flagged(c), c.translations, c.chapter_jobs, CONFIG), _progress_sql(True))
 register("T17_progress_unconfigured", lambda c: T.chapter_progress(_flagged(c), c.translations, c.chapter_jobs, None), _progress_sql(False))
-register("T18_next_body_chapter", lambda c: T.next_body_chapter(c.normalized.chapters, c.normalized.blocks),
+register("T18_next_body_chapter", lambda c: T.next_body_chapter(c.normalized.chapters, c.normalized.blocks, c.block_chunks),
          compose("""WITH e AS (SELECT c.doc_id, c.chapter_id, c.order_index, c.role = 'body' AND c.chapter_id IN (SELECT chapter_id FROM prepared) AS ok FROM chapters_all c)
 SELECT a.doc_id, a.chapter_id, (SELECT arg_min(b.chapter_id, b.order_index) FROM e b WHERE b.doc_id = a.doc_id AND b.order_index > a.order_index AND b.ok) AS next_chapter_id FROM e a"""))
 
@@ -170,5 +170,5 @@ r AS (SELECT *, attempt < 3 AND kind IN ('transport', 'timeout', 'rate_limited')
 SELECT i AS event_id, kind, CASE kind WHEN 'transport' THEN 'unreachable' WHEN 'protocol' THEN 'protocol_incompatible' WHEN 'remote' THEN 'remote_failed' ELSE kind END AS code, retry,
   CASE WHEN retry THEN CASE WHEN kind = 'rate_limited' THEN CASE WHEN i % 3 = 0 THEN least(i % 100, 60) WHEN i % 3 = 1 AND 50 - i % 40 > 0 THEN least(50 - i % 40, 60) ELSE 1 END
     WHEN attempt = 1 THEN 1 ELSE 4 END END AS delay_s FROM r""")
-register("T13_repair_set", lambda c: T.repair_set(c.prepared, _judged(c), CONFIG).select("block_id", "batch"),
+register("T13_repair_set", lambda c: T.repair_set(c.prepared, _judged(c), CONFIG, c.block_chunks).select("block_id", "batch"),
          compose("SELECT block_id, batch::BIGINT AS batch FROM repair_packed"))

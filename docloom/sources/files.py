@@ -45,9 +45,14 @@ def scan_pdf_inventory(spark: SparkSession, glob: str, only: DataFrame | None =
 
 
 def parse_content_lists(texts: DataFrame) -> DataFrame:
-    """One row per raw block with its position, from (doc_id, content_list)."""
+    """One row per raw block with its position, from (doc_id, content_list).
+
+    A list may come in parts, each with the position of its first row in ``first_pos``.
+    """
     blocks = F.from_json("content_list", f"array<{RAW_BLOCK}>")
-    return texts.select("doc_id", F.posexplode(blocks).alias("pos", "b")).select("doc_id", "pos", "b.*").select(
+    first = F.col("first_pos") if "first_pos" in texts.columns else F.lit(0)
+    return texts.select("doc_id", first.alias("__first"), F.posexplode(blocks).alias("pos", "b")).select(
+        "doc_id", (F.col("pos") + F.col("__first")).cast("int").alias("pos"), "b.*").select(
         "doc_id", "pos", "type", F.coalesce("text", F.lit("")).alias("text"), "text_level", "bbox", "page_idx", "img_path",
         *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in (
             "image_caption", "image_footnote", "chart_caption", "chart_footnote", "table_caption", "table_footnote")],

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docloom.operators.documents import assemble_documents, chapter_values, flag_translatable
 from docloom.schemas import (
     BLOCK_KINDS, CHAPTER_ROLES, DOCUMENT_VALUE, FILE_STATES, JOB_STATES, NORMALIZER_VERSION, PARSER_BACKEND,
-    PARSER_VERSION, TRANSLATION_STATES,
+    MAX_RESPONSE_BYTES, PARSER_VERSION, TRANSLATION_STATES,
 )
 
 TABLES = {
@@ -192,15 +192,22 @@ def read_response_fragments(spark: SparkSession, path: str, stream: bool = False
     return parse_fragments(reader.schema(schema).parquet(path))
 
 
-def join_fragments(fragments: DataFrame) -> DataFrame:
-    """(request_id, body, finish_reason, error): texts joined in order up to the end mark.
+def join_fragments(fragments: DataFrame, max_bytes: int = MAX_RESPONSE_BYTES) -> DataFrame:
+    """(request_id, body, finish_reason, error, ended): texts joined in order up to the end mark.
 
-    A response is bounded by its size limit, so its fragments may be gathered in one row; rows
-    after the end are dropped before that.
+    Sizes are summed first. Only responses within the limit are gathered into one row, from
+    fragments that hold text; a larger one keeps a null body and the error response_too_large.
     """
     end = fragments.filter("done").groupBy("request_id").agg(F.min("seq").alias("__end"))
     kept = fragments.join(end, "request_id", "left").filter(F.col("__end").isNull() | (F.col("seq") <= F.col("__end")))
-    return kept.groupBy("request_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "fragment"))), lambda x: x["fragment"]), "").alias("body"),
+    heads = kept.groupBy("request_id").agg(
+        F.sum(F.octet_length("fragment").cast("long")).alias("bytes"),
         F.max_by("finish_reason", F.when(F.col("finish_reason").isNotNull(), F.col("seq"))).alias("finish_reason"),
         F.max("error").alias("error"), F.bool_or("done").alias("ended"))
+    small = heads.filter(F.col("bytes") <= max_bytes).select("request_id")
+    texts = kept.filter("fragment <> ''").join(small, "request_id", "left_semi").groupBy("request_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "fragment"))), lambda x: x["fragment"]), "").alias("body"))
+    over = F.col("bytes") > max_bytes
+    return heads.join(texts, "request_id", "left").select(
+        "request_id", F.when(~over, F.coalesce("body", F.lit(""))).alias("body"), "finish_reason",
+        F.when(over, "response_too_large").otherwise(F.col("error")).alias("error"), "ended")
