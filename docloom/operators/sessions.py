@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -171,40 +171,53 @@ def live_tokens(issues: DataFrame, revoked: DataFrame, keep: int = LIVE_TOKENS)
 
 
 # ---- endpoints and profiles ------------------------------------------------------------
-def normalize_endpoints(raw: DataFrame) -> DataFrame:
-    """Adds origin, base_path, fingerprint and error_code to (kind, endpoint).
+URL_PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#\\]*)([^?#]*)"
+HOST_PORT = r"^(\[[0-9A-Fa-f:.]+\]|[^:\[\]\s]*)(?::([0-9]*))?$"
 
-    Host names are lowered, the default port, query, fragment and trailing slashes go; plain
-    HTTP is for loopback only.
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once.
+
+    Spark puts a column's definition in place of its name when it moves a filter below a
+    projection; a chain of definitions that each use the one before twice would explode there.
     """
-    text = utrim("endpoint")
-    given = F.col("__text")
-    url = F.when(given.contains("://"), given).otherwise(F.concat(F.lit("https://"), given))
-    pattern = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#\\]*)([^?#]*)"
-    rows = raw.withColumn("__text", text).withColumn("__url", url).withColumn("__scheme", ascii_lower(F.regexp_extract("__url", pattern, 1))).withColumn(
-        "__auth", F.regexp_extract("__url", pattern, 2)).withColumn("__path", F.regexp_extract("__url", pattern, 3))
-    # userinfo ends at the last @; an empty one is the same as none
-    user, place = F.regexp_extract("__auth", r"^(.*)@", 1), F.regexp_replace("__auth", r"^.*@", "")
-    rows = rows.withColumn("__user", user).withColumn("__place", place)
-    user, place = F.col("__user"), F.col("__place")
-    rows = rows.withColumn("__host", ascii_lower(F.regexp_extract(place, r"^(\[[0-9A-Fa-f:.]+\]|[^:\[\]\s]*)(?::([0-9]*))?$", 1))).withColumn(
-        "__port", F.regexp_extract(place, r"^(\[[0-9A-Fa-f:.]+\]|[^:\[\]\s]*)(?::([0-9]*))?$", 2))
-    rows = rows.withColumn("__port", F.col("__port").try_cast("int"))
-    host, scheme, port, text = F.col("__host"), F.col("__scheme"), F.col("__port"), F.col("__text")
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _judge_endpoint(text: Column, parts: Column, host: Column, port: Column, user: Column) -> Column:
+    scheme = parts["scheme"]
     loopback = (host == "localhost") | host.endswith(".localhost") | host.rlike(r"^127(\.[0-9]{1,3}){3}$") | (host == "[::1]")
     code = (
-        F.when((text == "") | (scheme == ""), "invalid_url").when(~scheme.isin("http", "https"), "invalid_url")
-        .when(user.rlike("[^:]"), "invalid_url").when((host == "") | (port > 65535), "invalid_url")
+        F.when((text == "") | (scheme == "") | ~scheme.isin("http", "https"), "invalid_url")
+        .when(user.rlike("[^:]") | (host == "") | (port > 65535), "invalid_url")
         .when((scheme == "http") & ~loopback, "insecure_remote_url"))
     default = ((scheme == "https") & (port == 443)) | ((scheme == "http") & (port == 80)) | port.isNull()
     origin = F.concat(scheme, F.lit("://"), host, F.when(default, "").otherwise(F.concat(F.lit(":"), port.cast("string"))))
-    path = F.regexp_replace("__path", "/+$", "")
-    out = rows.withColumn("error_code", code)
-    fine = F.col("error_code").isNull()
-    out = out.withColumn("origin", F.when(fine, origin)).withColumn("base_path", F.when(fine, path))
+    return let(code, lambda c: F.struct(
+        F.when(c.isNull(), origin).alias("origin"), F.when(c.isNull(), F.regexp_replace(parts["path"], "/+$", "")).alias("base_path"),
+        c.alias("error_code")))
+
+
+def normalize_endpoints(raw: DataFrame) -> DataFrame:
+    """Adds origin, base_path, fingerprint and error_code to (kind, endpoint).
+
+    Host names are lowered, the default port, query, fragment and trailing slashes go; plain
+    HTTP is for loopback only.
+    """
+    def split(text: Column, url: Column) -> Column:
+        parts = F.struct(
+            ascii_lower(F.regexp_extract(url, URL_PARTS, 1)).alias("scheme"), F.regexp_extract(url, URL_PARTS, 2).alias("authority"),
+            F.regexp_extract(url, URL_PARTS, 3).alias("path"))
+        # userinfo ends at the last @; an empty one is the same as none
+        return let(parts, lambda p: let(F.regexp_replace(p["authority"], r"^.*@", ""), lambda place: _judge_endpoint(
+            text, p, ascii_lower(F.regexp_extract(place, HOST_PORT, 1)), F.regexp_extract(place, HOST_PORT, 2).try_cast("int"),
+            F.regexp_extract(p["authority"], r"^(.*)@", 1))))
+
+    parsed = let(utrim("endpoint"), lambda text: let(
+        F.when(text.contains("://"), text).otherwise(F.concat(F.lit("https://"), text)), lambda url: split(text, url)))
+    out = raw.withColumn("__e", parsed).select("*", "__e.origin", "__e.base_path", "__e.error_code").drop("__e")
     return out.withColumn("fingerprint", F.sha2(F.concat(
-        "kind", F.lit("\n"), "origin", "base_path", F.lit("\n" + ADAPTER_PROTOCOL_VERSION)), 256)).drop(
-        "__text", "__url", "__scheme", "__auth", "__user", "__place", "__path", "__host", "__port")
+        "kind", F.lit("\n"), "origin", "base_path", F.lit("\n" + ADAPTER_PROTOCOL_VERSION)), 256))
 
 
 def profile_errors(updates: DataFrame) -> Column:
