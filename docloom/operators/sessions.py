@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import scan
 from docloom.functions.scan import ordered_scan
+from docloom.functions.stage import materialize
 from docloom.functions.text import ascii_lower, utrim
 
 # fixed values
@@ -111,16 +112,19 @@ def replay_commands(commands: DataFrame, chunk_rows: int | None = None) -> DataF
     count each conditional one waits for a fixed number of conditional commands before it.
     """
     first = commands.groupBy("session_id", "command_id").agg(F.min("seq").alias("__first"))
-    marked = commands.join(first, ["session_id", "command_id"])
+    # each pass reads its input twice (chunks and summaries), so passes are cut apart by tables
+    marked = materialize(commands.select(
+        "session_id", "seq", "command_id", "expected_revision", "type", "failed").join(first, ["session_id", "command_id"]), "commands")
     fresh = marked.filter(F.col("seq") == F.col("__first"))
     free = F.col("expected_revision").isNull() | (F.col("type") == FREE_COMMAND)
-    counted = ordered_scan(
+    counted = materialize(ordered_scan(
         fresh.withColumn("__free", free & ~F.col("failed")), ["session_id"], "seq",
-        {"__shift": ("sum", F.col("__free").cast("long"))}, inclusive=False, chunk_rows=chunk_rows)
+        {"__shift": ("sum", F.col("__free").cast("long"))}, inclusive=False, chunk_rows=chunk_rows), "shifts")
     waiting = counted.filter(~free & ~F.col("failed")).select(
         "session_id", "seq", (F.col("expected_revision") - F.col("__shift")).alias("wanted")).filter("wanted >= 0")
     hits = _climb(waiting, chunk_rows).withColumn("__hit", F.lit(True))
-    judged = counted.join(hits, ["session_id", "seq"], "left").withColumn("__hit", F.coalesce("__hit", F.lit(False)))
+    judged = materialize(counted.join(hits, ["session_id", "seq"], "left").withColumn(
+        "__hit", F.coalesce("__hit", F.lit(False))), "levels")
     leveled = ordered_scan(
         judged, ["session_id"], "seq", {"__level": ("sum", F.col("__hit").cast("long"))}, inclusive=False, chunk_rows=chunk_rows)
     before = F.col("__shift") + F.col("__level")
@@ -144,11 +148,12 @@ def active_sessions(log: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     with nobody there changes nothing, so the count is the running sum above its lowest point.
     """
     step = F.when(F.col("action") == "open", 1).otherwise(-1).cast("long")
-    summed = ordered_scan(log.withColumn("__step", step), ["document_id"], "seq", {"__sum": ("sum", F.col("__step"))}, chunk_rows=chunk_rows)
+    slim = log.select("document_id", "seq", "action", step.alias("__step"))
+    summed = materialize(ordered_scan(slim, ["document_id"], "seq", {"__sum": ("sum", F.col("__step"))}, chunk_rows=chunk_rows), "sums")
     low = ordered_scan(summed, ["document_id"], "seq", {"__low": ("min", F.least(F.col("__sum"), F.lit(0)))}, chunk_rows=chunk_rows)
     count = F.col("__sum") - F.col("__low")
-    leveled = low.withColumn("subscribers", count).withColumn(
-        "__start", (F.col("action") == "open") & (count == 1))
+    leveled = materialize(low.withColumn("subscribers", count).withColumn(
+        "__start", (F.col("action") == "open") & (count == 1)), "subscribers")
     numbered = ordered_scan(leveled, ["document_id"], "seq", {"session_no": ("sum", F.col("__start").cast("long"))}, chunk_rows=chunk_rows)
     spans = numbered.filter("session_no > 0").groupBy("document_id", "session_no").agg(
         F.min("seq").alias("opened_at"), F.max("subscribers").alias("peak_subscribers"),

@@ -26,7 +26,7 @@ def digit(key: Column | str) -> Column:
 CONTEXT_BUDGET = 2200
 OPERATION_STATES = ["queued", "uploading", "processing", "downloading", "normalizing", "succeeded", "failed",
                     "cancelled", "status_unknown"]
-_NORMALIZED: dict[tuple[str, str], object] = {}
+_WRITTEN: dict[tuple[str, str], object] = {}
 
 
 class Corpus:
@@ -203,13 +203,13 @@ class Corpus:
         from docloom.operators.normalize import normalize
 
         key = (self.spark.sparkContext.applicationId, self.sf_dir)
-        if key not in _NORMALIZED:
+        if key not in _WRITTEN:
             n = normalize(self.raw, self.layout, self.asset_files, self.sources)
             n.rejected = materialize(n.rejected, "rejected")
             n.chapters = materialize(n.chapters, "chapters")
             n.blocks = materialize(n.blocks, "blocks")
-            _NORMALIZED[key] = n
-        return _NORMALIZED[key]
+            _WRITTEN[key] = n
+        return _WRITTEN[key]
 
     # ---- translation ---------------------------------------------------------------
     @cached_property
@@ -232,11 +232,11 @@ class Corpus:
         from docloom.operators.translate import plan_batches
 
         key = (self.spark.sparkContext.applicationId, self.sf_dir, "batched")
-        if key not in _NORMALIZED:
+        if key not in _WRITTEN:
             rows = plan_batches(self.prepared, CONFIG, chunk_rows=self.block_chunks).withColumn(
                 "request_id", F.concat("chapter_id", F.lit("#"), F.col("batch").cast("string")))
-            _NORMALIZED[key] = materialize(rows, "batched")
-        return _NORMALIZED[key]
+            _WRITTEN[key] = materialize(rows, "batched")
+        return _WRITTEN[key]
 
     @cached_property
     def chapter_jobs(self) -> DataFrame:
@@ -364,8 +364,18 @@ class Corpus:
             i.alias("created_at"), i.alias("updated_at"), F.lit(None).cast("long").alias("completed_at"))
 
     # ---- conversations -------------------------------------------------------------
-    @cached_property
+    @property
     def messages(self) -> DataFrame:
+        """The chats as a stored table of messages, written once."""
+        from docloom.functions.stage import materialize
+
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, "messages")
+        if key not in _WRITTEN:
+            _WRITTEN[key] = materialize(self.chat_messages, "messages")
+        return _WRITTEN[key]
+
+    @cached_property
+    def chat_messages(self) -> DataFrame:
         """Chats as reader questions and assistant answers to the latest question before them."""
         from docloom.functions.scan import ordered_scan
 
