@@ -419,7 +419,9 @@ def normalize(
     pages, bad_pages = page_sizes(layout)
     unique, aliases, bad_assets = canonical_assets(assets)
     boxed, bad_rows = scale_bboxes(raw, pages)
-    resolved, bad_paths = resolve_assets(drop_layout_noise(boxed), aliases)
+    resolved, _ = resolve_assets(drop_layout_noise(boxed), aliases)
+    # the check of paths needs no boxes, so it reads only the rows that name a file
+    _, bad_paths = resolve_assets(drop_layout_noise(raw), aliases)
     # positions are checked once; only a corpus with a huge document pays for the chunked scan
     chunk_rows = chunk_rows or scan.scan_chunks(raw, "pos")
     if chunk_rows == scan.ONE_CHUNK:

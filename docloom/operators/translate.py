@@ -654,7 +654,7 @@ def classify_provider_log(log: DataFrame) -> DataFrame:
     )
     # a date is tried only where the header is no number
     seconds = F.expr("try_cast(CASE WHEN retry_after RLIKE '^[0-9]+$' THEN retry_after END AS bigint)")
-    date = F.expr("try_to_timestamp(CASE WHEN retry_after LIKE '% GMT' THEN substring(retry_after, 6, 20) END, 'dd MMM yyyy HH:mm:ss')")
+    date = F.expr("try_to_timestamp(CASE WHEN retry_after LIKE '% GMT' THEN substring(retry_after, 6) END, 'dd MMM yyyy HH:mm:ss z')")
     wait = F.unix_seconds(date) - F.col("at")
     given = F.coalesce(seconds, F.when(wait > 0, wait))
     after = F.when(given.isNotNull(), F.least(given, F.lit(MAX_RETRY_AFTER)))

@@ -32,7 +32,7 @@ def build_session(master: str | None = None, app: str = "docloom", **conf: str)
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a temporary one only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
