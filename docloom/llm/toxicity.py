@@ -28,7 +28,7 @@ from docloom.llm.common import fold_of, map_texts
 FOLDS = 5
 #: Bounds of the training sample: labelled documents of each class, chosen by a hash of their id,
 #: and the characters one of them may have.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1000, 4000, 20_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 800, 2500, 20_000
 DECAY = 0.5
 WINDOW = 12
 CLASSES = 64
@@ -37,7 +37,7 @@ START = 27
 LANDMARKS = 64
 COVER = 2
 #: Sentences of each class that landmarks are chosen from.
-SENTENCES = 30_000
+SENTENCES = 12_000
 #: Decisions below the SVM's negative margin are all the same to a document.
 FLOOR = -1.0
 #: Words a worker remembers as judged.
@@ -82,7 +82,7 @@ def _fill() -> None:
 _fill()
 
 
-@lru_cache(1 << 17)
+@lru_cache(1 << 16)
 def windows(word: str) -> tuple[str, ...]:
     """The units of one word: none below three letters, several above WINDOW letters.
 
@@ -257,16 +257,18 @@ class Model:
 
 
 def _grams(units: frozenset[str]) -> set[str]:
-    return {u[i:i + n] for u in units for n in (4, 5, 6, 7) for i in range(len(u) - n + 1)} | {u for u in units if len(u) > 3}
+    return {u[i:i + n] for u in units for n in (4, 5, 6) for i in range(len(u) - n + 1)} | {u for u in units if len(u) > 3}
 
 
-def _gains(toxic: list[set[str]], clean: list[set[str]]) -> dict[str, float]:
-    """Worth of strings that many toxic and hardly any clean sentences have, given strings of each."""
-    often = Counter(g for s in toxic for g in s)
+def _gains(toxic: list[frozenset[str]], clean: list[frozenset[str]]) -> dict[str, float]:
+    """Worth of strings that many toxic and hardly any clean sentences have."""
+    often = Counter()
+    for s in toxic:
+        often.update(_grams(s))
     often = {g: n for g, n in often.items() if n > 1}
     outside = Counter()
     for s in clean:
-        outside.update(often.keys() & s)
+        outside.update(often.keys() & _grams(s))
     share = len(toxic) / max(1, len(clean))
     return {g: n * (1 + float(np.log2((n + .5) / (n + outside[g] * share + 1)))) for g, n in often.items()
             if outside[g] * share < .15 * n}
@@ -278,18 +280,17 @@ def _choose(toxic: list[frozenset[str]], clean: list[frozenset[str]]) -> list[st
     A string must be worth more than any is to tell clean sentences from other clean ones (every
     so manieth of them play the toxic ones): such a worth comes about by chance.
     """
-    inside, around = [_grams(s) for s in toxic], [_grams(s) for s in clean]
-    gain = _gains(inside, around)
+    gain = _gains(toxic, clean)
     every = max(2, len(clean) // max(1, len(toxic)))
-    chance = max(_gains(around[::every], [g for i, g in enumerate(around) if i % every]).values(), default=0)
+    chance = max(_gains(clean[::every], [s for i, s in enumerate(clean) if i % every]).values(), default=0)
     names = sorted(gain, key=lambda g: (-gain[g], -len(g), g))
     names = ([g for g in names if gain[g] > chance] or names[:8])[:4000]
     at, chosen = {g: i for i, g in enumerate(names)}, []
     holders = [[] for _ in names]
-    for j, s in enumerate(inside):
-        for g in at.keys() & s:
+    for j, s in enumerate(toxic):
+        for g in at.keys() & _grams(s):
             holders[at[g]].append(j)
-    wanted = np.full(len(inside), COVER)
+    wanted = np.full(len(toxic), COVER)
     # of strings with about the same worth, the longer one is more specific
     value = np.array([gain[g] * (1 + .05 * len(g)) for g in names])
     while len(chosen) < LANDMARKS and len(names):
@@ -402,8 +403,8 @@ def train(texts: list[str], labels: list[int]) -> Model:
         rows = witness + grown + hard + ignored
         side = np.array([1.] * (len(witness) + len(grown)) + [-1.] * (len(hard) + len(ignored)))
         # frequent units weigh more; both sides weigh the same
-        share = np.concatenate([np.minimum([often[u] + 1 for u in witness], 50), np.full(len(grown), 8.),
-                                np.minimum([counts[u] for u in hard], 50), np.full(len(ignored), .2)])
+        share = np.concatenate([np.minimum([often[u] + 1 for u in witness], 200), np.full(len(grown), 8.),
+                                np.minimum([counts[u] for u in hard], 200), np.full(len(ignored), .2)])
         for s in (1, -1):
             share[side == s] *= len(side) / 2 / max(1e-9, share[side == s].sum())
         w = _svm(marks.kernel(rows) @ nystrom, side, share)
