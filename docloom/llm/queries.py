@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import mixing, packing, secrets, simhash, toxicity
+from docloom.llm import decision_list, mixing, packing, reputation, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +56,16 @@ def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decision_list.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reputation.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op4_host_reputation"] = reputation.SQL
