@@ -47,16 +47,21 @@ def steps(texts: pa.ChunkedArray | pa.Array, most: int = STEP_CHARS) -> Iterator
         yield start, len(texts)
 
 
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow form of a schema; to be called on the driver."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def map_texts(df: DataFrame, schema: str, work: Callable[[list, list], dict], key: str = "doc_id", text: str = "text") -> DataFrame:
     """Apply ``work(ids, texts) -> columns`` to whole texts, in steps of bounded size.
 
     ``work`` gets Python lists and returns a dict of columns that Arrow can take; the number of
     rows it returns is free.
     """
-    from pyspark.sql.types import StructType
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    wanted = to_arrow_schema(StructType.fromDDL(schema))
+    wanted = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decision_list, mixing, packing, reputation, secrets, simhash, toxicity
+from docloom.llm import decision_list, knn, language, mixing, packing, repeats, reputation, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,22 @@ def op4_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op4_host_reputation"] = reputation.SQL
+
+
+@query
+def op5_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op5_voronoi_knn"] = knn.SQL
+
+
+@query
+def op6_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
+@query
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(table(spark, sf_dir, "documents"))
