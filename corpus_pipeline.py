@@ -7,19 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.functions.stage import materialize
-from docloom.llm import simhash
+from docloom.llm import mixing, packing, secrets, simhash, toxicity
+from docloom.llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the string-kernel model rejects go; it learns from the labels beside the table."""
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id."""
     return simhash.keep_first(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("simhash_near_dedup", near_dedup)]
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a mark; every document stays."""
+    return secrets.redact(docs, secrets.fit(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: zero to three rows."""
+    return mixing.mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences."""
+    return packing.pack_documents(docs, tokenizer_path())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic), ("simhash_near_dedup", near_dedup), ("secret_scan", hide_secrets),
+    ("mixing", mix_sources), ("best_fit_packing", pack_sequences)]
 
-#: Fingerprints, kernels and automata are beyond SQL; the tests hold the rows against a plain version.
+#: Kernels, fingerprints and automata are beyond SQL; the tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
