@@ -35,6 +35,14 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as it takes to be none of the table's."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def steps(texts: pa.ChunkedArray | pa.Array, most: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``most`` bytes of text each."""
     start = total = 0

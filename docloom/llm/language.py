@@ -103,6 +103,8 @@ def train(texts: list[str], labels: list[str]) -> Model | None:
     if not languages:
         return None
     code = codewords(len(languages))
+    if len(languages) == 1:
+        return Model(languages, code, np.zeros((0, 0)), np.zeros(0), 1.0)
     y = np.array([languages.index(l) for l in labels])
     x = shares(texts)[0].astype(float)
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -118,7 +120,7 @@ def train(texts: list[str], labels: list[str]) -> Model | None:
 
 def fit(docs: DataFrame) -> Model | None:
     """Learn from texts and non-null languages outside the held-out fold, a bounded sample of each."""
-    known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(
+    known = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(
         fold_of(F.col("doc_id"), FOLDS) != HELD_OUT).where(F.length("text").between(1, SAMPLE_CHARS))
     # a row for each language; a language keeps the share of its texts that SAMPLE_TEXTS makes
     share = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(SAMPLE_TEXTS)) / F.count("*")).alias("share"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.stage import materialize
-from docloom.llm.common import map_texts, words_of
+from docloom.llm.common import free_name, map_texts, words_of
 from docloom.llm.components import components
 
 SEED = 42
@@ -133,7 +133,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     Rows without a key are kept (they cannot be told apart); repeated rows of the kept key stay one
     row each.
     """
-    groups = near_duplicates(docs, key, text).select(
-        F.col(key).alias("_key"), "component_id").where("_key IS NOT NULL AND _key <> component_id")
-    dropped = groups.select("_key").distinct()
-    return docs.join(dropped, docs[key] == F.col("_key"), "left_anti")
+    name = free_name(docs, "dropped")
+    dropped = near_duplicates(docs, key, text).where(F.col(key).isNotNull() & (F.col(key) != F.col("component_id"))).select(
+        F.col(key).alias(name)).distinct()
+    return docs.join(dropped, F.col(key) == F.col(name), "left_anti")
