@@ -2,49 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions import scan
-
 
 def ordered_digest(
     df: DataFrame, keys: Sequence[str], order: str, part: Column, lead: Column | None, name: str,
-    chunk_rows: int | None = None,
 ) -> DataFrame:
     """sha256 over ``lead`` and then the binary ``part`` of every row in order.
 
-    Rows are gathered in chunks of at most ``chunk_rows``. A group of one chunk gets the plain
-    digest of the concatenation. A longer one gets the digest of its chunks' digests, which
-    bounds what one task holds whatever the group's size.
+    A digest is one running value, so a group's rows pass through one task; they pass sorted and a
+    batch at a time, and nothing but the running digest is held, whatever the group's size.
     """
-    size = chunk_rows or scan.CHUNK_ROWS
     rows = df.select(
         *keys, F.col(order).alias("__o"), part.alias("__p"),
         (F.lit(None).cast("binary") if lead is None else lead).alias("__lead"),
-        F.floor(F.col(order) / size).alias("__chunk"),
-    )
-    chunks = rows.groupBy(*keys, "__chunk").agg(
-        F.array_sort(F.collect_list(F.struct("__o", "__p"))).alias("__ps"),
-        F.max("__lead").alias("__lead"),
-    )
-    joined = F.array_join(F.transform("__ps", lambda s: F.hex(s["__p"])), "")
-    chunks = chunks.select(*keys, "__chunk", "__lead", F.unhex(joined).alias("__bytes")).withColumn(
-        "__sha", F.sha2("__bytes", 256)
-    )
-    one = F.min_by(F.struct("__bytes"), "__chunk")
-    whole = chunks.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.max("__lead").alias("__lead"),
-        F.sort_array(F.collect_list(F.struct("__chunk", "__sha"))).alias("__shas"),
-        one.alias("__one"),
-    )
-    lead_bytes = F.coalesce("__lead", F.unhex(F.lit("")))
-    tree = F.unhex(F.array_join(F.transform("__shas", lambda s: s["__sha"]), ""))
-    return whole.select(
-        *keys,
-        F.when(F.col("__n") == 1, F.sha2(F.concat(lead_bytes, F.col("__one.__bytes")), 256))
-        .otherwise(F.sha2(F.concat(lead_bytes, tree), 256)).alias(name),
-    )
+    ).repartition(*keys).sortWithinPartitions(*keys, "__o").select(*keys, "__lead", "__p")
+    width = len(keys)
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, running = None, None
+        for batch in batches:
+            done: list[tuple] = []
+            columns = [c.to_pylist() for c in batch.columns]
+            for *key, head, piece in zip(*columns):
+                if running is None or key != last:
+                    if running is not None:
+                        done.append((*last, running.hexdigest()))
+                    last, running = key, hashlib.sha256(head or b"")
+                running.update(piece or b"")
+            yield table(done, batch.schema)
+        if running is not None:
+            yield table([(*last, running.hexdigest())], batch.schema)
+
+    def table(done: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        fields = [schema.field(i) for i in range(width)] + [pa.field(name, pa.string())]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in done], f.type) for i, f in enumerate(fields)], schema=pa.schema(fields))
+
+    return rows.mapInArrow(run, f"{kinds}, {name} string")

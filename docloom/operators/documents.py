@@ -101,13 +101,13 @@ def find_blocks(documents: DataFrame) -> DataFrame:
     )
 
 
-def chapter_digests(chapters: DataFrame, blocks: DataFrame, chunk_rows: int | None = None) -> DataFrame:
+def chapter_digests(chapters: DataFrame, blocks: DataFrame) -> DataFrame:
     """sha256 of the title, then a zero byte and the source digest of each block in order."""
     part = F.concat(F.unhex(F.lit("00")), F.encode("source_digest", "UTF-8"))
     titled = blocks.join(chapters.select("doc_id", "chapter_id", "source_title"), ["doc_id", "chapter_id"])
     return ordered_digest(
         titled, ["doc_id", "chapter_id"], "order_index", part, F.encode("source_title", "UTF-8"),
-        "chapter_digest", chunk_rows,
+        "chapter_digest",
     )
 
 
@@ -136,14 +136,17 @@ def block_plain_text(blocks: DataFrame) -> DataFrame:
 def atom_offsets(blocks: DataFrame) -> DataFrame:
     """One row per visible leaf atom with its UTF-16 [start_utf16, end_utf16) in the plain text.
 
-    Each block is one row, so its running offset is folded over its own atoms.
+    Each block is one row, so its running offset is folded over its own atoms. What separates cells
+    and rows is a piece of its own, without a type: empty cells are counted, but give no row.
     """
     def pieces(atom: Column) -> Column:
-        cells = F.flatten(F.transform(atom["rows"], lambda r, ri: F.flatten(F.transform(r, lambda c, ci: F.transform(
-            c["content"], lambda x, xi: F.struct(
-                leaf_text(x).alias("text"), x["type"].alias("type"),
-                F.when((xi == 0) & (ci > 0), F.lit(3)).when((xi == 0) & (ri > 0), F.lit(1)).otherwise(0).alias("gap"),
-            ))))))
+        def cell(c: Column, ci: Column, ri: Column) -> Column:
+            gap = F.when(ci > 0, 3).when(ri > 0, 1).otherwise(0)
+            return F.concat(
+                F.array(F.struct(F.lit("").alias("text"), F.lit(None).cast("string").alias("type"), gap.alias("gap"))),
+                F.transform(c["content"], lambda x: F.struct(leaf_text(x).alias("text"), x["type"].alias("type"), F.lit(0).alias("gap"))))
+
+        cells = F.flatten(F.transform(atom["rows"], lambda r, ri: F.flatten(F.transform(r, lambda c, ci: cell(c, ci, ri)))))
         one = F.array(F.struct(atom_text(atom).alias("text"), atom["type"].alias("type"), F.lit(0).alias("gap")))
         return F.when(atom["type"] == "table", cells).otherwise(one)
 
@@ -157,7 +160,7 @@ def atom_offsets(blocks: DataFrame) -> DataFrame:
         end = (start + utf16_len(p["text"])).cast("int")
         row = F.struct(p["atom_index"].alias("atom_index"), p["type"].alias("type"), p["text"].alias("text"),
                        start.cast("int").alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
+        return F.struct(end.alias("at"), F.when(p["type"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(row))).alias("out"))
 
     spans = F.aggregate(flat, zero, step, lambda acc: acc["out"])
     return blocks.select("doc_id", "block_id", F.posexplode(spans).alias("leaf_index", "a")).select(

@@ -21,8 +21,9 @@ _FIRST = ["id", "created_at"]
 def upsert_documents(library: DataFrame, incoming: DataFrame) -> DataFrame:
     """One row per content hash: the first id and created_at stay, the rest is the newest.
 
-    ``incoming`` has the library's columns without created_at/updated_at, plus
-    ``imported_at``. The aggregate combines on the map side, so a group of a billion copies
+    ``incoming`` has the library's columns without created_at/updated_at, plus ``imported_at``. An
+    import, the first or a repeated one, makes the file available and counts as opening it, whatever
+    state and time ``incoming`` has. The aggregate combines on the map side, so a group of a billion copies
     costs one row per task.
     """
     fields = [c for c in library.columns if c not in (*_FIRST, "sha256", "updated_at")]
@@ -30,8 +31,9 @@ def upsert_documents(library: DataFrame, incoming: DataFrame) -> DataFrame:
         "sha256", "id", *fields, "created_at",
         F.lit(0).alias("__gen"), F.col("updated_at").alias("__at"),
     )
+    imported = {"file_state": F.lit("available"), "last_opened_at": F.col("imported_at")}
     new = incoming.select(
-        "sha256", "id", *fields, F.col("imported_at").alias("created_at"),
+        "sha256", "id", *[imported.get(c, F.col(c)).alias(c) for c in fields], F.col("imported_at").alias("created_at"),
         F.lit(1).alias("__gen"), F.col("imported_at").alias("__at"),
     )
     order = F.struct("__gen", "__at", "id")

@@ -327,7 +327,7 @@ def align_remote_status(statuses: DataFrame, ops: DataFrame) -> DataFrame:
         .when(state.isin("pending", "running", "done", "failed"), state).otherwise("protocol_error"))
     return joined.select(
         "id", status.alias("status"),
-        F.when((status == "running") & (total > 0), F.round(F.least(done, total) / total, 6)).alias("progress"),
+        F.when((status == "running") & (total > 0), F.least(done, total) / total).alias("progress"),
         F.when(status == "done", F.col("r.full_zip_url")).alias("download_url"))
 
 

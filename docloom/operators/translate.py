@@ -180,11 +180,11 @@ def prepare_blocks(blocks: DataFrame, config: TranslationConfig, tag: str = MARK
         "source", "markers")
 
 
-def plan_digests(prepared: DataFrame, chunk_rows: int | None = None) -> DataFrame:
+def plan_digests(prepared: DataFrame) -> DataFrame:
     """One digest per chapter over its request digests in block order."""
     size = F.unhex(F.lpad(F.hex(F.octet_length("request_digest").cast("long")), 16, "0"))
     part = F.concat(size, F.encode("request_digest", "UTF-8"))
-    return ordered_digest(prepared, ["chapter_id"], "order_index", part, None, "plan_digest", chunk_rows)
+    return ordered_digest(prepared, ["chapter_id"], "order_index", part, None, "plan_digest")
 
 
 def cache_lookup(prepared: DataFrame, translations: DataFrame) -> DataFrame:
@@ -497,15 +497,20 @@ def commit_results(translations: DataFrame, judged: DataFrame, jobs: DataFrame)
     target_json, target_plain_text, at.
 
     Only active rows of the same job change; a cancelled job changes nothing; a ready row is
-    never turned into a failed one.
+    never turned into a failed one. The accepted results of a job are stored together or not at
+    all: one that finds no active row undoes the others. Failures are stored one by one.
     """
     state = jobs.select(F.col("id").alias("job_id"), F.col("state").alias("job_state"))
     live = judged.join(state.filter("job_state <> 'cancelled'"), "job_id", "left_semi")
     news = live.select("job_id", "block_id", *[F.col(c).alias(f"__{c}") for c in (
         "code", "safe_message", "target_json", "target_plain_text", "at")], F.lit(True).alias("__new"))
-    rows = translations.join(news, ["job_id", "block_id"], "left")
+    active = translations.filter("is_active").select("job_id", "block_id")
+    lost_rows = live.filter("code IS NULL").join(active, ["job_id", "block_id"], "left_anti").select(
+        "job_id", "block_id", F.lit("cache_changed").alias("error_code"))
+    undone = lost_rows.select("job_id", F.lit(True).alias("__undone")).distinct()
+    rows = translations.join(news.join(undone, "job_id", "left"), ["job_id", "block_id"], "left")
     hit = F.coalesce(F.col("__new") & F.col("is_active"), F.lit(False))
-    won = hit & F.col("__code").isNull()
+    won = hit & F.col("__code").isNull() & F.col("__undone").isNull()
     lost = hit & F.col("__code").isNotNull() & (F.col("state") != "ready")
 
     def change(name: str, on_win: Column, on_loss: Column | None = None) -> Column:
@@ -524,20 +529,19 @@ def commit_results(translations: DataFrame, judged: DataFrame, jobs: DataFrame)
         "updated_at": change("updated_at", F.col("__at"), F.col("__at")),
     }
     out = rows.select(*[changed.get(c, F.col(c)) for c in translations.columns])
-    active = translations.filter("is_active").select("job_id", "block_id")
-    lost_rows = live.filter("code IS NULL").join(active, ["job_id", "block_id"], "left_anti").select(
-        "job_id", "block_id", F.lit("cache_changed").alias("error_code"))
     cancelled = judged.filter("code IS NULL").join(state.filter("job_state = 'cancelled'"), "job_id", "left_semi").select(
         "job_id", "block_id", F.lit("job_cancelled").alias("error_code"))
     return out, lost_rows.unionByName(cancelled)
 
 
-def activate_records(translations: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+def activate_records(translations: DataFrame, wanted: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(translations, missing): the wanted (block, digest) row becomes the block's only active one.
 
-    ``wanted``: id, job_id, block_id, request_digest, source_digest, at. A ready row stays
+    ``jobs``: id, state; what a cancelled one wants is not prepared. ``wanted``: id, job_id, block_id, request_digest, source_digest, at. A ready row stays
     ready, any other is queued with errors cleared; missing blocks still need work.
     """
+    gone = jobs.filter("state = 'cancelled'").select(F.col("id").alias("job_id"))
+    wanted = wanted.join(gone, "job_id", "left_anti")
     w = wanted.select("block_id", *[F.col(c).alias(f"__{c}") for c in ("id", "job_id", "request_digest", "source_digest", "at")])
     touched = translations.join(w, "block_id", "left")
     same = F.coalesce(F.col("request_digest") == F.col("__request_digest"), F.lit(False))
@@ -612,7 +616,7 @@ def chapter_progress(
     state = (
         F.when(F.col("ready") == F.col("translatable"), "complete").when(F.col("ready") > 0, "readable")
         .otherwise(F.lit("not_configured") if config is None else waiting))
-    progress = F.when(F.col("translatable") == 0, 1.0).otherwise(F.round(F.col("ready") / F.col("translatable"), 6))
+    progress = F.when(F.col("translatable") == 0, 1.0).otherwise(F.col("ready") / F.col("translatable"))
     return roll.join(latest, "chapter_id", "left").select(
         "chapter_id", "translatable", "ready", "failed", "pending", "skipped", state.alias("state"),
         progress.alias("progress"), F.col("job.id").alias("job_id"),

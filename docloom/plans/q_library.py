@@ -39,8 +39,8 @@ register(
 WITH u AS (
   SELECT sha256, id, title, page_count, file_path, file_size_bytes, file_mtime_ms, file_state, last_opened_at,
     created_at, 0 AS g, updated_at AS ts FROM {EXISTING}
-  UNION ALL SELECT sha256, id, title, page_count, file_path, file_size_bytes, file_mtime_ms, file_state,
-    last_opened_at, imported_at, 1, imported_at FROM {INCOMING}),
+  UNION ALL SELECT sha256, id, title, page_count, file_path, file_size_bytes, file_mtime_ms, 'available',
+    imported_at, imported_at, 1, imported_at FROM {INCOMING}),
 r AS (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY g, ts, id) AS a,
   row_number() OVER (PARTITION BY sha256 ORDER BY g DESC, ts DESC, id DESC) AS z FROM u)
 SELECT f.id, f.sha256, l.title, l.page_count, l.file_path, l.file_size_bytes, l.file_mtime_ms, l.file_state,

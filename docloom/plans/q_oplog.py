@@ -143,7 +143,7 @@ def _asked(c: Corpus):
 
 STATUS_SQL = """(SELECT event_id AS i, CASE WHEN user_id % 10 = 0 OR event_id % 17 = 0 THEN 'missing' WHEN event_id % 5 = 2 AND event_id % 7 = 0 THEN 'protocol_error'
     WHEN event_id % 5 = 4 THEN 'protocol_error' ELSE ['pending', 'running', 'done', 'failed'][event_id % 5 + 1] END AS status FROM events)"""
-register("J13_align_remote_status", lambda c: J.align_remote_status(_statuses(c), _asked(c)),
+register("J13_align_remote_status", lambda c: J.align_remote_status(_statuses(c), _asked(c)).withColumn("progress", F.round("progress", 6)),
          f"""SELECT 'op-' || i AS id, status, CASE WHEN status = 'running' AND i % 4 > 0 THEN round(least(i % 12, i % 4 * 2) / (i % 4 * 2), 6) END AS progress,
   CASE WHEN status = 'done' THEN 'https://files/' || i END AS download_url FROM {STATUS_SQL}""")
 register("J14_next_poll", lambda c: J.next_poll(c.table("events").select(

@@ -89,7 +89,10 @@ register("T14_commit_results", lambda c: T.commit_results(c.translations, _commi
   CASE WHEN hit AND j.code IS NULL THEN NULL WHEN hit AND t.state <> 'ready' THEN CASE j.code """ + " ".join(
         f"WHEN '{k}' THEN '{v}'" for k, v in T.FAILURE_MESSAGES.items()) + """ END ELSE t.error_message END AS error_message,
   CASE WHEN hit AND (j.code IS NULL OR t.state <> 'ready') THEN 777 ELSE t.updated_at END AS updated_at
-FROM (SELECT t.*, t.is_active AND j.block_id IS NOT NULL AND b.id IS NOT NULL AS hit FROM translations t LEFT JOIN judged j ON j.block_id = t.block_id
+FROM (SELECT t.*, t.is_active AND j.block_id IS NOT NULL AND b.id IS NOT NULL AND (j.code IS NOT NULL OR t.job_id NOT IN (
+    SELECT b.id FROM judged j JOIN chapter_jobs b ON b.chapter_id = j.chapter_id WHERE j.code IS NULL
+      AND (b.id, j.block_id) NOT IN (SELECT (job_id, block_id) FROM translations WHERE is_active))) AS hit
+  FROM translations t LEFT JOIN judged j ON j.block_id = t.block_id
   LEFT JOIN chapter_jobs b ON b.id = t.job_id AND b.state <> 'cancelled') t LEFT JOIN judged j ON j.block_id = t.block_id"""))
 register("T14_commit_errors", lambda c: T.commit_results(c.translations, _commits(c), c.chapter_jobs)[1],
          compose("""SELECT b.id AS job_id, j.block_id, CASE WHEN b.state = 'cancelled' THEN 'job_cancelled' ELSE 'cache_changed' END AS error_code
@@ -99,22 +102,28 @@ FROM judged j JOIN chapter_jobs b ON b.chapter_id = j.chapter_id WHERE j.code IS
 
 def _wanted(c: Corpus):
     return c.prepared.filter(digit("chapter_id") > 4).select(
-        F.concat(F.lit("new-"), "block_id").alias("id"), F.lit("job-next").alias("job_id"), "block_id", "request_digest",
+        F.concat(F.lit("new-"), "block_id").alias("id"), F.when(digit("chapter_id") == 7, "job-gone").otherwise("job-next").alias("job_id"), "block_id", "request_digest",
         "source_digest", F.lit(900).cast("long").alias("at"))
 
 
+def _next_jobs(c: Corpus):
+    """The job of each wanted record; the cancelled one must prepare nothing."""
+    return _wanted(c).select(F.col("job_id").alias("id")).distinct().withColumn(
+        "state", F.when(F.col("id") == "job-gone", "cancelled").otherwise("running"))
+
+
 WANTED = f"(SELECT *, {sql_digit('chapter_id')} AS kc FROM prepared)"
-register("T15_activate_records", lambda c: T.activate_records(c.translations, _wanted(c))[0].select(
+register("T15_activate_records", lambda c: T.activate_records(c.translations, _wanted(c), _next_jobs(c))[0].select(
     "id", "job_id", "block_id", "request_digest", "state", "is_active", "error_code", "updated_at"),
     compose(f"""SELECT t.id, CASE WHEN same THEN 'job-next' ELSE job_id END AS job_id, t.block_id, t.request_digest,
   CASE WHEN same AND state <> 'ready' THEN 'queued' ELSE state END AS state, CASE WHEN w IS NULL THEN is_active ELSE same END AS is_active,
   CASE WHEN same AND state <> 'ready' THEN NULL ELSE error_code END AS error_code, CASE WHEN same THEN 900 ELSE updated_at END AS updated_at
 FROM (SELECT t.*, p.request_digest AS w, coalesce(p.request_digest = t.request_digest, false) AS same FROM translations t
-  LEFT JOIN {WANTED} p ON p.block_id = t.block_id AND p.kc > 4) t
+  LEFT JOIN {WANTED} p ON p.block_id = t.block_id AND p.kc > 4 AND p.kc <> 7) t
 UNION ALL SELECT 'new-' || block_id, 'job-next', block_id, request_digest, 'queued', true, NULL, 900 FROM {WANTED} p
-WHERE kc > 4 AND NOT EXISTS (SELECT 1 FROM translations t WHERE t.block_id = p.block_id AND t.request_digest = p.request_digest)"""))
-register("T15_missing", lambda c: T.activate_records(c.translations, _wanted(c))[1].select("block_id"),
-         compose(f"""SELECT block_id FROM {WANTED} p WHERE kc > 4 AND NOT EXISTS (
+WHERE kc > 4 AND kc <> 7 AND NOT EXISTS (SELECT 1 FROM translations t WHERE t.block_id = p.block_id AND t.request_digest = p.request_digest)"""))
+register("T15_missing", lambda c: T.activate_records(c.translations, _wanted(c), _next_jobs(c))[1].select("block_id"),
+         compose(f"""SELECT block_id FROM {WANTED} p WHERE kc > 4 AND kc <> 7 AND NOT EXISTS (
   SELECT 1 FROM translations t WHERE t.block_id = p.block_id AND t.request_digest = p.request_digest AND t.state = 'ready')"""))
 register("T16_active_for_chapter", lambda c: T.active_for_chapter(c.translations, c.normalized.blocks).select(
     "id", "block_id", "chapter_id", "order_index", "state"),
@@ -142,8 +151,12 @@ def _flagged(c: Corpus):
     return flag_translatable(c.normalized.blocks)
 
 
-register("T17_chapter_progress", lambda c: T.chapter_progress(_flagged(c), c.translations, c.chapter_jobs, CONFIG), _progress_sql(True))
-register("T17_progress_unconfigured", lambda c: T.chapter_progress(_flagged(c), c.translations, c.chapter_jobs, None), _progress_sql(False))
+def _rounded(df):
+    return df.withColumn("progress", F.round("progress", 6))
+
+
+register("T17_chapter_progress", lambda c: _rounded(T.chapter_progress(_flagged(c), c.translations, c.chapter_jobs, CONFIG)), _progress_sql(True))
+register("T17_progress_unconfigured", lambda c: _rounded(T.chapter_progress(_flagged(c), c.translations, c.chapter_jobs, None)), _progress_sql(False))
 register("T18_next_body_chapter", lambda c: T.next_body_chapter(c.normalized.chapters, c.normalized.blocks, c.block_chunks),
          compose("""WITH e AS (SELECT c.doc_id, c.chapter_id, c.order_index, c.role = 'body' AND c.chapter_id IN (SELECT chapter_id FROM prepared) AS ok FROM chapters_all c)
 SELECT a.doc_id, a.chapter_id, (SELECT arg_min(b.chapter_id, b.order_index) FROM e b WHERE b.doc_id = a.doc_id AND b.order_index > a.order_index AND b.ok) AS next_chapter_id FROM e a"""))

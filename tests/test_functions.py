@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.functions.atoms import read_table, split_inline
+from docloom.functions.atoms import html_table, inline_atoms, read_table
 from docloom.functions.digest import ordered_digest
 from docloom.functions.packing import apply_steps, chunk_steps, next_fit, pack_run
 from docloom.functions.scan import ONE_CHUNK, ordered_lag, ordered_row_number, ordered_scan
@@ -103,8 +103,11 @@ def test_ordered_digest(spark):
     part = F.concat(F.unhex(F.lit("00")), F.encode("d", "UTF-8"))
     got = ordered_digest(df, ["k"], "o", part, F.encode(F.lit("T"), "UTF-8"), "h").first()["h"]
     assert got == hashlib.sha256(b"T" + b"".join(b"\0d%d" % i for i in range(5))).hexdigest()
-    parts = [ordered_digest(df.repartition(n), ["k"], "o", part, F.encode(F.lit("T"), "UTF-8"), "h", 2).first()["h"] for n in (1, 4)]
-    assert parts[0] == parts[1] != got
+    # one digest for every size, however the rows lie
+    big = spark.range(70_000).select((F.col("id") % 2).alias("k"), F.col("id").alias("o"), F.col("id").cast("string").alias("d"))
+    for rows in (big, big.repartition(7)):
+        found = {r["k"]: r["h"] for r in ordered_digest(rows, ["k"], "o", part, None, "h").collect()}
+        assert found == {k: hashlib.sha256(b"".join(b"\0%d" % i for i in range(k, 70_000, 2))).hexdigest() for k in (0, 1)}
 
 
 def test_text_helpers(spark):
@@ -116,11 +119,11 @@ def test_text_helpers(spark):
     assert row["h"] == hashlib.sha256(len(raw).to_bytes(8, "big") + raw + (0).to_bytes(8, "big")).hexdigest()
 
 
-def kinds(text):
-    return [(a["type"], a["value"] or a["latex"] or a["label"]) for a in split_inline(text)]
+def test_inline_atoms(spark):
+    def kinds(text):
+        row = spark.createDataFrame([(text,)], "t string").select(inline_atoms(F.col("t")).alias("a")).first()
+        return [(a["type"], a["value"] or a["latex"] or a["label"]) for a in row["a"]]
 
-
-def test_inline_atoms():
     assert kinds("See $x+y$ in [3, 4].") == [
         ("text", "See "), ("formula", "x+y"), ("text", " in "), ("citation", "[3, 4]"), ("text", ".")]
     assert kinds(r"cost \$5 and $$ x") == [("text", r"cost \$5 and $$ x")]
@@ -128,12 +131,20 @@ def test_inline_atoms():
     # after a formula the search for brackets starts anew
     assert kinds("[a $x$ [1]") == [("text", "[a "), ("formula", "x"), ("text", " "), ("citation", "[1]")]
     assert kinds("$$a$") == [("text", "$$a$")]
+    assert kinds("") == [] and kinds(r"$a\$ [1]") == [("text", r"$a\$ "), ("citation", "[1]")]
 
 
-def test_tables():
+def test_tables(spark):
     rows, error = read_table("<table><tr><th rowspan='2'>A</th><td colspan=3>b <i>c</i></td><td>d</td></tr><tr></tr><tr><td>$x$</td></tr></table>")
     assert error is None
     assert [(c["row"], c["column"], c["rowSpan"], c["columnSpan"]) for r in rows for c in r] == [
         (0, 0, 2, 1), (0, 1, 1, 3), (0, 4, 1, 1), (2, 0, 1, 1)]
-    assert rows[0][1]["content"][0]["value"] == "b c"
-    assert read_table("<tr><td rowspan='0'>x</td></tr>")[1] == "rowspan_out_of_range"
+    assert rows[0][1]["text"] == "b c"
+    assert read_table("<table><tr><td rowspan='0'>x</td></tr></table>")[1] == "rowspan_out_of_range"
+    # tags outside a table count for nothing; cells make rows; a nested table is part of its cell
+    texts = lambda html: [[c["text"] for c in r] for r in read_table(html)[0]]
+    assert texts("<tr><td>x</td></tr>") == []
+    assert texts("<table><tr><td>a<td>b</tr><td>c</table>") == [["a", "b"], ["c"]]
+    assert texts("<table><tr><td>o<table><tr><td>i</td></tr></table>rest</td><td>n</td></tr></table>") == [["o i rest", "i", "n"], ["i"]]
+    got = spark.createDataFrame([("<table><td>$x$ [1]</table>",), (None,)], "h string").select(html_table(F.col("h")).alias("t")).collect()
+    assert [a["type"] for a in got[0]["t"]["rows"][0][0]["content"]] == ["formula", "text", "citation"] and got[1]["t"]["rows"] == []
