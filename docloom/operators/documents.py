@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions import scan
 from docloom.functions.atoms import atom_text, leaf_text, plain_text, strip_marks
 from docloom.functions.digest import ordered_digest
 from docloom.functions.text import ascii_lower, is_blank, utf16_len
 from docloom.schemas import (
-    CANONICAL_SCHEMA_VERSION, NORMALIZER_VERSION, PARSER_BACKEND, PARSER_NAME, PARSER_VERSION,
+    BLOCK_VALUE, CANONICAL_SCHEMA_VERSION, DOCUMENT_VALUE, NORMALIZER_VERSION, PARSER_BACKEND, PARSER_NAME, PARSER_VERSION,
     TRANSLATABLE_KINDS,
 )
 
@@ -25,80 +24,92 @@ LAYOUT_NAME = "layout.json"
 ASSET_EXTENSIONS = ["png", "jpg", "jpeg", "webp"]
 
 
-def chapter_values(chapters: DataFrame, blocks: DataFrame, part_rows: int | None = None) -> DataFrame:
-    """Chapters with their blocks as an ordered array, in parts of at most ``part_rows`` blocks.
+# a document's JSON is kept in pieces; those after all chapters have this chapter number
+AFTER_CHAPTERS = 2**31 - 1
+LAST = 2**62
 
-    Nearly every chapter is one part (part 0). A chapter too large for one row goes on in
-    further parts, so no block is lost and no row grows without bound.
-    """
-    size = part_rows or scan.CHUNK_ROWS
-    block = F.struct(
-        F.col("block_id").alias("id"), F.col("order_index").alias("orderIndex"), "kind",
-        F.col("page").alias("pageStart"), F.col("page").alias("pageEnd"),
-        F.array_compact(F.array("box")).alias("boundingBoxes"), "content",
-        F.col("source_digest").alias("sourceDigest"),
-    )
-    parts = blocks.groupBy(
-        "doc_id", "chapter_id", F.floor(F.col("order_index") / size).alias("part")
-    ).agg(F.array_sort(F.collect_list(F.struct(F.col("order_index").alias("o"), block.alias("b")))).alias("bs"))
-    return chapters.join(parts, ["doc_id", "chapter_id"]).select(
-        "doc_id", "artifact_id", "chapter_id", "order_index", "part",
-        F.struct(
-            F.col("chapter_id").alias("id"), F.col("order_index").alias("orderIndex"), "depth", "role",
-            F.col("source_title").alias("sourceTitle"), F.col("page_start").alias("pageStart"),
-            F.col("page_end").alias("pageEnd"), F.transform("bs", lambda x: x["b"]).alias("blocks"),
-        ).alias("chapter"),
-    )
 
+def _pieces(df: DataFrame, kind: str, chapter: Column, at: Column, value: Column) -> DataFrame:
+    return df.select("doc_id", "artifact_id", F.struct(
+        chapter.cast("long").alias("chapter"), at.cast("long").alias("at")).alias("place"), F.lit(kind).alias("kind"), value.alias("value"))
 
-def assemble_documents(
-    n, sources: DataFrame, max_blocks: int | None = None, part_rows: int | None = None
-) -> DataFrame:
-    """One nested document value per document (``n`` is a ``Normalized``).
 
-    Documents above ``max_blocks`` blocks or assets keep ``chapters`` null here; their content is
-    whole in ``chapter_values`` and ``n.assets``, which a writer stores next to the manifest.
+def _open_json(value: Column, name: str) -> Column:
+    """A JSON object with one more field, an array that is still open."""
+    return F.concat(F.regexp_replace(F.to_json(value), r"\}$", ""), F.lit(f',"{name}":['))
+
+
+def document_pieces(n, sources: DataFrame) -> DataFrame:
+    """(doc_id, artifact_id, place, kind, value): every document's canonical JSON, cut up.
+
+    The values of a document, joined in order of place, are its JSON (``n`` is a ``Normalized``).
+    There is a piece for the head, one to open and one to close each chapter, one for each block and
+    asset and one for the tail, so no row is larger than a block, whatever the document's size.
     """
-    limit = max_blocks or scan.CHUNK_ROWS
-    sizes = n.chapters.groupBy("doc_id").agg(F.sum("block_count").alias("block_count"))
-    many = n.assets.groupBy("doc_id").count().filter(F.col("count") > limit).select("doc_id")
-    small = sizes.filter(F.col("block_count") <= limit).select("doc_id").join(many, "doc_id", "left_anti")
-    values = chapter_values(n.chapters, n.blocks, part_rows).join(small, "doc_id", "left_semi")
-    chapters = values.groupBy("doc_id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("order_index", "part", "chapter"))),
-            lambda x: x["chapter"],
-        ).alias("chapters")
-    )
-    asset = F.struct(
-        "id", F.col("mime_type").alias("mimeType"), F.col("relative_path").alias("relativePath"),
-        "sha256", F.col("size_bytes").alias("sizeBytes"),
-    )
-    assets = n.assets.join(small, "doc_id", "left_semi").groupBy("doc_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", asset.alias("a")))), lambda x: x["a"]).alias("assets")
-    )
+    here = n.chapters.select("doc_id", "artifact_id").distinct()
     pages = n.pages.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("page_count"))
-    joined = (
-        sources.join(sizes, "doc_id").join(pages, "doc_id")
-        .join(n.titles.select("doc_id", "title"), "doc_id", "left")
-        .join(chapters, "doc_id", "left").join(assets, "doc_id", "left")
-    )
-    value = F.struct(
+    heads = sources.join(here.select("artifact_id"), "artifact_id", "left_semi").join(pages, "doc_id").join(
+        n.titles.select("doc_id", "title"), "doc_id", "left")
+    head = _open_json(F.struct(
         F.lit(CANONICAL_SCHEMA_VERSION).alias("schemaVersion"), F.col("artifact_id").alias("artifactId"),
         F.col("doc_id").cast("string").alias("documentId"), F.col("source_sha256").alias("sourceSha256"),
         F.struct(F.lit(PARSER_NAME).alias("name"), F.lit(PARSER_VERSION).alias("version"),
                  F.lit(PARSER_BACKEND).alias("backend")).alias("parser"),
-        F.lit(NORMALIZER_VERSION).alias("normalizerVersion"), F.col("page_count").alias("pageCount"),
-        "title", "chapters", F.coalesce("assets", F.array()).alias("assets"),
-    )
-    return joined.select("doc_id", "artifact_id", "block_count", value.alias("document"))
-
-
-def find_blocks(documents: DataFrame) -> DataFrame:
-    """Document values back to one row per block."""
-    return documents.select("doc_id", F.inline("document.chapters")).select(
-        "doc_id", F.col("id").alias("chapter_id"), F.inline("blocks")
-    )
+        F.lit(NORMALIZER_VERSION).alias("normalizerVersion"), F.col("page_count").alias("pageCount"), "title"), "chapters")
+    comma = lambda first: F.when(first, F.lit("")).otherwise(F.lit(","))
+    chapter = _open_json(F.struct(
+        F.col("chapter_id").alias("id"), F.col("order_index").alias("orderIndex"), "depth", "role",
+        F.col("source_title").alias("sourceTitle"), F.col("page_start").alias("pageStart"), F.col("page_end").alias("pageEnd")), "blocks")
+    block = F.to_json(F.struct(
+        F.col("block_id").alias("id"), F.col("order_index").alias("orderIndex"), "kind",
+        F.col("page").alias("pageStart"), F.col("page").alias("pageEnd"),
+        F.array_compact(F.array("box")).alias("boundingBoxes"), "content", F.col("source_digest").alias("sourceDigest")))
+    asset = F.to_json(F.struct(
+        "id", F.col("mime_type").alias("mimeType"), F.col("relative_path").alias("relativePath"), "sha256", F.col("size_bytes").alias("sizeBytes")))
+    order, start = F.col("order_index"), F.lit(-1)
+    assets = n.assets.join(n.assets.groupBy("doc_id").agg(F.min("pos").alias("__first")), "doc_id").join(here, "doc_id")
+    after = F.lit(AFTER_CHAPTERS)
+    return (
+        _pieces(heads, "head", start, start, head)
+        .unionByName(_pieces(n.chapters, "chapter", order, start, F.concat(comma(order == 0), chapter)))
+        .unionByName(_pieces(n.blocks, "block", F.col("chapter_order"), order, F.concat(comma(order == 0), block)))
+        .unionByName(_pieces(n.chapters, "end", order, F.lit(LAST), F.lit("]}")))
+        .unionByName(_pieces(here, "assets", after, start, F.lit('],"assets":[')))
+        .unionByName(_pieces(assets, "asset", after, F.col("pos"), F.concat(comma(F.col("pos") == F.col("__first")), asset)))
+        .unionByName(_pieces(here, "tail", after, F.lit(LAST), F.lit("]}"))))
+
+
+def _value(kind: Column | str) -> Column:
+    """The JSON of a block, chapter or asset piece by itself."""
+    return F.regexp_replace(kind, "^,", "")
+
+
+def assemble_documents(pieces: DataFrame) -> DataFrame:
+    """One row per document: title, page, chapter and block counts, first asset, digest of the block
+    ids in order and digest of the JSON. The JSON itself stays in pieces."""
+    head = F.from_json(F.concat("value", F.lit("]}")), DOCUMENT_VALUE)
+    heads = pieces.filter("kind = 'head'").select("doc_id", "artifact_id", head.alias("h")).select(
+        "doc_id", "artifact_id", F.col("h.title").alias("title"), F.col("h.pageCount").alias("page_count"))
+    counts = pieces.groupBy("doc_id").agg(
+        F.count_if(F.col("kind") == "block").alias("block_count"), F.count_if(F.col("kind") == "chapter").cast("int").alias("chapter_count"),
+        F.min_by(F.when(F.col("kind") == "asset", F.get_json_object(_value("value"), "$.relativePath")),
+                 F.when(F.col("kind") == "asset", F.col("place"))).alias("first_asset"))
+    ids = pieces.filter("kind = 'block'").withColumn("id", F.get_json_object(_value("value"), "$.id"))
+    # ids follow one another with commas; the document's first block is that of its first chapter
+    first = (F.col("place.chapter") == 0) & (F.col("place.at") == 0)
+    order = ordered_digest(ids, ["doc_id"], "place", F.encode(F.concat(F.when(first, "").otherwise(","), "id"), "UTF-8"), None, "order_digest")
+    whole = ordered_digest(pieces, ["doc_id"], "place", F.encode("value", "UTF-8"), None, "content_digest")
+    return heads.join(counts, "doc_id").join(order, "doc_id").join(whole, "doc_id")
+
+
+def find_blocks(pieces: DataFrame) -> DataFrame:
+    """Documents in pieces back to one row per block."""
+    at = F.col("place.chapter").alias("__chapter")
+    chapters = pieces.filter("kind = 'chapter'").select(
+        "doc_id", "artifact_id", at, F.get_json_object(F.concat(_value("value"), F.lit("]}")), "$.id").alias("chapter_id"))
+    return pieces.filter("kind = 'block'").select(
+        "doc_id", "artifact_id", at, F.from_json(_value("value"), BLOCK_VALUE).alias("b")).join(
+        chapters, ["doc_id", "artifact_id", "__chapter"]).select("doc_id", "chapter_id", "b.*")
 
 
 def chapter_digests(chapters: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -151,12 +151,8 @@ WHERE doc_id NOT IN (SELECT doc_id FROM rejected) AND doc_id NOT IN (SELECT doc_
 )
 register(
     "N17_assemble_documents",
-    lambda c: D.assemble_documents(c.normalized, c.sources).select(
-        "doc_id", "block_count", F.col("document.title").alias("title"), F.col("document.pageCount").alias("page_count"),
-        F.size("document.chapters").alias("chapter_count"),
-        F.sha2(F.array_join(F.flatten(F.transform(
-            "document.chapters", lambda ch: F.transform(ch["blocks"], lambda b: b["id"]))), ","), 256).alias("order_digest"),
-        F.element_at("document.assets", 1)["relativePath"].alias("first_asset")),
+    lambda c: D.assemble_documents(D.document_pieces(c.normalized, c.sources)).select(
+        "doc_id", "block_count", "title", "page_count", "chapter_count", "order_digest", "first_asset"),
     compose("""SELECT b.doc_id, count(*) AS block_count, any_value(t.title) AS title, any_value((k.n_lines - 1) // 10 + 1)::INT AS page_count,
   count(DISTINCT chapter_id)::INT AS chapter_count, sha256(string_agg(block_id, ',' ORDER BY chapter_order, order_index)) AS order_digest,
   'images/' || any_value(k.sha) || '.jpg' AS first_asset
@@ -164,7 +160,7 @@ FROM blocks_all b JOIN doc_keys k ON k.doc_id = b.doc_id LEFT JOIN title_rows t
 )
 register(
     "N17_find_blocks",
-    lambda c: D.find_blocks(D.assemble_documents(c.normalized, c.sources)).select("doc_id", "chapter_id", F.col("id").alias("block_id"), "kind"),
+    lambda c: D.find_blocks(D.document_pieces(c.normalized, c.sources)).select("doc_id", "chapter_id", F.col("id").alias("block_id"), "kind"),
     compose("SELECT doc_id, chapter_id, block_id, kind FROM blocks_all"),
 )
 register(

@@ -65,6 +65,14 @@ register("S5_publish_artifacts", lambda c: _published(c)["parse_artifacts"].sele
          compose(f"""SELECT 'old-' || k.doc_id AS id, k.doc_id::VARCHAR AS document_id, g.doc_id IS NULL AS is_active, sha AS source_sha256, 1::BIGINT AS created_at
 FROM doc_keys k LEFT JOIN {GOOD} g ON g.doc_id = k.doc_id WHERE k.doc_id % 2 = 0
 UNION ALL SELECT 'art-' || k.doc_id, k.doc_id::VARCHAR, true, sha, {NOW} FROM doc_keys k JOIN {GOOD} g ON g.doc_id = k.doc_id"""))
+register("S5_manifests", lambda c: T.manifest_digests(_published(c)["manifests"]).select("manifest_path").join(
+    _published(c)["manifests"].groupBy("manifest_path").agg(F.count_if(F.col("kind") == "block").alias("blocks"), F.count_if(F.col("kind") == "chapter").alias("chapters")),
+    "manifest_path"),
+    compose("SELECT 'art-' || doc_id || '/manifest.json' AS manifest_path, count(*) AS blocks, count(DISTINCT chapter_id) AS chapters FROM blocks_all GROUP BY doc_id"))
+register("S5_blocks", lambda c: _published(c)["blocks"].select("block_id", "chapter_id", "order_index", "translatable"),
+         compose("SELECT b.block_id, b.chapter_id, b.order_index, t.translatable FROM blocks_all b JOIN translatable t ON t.block_id = b.block_id"))
+register("S5_chapters", lambda c: _published(c)["chapters"].select("chapter_id", "order_index", "block_count"),
+         compose("SELECT chapter_id, order_index, block_count FROM chapters_all"))
 register("S5_finish_operations", lambda c: T.finish_operations(
     c.operations, _published(c)["parse_artifacts"].withColumn("document_id", F.concat(F.lit("doc-"), "document_id")), NOW).select("id", "state", "progress"),
     compose(f"""SELECT o.id, CASE WHEN hit THEN 'succeeded' ELSE state END AS state, CASE WHEN hit THEN 1.0 ELSE progress END AS progress
@@ -79,11 +87,11 @@ def _manifests(c: Corpus):
 def _read_back(c: Corpus):
     m = _manifests(c)
     k = digit("artifact_id")
-    artifacts = m.select(
+    artifacts = m.filter("kind = 'head'").join(T.manifest_digests(m), "manifest_path").select(
         F.when(k == 0, F.lit("other")).otherwise(F.col("doc_id").cast("string")).alias("document_id"), (k != 1).alias("is_active"),
         F.when(k == 2, F.lit("../x")).when(k == 3, F.lit("none")).otherwise(F.col("manifest_path")).alias("manifest_path"),
-        F.when(k == 4, F.lit("bad")).otherwise(F.col("content_digest")).alias("content_digest"), F.col("doc_id").alias("n"))
-    return T.read_active_documents(artifacts, m).select("document_id", "status", F.size("document.chapters").alias("chapters"))
+        F.when(k == 4, F.lit("bad")).otherwise(F.col("content_digest")).alias("content_digest"))
+    return T.read_active_documents(artifacts, m).select("document_id", "status", "chapters")
 
 
 register("S4_read_active_documents", _read_back,

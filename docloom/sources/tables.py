@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators.documents import assemble_documents, chapter_values, flag_translatable
+from docloom.functions.digest import ordered_digest
+from docloom.operators.documents import document_pieces, flag_translatable
 from docloom.schemas import (
     BLOCK_KINDS, CHAPTER_ROLES, DOCUMENT_VALUE, FILE_STATES, JOB_STATES, NORMALIZER_VERSION, PARSER_BACKEND,
     MAX_RESPONSE_BYTES, PARSER_VERSION, TRANSLATION_STATES,
@@ -83,15 +84,22 @@ def read_table(spark: SparkSession, root: str, name: str) -> tuple[DataFrame, Da
 
 # ---- artifacts -------------------------------------------------------------------------
 def manifests_of(normalized, sources: DataFrame) -> DataFrame:
-    """One manifest per document: manifest_path, value (JSON) and its digest.
+    """Every document's manifest: (doc_id, artifact_id, manifest_path, place, kind, value).
 
-    Documents above the row limit have no single value; their chapters are stored in parts.
+    A manifest is stored as the pieces of its JSON, which, joined in order, are the file.
     """
-    docs = assemble_documents(normalized, sources).filter("document.chapters IS NOT NULL")
-    value = F.to_json("document")
-    return docs.select(
-        "doc_id", "artifact_id", F.concat("artifact_id", F.lit("/manifest.json")).alias("manifest_path"), value.alias("value"),
-        F.sha2(value, 256).alias("content_digest"))
+    return document_pieces(normalized, sources).withColumn("manifest_path", F.concat("artifact_id", F.lit("/manifest.json")))
+
+
+def manifest_digests(manifests: DataFrame) -> DataFrame:
+    """(manifest_path, content_digest): sha256 of each manifest's whole JSON, for all sizes."""
+    return ordered_digest(manifests, ["manifest_path"], "place", F.encode("value", "UTF-8"), None, "content_digest")
+
+
+def _heads(manifests: DataFrame) -> DataFrame:
+    """(manifest_path, document): what stands before a manifest's chapters."""
+    head = F.from_json(F.concat("value", F.lit("]}")), DOCUMENT_VALUE)
+    return manifests.filter("kind = 'head'").select("manifest_path", head.alias("document"))
 
 
 def publish_artifacts(normalized, sources: DataFrame, artifacts: DataFrame, at: int) -> dict[str, DataFrame]:
@@ -100,7 +108,8 @@ def publish_artifacts(normalized, sources: DataFrame, artifacts: DataFrame, at:
     The newest artifact of a document is its only active one. Writers store the tables under a
     new version and the pointer last, so readers see all of a document or nothing.
     """
-    made = manifests_of(normalized, sources).select(
+    manifests = manifests_of(normalized, sources)
+    made = manifests.filter("kind = 'head'").join(manifest_digests(manifests), "manifest_path").select(
         F.col("artifact_id").alias("id"), F.col("doc_id").cast("string").alias("document_id"), "manifest_path", "content_digest")
     shas = sources.select(F.col("artifact_id").alias("id"), "source_sha256")
     new = made.join(shas, "id").select(
@@ -112,9 +121,9 @@ def publish_artifacts(normalized, sources: DataFrame, artifacts: DataFrame, at:
         "is_active", F.col("is_active") & F.col("__new").isNull()).drop("__new")
     return {
         "parse_artifacts": old.select(*new.columns).unionByName(new),
-        "chapters": normalized.chapters.join(made.select(F.col("id").alias("artifact_id")), "artifact_id", "left_semi"),
-        "blocks": flag_translatable(normalized.blocks).join(made.select(F.col("id").alias("artifact_id")), "artifact_id", "left_semi"),
-        "chapter_parts": chapter_values(normalized.chapters, normalized.blocks).filter(F.col("part") > 0),
+        "chapters": normalized.chapters,
+        "blocks": flag_translatable(normalized.blocks),
+        "manifests": manifests,
     }
 
 
@@ -134,35 +143,36 @@ def safe_path(path: Column) -> Column:
 
 
 def read_active_documents(artifacts: DataFrame, manifests: DataFrame) -> DataFrame:
-    """Active artifact -> document value, with a status where it cannot be used.
+    """Active artifact -> head of its document and number of chapters, with a status where it cannot be used.
 
-    ``manifests``: manifest_path, value. Status: ok, unsafe_path, unavailable, digest_mismatch,
+    ``manifests``: pieces as of :func:`manifests_of`; the blocks of a usable document are those
+    ``find_blocks`` gives for its pieces. Status: ok, unsafe_path, unavailable, digest_mismatch,
     wrong_document, or outdated (another parser or normalizer made it).
     """
-    rows = artifacts.filter("is_active").select("document_id", "manifest_path", "content_digest").join(
-        manifests.select("manifest_path", "value"), "manifest_path", "left")
-    doc = F.from_json("value", DOCUMENT_VALUE)
-    rows = rows.withColumn("document", doc)
+    counts = manifests.groupBy("manifest_path").agg(F.count_if(F.col("kind") == "chapter").cast("int").alias("__chapters"))
+    stored = _heads(manifests).join(manifest_digests(manifests).withColumnRenamed("content_digest", "__digest"), "manifest_path").join(
+        counts, "manifest_path")
+    rows = artifacts.filter("is_active").select("document_id", "manifest_path", "content_digest").join(stored, "manifest_path", "left")
     current = (
         (F.col("document.parser.backend") == PARSER_BACKEND) & (F.col("document.parser.version") == PARSER_VERSION)
         & (F.col("document.normalizerVersion") == NORMALIZER_VERSION))
     status = (
-        F.when(~safe_path(F.col("manifest_path")), "unsafe_path").when(F.col("value").isNull(), "unavailable")
-        .when(F.sha2("value", 256) != F.col("content_digest"), "digest_mismatch")
+        F.when(~safe_path(F.col("manifest_path")), "unsafe_path").when(F.col("__digest").isNull(), "unavailable")
+        .when(F.col("__digest") != F.col("content_digest"), "digest_mismatch")
         .when(F.col("document.documentId") != F.col("document_id"), "wrong_document")
         .when(~F.coalesce(current, F.lit(False)), "outdated").otherwise("ok"))
-    out = rows.withColumn("status", status)
-    return out.select("document_id", "status", F.when(F.col("status") == "ok", F.col("document")).alias("document"))
+    ok = F.col("status") == "ok"
+    return rows.withColumn("status", status).select(
+        "document_id", "manifest_path", "status", F.when(ok, F.col("document")).alias("document"), F.when(ok, F.col("__chapters")).alias("chapters"))
 
 
 def resume_finalized(manifests: DataFrame, ops: DataFrame) -> DataFrame:
     """Manifests on disk judged against unfinished operations: adopt or discard.
 
-    ``manifests``: manifest_path, value. ``ops``: id, artifact_id, document_id, source_sha256,
+    ``manifests``: pieces. ``ops``: id, artifact_id, document_id, source_sha256,
     backend, parser_version, normalizer_version, state.
     """
-    d = F.from_json("value", DOCUMENT_VALUE)
-    found = manifests.select("manifest_path", d.alias("d")).select(
+    found = _heads(manifests).withColumnRenamed("document", "d").select(
         "manifest_path", F.col("d.artifactId").alias("artifact_id"), F.col("d.documentId").alias("document_id"),
         F.col("d.sourceSha256").alias("source_sha256"), F.col("d.parser.backend").alias("backend"),
         F.col("d.parser.version").alias("parser_version"), F.col("d.normalizerVersion").alias("normalizer_version"))

@@ -1,5 +1,8 @@
 """Golden cases of the normalizer on hand-made parser output."""
 
+import hashlib
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +10,7 @@ from docloom.functions.scan import ONE_CHUNK
 from docloom.operators import documents as D
 from docloom.operators.normalize import heading_depth, normalize, chapter_role, looks_like_list_item, strip_display_math
 from docloom.schemas import RAW_BLOCK
+from docloom.sources import tables
 
 SHA = "a" * 64
 FIELDS = [f.split(":")[0] for f in (
@@ -83,19 +87,38 @@ def test_table_and_figures(spark):
     assert rows == [("table", "Table 1\nrows\nA\tB\nC [1]\nnote"), ("caption", "Table 1 rows"), ("figure", "Fig"), ("caption", "Fig"),
                     ("caption", "foot"), ("caption", "no asset"), ("caption", "only")]
     assert n.assets.count() == 1
-    doc = D.assemble_documents(n, sources).first()["document"]
+    pieces = D.document_pieces(n, sources)
+    doc = json.loads("".join(r["value"] for r in pieces.orderBy("place").collect()))
     assert doc["pageCount"] == 2 and len(doc["chapters"]) == 1 and doc["chapters"][0]["blocks"][0]["content"]["atoms"][1]["assetId"] == SHA
     flags = {r["kind"]: r["translatable"] for r in D.flag_translatable(n.blocks).collect()}
     assert flags == {"table": True, "caption": True, "figure": False}
-    big = D.assemble_documents(n, sources, max_blocks=3)
-    assert big.first()["document"]["chapters"] is None
-    assert sum(len(r["chapter"]["blocks"]) for r in D.chapter_values(n.chapters, n.blocks, 2).collect()) == 7
+    back = {r["id"]: r["content"]["plainText"] for r in D.find_blocks(pieces).collect()}
+    assert back == {r["block_id"]: r["content"]["plainText"] for r in n.blocks.collect()} and len(back) == 7
+    whole = "".join(r["value"] for r in pieces.orderBy("place").collect())
+    assert D.assemble_documents(pieces).first()["content_digest"] == hashlib.sha256(whole.encode()).hexdigest()
+
+
+def test_large_document_is_published_and_read(spark):
+    """One rule for all sizes: more blocks than a scan's chunk has rows."""
+    count = 300
+    blocks = [text("Title", 1)] + [text(f"Line {i}") for i in range(count)]
+    n, sources = run(spark, {"d": blocks, "e": PAPER}, chunk_rows=64)
+    stored = tables.manifests_of(n, sources)
+    assert stored.filter("kind = 'block' AND doc_id = 'd'").count() == count
+    old = spark.createDataFrame([], tables.TABLES["parse_artifacts"]).select(
+        "id", "document_id", "is_active", "backend", "parser_version", "normalizer_version", "source_sha256", "manifest_path", "content_digest", "created_at")
+    out = tables.publish_artifacts(n, sources, old, 1)
+    read = {r["document_id"]: (r["status"], r["chapters"]) for r in tables.read_active_documents(out["parse_artifacts"], out["manifests"]).collect()}
+    assert set(read) == {"d", "e"} and all(s == "ok" and c >= 1 for s, c in read.values())
+    assert out["blocks"].filter("doc_id = 'd'").count() == count
+    digest = hashlib.sha256("".join(r["value"] for r in stored.filter("doc_id = 'd'").orderBy("place").collect()).encode()).hexdigest()
+    assert out["parse_artifacts"].filter("document_id = 'd'").first()["content_digest"] == digest
 
 
 def test_rejections(spark):
     n, _ = run(spark, {
         "box": [text("x", bbox=[500.0, 0.0, 100.0, 10.0]), text("fine")], "page": [{"type": "footer", "page_idx": 7}],
-        "asset": [{"type": "image", "img_path": "images/none.png"}], "empty": [text("Only title", 1)], "span": [{"type": "table", "table_body": "<tr><td colspan='9999'>x</td></tr>"}],
+        "asset": [{"type": "image", "img_path": "images/none.png"}], "empty": [text("Only title", 1)], "span": [{"type": "table", "table_body": "<table><tr><td colspan='9999'>x</td></tr></table>"}],
         "good": [text("fine")]})
     assert {r["doc_id"]: r["code"] for r in n.rejected.collect()} == {
         "box": "invalid_bbox", "page": "page_out_of_range", "asset": "missing_asset", "empty": "no_content", "span": "colspan_out_of_range"}
