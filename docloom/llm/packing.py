@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.stage import materialize
-from docloom.llm.common import map_texts, words_of
+from docloom.llm.common import map_texts
 
 CAPACITY = 4096
 END = 1
@@ -21,7 +21,9 @@ PART = 4096
 #: Times that partitions with a gap exchange what lies in their unfilled sequences.
 ROUNDS = 3
 #: Words a worker remembers the ids of.
-REMEMBER = 400_000
+REMEMBER = 800_000
+#: Words handed to the tokenizer as one text, and what stands between them.
+JOINED, MARK = 500, b"~"
 
 
 class WordIds:
@@ -35,35 +37,59 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark, = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 1
-        self.flat[0] = END
         # place 0 is the mark of a document's end
-        self.start, self.length = [0], [1]
+        self.flat, self.used = np.full(1 << 16, END, np.uint32), 1
+        self.start, self.length, self.known = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64), 1
+
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words and how many each has.
+
+        Words go to the tokenizer many at a time, with MARK between them, which is a token of its
+        own between blanks; words that have MARK inside go alone.
+        """
+        lengths, parts = np.zeros(len(words), np.int64), []
+        plain = [w for w in words if MARK not in w]
+        texts = [f" {MARK.decode()} ".join([w.decode("utf-8") for w in plain[at:at + JOINED]]) for at in range(0, len(plain), JOINED)]
+        found = []
+        for code in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(code.ids, np.uint32)
+            cut = np.flatnonzero(ids == self.mark)
+            found.append(np.diff(cut, prepend=-1, append=len(ids)) - 1)
+            parts.append(ids[ids != self.mark])
+        alone = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words if MARK in w], add_special_tokens=False)
+        lengths[:len(plain)] = np.concatenate(found) if found else 0
+        for i, code in enumerate(alone, len(plain)):
+            lengths[i] = len(code.ids)
+            parts.append(np.array(code.ids, np.uint32))
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), lengths
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.place) + len(words) > REMEMBER:
+        fresh = words - self.place.keys()
+        if len(self.place) + len(fresh) > REMEMBER:
             self.clear()
-        fresh = [w for w in words if w not in self.place]
-        for at in range(0, len(fresh), 10_000):
-            part = fresh[at:at + 10_000]
-            for word, code in zip(part, self.tokenizer.encode_batch_fast(
-                    [w.decode("utf-8") for w in part], add_special_tokens=False)):
-                ids = code.ids
-                if self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-                self.flat[self.used:self.used + len(ids)] = ids
-                self.place[word] = len(self.start)
-                self.start.append(self.used)
-                self.length.append(len(ids))
-                self.used += len(ids)
+            fresh = words
+        fresh = [w for w in fresh if MARK not in w] + [w for w in fresh if MARK in w]
+        ids, lengths = self._encoded(fresh)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
+        while self.known + len(fresh) > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.start, self.length))
+        self.flat[self.used:self.used + len(ids)] = ids
+        part = slice(self.known, self.known + len(fresh))
+        self.start[part] = self.used + np.cumsum(lengths) - lengths
+        self.length[part] = lengths
+        self.place.update(zip(fresh, range(self.known, self.known + len(fresh))))
+        self.used += len(ids)
+        self.known += len(fresh)
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, each followed by END, and where each text's ids end."""
-        split = [words_of(t) for t in texts]
+        split = [_plain_words(t) for t in texts]
         self.learn(set().union(*split))
         counts = np.fromiter((len(s) + 1 for s in split), np.int64, len(split))
         codes = np.zeros(int(counts.sum()), np.int64)
@@ -71,12 +97,18 @@ class WordIds:
         for words in split:
             codes[at:at + len(words)] = np.fromiter(map(get, words), np.int64, len(words))
             at += len(words) + 1
-        start, length = np.array(self.start)[codes], np.array(self.length)[codes]
+        start, length = self.start[codes], self.length[codes]
         ends = np.cumsum(length)
         ids = self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - length), length)]
         return ids, ends[np.cumsum(counts) - 1]
 
 
+def _plain_words(text: str | None) -> list[bytes]:
+    """Words with A-Z lower-cased, as the tokenizer does itself, but where its special tokens may stand."""
+    raw = b"" if text is None else text.encode("utf-8", "replace")
+    return (raw if b"<|" in raw else raw.lower()).split()
+
+
 @lru_cache(2)
 def word_ids(path: str) -> WordIds:
     return WordIds(path)
