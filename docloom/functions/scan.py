@@ -117,25 +117,3 @@ def scan_chunks(df: DataFrame, order: str) -> int | None:
     from docloom.functions.stage import highest
 
     return ONE_CHUNK if highest(df, order) < CHUNK_ROWS else None
-
-
-def ordered_lag(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    values: Sequence[str],
-    prefix: str = "prev_",
-    *,
-    reverse: bool = False,
-    chunk_rows: int | None = None,
-) -> DataFrame:
-    """The neighbouring row's ``values`` (the next row's if ``reverse``)."""
-    packed = F.struct(F.col(order).alias("o"), *[F.col(v) for v in values])
-    kind = "next" if reverse else "last"
-    out = ordered_scan(
-        df, keys, order, {"__lag": (kind, packed)}, inclusive=False, reverse=reverse,
-        chunk_rows=chunk_rows,
-    )
-    return out.select(
-        *df.columns, *[F.col(f"__lag.{v}").alias(f"{prefix}{v}") for v in values]
-    )

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from docloom.functions.text import (
@@ -35,6 +37,7 @@ TASK = "explain_selected_translation"
 ACTIVE = ["queued", "streaming"]
 TERMINAL = ["ready", "failed", "cancelled"]
 INTERRUPTED_MESSAGE = "Reading Assistant response was interrupted; retry it"
+IGNORED_MARKERS_MESSAGE = "Some invalid citation markers were ignored"
 
 
 @dataclass(frozen=True)
@@ -342,15 +345,28 @@ def citation_targets(requests: DataFrame) -> DataFrame:
 def selection_occurrence(selections: DataFrame) -> DataFrame:
     """Adds start_utf16/end_utf16 of the occurrence of ``selected_text`` in ``target`` nearest to
     ``approximate_start``; the earlier one wins a tie, no occurrence leaves null."""
-    text, sel = F.col("target"), F.col("selected_text")
-    size = F.length(sel)
-    places = F.when((size > 0) & (F.length(text) >= size), F.filter(
-        F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, size) == sel))
-    spots = F.transform(places, lambda i: utf16_len(F.substring(text, F.lit(1), i - 1)))
-    ranked = F.array_min(F.transform(spots, lambda s: F.struct(
-        F.abs(s - F.col("approximate_start")).alias("far"), s.alias("at"))))
-    return selections.withColumn("start_utf16", ranked["at"]).withColumn(
-        "end_utf16", F.col("start_utf16") + utf16_len(sel))
+    start = _nearest_occurrence("target", "selected_text", "approximate_start")
+    return selections.withColumn("start_utf16", start).withColumn(
+        "end_utf16", F.col("start_utf16") + utf16_len(F.col("selected_text")))
+
+
+@F.pandas_udf(T.IntegerType())
+def _nearest_occurrence(texts: pd.Series, needles: pd.Series, near: pd.Series) -> pd.Series:
+    """UTF-16 offset of the occurrence nearest to a place; one pass over each text."""
+    def find(text, needle, place):
+        if not text or not needle or pd.isna(place):
+            return None
+        best, at, last, offset = None, text.find(needle), 0, 0
+        while at >= 0:
+            # characters beyond the basic plane take two units
+            offset += at - last + sum(c > "\uffff" for c in text[last:at]) if not text.isascii() else at - last
+            if best is not None and abs(offset - place) >= abs(best - place):
+                break
+            best, last = offset, at
+            at = text.find(needle, at + 1)
+        return best
+
+    return pd.Series([find(*row) for row in zip(texts, needles, near)], dtype="Int32")
 
 
 # ---- citations -------------------------------------------------------------------------
@@ -445,7 +461,7 @@ def finalize_responses(streams: DataFrame) -> DataFrame:
     done = (F.col("finish_reason") == "stop") & ~is_blank("text") & F.col("provider_code").isNull()
     state = F.when(F.col("cancelled"), "cancelled").when(F.coalesce(done, F.lit(False)), "ready").otherwise("failed")
     code = F.when(state == "cancelled", "cancelled").when(state == "failed", F.coalesce("provider_code", F.lit("response_incomplete")))
-    note = F.when((state == "ready") & (F.col("warnings") > 0), "Some invalid citation markers were ignored")
+    note = F.when((state == "ready") & (F.col("warnings") > 0), IGNORED_MARKERS_MESSAGE)
     return streams.select("request_id", state.alias("state"), code.alias("error_code"), note.alias("safe_message"))
 
 

@@ -484,13 +484,6 @@ def repair_set(prepared: DataFrame, judged: DataFrame, config: TranslationConfig
     return plan_batches(prepared.join(failed, "block_id", "left_semi"), config, chunk_rows=chunk_rows)
 
 
-def merge_repair(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Judgements after the repair: accepted first answers plus all of the second pass."""
-    columns = [c for c in first.columns if c in second.columns]
-    kept = first.join(second.select("block_id"), "block_id", "left_anti")
-    return kept.select(*columns).unionByName(second.select(*columns))
-
-
 # ---- stored rows -----------------------------------------------------------------------
 def commit_results(translations: DataFrame, judged: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(translations after the commit, errors). ``judged``: job_id, block_id, code, safe_message,

@@ -101,16 +101,19 @@ FROM (SELECT *, row_number() OVER (PARTITION BY selection_id ORDER BY step) AS r
 
 def _occurrences(c: Corpus):
     d = c.table("documents")
-    return d.select("doc_id", F.substring_index("text", "\n", 1).alias("target"), F.lit("the").alias("selected_text"),
-                    (F.col("doc_id") % 90).cast("int").alias("approximate_start"))
+    k = F.col("doc_id") % 3
+    needle = F.when(k == 0, "the").when(k == 1, "er").otherwise("ch")
+    return d.select("doc_id", F.col("text").alias("target"), needle.alias("selected_text"),
+                    (F.col("doc_id") * 37 % 3000).cast("int").alias("approximate_start"))
 
 
 register("C9_selection_occurrence", lambda c: C.selection_occurrence(_occurrences(c)).select("doc_id", "start_utf16", "end_utf16"),
-         """WITH t AS (SELECT doc_id, split_part(text, chr(10), 1) AS x, doc_id % 90 AS near FROM documents),
-p AS (SELECT doc_id, near, x, unnest(range(1, greatest(length(x) - 1, 1))) AS i FROM t),
-m AS (SELECT doc_id, near, (i - 1 + length(regexp_replace(left(x, i - 1), '[^\\x{10000}-\\x{10FFFF}]', '', 'g')))::INT AS at_ FROM p WHERE substr(x, i, 3) = 'the'),
-b AS (SELECT doc_id, arg_min(at_, abs(at_ - near) * 100000 + at_) AS s FROM m GROUP BY 1)
-SELECT t.doc_id, b.s AS start_utf16, (b.s + 3)::INT AS end_utf16 FROM t LEFT JOIN b ON b.doc_id = t.doc_id""")
+         """WITH t AS (SELECT doc_id, text AS x, doc_id * 37 % 3000 AS near, CASE doc_id % 3 WHEN 0 THEN 'the' WHEN 1 THEN 'er' ELSE 'ch' END AS n FROM documents),
+p AS (SELECT doc_id, near, n, unnest(string_split(x, n)) AS piece, generate_subscripts(string_split(x, n), 1) AS j, len(string_split(x, n)) AS k FROM t),
+m AS (SELECT doc_id, near, j, k, (sum(length(piece) + length(regexp_replace(piece, '[^\\x{10000}-\\x{10FFFF}]', '', 'g'))) OVER (
+    PARTITION BY doc_id ORDER BY j ROWS UNBOUNDED PRECEDING) + (j - 1) * length(n))::INT AS at_ FROM p),
+b AS (SELECT doc_id, arg_min(at_, abs(at_ - near) * 1000000 + at_) AS s FROM m WHERE j < k GROUP BY 1)
+SELECT t.doc_id, b.s AS start_utf16, (b.s + length(t.n))::INT AS end_utf16 FROM t LEFT JOIN b ON b.doc_id = t.doc_id""")
 register("C10_cleaned_answers", lambda c: C.extract_citations(c.answers, c.allowed)[0],
          compose("SELECT request_id, original AS text FROM answers"))
 register("C10_extract_citations", lambda c: C.extract_citations(c.answers, c.allowed)[1],

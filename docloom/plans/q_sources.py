@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docloom.functions.scan import CHUNK_ROWS
@@ -19,8 +21,18 @@ from docloom.streaming import sinks
 
 NOW = 9_000_000
 
-register("S1_scan_pdf_inventory", lambda c: S.scan_pdf_inventory(c.spark, c.sf_dir).select(
-    F.element_at(F.split("path", "/"), -1).alias("name"), "length", "sha256", "has_header"))
+def _inventory(c: Corpus):
+    """Every document as a file of its own, a third of them with a PDF's first bytes, scanned."""
+    folder = f"{checkpoint_dir(c.spark)}/docloom-{uuid.uuid4().hex}/files"
+    mark = F.when(F.col("doc_id") % 3 == 0, "%PDF-1.7 ").otherwise("")
+    c.table("documents").select("doc_id", F.concat(mark, "text").alias("value")).repartition("doc_id").write.partitionBy("doc_id").text(folder)
+    return S.scan_pdf_inventory(c.spark, folder).select(
+        F.regexp_extract("path", "doc_id=([0-9]+)/", 1).cast("long").alias("doc_id"), "length", "sha256", "has_header")
+
+
+register("S1_scan_pdf_inventory", _inventory,
+         """SELECT doc_id, octet_length(b) AS length, sha256(b) AS sha256, doc_id % 3 = 0 AS has_header
+FROM (SELECT doc_id, encode(CASE WHEN doc_id % 3 = 0 THEN '%PDF-1.7 ' ELSE '' END || text || chr(10)) AS b FROM documents)""")
 
 
 def _content_lists(c: Corpus):

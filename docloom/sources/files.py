@@ -11,19 +11,12 @@ from docloom.schemas import LAYOUT, RAW_BLOCK
 # fixed values
 PDF_MARK = "%PDF-"
 HEADER_BYTES = 1024
-MAX_FILE_BYTES = 256 * 1024 * 1024
 CONTENT_LIST = "content_list.json"
 LAYOUT_FILE = "layout.json"
 # extension -> MIME type
 IMAGE_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp"}
 
 
-def list_files(spark: SparkSession, glob: str) -> DataFrame:
-    """path, length, mtime_ms without opening a file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(glob)
-    return files.select("path", "length", F.unix_millis("modificationTime").alias("mtime_ms"))
-
-
 def inspect_files(files: DataFrame) -> DataFrame:
     """path, length, mtime_ms, sha256, has_header from binaryFile rows; the bytes go no further."""
     head = F.decode(F.substring("content", 1, HEADER_BYTES), "ISO-8859-1")
