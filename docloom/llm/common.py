@@ -16,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Texts handed to one vectorised step are gathered up to this many characters; a longer text is
 #: a step of its own, so that memory follows the longest document and not the Arrow batch.
-STEP_CHARS = 2_000_000
+STEP_CHARS = 1_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -63,6 +63,11 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def give_back() -> None:
+    """Return freed Arrow memory to the system: Python workers outlive the stage that filled them."""
+    pa.default_memory_pool().release_unused()
+
+
 def map_texts(df: DataFrame, schema: str, work: Callable[[list, list], dict], key: str = "doc_id", text: str = "text") -> DataFrame:
     """Apply ``work(ids, texts) -> columns`` to whole texts, in steps of bounded size.
 
@@ -76,6 +81,7 @@ def map_texts(df: DataFrame, schema: str, work: Callable[[list, list], dict], ke
             for a, b in steps(batch.column(1)):
                 out = work(batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in wanted], schema=wanted)
+        give_back()
 
     return df.select(F.col(key), F.col(text)).mapInArrow(run, schema)
 

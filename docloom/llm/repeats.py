@@ -8,9 +8,9 @@ PHRASE-word sequences), so passages are found by phrases:
 2. Stretches around recurring phrases go to their owner's shard. A shard compiles the phrases in its
    owners' stretches into an Aho-Corasick automaton, streams all stretches through it and extends
    every occurrence word by word along the owner's text: runs of WINDOW words or more go.
-3. What stays open, windows that hold recurring phrases only but do not occur in the owner, is small.
-   Such windows occur in no document before those that also find them open, so the smallest of these
-   is the first, and the others' windows go too.
+3. What stays open, windows whose least phrase recurs but that do not occur in its owner, is small.
+   Every document that has such a window finds it open, as they all have the same owner, so the
+   smallest of these is the first, and the others' windows go too.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from docloom.functions.stage import materialize
 from docloom.llm.common import arrow_schema, map_texts, steps, words_of
 
 WINDOW, PHRASE = 50, 25
+MARGIN = WINDOW - PHRASE
 #: Words of owners' stretches in a shard, and of stretches streamed past one copy of it.
 SHARD_WORDS, STREAM_WORDS = 100_000, 300_000
 
@@ -58,13 +59,14 @@ def rolling(hashes: np.ndarray, k: int, factor: int = _FACTORS[0]) -> np.ndarray
     return (sums[k:] - sums[:-k]) * down[:n - k + 1]
 
 
-def winnowed(phrases: np.ndarray) -> np.ndarray:
-    """Places of the phrases that are the least in some window, leftmost of equals."""
+def winnowed(phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the phrases that are the least in some window, leftmost of equals; and the first of
+    the windows in a row that each is the least of, with their number."""
     room = WINDOW - PHRASE + 1
     if len(phrases) < room:
-        return np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     least = np.lib.stride_tricks.sliding_window_view(phrases, room).argmin(1)
-    return np.unique(least + np.arange(len(least)))
+    return np.unique(least + np.arange(len(least)), return_index=True, return_counts=True)
 
 
 def _survey(docs: DataFrame) -> DataFrame:
@@ -74,7 +76,7 @@ def _survey(docs: DataFrame) -> DataFrame:
         for text in texts:
             words = words_of(text)
             hashes = rolling(word_hashes(words), PHRASE)
-            places = winnowed(hashes)
+            places = winnowed(hashes)[0]
             for k, v in zip(out, (len(words), hashlib.sha256(b" ".join(words)).hexdigest(), places.astype(np.int32),
                                   hashes[places].view(np.int64))):
                 out[k].append(v)
@@ -92,26 +94,24 @@ def _key():
 
 
 def _stretches(suspects: DataFrame) -> DataFrame:
-    """Rows (owner, doc_id, text_hash, start, text, hits, misses): text around phrases of one owner."""
+    """Rows (owner, doc_id, text_hash, start, text, hits, firsts, counts): text around phrases of one owner."""
     names = suspects.columns
     kind = suspects.schema["doc_id"].dataType.simpleString()
-    schema = (f"owner {kind}, doc_id {kind}, text_hash long, start int, words int, text string, hits array<int>, misses array<int>")
+    schema = (f"owner {kind}, doc_id {kind}, text_hash long, start int, words int, text string, hits array<int>, firsts array<int>, counts array<int>")
 
     wanted = arrow_schema(schema)
 
     def run(batches):
-        margin = WINDOW - PHRASE
         for batch in batches:
             for a, b in steps(batch.column(names.index("text")), 500_000):
                 out = {f.name: [] for f in wanted}
                 for row in batch.slice(a, b - a).to_pylist():
                     words = words_of(row["text"])
-                    places = winnowed(rolling(word_hashes(words), PHRASE))
+                    windows = {p: (a, n) for p, a, n in zip(*map(np.ndarray.tolist, winnowed(rolling(word_hashes(words), PHRASE))))}
                     owners = {h["place"]: h["owner"] for h in row["hits"]}
-                    missed = np.array([p for p in places if p not in owners], np.int64)
                     runs: dict = {}
                     for p in sorted(owners):
-                        lo, hi = max(0, p - margin), min(len(words), p + WINDOW)
+                        lo, hi = max(0, p - MARGIN), min(len(words), p + WINDOW)
                         found = runs.setdefault(owners[p], [])
                         if found and lo <= found[-1][1]:
                             found[-1][1] = hi
@@ -120,69 +120,76 @@ def _stretches(suspects: DataFrame) -> DataFrame:
                             found.append([lo, hi, [p]])
                     for owner, found in runs.items():
                         for lo, hi, hits in found:
-                            inside = missed[(missed >= lo) & (missed + PHRASE <= hi)]
                             for k, v in (("owner", owner), ("doc_id", row["doc_id"]), ("text_hash", row["text_hash"]), ("start", lo),
                                          ("words", hi - lo), ("text", b" ".join(words[lo:hi]).decode("utf-8")),
-                                         ("hits", [h - lo for h in hits]), ("misses", (inside - lo).tolist())):
+                                         ("hits", [h - lo for h in hits]), ("firsts", [windows[h][0] - lo for h in hits]),
+                                         ("counts", [windows[h][1] for h in hits])):
                                 out[k].append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in wanted], schema=wanted)
 
     return suspects.mapInArrow(run, schema)
 
 
-def _automaton(own: list[list[str]], hits: list[list[int]]):
-    """Phrases at the given places of the owners' stretches; each knows all its places."""
+def _automaton(own: list[list[str]], hits: list[list[int]], owners: list):
+    """Phrases at the given places of the owners' stretches; each knows where it stands.
+
+    Of an owner's places with the same words around them, as in text that repeats itself, one is kept.
+    """
     import ahocorasick
 
-    places: dict[str, list[tuple[int, int]]] = {}
-    for i, (words, at) in enumerate(zip(own, hits)):
+    places: dict[str, dict] = {}
+    for i, (words, at, owner) in enumerate(zip(own, hits, owners)):
         for p in at:
-            places.setdefault(f" {' '.join(words[p:p + PHRASE])} ", []).append((i, p))
+            around = hash((owner, min(p, MARGIN), tuple(words[max(0, p - MARGIN):p + WINDOW])))
+            places.setdefault(f" {' '.join(words[p:p + PHRASE])} ", {}).setdefault(around, (i, p))
     machine = ahocorasick.Automaton()
     for phrase, found in places.items():
-        machine.add_word(phrase, found)
+        machine.add_word(phrase, list(found.values()))
     machine.make_automaton()
     return machine
 
 
 def locate(words: list[str], machine, own: list[list[str]], mine: set[int]) -> list[tuple[int, int]]:
-    """Runs (from, to) of WINDOW words or more that stand in the stretches numbered ``mine`` as well."""
+    """Runs (from, to) of WINDOW words or more that stand in the stretches numbered ``mine`` as well.
+
+    An occurrence is extended as far as windows that hold it reach; longer passages are runs that
+    overlap, one for each phrase in them.
+    """
     text = f" {' '.join(words)} "
     begins = np.cumsum([1] + [len(w) + 1 for w in words[:-1]])
-    seen: dict[tuple[int, int], int] = {}
     out = []
     for end, found in machine.iter(text):
         # the phrase ends before the blank at ``end``
         p = int(np.searchsorted(begins, end)) - PHRASE
+        left, right = min(p, MARGIN), min(len(words) - p, WINDOW)
         for i, q in found:
-            if i not in mine or seen.get((i, p - q), -1) >= p + PHRASE:
+            if i not in mine:
                 continue
             there = own[i]
             lo, hi = 0, PHRASE
-            while p - lo > 0 and q - lo > 0 and words[p - lo - 1] == there[q - lo - 1]:
+            most_lo, most_hi = min(left, q), min(right, len(there) - q)
+            while lo < most_lo and words[p - lo - 1] == there[q - lo - 1]:
                 lo += 1
-            while p + hi < len(words) and q + hi < len(there) and words[p + hi] == there[q + hi]:
+            while hi < most_hi and words[p + hi] == there[q + hi]:
                 hi += 1
-            seen[i, p - q] = p + hi
             if lo + hi >= WINDOW:
                 out.append((p - lo, p + hi))
+                if lo == left and hi == right:
+                    break
     return out
 
 
-def _open_windows(words: list[str], hits: list[int], misses: list[int], runs: list[tuple[int, int]]) -> np.ndarray:
-    """Windows with hits, without misses, that lie in no run."""
-    n = len(words) - WINDOW + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    have, lack, done = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32)
-    for marks, at in ((have, hits), (lack, misses)):
-        for p in at:
-            marks[max(0, p + PHRASE - WINDOW)] += 1
-            marks[min(n, p + 1)] -= 1
+def _open_windows(size: int, firsts: list[int], counts: list[int], runs: list[tuple[int, int]]) -> np.ndarray:
+    """Windows whose least phrase is a hit and that lie in no run."""
+    n = max(0, size - WINDOW + 1)
+    have, done = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32)
+    for a, k in zip(firsts, counts):
+        have[a] += 1
+        have[a + k] -= 1
     for a, b in runs:
         done[a] += 1
         done[b - WINDOW + 1] -= 1
-    return np.flatnonzero((np.cumsum(have)[:n] > 0) & (np.cumsum(lack)[:n] == 0) & (np.cumsum(done)[:n] == 0))
+    return np.flatnonzero((np.cumsum(have)[:n] > 0) & (np.cumsum(done)[:n] == 0))
 
 
 def _search(stretches: DataFrame) -> DataFrame:
@@ -190,7 +197,7 @@ def _search(stretches: DataFrame) -> DataFrame:
     owned = stretches.where("owner = doc_id").agg(F.sum("words")).first()[0] or 0
     shard = F.pmod(F.xxhash64("owner"), F.lit(max(1, -(-owned // SHARD_WORDS)))).alias("shard")
     own = stretches.where("owner = doc_id").select(shard, "owner", "text", "hits")
-    others = stretches.where("owner <> doc_id").select(shard, "owner", "doc_id", "text_hash", "start", "words", "text", "hits", "misses")
+    others = stretches.where("owner <> doc_id").select(shard, "owner", "doc_id", "text_hash", "start", "words", "text", "hits", "firsts", "counts")
     copies = others.groupBy("shard").agg(F.ceil(F.sum("words") / STREAM_WORDS).cast("int").alias("copies"))
     own = own.join(copies, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     others = others.join(copies, "shard").withColumn("copy", F.pmod(F.xxhash64("doc_id", "text_hash", "start"), F.col("copies")).cast("int"))
@@ -201,7 +208,7 @@ def _search(stretches: DataFrame) -> DataFrame:
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         texts = [t.split(" ") for t in left["own_text"]]
-        machine = _automaton(texts, [list(h) for h in left["own_hits"]])
+        machine = _automaton(texts, [list(h) for h in left["own_hits"]], list(left["own_owner"]))
         of: dict = {}
         for i, owner in enumerate(left["own_owner"]):
             of.setdefault(owner, set()).add(i)
@@ -210,13 +217,15 @@ def _search(stretches: DataFrame) -> DataFrame:
             words = r.text.split(" ")
             runs = locate(words, machine, texts, of.get(r.owner, set()))
             rows += [(r.doc_id, r.text_hash, r.start + a, b - a, None, None) for a, b in runs]
-            still = _open_windows(words, r.hits, r.misses, runs)
+            still = _open_windows(len(words), r.firsts, r.counts, runs)
             if len(still):
                 hashes = word_hashes([w.encode() for w in words])
                 h1, h2 = (rolling(hashes, WINDOW, f)[still].view(np.int64).tolist() for f in _FACTORS)
                 rows += [(r.doc_id, r.text_hash, r.start + int(s), WINDOW, x, y) for s, x, y in zip(still, h1, h2)]
-        out = pd.DataFrame(rows, columns=["doc_id", "text_hash", "start", "length", "h1", "h2"])
-        return out.astype({"h1": "Int64", "h2": "Int64", "start": "int32", "length": "int32"})
+        columns = list(zip(*rows)) or [()] * 6
+        # nullable integers from the start: a detour by floats would round the hashes
+        return pd.DataFrame({n: list(c) if n == "doc_id" else pd.array(list(c), "Int64") for n, c in zip(
+            ("doc_id", "text_hash", "start", "length", "h1", "h2"), columns)})
 
     return own.groupBy("own_shard", "own_copy").cogroup(others.groupBy("shard", "copy")).applyInPandas(
         run, f"doc_id {kind}, text_hash long, start int, length int, h1 long, h2 long")
@@ -226,8 +235,10 @@ def removed_runs(docs: DataFrame, surveyed: DataFrame) -> tuple[DataFrame, DataF
     """(doc_id, text_hash, runs) of documents that lose words, and the texts of all that have a recurring phrase."""
     found = surveyed.where("doc_id IS NOT NULL").select("doc_id", "text_hash", F.explode(F.arrays_zip("places", "phrases")).alias("p")).select(
         "doc_id", "text_hash", F.col("p.places").alias("place"), F.col("p.phrases").alias("phrase"))
-    recurring = found.groupBy("phrase").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
-    hits = found.join(recurring.select("phrase", "owner"), "phrase").groupBy("doc_id", "text_hash").agg(
+    # written, so that both sides of the join are plain shuffles and a frequent phrase can be split
+    recurring = materialize(found.groupBy("phrase").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where(
+        "owner < last").select("phrase", "owner"), "recurring")
+    hits = found.join(recurring, "phrase").groupBy("doc_id", "text_hash").agg(
         F.collect_set(F.struct("place", "owner")).alias("hits"))
     suspects = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(hits, ["doc_id", "text_hash"])
     suspects = materialize(suspects, "suspects")

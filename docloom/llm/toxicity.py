@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import fold_of, map_texts
+from docloom.llm.common import fold_of, give_back, map_texts, steps
 
 FOLDS = 5
 #: Bounds of the training sample: labelled documents of each class, chosen by a hash of their id,
@@ -41,7 +41,7 @@ SENTENCES = 12_000
 #: Decisions below the SVM's negative margin are all the same to a document.
 FLOOR = -1.0
 #: Words a worker remembers as judged.
-REMEMBER = 300_000
+REMEMBER = 100_000
 
 # Digits and signs that are written for letters.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "ß": "s"}
@@ -485,12 +485,11 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     place = schema.fieldNames().index("text")
 
     def run(batches):
-        from docloom.llm.common import steps
-
         for batch in batches:
             for a, b in steps(batch.column(place)):
                 part = batch.slice(a, b - a)
                 yield part.filter(_mask(scorer(part.column(place).to_pylist()) < 0.5))
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

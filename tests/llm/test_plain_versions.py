@@ -230,14 +230,15 @@ def test_repeats_on_tables(spark, texts):
     assert got == plain_repeats(texts)
 
 
-def test_repeats_of_pasted_passages(spark, monkeypatch):
+@pytest.mark.parametrize("seed", [3, 9])
+def test_repeats_of_pasted_passages(spark, monkeypatch, seed):
     """Passages cut, joined, repeated and changed so that owners differ along one text; small shards."""
     monkeypatch.setattr(repeats, "SHARD_WORDS", 300)
     monkeypatch.setattr(repeats, "STREAM_WORDS", 500)
-    rng = random.Random(9)
+    rng = random.Random(seed)
     pool = [[f"p{n}w{rng.randrange(40)}" for _ in range(rng.choice((49, 50, 51, 75, 130)))] for n in range(8)] + [["la"] * 70]
     texts = {}
-    for i in range(60):
+    for i in range(150):
         words = []
         for _ in range(rng.randrange(1, 5)):
             part = list(rng.choice(pool))
