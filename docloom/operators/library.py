@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docloom.functions.text import ascii_lower, clean_text
 
@@ -89,8 +90,10 @@ def query_library(
     # the id settles ties, so that paging never repeats or skips a row
     order = [*(by_title if sort == "title" else by_recency), F.col("id").asc()]
     page = found.orderBy(*order).offset(offset).limit(limit + 1)
-    # at most limit+1 rows reach this aggregate
-    rows = page.agg(F.collect_list(F.struct(*library.columns)).alias("rows"))
+    # at most limit+1 rows are numbered and gathered; the number keeps their order
+    numbered = page.withColumn("__n", F.row_number().over(Window.orderBy(*order)))
+    rows = numbered.agg(F.array_sort(F.collect_list(F.struct("__n", F.struct(*library.columns).alias("r")))).alias("rs")).select(
+        F.transform("rs", lambda x: x["r"]).alias("rows"))
     more = F.when(F.size("rows") > limit, F.lit(str(offset + limit)))
     return rows.select(
         F.posexplode(F.slice("rows", 1, limit)).alias("position", "row"), more.alias("next_cursor")

@@ -106,12 +106,14 @@ def latest_operation(ops: DataFrame, jobs: DataFrame, backend: str | None = None
 def mark_interrupted(jobs: DataFrame) -> DataFrame:
     """Open jobs become interrupted; those with a newer twin (chapter and plan) are cancelled.
 
-    A job without chapter or plan has no twin, as NULL equals nothing in the join.
+    A job without chapter or plan has no twin and takes no part in the join.
     """
     translation = F.col("kind").isin(TRANSLATION_KINDS)
-    newest = jobs.filter(translation & F.col("chapter_id").isNotNull() & F.col("plan_digest").isNotNull()).groupBy(
+    keyed = F.col("chapter_id").isNotNull() & F.col("plan_digest").isNotNull()
+    newest = jobs.filter(translation & keyed).groupBy(
         "chapter_id", "plan_digest").agg(F.max(F.struct("created_at", "rowid")).alias("__newest"))
-    rows = jobs.join(newest, ["chapter_id", "plan_digest"], "left")
+    rows = jobs.filter(keyed).join(newest, ["chapter_id", "plan_digest"], "left").unionByName(
+        jobs.filter(~keyed), allowMissingColumns=True)
     state = F.when(translation & F.col("state").isin("queued", "running"), "interrupted").otherwise(F.col("state"))
     old = translation & (state == "interrupted") & F.coalesce(
         F.struct("created_at", "rowid") < F.col("__newest"), F.lit(False))

@@ -63,7 +63,7 @@ register(
     ).select("position", "id", "title", "next_cursor"),
     compose(f"""
 WITH d AS (SELECT sha256, arg_min(id, imported_at) AS id, arg_max(title, imported_at) AS title,
-    arg_max(authors, imported_at) AS authors, arg_max(last_opened_at, imported_at) AS opened FROM imports GROUP BY sha256),
+    arg_max(authors, imported_at) AS authors, max(imported_at) AS opened FROM imports GROUP BY sha256),
 m AS (SELECT * FROM d WHERE {lower('title')} LIKE '%the%' OR {lower('authors::VARCHAR')} LIKE '%the%'),
 r AS (SELECT *, row_number() OVER (ORDER BY {lower('title')}, opened DESC NULLS LAST, id) - 1 AS rn, count(*) OVER () AS n FROM m)
 SELECT (rn - 5)::INT AS position, id, title, CASE WHEN n > 35 THEN '35' END AS next_cursor
