@@ -80,9 +80,9 @@ def _cut(rows: DataFrame, parts: DataFrame) -> DataFrame:
     return joined.withColumn("_more", (F.col("_extra") > 0) & (F.col("before") + F.sum("_size").over(through) <= F.col("_extra")))
 
 
-def plan(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What each source takes, with the words in earlier slices, for each slice of it; and for each
-    source the one document beyond the cut whose size comes nearest to what the cut leaves open."""
+def plan(sized: DataFrame) -> DataFrame:
+    """What each source takes, with the words in earlier slices, for each slice of it; and, in its
+    slice, the one document beyond the cut whose size comes nearest to what the cut leaves open."""
     rows = sized.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"))
     slices = _placed(rows, "_id").groupBy("_source", "_slice").agg(F.sum("_size").alias("_sum"))
     earlier = Window.partitionBy("_source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -99,21 +99,20 @@ def plan(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
     picks = by_size.where("_first IS NOT NULL").join(
         left.select(F.col("_source").alias("source"), "_open"), _same_source()).where(off < F.col("_open")).groupBy("_source").agg(
         F.min(F.struct(off.alias("off"), F.col("_first._place"), F.col("_first._id"), F.col("_first._slice"), "_size")).alias("p"))
-    return parts, materialize(picks.select(
-        F.col("_source").alias("p_source"), F.col("p._slice").alias("p_slice"), F.col("p._place").alias("p_place"),
-        F.col("p._id").alias("p_id"), F.col("p._size").alias("p_size")), "picks")
+    picks = picks.select("_source", F.col("p._slice").alias("p_slice"), F.struct("p._place", "p._id", "p._size").alias("pick"))
+    # the documents, which may carry texts, are then joined once only
+    return materialize(parts.join(picks, _same_source() & (F.col("slice") == F.col("p_slice")), "left").select(*parts.columns, "pick"), "plan")
 
 
-def decide(rows: DataFrame, parts: DataFrame, picks: DataFrame) -> DataFrame:
+def decide(rows: DataFrame, parts: DataFrame) -> DataFrame:
     """Rows (with _id, _source, _size) with _copies, source_size and target.
 
     A source's rate is target / size: everyone gets its whole part; for the fraction's words,
     documents get one more in the order of their hash, and one beyond them closes the gap.
     """
-    same = [F.col("_slice") == F.col("p_slice"), F.col("_place") == F.col("p_place"), F.col("_size") == F.col("p_size"),
-            F.col("_source").eqNullSafe(F.col("p_source")), F.col("_id").eqNullSafe(F.col("p_id"))]
-    cut = _cut(rows, parts).join(picks, same, "left")
-    return cut.withColumn("_copies", (F.col("_whole") + (F.col("_more") | F.col("p_slice").isNotNull()).cast("int")).cast("long"))
+    picked = F.col("pick").isNotNull() & (F.col("_place") == F.col("pick._place")) & (
+        F.col("_size") == F.col("pick._size")) & F.col("_id").eqNullSafe(F.col("pick._id"))
+    return _cut(rows, parts).withColumn("_copies", (F.col("_whole") + (F.col("_more") | picked).cast("int")).cast("long"))
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -129,7 +128,7 @@ def mix_report(docs: DataFrame) -> DataFrame:
     """
     sized = _sized(docs)
     rows = sized.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"))
-    return decide(rows, *plan(sized)).select(
+    return decide(rows, plan(sized)).select(
         F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target",
         (F.col("_copies") * F.col("_size")).alias("taken"))
 
@@ -138,7 +137,7 @@ def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: each row as often as the mix takes it, all columns as they came."""
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"),
                        word_count(F.col("text")).alias("_size"))
-    taken = decide(rows, *plan(_sized(docs))).where("_copies > 0")
+    taken = decide(rows, plan(_sized(docs))).where("_copies > 0")
     return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
