@@ -61,13 +61,16 @@ def assign(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
             # the distance itself is taken without cancellation
             far = np.sqrt(((m - p[cell]) ** 2).sum(1))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far), pa.array(np.sqrt((m * m).sum(1)))],
-                                             names=["vec_id", "v", "cell", "far", "norm"])
+                                             names=["vec_id", "v", "copies", "cell", "far", "norm"])
 
-    return vectors.mapInArrow(run, "vec_id long, v array<long>, cell int, far double, norm double")
+    return vectors.select("vec_id", "v", "copies").mapInArrow(run, "vec_id long, v array<long>, copies int, cell int, far double, norm double")
 
 
 def needed(queries: DataFrame, pivots: np.ndarray, pivot_ids: list[int], summary: pd.DataFrame, k: int) -> DataFrame:
-    """(query_id, v, cell): each query with every group that may hold one of its k best."""
+    """(query_id, v, copies, cell): each query with every group that may hold one of its k best.
+
+    Queries come with ``own``, how many rows of the data have their id: those are no candidates.
+    """
     width = pivots.shape[1]
     cells, sizes = summary["cell"].to_numpy(), summary["n"].to_numpy()
     radius, norm = summary["radius"].to_numpy(), summary["norm"].to_numpy()
@@ -90,16 +93,17 @@ def needed(queries: DataFrame, pivots: np.ndarray, pivot_ids: list[int], summary
             certain = np.sort(certain, 1)[:, ::-1]
             sure = certain[:, k - 1] if certain.shape[1] >= k else np.full(len(m), -np.inf)
             order = np.argsort(-low, 1)
-            reached = np.cumsum(sizes[order], 1) >= k + 1  # one may be the query itself
+            mine = batch.column(3).to_numpy()
+            reached = np.cumsum(sizes[order], 1) >= k + mine[:, None]  # these may be the query's own
             at = np.where(reached.any(1), reached.argmax(1), -1)
             bound = np.where(at >= 0, np.take_along_axis(low, np.take_along_axis(order, np.maximum(at, 0)[:, None], 1), 1)[:, 0], -np.inf)
             take = high >= np.maximum(sure, bound)[:, None]
             rows, chosen = np.nonzero(take)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(cells[chosen].astype(np.int32))],
-                names=["query_id", "v", "cell"])
+                *(batch.column(i).take(pa.array(rows)) for i in range(3)), pa.array(cells[chosen].astype(np.int32))],
+                names=["query_id", "v", "copies", "cell"])
 
-    return queries.mapInArrow(run, "query_id long, v array<long>, cell int")
+    return queries.select("query_id", "v", "copies", "own").mapInArrow(run, "query_id long, v array<long>, copies int, cell int")
 
 
 def _solve(k: int, width: int):
@@ -109,10 +113,11 @@ def _solve(k: int, width: int):
             ids = right["vec_id"].to_numpy()
             order = np.argsort(ids, kind="stable")
             ids, m = ids[order], _matrix(right["v"].to_numpy()[order], width)
+            copies = right["copies"].to_numpy()[order]
             for start in range(0, len(left), 512):
                 part = left.iloc[start:start + 512]
                 scores = products(_matrix(part["v"].to_numpy(), width), m)
-                for q, row in zip(part["query_id"].to_numpy(), scores):
+                for q, times, row in zip(part["query_id"].to_numpy(), part["copies"].to_numpy(), scores):
                     row = np.where(ids == q, np.iinfo(np.int64).min, row)
                     # ids are sorted, so a stable sort settles ties
                     if len(row) > 4 * k:
@@ -121,7 +126,8 @@ def _solve(k: int, width: int):
                     else:
                         best = np.arange(len(row))
                     best = best[np.argsort(-row[best], kind="stable")][:k]
-                    out += [(q, ids[i], row[i]) for i in best if ids[i] != q]
+                    # every copy of the query meets every copy of the candidate
+                    out += [(q, ids[i], row[i]) for i in best if ids[i] != q for _ in range(min(k, times * copies[i]))]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     return run
@@ -132,10 +138,13 @@ def top_k(table: DataFrame, every: int = 50, k: int = K) -> DataFrame:
 
     Ties go to the smaller id. Null vectors, null or non-finite components and null ids take no
     part; vectors of unequal length count as filled up with zeros; rows of one id are one another's
-    own and never candidates of each other, as queries they count once (the largest vector); an
-    empty table gives no rows. Other columns are not looked at.
+    own and never candidates of each other, but to others repeated rows are candidates of their own,
+    and a query's rows share its k places; an empty table gives no rows. Other columns are not
+    looked at.
     """
-    vectors = materialize(whole_vectors(table).where("vec_id IS NOT NULL").withColumn("vec_id", F.col("vec_id").cast("long")), "vectors")
+    vectors = whole_vectors(table).where("vec_id IS NOT NULL").withColumn("vec_id", F.col("vec_id").cast("long"))
+    # equal rows go as one from here on, with their number as far as it can matter
+    vectors = materialize(vectors.groupBy("vec_id", "v").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("copies")), "vectors")
     row = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
     width = row[1] or 1
     number = min(MOST_PIVOTS, max(LEAST_PIVOTS, int(row[0] ** 0.5)))
@@ -146,19 +155,20 @@ def top_k(table: DataFrame, every: int = 50, k: int = K) -> DataFrame:
     pivots, pivot_ids = _matrix([r.v for r in chosen], width), [r.vec_id for r in chosen]
     placed = materialize(assign(vectors, pivots), "placed")
     summary = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"), F.max("norm").alias("norm")).toPandas()
-    queries = vectors.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.max("v").alias("v"))
+    queries = vectors.where(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query_id")
+    queries = queries.join(queries.groupBy("query_id").agg(F.count("*").alias("own")), "query_id")
     asked = materialize(needed(queries, pivots, pivot_ids, summary, k), "asked")
     # blocks: as many as the group's vectors, and the queries that want it, take
     shape = asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks")).join(
         placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "cell")
-    data = placed.join(shape, "cell").select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).alias("block"),
+    data = placed.join(shape, "cell").select("vec_id", "v", "copies", "cell", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).alias("block"),
                                              F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("query_block"))
-    asked = asked.join(shape, "cell").select("query_id", "v", "cell", F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int").alias("query_block"),
+    asked = asked.join(shape, "cell").select("query_id", "v", "copies", "cell", F.pmod(F.xxhash64("query_id", "v"), F.col("query_blocks")).cast("int").alias("query_block"),
                                              F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"))
     keys = ["cell", "block", "query_block"]
     found = asked.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(_solve(k, width), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 SQL = """
