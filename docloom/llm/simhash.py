@@ -130,10 +130,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without near-duplicates: of each group the one with the smallest key.
 
-    Rows without a key are kept (they cannot be told apart); repeated rows of the kept key stay one
-    row each.
+    A document is a key with a text: other texts of a key are documents of their own, and of several
+    in one group the one with the smallest digest stays. Repeated rows of the kept document stay one
+    row each. Rows without a key are kept where their group has keys; of a group without any, one
+    row stays.
     """
-    name = free_name(docs, "dropped")
-    dropped = near_duplicates(docs, key, text).where(F.col(key).isNotNull() & (F.col(key) != F.col("component_id"))).select(
-        F.col(key).alias(name)).distinct()
-    return docs.join(dropped, F.col(key) == F.col(name), "left_anti")
+    name = free_name(docs, "ident")
+    missing, mark = F.col(f"{name}.missing"), F.col(f"{name}.mark")
+    # in this order a row with a key comes before those without
+    named = docs.withColumn(name, F.struct(
+        F.col(key).isNull().alias("missing"), F.col(key).alias("id"), F.coalesce(F.md5(F.col(text)), F.lit("")).alias("mark")))
+    found = materialize(near_duplicates(named, name, text).select(
+        name, F.col(name).eqNullSafe(F.col("component_id")).alias("first"), F.col("component_id.missing").alias("keyless")).distinct(), "found")
+    gone = found.where(~F.col("first") & (~missing | F.col("keyless"))).select(
+        F.col(f"{name}.id").alias("gone_id"), mark.alias("gone_mark"))
+    gone = gone.select(F.struct("*").alias(f"_{name}"))
+    kept = named.join(gone, F.col(f"{name}.id").eqNullSafe(F.col(f"_{name}.gone_id")) & (mark == F.col(f"_{name}.gone_mark")), "left_anti")
+    alone = found.where(F.col("first") & F.col("keyless")).select(F.struct(mark.alias("mark")).alias(f"_{name}"))
+    if not alone.isEmpty():
+        same = missing & (mark == F.col(f"_{name}.mark"))
+        # copies of one text without a key
+        one = kept.join(alone, same, "left_semi").dropDuplicates([name])
+        kept = kept.join(alone, same, "left_anti").unionByName(one)
+    return kept.select(*docs.columns)

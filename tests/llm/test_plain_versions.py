@@ -433,3 +433,12 @@ def test_top_k_with_repeated_rows(spark, monkeypatch):
     con.executemany("INSERT INTO embeddings VALUES (?, ?)", [list(r) for r in rows])
     names = ["query_id", "rank", "vec_id", "score"]
     assert sorted(map(tuple, con.execute(f"SELECT {', '.join(names)} FROM ({knn.SQL})").fetchall())) == sorted(want)
+
+
+def test_first_goes_by_key_and_text(spark):
+    """Another text of a dropped key stays, and one row of a group without keys."""
+    same, other, lone = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(1, same), (2, same), (2, other), (2, other), (3, other), (None, lone), (None, lone), (None, lone.upper()), (None, same)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = Counter((r.doc_id, r.text.lower()) for r in kept)
+    assert got == {(1, same): 1, (2, other): 2, (None, lone): 1, (None, same): 1}
