@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decision_list, knn, language, mixing, packing, repeats, reputation, secrets, simhash, toxicity
+from docloom.llm import (decision_list, knn, language, lexical, mixing, packing, personal, repeats, reputation, runs, secrets,
+                         simhash, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +89,21 @@ def op6_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_hybrid_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_hybrid_lexical_search"] = lexical.SQL
+
+
+@query
+def op12_minimizer_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_bootstrapped_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.report(table(spark, sf_dir, "documents"))
