@@ -1,25 +1,25 @@
 """Next-fit packing of ordered items per group, exact for groups of any size.
 
-Cold groups are packed in one streaming pass over sorted partitions. A group with more than one
-chunk of rows is packed in three steps, none of which holds more than a chunk in a task:
+Rows are laid out in ranges of group and order. Groups inside a range are packed in one streaming
+pass; for one that spans ranges, three steps hold no more than a range in a task:
 
-1. Per chunk: how a batch left open by the chunk before ends here. The first item that no
+1. Per range: how a batch left open by the range before ends here. The first item that no
    longer fits is one of the first few, at most as many as a batch has; from that item on
    everything is fixed.
-2. Per group: these tables are applied one after the other (one row per chunk).
-3. Per chunk: packing with the now known open size and batch number.
+2. Per group: these tables are applied one after the other (one row per range).
+3. Per range: packing with the now known open size and batch number.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions import scan
+from docloom.functions.scan import Fold, lay_out, ordered_fold
 
 
 def pack_run(weights: np.ndarray, cap: int, used: int, batch: int) -> tuple[np.ndarray, int, int]:
@@ -51,10 +51,10 @@ def pack_run(weights: np.ndarray, cap: int, used: int, batch: int) -> tuple[np.n
 
 
 def chunk_steps(weights: np.ndarray, cap: int) -> dict:
-    """What a chunk does to the batch left open before it.
+    """What a range does to the batch left open before it.
 
     With ``u`` units open, the first item that no longer fits is ``b = first(ends > cap - u)``;
-    from there on the chunk is packed afresh. ``ends`` stops at the first value above ``cap``,
+    from there on the range is packed afresh. ``ends`` stops at the first value above ``cap``,
     so it has at most one entry more than a batch has items.
     """
     ends = np.cumsum(weights)
@@ -65,7 +65,7 @@ def chunk_steps(weights: np.ndarray, cap: int) -> dict:
 
 
 def apply_steps(step, cap: int, used: int, number: int) -> tuple[int, int]:
-    """Open size and batch number after a chunk, given those before it."""
+    """Open size and batch number after a range, given those before it."""
     if used == 0:
         return int(step.exits[0]), number + int(step.counts[0])
     b = int(np.searchsorted(np.asarray(step.ends), cap - used, side="right"))
@@ -74,88 +74,21 @@ def apply_steps(step, cap: int, used: int, number: int) -> tuple[int, int]:
     return int(step.exits[b]), number + int(step.counts[b])
 
 
-def _single_pass(keys: Sequence[str], cap: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, used, number = None, 0, -1
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            ids = pdf[list(keys)]
-            change = (ids != ids.shift()).any(axis=1).to_numpy()
-            change[0] = True
-            edges = [*np.flatnonzero(change), len(pdf)]
-            weights = pdf["__w"].to_numpy()
-            out = np.empty(len(pdf), dtype=np.int64)
-            for a, b in zip(edges[:-1], edges[1:]):
-                key = tuple(ids.iloc[a])
-                if key != current:
-                    current, used, number = key, 0, -1
-                out[a:b], used, number = pack_run(weights[a:b], cap, used, number)
-            yield pdf.drop(columns="__w").assign(__b=out)
-
-    return run
-
-
-def next_fit(
-    df: DataFrame, keys: Sequence[str], order: str, weight: str, cap: int,
-    chunk_rows: int | None = None,
-) -> DataFrame:
+def next_fit(df: DataFrame, keys: Sequence[str], order: str, weight: str, cap: int, ranges: int | None = None) -> DataFrame:
     """Adds ``batch`` (0-based per group; null for an item above ``cap`` on its own).
 
     An item that does not fit closes the open batch and starts the next; an item too large by
     itself closes it too and starts none.
     """
     slim = df.select(*keys, order, F.col(weight).cast("long").alias("__w"))
-    key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name in [*keys, order])
-    if chunk_rows == scan.ONE_CHUNK:
-        cold, packed = slim, None
-    else:
-        size = chunk_rows or scan.CHUNK_ROWS
-        # groups that reach beyond one chunk, one row each
-        hot_keys = slim.filter(F.col(order) >= size).select(*keys).distinct()
-        cold = slim.join(hot_keys, list(keys), "left_anti")
-        hot = slim.join(hot_keys, list(keys), "left_semi").withColumn(
-            "__chunk", F.floor(F.col(order) / size).cast("long"))
-        packed = _pack_hot(hot, keys, order, cap, key_ddl)
-    small = cold.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(
-        _single_pass(keys, cap), f"{key_ddl}, __b long")
-    both = small if packed is None else small.unionByName(packed)
-    numbered = both.select(*keys, order, F.when(F.col("__b") >= 0, F.col("__b")).alias("batch"))
-    return df.join(numbered, [*keys, order])
 
+    def replay(pdf: pd.DataFrame, state: tuple) -> tuple[dict[str, np.ndarray], tuple]:
+        out, used, number = pack_run(pdf["__w"].to_numpy(), cap, *state)
+        return {"__b": out}, (used, number)
 
-def _pack_hot(hot: DataFrame, keys: Sequence[str], order: str, cap: int, key_ddl: str) -> DataFrame:
-    names = list(keys)
-    chunk_ddl = ", ".join(p for p in key_ddl.split(", ") if not p.startswith(f"`{order}` "))
-
-    def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        head = pdf[[*names, "__chunk"]].iloc[:1].reset_index(drop=True)
-        found = chunk_steps(pdf["__w"].to_numpy(), cap)
-        return head.assign(**{k: [v] for k, v in found.items()})
-
-    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, used, number = None, 0, -1
-        for pdf in batches:
-            entry_used, entry_number = [], []
-            for row in pdf.itertuples(index=False):
-                key = tuple(row[: len(names)])
-                if key != current:
-                    current, used, number = key, 0, -1
-                entry_used.append(used)
-                entry_number.append(number)
-                used, number = apply_steps(row, cap, used, number)
-            yield pdf[[*names, "__chunk"]].assign(__used=entry_used, __number=entry_number)
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        out, _, _ = pack_run(pdf["__w"].to_numpy(), cap, int(pdf["__used"].iloc[0]), int(pdf["__number"].iloc[0]))
-        return pdf[[*names, order]].assign(__b=out)
-
-    steps = hot.groupBy(*names, "__chunk").applyInPandas(
-        summarize, f"{chunk_ddl}, __chunk long, total long, whole boolean, ends array<long>, "
-                   "exits array<long>, counts array<long>")
-    entries = steps.repartition(*names).sortWithinPartitions(*names, "__chunk").mapInPandas(
-        compose, f"{chunk_ddl}, __chunk long, __used long, __number long")
-    return hot.join(entries, [*names, "__chunk"]).groupBy(*names, "__chunk").applyInPandas(
-        replay, f"{key_ddl}, __b long")
+    fold = Fold(
+        start=(0, -1), state="__used long, __number long", steps="total long, whole boolean, ends array<long>, exits array<long>, counts array<long>",
+        out="__b long", summarize=lambda pdf: chunk_steps(pdf["__w"].to_numpy(), cap), follow=lambda row, state: apply_steps(row, cap, *state), replay=replay)
+    numbered = ordered_fold(lay_out(slim, keys, order, ranges), keys, order, fold, ["__w"]).select(
+        *keys, order, F.when(F.col("__b") >= 0, F.col("__b")).alias("batch"))
+    return df.join(numbered, [*keys, order])

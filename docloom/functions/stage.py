@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from docloom.session import checkpoint_dir
 
@@ -25,8 +24,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     return df.sparkSession.read.schema(df.schema).parquet(stage_path(df, name))
 
-
-def highest(df: DataFrame, column: str) -> int:
-    """Largest value of an integer column: one number, from Parquet statistics if stored."""
-    value = df.agg(F.max(column)).first()[0]
-    return -1 if value is None else int(value)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.atoms import atom_text, leaf_text, plain_text, strip_marks
 from docloom.functions.digest import ordered_digest
+from docloom.functions.scan import ordered_scan
 from docloom.functions.text import ascii_lower, is_blank, utf16_len
 from docloom.schemas import (
     BLOCK_VALUE, CANONICAL_SCHEMA_VERSION, DOCUMENT_VALUE, NORMALIZER_VERSION, PARSER_BACKEND, PARSER_NAME, PARSER_VERSION,
@@ -246,7 +247,7 @@ def audit_archive_entries(entries: DataFrame) -> DataFrame:
     again = e.filter("NOT is_dir AND kind IS NOT NULL").join(first, ["archive_id", "key"]).filter(
         "entry_index > first_index").groupBy("archive_id").agg(F.min("entry_index").alias("dup_index"))
     # an archive above the entry limit is refused whatever its sizes are
-    grown = scan.ordered_scan(
+    grown = ordered_scan(
         e.withColumn("entry_index", F.col("entry_index").cast("long")), ["archive_id"], "entry_index",
         {"running": ("sum", F.when(~F.col("is_dir"), F.col("size_bytes")).otherwise(0))},
     )

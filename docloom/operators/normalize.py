@@ -1,7 +1,7 @@
 """Flat parser output -> chapters, typed blocks and inline atoms with stable ids.
 
 Rows belong to one document each and are ordered by ``pos``. Everything that depends on the
-order goes through ``ordered_scan``, so a document of any size spreads over many tasks.
+order goes through ``ordered_scan`` on one layout, so a document of any size spreads over many tasks.
 Problems are rows ``(doc_id, pos, code)``, not exceptions: one bad document never stops a job.
 """
 
@@ -12,9 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions import scan
 from docloom.functions.atoms import html_table, inline_atoms, make_atom, table_text, widen
-from docloom.functions.scan import ordered_row_number, ordered_scan
+from docloom.functions.scan import RANGE, lay_out, ordered_row_number, ordered_scan
 from docloom.functions.stage import materialize
 from docloom.functions.text import WS, ascii_lower, clean_text, nbytes, stable_id, utrim
 from docloom.schemas import ATOMS, KNOWN_TYPES, TABLE_ROWS
@@ -85,8 +84,8 @@ def canonical_assets(assets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     return unique, aliases, bad
 
 
-def resolve_assets(raw: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Adds ``asset_id``; a table or figure naming an unknown path is a violation.
+def with_assets(raw: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Adds ``asset_id``, and ``asset_code`` where a table or figure names an unknown path.
 
     Only rows with a path are joined, so the many rows without one are neither shuffled
     nor piled up on a null key.
@@ -95,18 +94,20 @@ def resolve_assets(raw: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataF
     named = raw.filter(uses).join(
         aliases.withColumnRenamed("relative_path", "img_path"), ["doc_id", "img_path"], "left"
     )
-    missing = violation(named, F.when(F.col("asset_id").isNull(), "missing_asset"), F.col("pos"))
-    rest = raw.filter(~F.coalesce(uses, F.lit(False))).withColumn(
-        "asset_id", F.lit(None).cast("string")
-    )
-    return named.select(*rest.columns).unionByName(rest), missing
+    named = named.withColumn("asset_code", F.when(F.col("asset_id").isNull(), "missing_asset"))
+    rest = raw.filter(~F.coalesce(uses, F.lit(False))).withColumns(
+        {c: F.lit(None).cast("string") for c in ("asset_id", "asset_code")})
+    return named.select(*rest.columns).unionByName(rest)
 
 
-def scale_bboxes(raw: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Adds ``page`` and ``box`` (PDF points); bad pages and boxes are violations.
+def resolve_assets(raw: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``asset_id``; a table or figure naming an unknown path is a violation."""
+    rows = with_assets(raw, aliases)
+    return rows.drop("asset_code"), violation(rows, F.col("asset_code"), F.col("pos"))
 
-    The check covers noise rows too, so it runs before they are dropped.
-    """
+
+def with_boxes(raw: DataFrame, pages: DataFrame) -> DataFrame:
+    """Adds ``page``, ``box`` (PDF points), and ``box_code`` where the page or the box is bad."""
     keyed = raw.withColumn("page", F.col("page_idx") + 1)
     joined = keyed.join(pages, ["doc_id", "page"], "left")
     b = F.col("bbox")
@@ -126,8 +127,16 @@ def scale_bboxes(raw: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame
             F.lit("pdf_points").alias("coordinateSpace"),
         ),
     )
-    bad = violation(joined, code, F.col("pos"))
-    return joined.withColumn("box", box).drop("width", "height"), bad
+    return joined.withColumn("box_code", code).withColumn("box", box).drop("width", "height")
+
+
+def scale_bboxes(raw: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``page`` and ``box``; bad pages and boxes are violations.
+
+    The check covers noise rows too, so it runs before they are dropped.
+    """
+    rows = with_boxes(raw, pages)
+    return rows.drop("box_code"), violation(rows, F.col("box_code"), F.col("pos"))
 
 
 def drop_layout_noise(raw: DataFrame) -> DataFrame:
@@ -222,27 +231,28 @@ def pick_title(classified: DataFrame) -> DataFrame:
     )
 
 
-def segment_chapters(classified: DataFrame, chunk_rows: int | None = None) -> DataFrame:
+def segment_chapters(classified: DataFrame) -> DataFrame:
     """Drops the title row and adds ``segment``, ``is_start``, ``is_heading`` (bool).
 
     A chapter starts at each structural heading and at the first ``ref_text`` since the last
     heading unless that heading is itself a references heading. Segment 0 is what comes
-    before the first start.
+    before the first start. Both scans share a layout.
     """
     cand = _title_candidate()
     opens = F.col("depth").isNotNull()
     refs = chapter_role(F.col("clean")) == "references"
     mark = F.struct(F.col("pos").alias("p"), refs.alias("refs"))
     low = F.coalesce(F.col("text_level") == 1, F.lit(False))
+    laid = classified if RANGE in classified.columns else lay_out(classified, ["doc_id"], "pos")
     seen = ordered_scan(
-        classified, ["doc_id"], "pos",
+        laid, ["doc_id"], "pos",
         {
             "__title": ("min", F.when(cand, F.col("pos"))),
             "__h1": ("max", F.when(opens & low, mark)),
             "__h2": ("max", F.when(opens & ~low, mark)),
             "__ref": ("max", F.when(F.col("type") == "ref_text", F.col("pos"))),
         },
-        inclusive=False, chunk_rows=chunk_rows,
+        inclusive=False,
     )
     is_title = cand & F.col("__title").isNull()
     # the title is the earliest level-1 candidate, so it is no heading wherever it comes last
@@ -259,10 +269,7 @@ def segment_chapters(classified: DataFrame, chunk_rows: int | None = None) -> Da
         .withColumn("is_start", F.col("is_heading") | first_ref)
         .drop("__title", "__h1", "__h2", "__ref", "__last")
     )
-    return ordered_scan(
-        kept, ["doc_id"], "pos", {"segment": ("sum", F.col("is_start").cast("long"))},
-        chunk_rows=chunk_rows,
-    )
+    return ordered_scan(kept, ["doc_id"], "pos", {"segment": ("sum", F.col("is_start").cast("long"))})
 
 
 # ---- blocks ----------------------------------------------------------------------------
@@ -270,12 +277,20 @@ def _first(values: Column) -> Column:
     return F.get(values, 0)
 
 
+def parse_tables(raw: DataFrame) -> DataFrame:
+    """Adds ``table`` (rows, error): the HTML of table rows, read once; null elsewhere."""
+    return raw.withColumn("table", F.when(F.col("type") == "table", html_table(
+        F.when(F.col("type") == "table", F.coalesce("table_body", F.lit(""))))))
+
+
 def expand_blocks(segmented: DataFrame, asset_col: str = "asset_id") -> tuple[DataFrame, DataFrame]:
     """One row per block (tables make up to two, figures up to three) and table violations.
 
     Output: the raw row's keys plus sub, kind, clean text or table/figure parts. Rows that
-    make no block are gone.
+    make no block are gone. Tables are those of :func:`parse_tables`, which runs if it has not yet.
     """
+    if "table" not in segmented.columns:
+        segmented = parse_tables(segmented)
     fig = F.col("type").isin(FIGURE_TYPES)
     chart = F.col("type") == "chart"
     cap = joined_lines(
@@ -292,38 +307,26 @@ def expand_blocks(segmented: DataFrame, asset_col: str = "asset_id") -> tuple[Da
     def piece(sub: int, kind: Column, text: Column) -> Column:
         return F.struct(F.lit(sub).alias("sub"), kind.alias("kind"), text.alias("text"))
 
-    keep = ["doc_id", "pos", "page", "box", "segment", "type"]
-    # text rows and figures need no table parsing: they stay in whole-stage codegen
-    plain = segmented.filter(F.col("type") != "table").withColumn("__cap", cap).withColumn("__foot", foot)
-    pieces = F.array_compact(F.array(
-        F.when(text_like & (F.col("clean") != ""), piece(0, F.col("kind"), F.col("clean"))),
-        F.when(fig & has_asset, piece(0, F.lit("figure"), F.col("__cap"))),
-        F.when(fig & (F.col("__cap") != ""), piece(1, F.lit("caption"), clean_text(F.col("__cap")))),
-        F.when(fig & has_asset & (F.col("__foot") != ""), piece(2, F.lit("caption"), clean_text(F.col("__foot")))),
-    ))
-    flat = plain.select(*keep, F.inline(pieces), F.col(asset_col).alias("asset_id")).select(
-        "*",
-        F.lit(None).cast(TABLE_ROWS).alias("rows"), F.lit(None).cast("string").alias("alt"),
-    )
-    tables = segmented.filter(F.col("type") == "table").withColumn("__cap", cap).withColumn(
-        "__foot", foot
-    ).withColumn("__t", html_table(F.coalesce("table_body", F.lit(""))))
-    has_rows = F.size("__t.rows") > 0
+    keep = ["doc_id", "pos", "page", "box", "segment", "type", *([RANGE] if RANGE in segmented.columns else [])]
+    t = F.col("table.rows")
+    has_rows = F.coalesce(F.size(t) > 0, F.lit(False))
     body = F.array_join(F.array_compact(F.array(
         F.when(F.col("__cap") != "", F.col("__cap")),
-        F.when(has_rows, table_text(F.col("__t.rows"), "\t")),
+        F.when(has_rows, table_text(t, "\t")),
         F.when(F.col("__foot") != "", F.col("__foot")),
     )), "\n")
-    table_pieces = F.array_compact(F.array(
-        F.when(has_rows | has_asset, piece(0, F.lit("table"), body)),
-        F.when(F.col("__cap") != "", piece(1, F.lit("caption"), clean_text(F.col("__cap")))),
+    grid = F.col("type") == "table"
+    pieces = F.array_compact(F.array(
+        F.when(text_like & (F.col("clean") != ""), piece(0, F.col("kind"), F.col("clean"))),
+        F.when(fig & has_asset, piece(0, F.lit("figure"), F.col("__cap"))),
+        F.when(grid & (has_rows | has_asset), piece(0, F.lit("table"), body)),
+        F.when((fig | grid) & (F.col("__cap") != ""), piece(1, F.lit("caption"), clean_text(F.col("__cap")))),
+        F.when(fig & has_asset & (F.col("__foot") != ""), piece(2, F.lit("caption"), clean_text(F.col("__foot")))),
     ))
-    grids = tables.select(
-        *keep, F.inline(table_pieces), F.col(asset_col).alias("asset_id"),
-        F.col("__t.rows").alias("rows"), _first(F.col("table_caption")).alias("alt"),
-    )
-    bad = violation(tables, F.col("__t.error"), F.col("pos"))
-    return flat.unionByName(grids), bad
+    flat = segmented.withColumn("__cap", cap).withColumn("__foot", foot).select(
+        *keep, F.inline(pieces), F.col(asset_col).alias("asset_id"), t.cast(TABLE_ROWS).alias("rows"),
+        F.when(grid, _first(F.col("table_caption"))).alias("alt"))
+    return flat, violation(segmented, F.col("table.error"), F.col("pos"))
 
 
 def attach_content(blocks: DataFrame) -> DataFrame:
@@ -347,9 +350,7 @@ def attach_content(blocks: DataFrame) -> DataFrame:
     )
 
 
-def chapters_and_numbers(
-    segmented: DataFrame, blocks: DataFrame, chunk_rows: int | None = None
-) -> tuple[DataFrame, DataFrame]:
+def chapters_and_numbers(segmented: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chapter rows with indexes, and blocks with their order inside the chapter."""
     starts = segmented.filter("is_start").select(
         "doc_id", "segment", F.col("page").alias("page_start"),
@@ -361,7 +362,7 @@ def chapters_and_numbers(
         F.count(F.lit(1)).alias("block_count"), F.max("page").alias("last_page"),
         F.min_by("page", F.struct("pos", "sub")).alias("first_page"),
     )
-    drafts = starts.join(sizes, ["doc_id", "segment"], "full_outer").select(
+    drafts = lay_out(starts.join(sizes, ["doc_id", "segment"], "full_outer").select(
         "doc_id", "segment",
         F.coalesce("page_start", "first_page").alias("page_start"),
         F.greatest(F.coalesce("page_start", "first_page"), "last_page").alias("page_end"),
@@ -369,25 +370,19 @@ def chapters_and_numbers(
         F.coalesce("depth", F.lit(1)).alias("depth"),
         F.coalesce("role", F.lit("front_matter")).alias("role"),
         F.coalesce("block_count", F.lit(0)).alias("block_count"),
-    )
+    ), ["doc_id"], "segment")
     # drafts are counted from 0, with the front matter as the first one where it exists
-    numbered = ordered_row_number(drafts, ["doc_id"], "segment", "__draft", chunk_rows=chunk_rows)
-    kept = ordered_row_number(
-        numbered.filter("block_count > 0"), ["doc_id"], "segment", "__kept", chunk_rows=chunk_rows
-    )
+    numbered = ordered_row_number(drafts, ["doc_id"], "segment", "__draft")
+    kept = ordered_row_number(numbered.filter("block_count > 0"), ["doc_id"], "segment", "__kept")
     chapters = kept.select(
         "doc_id", "segment", (F.col("__draft") - 1).cast("int").alias("chapter_index"),
         (F.col("__kept") - 1).cast("int").alias("order_index"),
         "depth", "role", "source_title", "page_start", "page_end", "block_count",
     )
+    # a chapter's rows lie together, so the rows' layout serves here too
     ranked = ordered_row_number(
-        blocks.withColumn("__bpos", F.col("pos") * SUB + F.col("sub")),
-        ["doc_id", "segment"], "__bpos", "__n",
-        chunk_rows=chunk_rows if chunk_rows == scan.ONE_CHUNK else (chunk_rows or scan.CHUNK_ROWS) * SUB,
-    )
-    return chapters, ranked.withColumn("order_index", (F.col("__n") - 1).cast("int")).drop(
-        "__n", "__bpos"
-    )
+        blocks.withColumn("__bpos", F.col("pos") * SUB + F.col("sub")), ["doc_id", "segment"], "__bpos", "__n")
+    return chapters, ranked.withColumn("order_index", (F.col("__n") - 1).cast("int")).drop("__n", "__bpos", RANGE)
 
 
 def reject_documents(violations: DataFrame) -> DataFrame:
@@ -409,30 +404,23 @@ class Normalized:
 
 
 def normalize(
-    raw: DataFrame, layout: DataFrame, assets: DataFrame, sources: DataFrame,
-    chunk_rows: int | None = None,
+    raw: DataFrame, layout: DataFrame, assets: DataFrame, sources: DataFrame, ranges: int | None = None,
 ) -> Normalized:
     """The whole pipeline. ``sources``: doc_id, artifact_id, source_sha256.
 
-    Rejected documents are reported and left out of every other output.
+    Rejected documents are reported and left out of every other output. Raw rows are read once: they
+    are laid out with their boxes, assets, classes and parsed tables, and every later step reads what
+    the step before it has written. Titles, chapters, blocks and rejections are written, so their
+    consumers start from tables.
     """
     pages, bad_pages = page_sizes(layout)
     unique, aliases, bad_assets = canonical_assets(assets)
-    boxed, bad_rows = scale_bboxes(raw, pages)
-    resolved, _ = resolve_assets(drop_layout_noise(boxed), aliases)
-    # the check of paths needs no boxes, so it reads only the rows that name a file
-    _, bad_paths = resolve_assets(drop_layout_noise(raw), aliases)
-    # positions are checked once; only a corpus with a huge document pays for the chunked scan
-    chunk_rows = chunk_rows or scan.scan_chunks(raw, "pos")
-    if chunk_rows == scan.ONE_CHUNK:
-        # the windows need this shuffle anyway; taken here it also spreads the text work
-        classified = classify_text(resolved.repartition("doc_id"))
-    else:
-        classified = materialize(classify_text(resolved), "classified")
-    titles = pick_title(classified)
-    segmented = materialize(segment_chapters(classified, chunk_rows), "segmented")
+    seen = with_assets(with_boxes(raw, pages), aliases)
+    laid = lay_out(parse_tables(classify_text(seen)), ["doc_id"], "pos", ranges)
+    classified = drop_layout_noise(laid)
+    segmented = materialize(segment_chapters(classified), "segmented")
     blocks, bad_tables = expand_blocks(segmented)
-    chapters, numbered = chapters_and_numbers(segmented, blocks, chunk_rows)
+    chapters, numbered = chapters_and_numbers(segmented, blocks)
     bad_sources = violation(
         sources,
         F.when(~F.col("source_sha256").rlike(HEX64), "invalid_source_hash")
@@ -440,21 +428,22 @@ def normalize(
     )
     no_layout = sources.join(layout.select("doc_id"), "doc_id", "left_anti")
     problems = bad_sources.unionByName(violation(no_layout, F.lit("no_pages")))
+    bad_rows = violation(laid, F.col("box_code"), F.col("pos"))
+    bad_paths = violation(laid, F.col("asset_code"), F.col("pos"))
     for more in (bad_pages, bad_assets, bad_rows, bad_paths, bad_tables):
         problems = problems.unionByName(more)
-    # a few rows that every output is checked against; the checks read the whole input
+    # a few rows that every output is checked against
     first = materialize(reject_documents(problems), "violations")
-    empty = sources.join(first, "doc_id", "left_anti").join(
-        chapters.select("doc_id").distinct(), "doc_id", "left_anti"
-    )
-    rejected = first.unionByName(violation(empty, F.lit("no_content")))
-    gone = rejected.select("doc_id")
     good = sources.join(first.select("doc_id"), "doc_id", "left_anti").select("doc_id", "artifact_id")
-    kept = chapters.join(good, "doc_id")
-    named, with_ids = assign_ids(kept, numbered)
+    named, with_ids = assign_ids(chapters.join(good, "doc_id"), numbered)
+    chapters, blocks = materialize(named, "chapters"), materialize(with_ids, "blocks")
+    # every chapter that is kept has a block
+    empty = good.join(chapters.select("doc_id").distinct(), "doc_id", "left_anti")
+    rejected = materialize(first.unionByName(violation(empty, F.lit("no_content"))), "rejected")
+    gone = rejected.select("doc_id")
     return Normalized(
-        titles=titles.join(gone, "doc_id", "left_anti"),
-        chapters=named, blocks=with_ids,
+        titles=materialize(pick_title(classified).join(gone, "doc_id", "left_anti"), "titles"),
+        chapters=chapters, blocks=blocks,
         assets=unique.join(gone, "doc_id", "left_anti"),
         pages=pages.join(gone, "doc_id", "left_anti"),
         rejected=rejected,

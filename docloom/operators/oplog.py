@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.scan import ordered_row_number, ordered_scan
+from docloom.functions.scan import RANGE, lay_out, ordered_row_number, ordered_scan
 from docloom.schemas import NORMALIZER_VERSION, PARSER_BACKEND, PARSER_VERSION
 
 # fixed values
@@ -57,24 +57,25 @@ def upsert_jobs(history: DataFrame, key: str = "id", order: str = "seq") -> Data
 
 def state_change_events(
     history: DataFrame, key: str = "job_id", order: str = "seq", base: DataFrame | None = None,
-    chunk_rows: int | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
     """An event per actual state change, numbered per job after ``base`` (job_id, max_sequence).
 
     Writes after a cancelled one change nothing and make no event.
     """
+    # both scans share one layout, and the second needs no further shuffle
     seen = ordered_scan(
-        history, [key], order,
+        lay_out(history, [key], order, ranges), [key], order,
         {
             "__prev": ("last", F.struct(F.col(order).alias("o"), F.col("state").alias("s"))),
             "__dead": ("max", (F.col("state") == "cancelled").cast("int")),
         },
-        inclusive=False, chunk_rows=chunk_rows,
+        inclusive=False,
     )
     changed = seen.filter(
         (F.coalesce("__dead", F.lit(0)) == 0) & ~F.col("__prev.s").eqNullSafe(F.col("state"))
     ).drop("__prev", "__dead")
-    numbered = ordered_row_number(changed, [key], order, "sequence", chunk_rows=chunk_rows)
+    numbered = ordered_row_number(changed, [key], order, "sequence").drop(RANGE)
     if base is not None:
         numbered = numbered.join(base, key, "left").withColumn(
             "sequence", F.col("sequence") + F.coalesce("max_sequence", F.lit(0))).drop("max_sequence")

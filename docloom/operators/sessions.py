@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions import scan
-from docloom.functions.scan import ordered_scan
-from docloom.functions.stage import materialize
+from docloom.functions.scan import Fold, lay_out, ordered_fold, ordered_scan
 from docloom.functions.text import ascii_lower, utrim
 
 # fixed values
@@ -41,124 +39,80 @@ def ladder_steps(wanted: np.ndarray) -> dict[int, int]:
     return after
 
 
-def _climb(conditional: DataFrame, chunk_rows: int | None) -> DataFrame:
-    """(session_id, seq) of matched conditional commands; input session_id, seq, wanted.
+def _replay(pdf: pd.DataFrame, revision: int) -> tuple[np.ndarray, np.ndarray]:
+    """Revision before each command, and which ones were accepted, from the one before the first.
 
-    Sessions of one chunk are read in a streaming pass. A larger session is cut into chunks:
-    each chunk says where it takes every level it knows, one slim pass per session strings
-    these tables together, then the chunks are read with their entry level known.
+    Commands without a condition shift the revision by a plain running count; against that count
+    each conditional one waits for a fixed number of accepted conditional commands before it.
     """
-    keys = "session_id string, seq long"
-
-    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, level = None, 0
-        for pdf in batches:
-            ids = pdf["session_id"].to_numpy()
-            wanted = pdf["wanted"].to_numpy()
-            edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1), len(ids)]
-            hits = np.zeros(len(ids), dtype=bool)
-            for a, b in zip(edges[:-1], edges[1:]):
-                if a == b:
-                    continue
-                if ids[a] != current:
-                    current, level = ids[a], 0
-                hits[a:b], level = ladder(wanted[a:b], level)
-            yield pdf.loc[hits, ["session_id", "seq"]]
-
-    def per_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = ladder_steps(pdf.sort_values("seq")["wanted"].to_numpy())
-        head = pdf[["session_id", "chunk"]].iloc[:1].reset_index(drop=True)
-        return head.assign(enter=[list(table)], leave=[list(table.values())])
-
-    def string_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, level = None, 0
-        for pdf in batches:
-            entry = []
-            for row in pdf.itertuples(index=False):
-                if row.session_id != current:
-                    current, level = row.session_id, 0
-                entry.append(level)
-                at = np.flatnonzero(np.asarray(row.enter) == level)
-                level = int(row.leave[at[0]]) if len(at) else level
-            yield pdf[["session_id", "chunk"]].assign(level=entry)
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        hits, _ = ladder(pdf["wanted"].to_numpy(), int(pdf["level"].iloc[0]))
-        return pdf.loc[hits, ["session_id", "seq"]]
-
-    def cold_pass(rows: DataFrame) -> DataFrame:
-        return rows.repartition("session_id").sortWithinPartitions("session_id", "seq").mapInPandas(stream, keys)
-
-    if chunk_rows == scan.ONE_CHUNK:
-        return cold_pass(conditional)
-    size = chunk_rows or scan.CHUNK_ROWS
-    heavy = conditional.groupBy("session_id").count().filter(F.col("count") > size).select("session_id")
-    hot = conditional.join(heavy, "session_id", "left_semi").withColumn("chunk", F.floor(F.col("seq") / size).cast("long"))
-    tables = hot.groupBy("session_id", "chunk").applyInPandas(
-        per_chunk, "session_id string, chunk long, enter array<long>, leave array<long>")
-    levels = tables.repartition("session_id").sortWithinPartitions("session_id", "chunk").mapInPandas(
-        string_up, "session_id string, chunk long, level long")
-    matched = hot.join(levels, ["session_id", "chunk"]).groupBy("session_id", "chunk").applyInPandas(replay, keys)
-    return cold_pass(conditional.join(heavy, "session_id", "left_anti")).unionByName(matched)
-
-
-def replay_commands(commands: DataFrame, chunk_rows: int | None = None) -> DataFrame:
+    free = pdf["free"].to_numpy() & ~pdf["failed"].to_numpy()
+    shift = np.cumsum(free) - free
+    waits = np.flatnonzero(~pdf["free"].to_numpy() & ~pdf["failed"].to_numpy())
+    hit = np.zeros(len(pdf), dtype=bool)
+    hit[waits], _ = ladder(pdf["wanted"].to_numpy()[waits] - shift[waits], revision)
+    return revision + shift + np.cumsum(hit) - hit, free | hit
+
+
+def _summary(pdf: pd.DataFrame) -> dict:
+    """What commands do to any revision before them: the level they lift it to, and the shift of free ones."""
+    free = pdf["free"].to_numpy() & ~pdf["failed"].to_numpy()
+    shift = np.cumsum(free) - free
+    waits = np.flatnonzero(~pdf["free"].to_numpy() & ~pdf["failed"].to_numpy())
+    table = ladder_steps(pdf["wanted"].to_numpy()[waits] - shift[waits])
+    return {"enter": list(table), "leave": list(table.values()), "shift": int(free.sum())}
+
+
+def _after(row, state: tuple) -> tuple:
+    at = np.flatnonzero(np.asarray(row.enter) == state[0])
+    return ((int(row.leave[at[0]]) if len(at) else state[0]) + row.shift,)
+
+
+def _played(pdf: pd.DataFrame, state: tuple) -> tuple[dict[str, np.ndarray], tuple]:
+    before, ok = _replay(pdf, state[0])
+    stale = ~pdf["free"].to_numpy() & (pdf["wanted"].to_numpy() != before)
+    return {"before": before, "ok": ok, "stale": stale}, (int(before[-1]) + int(ok[-1]),)
+
+
+REPLAY = Fold(start=(0,), state="revision long", steps="enter array<long>, leave array<long>, shift long", out="before long, ok boolean, stale boolean",
+              summarize=_summary, follow=_after, replay=_played)
+
+
+def replay_commands(commands: DataFrame, ranges: int | None = None) -> DataFrame:
     """Receipt of every command: status (duplicate/rejected/accepted) and revision.
 
     ``commands``: session_id, seq (unique per session), command_id, expected_revision, type,
     failed (whether its action failed). A repeated id returns the first receipt's revision.
-    Commands without a condition shift the revision by a plain running count; against that
-    count each conditional one waits for a fixed number of conditional commands before it.
     """
     first = commands.groupBy("session_id", "command_id").agg(F.min("seq").alias("__first"))
-    # each pass reads its input twice (chunks and summaries), so passes are cut apart by tables
-    marked = materialize(commands.select(
-        "session_id", "seq", "command_id", "expected_revision", "type", "failed").join(first, ["session_id", "command_id"]), "commands")
-    fresh = marked.filter(F.col("seq") == F.col("__first"))
     free = F.col("expected_revision").isNull() | (F.col("type") == FREE_COMMAND)
-    counted = materialize(ordered_scan(
-        fresh.withColumn("__free", free & ~F.col("failed")), ["session_id"], "seq",
-        {"__shift": ("sum", F.col("__free").cast("long"))}, inclusive=False, chunk_rows=chunk_rows), "shifts")
-    waiting = counted.filter(~free & ~F.col("failed")).select(
-        "session_id", "seq", (F.col("expected_revision") - F.col("__shift")).alias("wanted")).filter("wanted >= 0")
-    hits = _climb(waiting, chunk_rows).withColumn("__hit", F.lit(True))
-    judged = materialize(counted.join(hits, ["session_id", "seq"], "left").withColumn(
-        "__hit", F.coalesce("__hit", F.lit(False))), "levels")
-    leveled = ordered_scan(
-        judged, ["session_id"], "seq", {"__level": ("sum", F.col("__hit").cast("long"))}, inclusive=False, chunk_rows=chunk_rows)
-    before = F.col("__shift") + F.col("__level")
-    ok = F.col("__free") | F.col("__hit")
-    stale = ~free & (F.col("expected_revision") != before)
-    receipts = leveled.select(
-        "session_id", "command_id", "__first",
-        F.when(ok, "accepted").otherwise("rejected").alias("__status"),
-        (before + ok.cast("long")).alias("revision"),
-        F.when(ok, None).when(stale, "stale_revision").otherwise("action_failed").alias("__reason"))
+    marked = lay_out(commands.join(first, ["session_id", "command_id"]).select(
+        "session_id", "seq", "command_id", "__first", free.alias("free"), "failed",
+        F.coalesce("expected_revision", F.lit(-1)).cast("long").alias("wanted")), ["session_id"], "seq", ranges)
+    played = ordered_fold(marked.filter(F.col("seq") == F.col("__first")), ["session_id"], "seq", REPLAY, ["free", "failed", "wanted"])
+    # a repeated command has its first one's receipt
     own = F.col("seq") == F.col("__first")
-    return marked.join(receipts.drop("__first"), ["session_id", "command_id"]).select(
-        "session_id", "seq", "command_id", F.when(own, F.col("__status")).otherwise("duplicate").alias("status"), "revision",
-        F.col("__reason").alias("reason"))
+    return marked.join(played.withColumnRenamed("seq", "__first"), ["session_id", "__first"]).select(
+        "session_id", "seq", "command_id", F.when(~own, "duplicate").when(F.col("ok"), "accepted").otherwise("rejected").alias("status"),
+        (F.col("before") + F.col("ok").cast("long")).alias("revision"),
+        F.when(F.col("ok"), None).when(F.col("stale"), "stale_revision").otherwise("action_failed").alias("reason"))
 
 
-def active_sessions(log: DataFrame, chunk_rows: int | None = None) -> DataFrame:
+def active_sessions(log: DataFrame, ranges: int | None = None) -> DataFrame:
     """Sessions from an open/close log (document_id, seq, action).
 
     One session per document is shared while somebody has it open; it closes at zero. A close
     with nobody there changes nothing, so the count is the running sum above its lowest point.
     """
     step = F.when(F.col("action") == "open", 1).otherwise(-1).cast("long")
-    slim = log.select("document_id", "seq", "action", step.alias("__step"))
-    summed = materialize(ordered_scan(slim, ["document_id"], "seq", {"__sum": ("sum", F.col("__step"))}, chunk_rows=chunk_rows), "sums")
-    low = ordered_scan(summed, ["document_id"], "seq", {"__low": ("min", F.least(F.col("__sum"), F.lit(0)))}, chunk_rows=chunk_rows)
+    laid = lay_out(log.select("document_id", "seq", "action", step.alias("__step")), ["document_id"], "seq", ranges)
+    summed = ordered_scan(laid, ["document_id"], "seq", {"__sum": ("sum", F.col("__step"))})
+    low = ordered_scan(summed, ["document_id"], "seq", {"__low": ("min", F.least(F.col("__sum"), F.lit(0)))})
     count = F.col("__sum") - F.col("__low")
-    leveled = materialize(low.withColumn("subscribers", count).withColumn(
-        "__start", (F.col("action") == "open") & (count == 1)), "subscribers")
-    numbered = ordered_scan(leveled, ["document_id"], "seq", {"session_no": ("sum", F.col("__start").cast("long"))}, chunk_rows=chunk_rows)
-    spans = numbered.filter("session_no > 0").groupBy("document_id", "session_no").agg(
+    leveled = low.withColumn("subscribers", count).withColumn("__start", (F.col("action") == "open") & (count == 1))
+    numbered = ordered_scan(leveled, ["document_id"], "seq", {"session_no": ("sum", F.col("__start").cast("long"))})
+    return numbered.filter("session_no > 0").groupBy("document_id", "session_no").agg(
         F.min("seq").alias("opened_at"), F.max("subscribers").alias("peak_subscribers"),
         F.min(F.when((F.col("action") == "close") & (F.col("subscribers") == 0), F.col("seq"))).alias("closed_at"))
-    return spans
 
 
 def remap_active_chapter(sessions: DataFrame, chapters: DataFrame) -> DataFrame:

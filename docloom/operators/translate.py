@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from docloom.functions import scan
 from docloom.functions.atoms import plain_text
 from docloom.functions.digest import ordered_digest
 from docloom.functions.packing import next_fit
+from docloom.functions.scan import ordered_scan
 from docloom.functions.text import ascii_lower, is_blank, length_prefixed_sha, nbytes
 from docloom.operators.documents import flag_translatable
 from docloom.schemas import (
@@ -210,14 +210,14 @@ def block_json(source: str = "source") -> Column:
 
 def plan_batches(
     prepared: DataFrame, config: TranslationConfig, keys: list[str] | None = None,
-    chunk_rows: int | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Adds ``batch`` per chapter in block order; null for a block too large on its own."""
     keys = keys or ["chapter_id"]
     room = config.byte_capacity - len(REQUEST_HEAD) - len(REQUEST_TAIL) + 1
     # every block brings its JSON and a comma, of which the first is not there
     weighed = prepared.withColumn("__bytes", F.octet_length(block_json()) + 1)
-    return next_fit(weighed, keys, "order_index", "__bytes", room, chunk_rows).drop("__bytes")
+    return next_fit(weighed, keys, "order_index", "__bytes", room, ranges).drop("__bytes")
 
 
 def build_requests(batched: DataFrame, config: TranslationConfig, keys: list[str] | None = None) -> DataFrame:
@@ -233,7 +233,7 @@ def build_requests(batched: DataFrame, config: TranslationConfig, keys: list[str
         estimate_tokens(body).alias("input_tokens"))
 
 
-def split_batches(failed: DataFrame, config: TranslationConfig, chunk_rows: int | None = None) -> DataFrame:
+def split_batches(failed: DataFrame, config: TranslationConfig, ranges: int | None = None) -> DataFrame:
     """Blocks of batches that were too long for the model, halved and packed again.
 
     The first half has size div 2 blocks; a batch of one or one already split stays failed
@@ -247,7 +247,7 @@ def split_batches(failed: DataFrame, config: TranslationConfig, chunk_rows: int
     may = (F.col("__n") > 1) & ~F.col("split_once")
     half = F.when(may, F.when(F.col("__i") < F.floor(F.col("__n") / 2), 0).otherwise(1))
     rows = rows.withColumn("half", half).withColumnRenamed("batch", "parent_batch").drop("__n", "__i")
-    again = plan_batches(rows.filter("half IS NOT NULL"), config, ["chapter_id", "parent_batch", "half"], chunk_rows)
+    again = plan_batches(rows.filter("half IS NOT NULL"), config, ["chapter_id", "parent_batch", "half"], ranges)
     final = rows.filter("half IS NULL").withColumn("batch", F.lit(None).cast("long"))
     return again.select(*final.columns).unionByName(final).withColumn("split_once", F.lit(True))
 
@@ -478,10 +478,10 @@ def restore_targets(accepted: DataFrame, tag: str = MARKER_TAG) -> DataFrame:
         "__texts", "__table", "__atoms")
 
 
-def repair_set(prepared: DataFrame, judged: DataFrame, config: TranslationConfig, chunk_rows: int | None = None) -> DataFrame:
+def repair_set(prepared: DataFrame, judged: DataFrame, config: TranslationConfig, ranges: int | None = None) -> DataFrame:
     """Failed blocks in their original order, packed once more."""
     failed = judged.filter("code IS NOT NULL").select("block_id")
-    return plan_batches(prepared.join(failed, "block_id", "left_semi"), config, chunk_rows=chunk_rows)
+    return plan_batches(prepared.join(failed, "block_id", "left_semi"), config, ranges=ranges)
 
 
 # ---- stored rows -----------------------------------------------------------------------
@@ -618,16 +618,16 @@ def chapter_progress(
         F.col("job.safe_message").alias("safe_message"))
 
 
-def next_body_chapter(chapters: DataFrame, blocks: DataFrame, chunk_rows: int | None = None) -> DataFrame:
+def next_body_chapter(chapters: DataFrame, blocks: DataFrame) -> DataFrame:
     """For each chapter the next one of role body with something to translate."""
     flagged = blocks if "translatable" in blocks.columns else flag_translatable(blocks)
     useful = flagged.filter("translatable").select("chapter_id").distinct().withColumn("__use", F.lit(True))
     rows = chapters.join(useful, "chapter_id", "left")
     eligible = (F.col("role") == "body") & F.coalesce("__use", F.lit(False))
     mark = F.when(eligible, F.struct(F.col("order_index").alias("o"), F.col("chapter_id").alias("c")))
-    seen = scan.ordered_scan(
+    seen = ordered_scan(
         rows.select("doc_id", "chapter_id", "order_index", mark.alias("__m")), ["doc_id"], "order_index",
-        {"__next": ("min", F.col("__m"))}, inclusive=False, reverse=True, chunk_rows=chunk_rows)
+        {"__next": ("min", F.col("__m"))}, inclusive=False, reverse=True)
     return seen.select("doc_id", "chapter_id", F.col("__next.c").alias("next_chapter_id"))
 
 

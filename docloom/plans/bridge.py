@@ -204,11 +204,7 @@ class Corpus:
 
         key = (self.spark.sparkContext.applicationId, self.sf_dir)
         if key not in _WRITTEN:
-            n = normalize(self.raw, self.layout, self.asset_files, self.sources)
-            n.rejected = materialize(n.rejected, "rejected")
-            n.chapters = materialize(n.chapters, "chapters")
-            n.blocks = materialize(n.blocks, "blocks")
-            _WRITTEN[key] = n
+            _WRITTEN[key] = normalize(self.raw, self.layout, self.asset_files, self.sources)
         return _WRITTEN[key]
 
     # ---- translation ---------------------------------------------------------------
@@ -218,13 +214,6 @@ class Corpus:
 
         return prepare_blocks(self.normalized.blocks, CONFIG)
 
-    @cached_property
-    def block_chunks(self) -> int | None:
-        """How to scan chapters: in one window where no chapter is longer than a chunk."""
-        from docloom.functions.scan import scan_chunks
-
-        return scan_chunks(self.normalized.blocks, "order_index")
-
     @property
     def batched(self) -> DataFrame:
         """Prepared blocks with their batch and request id; written once."""
@@ -233,7 +222,7 @@ class Corpus:
 
         key = (self.spark.sparkContext.applicationId, self.sf_dir, "batched")
         if key not in _WRITTEN:
-            rows = plan_batches(self.prepared, CONFIG, chunk_rows=self.block_chunks).withColumn(
+            rows = plan_batches(self.prepared, CONFIG).withColumn(
                 "request_id", F.concat("chapter_id", F.lit("#"), F.col("batch").cast("string")))
             _WRITTEN[key] = materialize(rows, "batched")
         return _WRITTEN[key]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions.atoms import leaf_text
-from docloom.functions.scan import scan_chunks
 from docloom.operators import documents as D
 from docloom.operators import normalize as N
 from docloom.plans.bridge import Corpus
@@ -63,12 +62,12 @@ FROM (SELECT doc_id, pos, """ + "trim(regexp_replace(text, '\\s+', ' ', 'g'))" +
 )
 register(
     "N6_segment_chapters",
-    lambda c: N.segment_chapters(_light(c), scan_chunks(c.raw, "pos")).select("doc_id", "pos", "is_start", "is_heading", "segment"),
+    lambda c: N.segment_chapters(_light(c)).select("doc_id", "pos", "is_start", "is_heading", "segment"),
     compose("SELECT doc_id, pos, is_start, is_heading, segment FROM segmented"),
 )
 register(
     "N7_chapter_role",
-    lambda c: N.segment_chapters(_light(c), scan_chunks(c.raw, "pos")).filter("is_heading").select(
+    lambda c: N.segment_chapters(_light(c)).filter("is_heading").select(
         "doc_id", "pos", N.chapter_role(F.col("clean")).alias("role")),
     compose("SELECT doc_id, pos, word_role AS role FROM headed WHERE is_heading"),
 )
@@ -111,7 +110,7 @@ FROM raw WHERE type = 'table'"""),
 )
 
 def _expanded(c: Corpus):
-    return N.expand_blocks(N.segment_chapters(_classified(c), scan_chunks(c.raw, "pos")))[0].select("doc_id", "pos", "sub", "kind", "text", "type")
+    return N.expand_blocks(N.segment_chapters(_classified(c)))[0].select("doc_id", "pos", "sub", "kind", "text", "type")
 
 
 register(

@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from docloom.functions.scan import CHUNK_ROWS
 from docloom.functions.stage import stage_path
 from docloom.operators import library as L
 from docloom.plans.bridge import Corpus, StreamCorpus, digit
@@ -35,12 +34,16 @@ register("S1_scan_pdf_inventory", _inventory,
 FROM (SELECT doc_id, encode(CASE WHEN doc_id % 3 = 0 THEN '%PDF-1.7 ' ELSE '' END || text || chr(10)) AS b FROM documents)""")
 
 
+#: Rows of one content list.
+FILE_ROWS = 10_000
+
+
 def _content_lists(c: Corpus):
     row = F.struct(*[x for x in c.raw.columns if x not in ("doc_id", "pos")])
-    part = F.floor(F.col("pos") / CHUNK_ROWS)
+    part = F.floor(F.col("pos") / FILE_ROWS)
     return c.raw.groupBy("doc_id", part.alias("part")).agg(F.to_json(F.transform(
         F.array_sort(F.collect_list(F.struct("pos", F.struct(row.alias("r")).alias("s")))), lambda x: x["s"]["r"])).alias("content_list")).withColumn(
-        "first_pos", F.col("part") * CHUNK_ROWS)
+        "first_pos", F.col("part") * FILE_ROWS)
 
 
 register("S2_scan_parser_output", lambda c: S.parse_content_lists(_content_lists(c)).select("doc_id", "pos", "type", "text", "text_level", "page_idx", "img_path"),

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from docloom.functions.atoms import html_table, inline_atoms, read_table
 from docloom.functions.digest import ordered_digest
 from docloom.functions.packing import apply_steps, chunk_steps, next_fit, pack_run
-from docloom.functions.scan import ONE_CHUNK, ordered_row_number, ordered_scan
+from docloom.functions.scan import RANGE, Fold, lay_out, ordered_fold, ordered_row_number, ordered_scan, spanning
 from docloom.functions.text import clean_text, length_prefixed_sha, splits_surrogate, utf16_len, utf16_slice
 
 
@@ -29,14 +29,14 @@ def _rows(spark, groups=5, size=40, seed=1):
 
 @pytest.mark.parametrize("inclusive", [True, False])
 @pytest.mark.parametrize("reverse", [True, False])
-def test_chunked_scan_equals_window(spark, inclusive, reverse):
+def test_scan_equals_window(spark, inclusive, reverse):
     df = _rows(spark)
     order = F.col("pos").desc() if reverse else F.col("pos")
     w = Window.partitionBy("k").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     want = df.select("k", "pos", F.coalesce(F.sum("v").over(w), F.lit(0)).alias("s"), F.max(F.when(F.col("flag"), F.col("v"))).over(w).alias("m"))
     aggs = {"s": ("sum", F.col("v")), "m": ("max", F.when(F.col("flag"), F.col("v")))}
-    for chunk in (3, 7, ONE_CHUNK, None):
-        got = ordered_scan(df, ["k"], "pos", aggs, inclusive=inclusive, reverse=reverse, chunk_rows=chunk)
+    for laid in (df, lay_out(df, ["k"], "pos", 1), lay_out(df, ["k"], "pos", 13)):
+        got = ordered_scan(laid, ["k"], "pos", aggs, inclusive=inclusive, reverse=reverse)
         assert sorted(got.select("k", "pos", "s", "m").collect()) == sorted(want.collect()) or _same(got, want)
 
 
@@ -46,14 +46,66 @@ def _same(got, want):
     return a == [tuple(r) for r in sorted(want.collect(), key=key)]
 
 
-def test_chunked_row_number(spark):
+def test_row_number(spark):
     df = _rows(spark)
     w = Window.partitionBy("k").orderBy("pos")
     want = {(r["k"], r["pos"]): r["n"] for r in df.select("k", "pos", F.row_number().over(w).alias("n")).collect()}
-    numbered = {(r["k"], r["pos"]): r["n"] for r in ordered_row_number(df, ["k"], "pos", "n", chunk_rows=4).collect()}
+    numbered = {(r["k"], r["pos"]): r["n"] for r in ordered_row_number(lay_out(df, ["k"], "pos", 9), ["k"], "pos", "n").collect()}
     assert numbered == want
 
 
+def test_ranges_follow_rows_and_not_positions(spark):
+    """Sparse positions, a third of all rows in one key, a null key: a summary for each range and key at most."""
+    rnd = random.Random(6)
+    rows = [("hot", rnd.randrange(1 << 50)) for _ in range(1000)] + [(None, rnd.randrange(1 << 50)) for _ in range(400)]
+    rows += [(f"k{rnd.randrange(300)}", rnd.randrange(1 << 50)) for _ in range(1600)]
+    rows = sorted(set(rows), key=str)
+    rnd.shuffle(rows)
+    laid = lay_out(spark.createDataFrame(rows, "k string, pos long"), ["k"], "pos", 12)
+    sizes = [r["count"] for r in laid.groupBy(RANGE).count().collect()]
+    assert len(sizes) == 12 and max(sizes) < 3 * len(rows) / 12
+    assert laid.select("k", RANGE).distinct().count() <= laid.select("k").distinct().count() + 11
+    assert {r["k"] for r in spanning(laid, ["k"]).collect()} >= {"hot", None} and spanning(laid, ["k"]).count() <= 11
+    want, count = {}, {}
+    for k, pos in sorted(rows, key=lambda r: r[1]):
+        count[k] = count.get(k, 0) + 1
+        want[k, pos] = count[k]
+    assert {(r["k"], r["pos"]): r["n"] for r in ordered_row_number(laid, ["k"], "pos", "n").collect()} == want
+    plan = ordered_scan(ordered_scan(laid, ["k"], "pos", {"a": ("sum", F.lit(1))}), ["k"], "pos", {"b": ("max", F.col("a"))})
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    # rows are shuffled for the first scan only; what else moves are summaries
+    assert text.count("SortMergeJoin") == 0
+
+
+def test_fold_carries_its_state(spark):
+    """A machine that forgets everything at a negative value, over spanning and small groups and a null key."""
+    rnd = random.Random(8)
+    rows = [(k, i * 7, rnd.randint(-2, 9)) for k, n in (("a", 90), ("b", 3), (None, 50), ("c", 1)) for i in range(n)]
+
+    def replay(pdf, state):
+        out, at = [], state[0]
+        for v in pdf["v"]:
+            at = 0 if v < 0 else at + v
+            out.append(at)
+        return {"level": np.array(out)}, (at,)
+
+    def summarize(pdf):
+        values = pdf["v"].tolist()
+        last = max((i for i, v in enumerate(values) if v < 0), default=-1)
+        return {"reset": last >= 0, "add": sum(values[last + 1:])}
+
+    fold = Fold((5,), "at long", "reset boolean, add long", "level long", summarize,
+                lambda row, state: ((0 if row.reset else state[0]) + row.add,), replay)
+    want, level = {}, {}
+    for k, i, v in sorted(rows, key=lambda r: r[1]):
+        level[k] = 0 if v < 0 else level.get(k, 5) + v
+        want[k, i] = level[k]
+    df = spark.createDataFrame(rows, "k string, i long, v long").repartition(5)
+    for ranges in (1, 8):
+        got = ordered_fold(lay_out(df, ["k"], "i", ranges), ["k"], "i", fold, ["v"])
+        assert {(r["k"], r["i"]): r["level"] for r in got.collect()} == want
+
+
 def naive_pack(weights, cap):
     out, used, number = [], 0, -1
     for w in weights:
@@ -91,8 +143,8 @@ def test_next_fit_of_a_hot_group(spark):
     want = {}
     for g in ("hot", "a", "b"):
         want.update({(g, i): b for i, b in enumerate(naive_pack([w for k, _, w in rows if k == g], 10))})
-    for chunk in (8, ONE_CHUNK, None):
-        got = {(r["g"], r["o"]): -1 if r["batch"] is None else r["batch"] for r in next_fit(df, ["g"], "o", "w", 10, chunk).collect()}
+    for ranges in (11, 1, None):
+        got = {(r["g"], r["o"]): -1 if r["batch"] is None else r["batch"] for r in next_fit(df, ["g"], "o", "w", 10, ranges).collect()}
         assert got == want
 
 

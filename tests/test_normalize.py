@@ -6,7 +6,6 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.functions.scan import ONE_CHUNK
 from docloom.operators import documents as D
 from docloom.operators.normalize import heading_depth, normalize, chapter_role, looks_like_list_item, strip_display_math
 from docloom.schemas import RAW_BLOCK
@@ -33,13 +32,13 @@ def raw_rows(spark, docs):
     return spark.createDataFrame(rows, schema)
 
 
-def run(spark, docs, assets=(), chunk_rows=ONE_CHUNK):
+def run(spark, docs, assets=(), ranges=None):
     raw = raw_rows(spark, docs)
     layout = spark.createDataFrame([(d, [(0, [612.0, 792.0]), (1, [720.0, 1000.0])]) for d in docs],
                                    "doc_id string, pdf_info array<struct<page_idx:int,page_size:array<double>>>")
     asset_rows = spark.createDataFrame(list(assets), "doc_id string, pos int, relative_path string, sha256 string, mime_type string, size_bytes long")
     sources = spark.createDataFrame([(d, f"art-{d}", SHA) for d in docs], "doc_id string, artifact_id string, source_sha256 string")
-    return normalize(raw, layout, asset_rows, sources, chunk_rows), sources
+    return normalize(raw, layout, asset_rows, sources, ranges), sources
 
 
 def text(t, level=None, **more):
@@ -53,9 +52,9 @@ PAPER = [
     text("- item"), {"type": "ref_text", "text": "[4] Fourth"}, text("B More Results", 2), text("Example one", 2)]
 
 
-@pytest.mark.parametrize("chunk_rows", [ONE_CHUNK, 3])
-def test_outline(spark, chunk_rows):
-    n, _ = run(spark, {"d": PAPER}, chunk_rows=chunk_rows)
+@pytest.mark.parametrize("ranges", [1, 5])
+def test_outline(spark, ranges):
+    n, _ = run(spark, {"d": PAPER}, ranges=ranges)
     assert n.rejected.count() == 0
     assert n.titles.first()["title"] == "Paper Title"
     chapters = [tuple(r) for r in n.chapters.orderBy("order_index").select("source_title", "depth", "role", "block_count").collect()]
@@ -70,8 +69,8 @@ def test_outline(spark, chunk_rows):
 
 def test_results_do_not_depend_on_partitions(spark):
     seen = set()
-    for chunk, parts in ((ONE_CHUNK, 1), (2, 4), (5, 32)):
-        n, _ = run(spark, {"d": PAPER, "e": PAPER[2:]}, chunk_rows=chunk)
+    for ranges, parts in ((1, 1), (2, 4), (5, 32)):
+        n, _ = run(spark, {"d": PAPER, "e": PAPER[2:]}, ranges=ranges)
         seen.add(tuple(sorted(tuple(r) for r in n.blocks.repartition(parts).select("block_id", "order_index", "source_digest").collect())))
     assert len(seen) == 1
 
@@ -102,7 +101,7 @@ def test_large_document_is_published_and_read(spark):
     """One rule for all sizes: more blocks than a scan's chunk has rows."""
     count = 300
     blocks = [text("Title", 1)] + [text(f"Line {i}") for i in range(count)]
-    n, sources = run(spark, {"d": blocks, "e": PAPER}, chunk_rows=64)
+    n, sources = run(spark, {"d": blocks, "e": PAPER}, ranges=6)
     stored = tables.manifests_of(n, sources)
     assert stored.filter("kind = 'block' AND doc_id = 'd'").count() == count
     old = spark.createDataFrame([], tables.TABLES["parse_artifacts"]).select(

@@ -7,7 +7,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docloom.functions.scan import ONE_CHUNK
 from docloom.operators import conversation as C
 from docloom.operators import sessions as K
 from docloom.operators import translate as T
@@ -129,8 +128,8 @@ def command_log(spark, n=300, seed=2):
     return rows, spark.createDataFrame(rows, "session_id string, seq long, command_id string, expected_revision long, type string, failed boolean")
 
 
-@pytest.mark.parametrize("chunk_rows", [ONE_CHUNK, 16])
-def test_replay_equals_a_loop(spark, chunk_rows):
+@pytest.mark.parametrize("ranges", [1, 16])
+def test_replay_equals_a_loop(spark, ranges):
     rows, df = command_log(spark)
     state, want = {}, {}
     for s, seq, cid, expected, kind, failed in rows:
@@ -142,7 +141,7 @@ def test_replay_equals_a_loop(spark, chunk_rows):
         state[s][0] = rev + ok
         seen[cid] = rev + ok
         want[seq] = ("accepted" if ok else "rejected", rev + ok)
-    assert {r["seq"]: (r["status"], r["revision"]) for r in K.replay_commands(df, chunk_rows).collect()} == want
+    assert {r["seq"]: (r["status"], r["revision"]) for r in K.replay_commands(df, ranges).collect()} == want
 
 
 def test_endpoint_variants(spark):
