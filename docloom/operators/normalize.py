@@ -87,17 +87,14 @@ def canonical_assets(assets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
 def with_assets(raw: DataFrame, aliases: DataFrame) -> DataFrame:
     """Adds ``asset_id``, and ``asset_code`` where a table or figure names an unknown path.
 
-    Only rows with a path are joined, so the many rows without one are neither shuffled
-    nor piled up on a null key.
+    The many rows without a path match nothing; they are spread over keys of their own, so that
+    those of one document do not pile up on its null path.
     """
-    uses = F.col("type").isin(["table", *FIGURE_TYPES]) & F.col("img_path").isNotNull()
-    named = raw.filter(uses).join(
-        aliases.withColumnRenamed("relative_path", "img_path"), ["doc_id", "img_path"], "left"
-    )
-    named = named.withColumn("asset_code", F.when(F.col("asset_id").isNull(), "missing_asset"))
-    rest = raw.filter(~F.coalesce(uses, F.lit(False))).withColumns(
-        {c: F.lit(None).cast("string") for c in ("asset_id", "asset_code")})
-    return named.select(*rest.columns).unionByName(rest)
+    uses = F.coalesce(F.col("type").isin(["table", *FIGURE_TYPES]) & F.col("img_path").isNotNull(), F.lit(False))
+    keyed = raw.withColumn("__spread", F.when(uses, 0).otherwise(1 + F.pmod(F.xxhash64("pos"), F.lit(256))))
+    named = aliases.withColumnRenamed("relative_path", "img_path").withColumn("__spread", F.lit(0).cast("long"))
+    return keyed.join(named, ["doc_id", "img_path", "__spread"], "left").withColumn(
+        "asset_code", F.when(uses & F.col("asset_id").isNull(), "missing_asset")).select(*raw.columns, "asset_id", "asset_code")
 
 
 def resolve_assets(raw: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -415,8 +412,9 @@ def normalize(
     """
     pages, bad_pages = page_sizes(layout)
     unique, aliases, bad_assets = canonical_assets(assets)
-    seen = with_assets(with_boxes(raw, pages), aliases)
-    laid = lay_out(parse_tables(classify_text(seen)), ["doc_id"], "pos", ranges)
+    # written before it is laid out, as finding the ranges reads its input twice
+    seen = materialize(parse_tables(classify_text(with_assets(with_boxes(raw, pages), aliases))), "classified")
+    laid = lay_out(seen, ["doc_id"], "pos", ranges)
     classified = drop_layout_noise(laid)
     segmented = materialize(segment_chapters(classified), "segmented")
     blocks, bad_tables = expand_blocks(segmented)
