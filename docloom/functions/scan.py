@@ -138,7 +138,7 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], order: str, fold: Fold, col
         for pdf in batches:
             before = []
             for row in pdf.itertuples(index=False):
-                if row.first:
+                if row.starts:
                     state = fold.start
                 before.append(state)
                 state = fold.follow(row, state)
@@ -149,12 +149,12 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], order: str, fold: Fold, col
         for pdf in batches:
             if pdf.empty:
                 continue
-            edges = np.flatnonzero(pdf["first"].to_numpy())
+            edges = np.flatnonzero(pdf["starts"].to_numpy())
             edges = [*([0] if not len(edges) or edges[0] else []), *edges.tolist(), len(pdf)]
             entry = pdf[states].to_numpy()
             found: list[dict] = []
             for a, b in zip(edges[:-1], edges[1:]):
-                if pdf["first"].iat[a]:
+                if pdf["starts"].iat[a]:
                     state = tuple(entry[a].tolist())
                 out, state = fold.replay(pdf.iloc[a:b], state)
                 found.append(out)
@@ -163,7 +163,7 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], order: str, fold: Fold, col
     def marked(rows: DataFrame, group: list[str], by: str) -> DataFrame:
         # groups are told apart by their first rows, as null keys are groups too
         window = Window.partitionBy(*group).orderBy(by)
-        return rows.repartition(*group).withColumn("first", F.row_number().over(window) == 1).sortWithinPartitions(*group, by)
+        return rows.repartition(*group).withColumn("starts", F.row_number().over(window) == 1).sortWithinPartitions(*group, by)
 
     steps = wide.groupBy(*names).applyInPandas(summarize, f"{key_ddl}, {RANGE} long, {fold.steps}")
     entries = marked(steps, list(keys), RANGE).mapInPandas(compose, f"{key_ddl}, {RANGE} long, {fold.state}")

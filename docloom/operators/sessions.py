@@ -16,6 +16,7 @@ from docloom.functions.text import ascii_lower, utrim
 LIVE_TOKENS = 32
 MIN_CONTEXT_WINDOW, MAX_CONTEXT_WINDOW = 1024, 8_000_000
 FREE_COMMAND = "focus_chapter"
+KEEP_RECEIPTS = 24 * 3600
 ADAPTER_PROTOCOL_VERSION = "1"
 PARSER_KIND, MODEL_KIND = "mineru", "translation"
 
@@ -77,15 +78,50 @@ REPLAY = Fold(start=(0,), state="revision long", steps="enter array<long>, leave
               summarize=_summary, follow=_after, replay=_played)
 
 
-def replay_commands(commands: DataFrame, ranges: int | None = None) -> DataFrame:
+def _expiring(keep_us: int) -> Fold:
+    """Which command's receipt a repeated one meets: the first one's, until that is too old."""
+    def replay(pdf: pd.DataFrame, state: tuple) -> tuple[dict[str, np.ndarray], tuple]:
+        first, since = state
+        out = np.empty(len(pdf), dtype=np.int64)
+        for i, (seq, at) in enumerate(zip(pdf["seq"].tolist(), pdf["at_us"].tolist())):
+            if first < 0 or at - since > keep_us:
+                first, since = seq, at
+            out[i] = first
+        return {"__first": out}, (first, since)
+
+    def summarize(pdf: pd.DataFrame) -> dict:
+        # the receipt at the end, for each command that may be the first to find the old one expired
+        seq, at = pdf["seq"].to_numpy(), pdf["at_us"].to_numpy()
+        later, last = np.searchsorted(at, at + keep_us, "right"), np.arange(len(at))
+        for i in range(len(at) - 1, -1, -1):
+            last[i] = last[later[i]] if later[i] < len(at) else i
+        return {"at": at.tolist(), "first": seq[last].tolist(), "since": at[last].tolist()}
+
+    def follow(row, state: tuple) -> tuple:
+        at = 0 if state[0] < 0 else int(np.searchsorted(np.asarray(row.at), state[1] + keep_us, "right"))
+        return state if at == len(row.at) else (int(row.first[at]), int(row.since[at]))
+
+    return Fold(start=(-1, 0), state="__receipt long, __since long", steps="at array<long>, first array<long>, since array<long>",
+                out="__first long", summarize=summarize, follow=follow, replay=replay)
+
+
+def replay_commands(commands: DataFrame, ranges: int | None = None, keep: int | None = None) -> DataFrame:
     """Receipt of every command: status (duplicate/rejected/accepted) and revision.
 
     ``commands``: session_id, seq (unique per session), command_id, expected_revision, type,
-    failed (whether its action failed). A repeated id returns the first receipt's revision.
+    failed (whether its action failed). A repeated id returns the first receipt's revision. With
+    ``keep`` a receipt lasts so many seconds by the commands' ``at``, which does not fall within a
+    session; a command that comes again after that is a new one.
     """
-    first = commands.groupBy("session_id", "command_id").agg(F.min("seq").alias("__first"))
+    if keep is None:
+        first = commands.groupBy("session_id", "command_id").agg(F.min("seq").alias("__first"))
+        commands = commands.join(first, ["session_id", "command_id"])
+    else:
+        names = ["session_id", "command_id"]
+        timed = lay_out(commands.select(*names, "seq", F.unix_micros("at").alias("at_us")), names, "seq", ranges)
+        commands = commands.join(ordered_fold(timed, names, "seq", _expiring(keep * 1_000_000), ["at_us"]), [*names, "seq"])
     free = F.col("expected_revision").isNull() | (F.col("type") == FREE_COMMAND)
-    marked = lay_out(commands.join(first, ["session_id", "command_id"]).select(
+    marked = lay_out(commands.select(
         "session_id", "seq", "command_id", "__first", free.alias("free"), "failed",
         F.coalesce("expected_revision", F.lit(-1)).cast("long").alias("wanted")), ["session_id"], "seq", ranges)
     played = ordered_fold(marked.filter(F.col("seq") == F.col("__first")), ["session_id"], "seq", REPLAY, ["free", "failed", "wanted"])

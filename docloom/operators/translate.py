@@ -277,6 +277,11 @@ def _load(text: str):
         return None
 
 
+def load_record(text: str) -> dict | None:
+    """One record from the JSON text of an object, if it is one."""
+    return _record(_load(text))
+
+
 def balanced_objects(text: str) -> list[str]:
     """Top-level ``{...}`` stretches; braces inside strings do not count."""
     import re
@@ -315,7 +320,7 @@ def read_records(text: str) -> list[dict] | None:
     one = _record(whole)
     if one:
         return [one]
-    records = [_record(_load(part)) for part in balanced_objects(text)]
+    records = [load_record(part) for part in balanced_objects(text)]
     return [r for r in records if r] or None
 
 

@@ -6,6 +6,7 @@ that another engine reaches the same tables.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from docloom.functions.text import sha_hex
 from docloom.operators.translate import TranslationConfig
 from docloom.schemas import JOB_STATES
+from docloom.session import checkpoint_dir
 
 CONFIG = TranslationConfig(model_id="model-a", endpoint_fingerprint="fp-1", context_window=4096)
 
@@ -464,7 +466,7 @@ class Corpus:
             F.concat(F.lit("cmd-"), F.when(k < 20, k).otherwise(i + 1000)).alias("command_id"),
             F.when(k % 3 != 0, (k % 37).cast("long")).alias("expected_revision"),
             F.when(F.col("event_type") == "view", "focus_chapter").when(F.col("event_type") == "error", "retry_translation").otherwise("reading_assistant").alias("type"),
-            (k % 11 == 5).alias("failed"))
+            (k % 11 == 5).alias("failed"), F.col("ts").cast("timestamp").alias("at"))
 
     @cached_property
     def open_log(self) -> DataFrame:
@@ -506,6 +508,18 @@ class Corpus:
                         F.get(F.array(*[F.lit(b) for b in bodies]), (i % 10).cast("int")).alias("body"))
 
 
+def in_turns(rows: DataFrame, key: str, turn: Column, turns: int = 3, files: int = 4) -> DataFrame:
+    """The rows as a stream that takes a turn (0, 1, ...) in each micro-batch, or nearly so.
+
+    Each turn is written after the one before, a key's rows in one file.
+    """
+    spark = rows.sparkSession
+    path = f"{checkpoint_dir(spark)}/docloom-{uuid.uuid4().hex}/turns"
+    for i in range(turns):
+        rows.filter(turn == i).repartition(files, key).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 class StreamCorpus(Corpus):
     """The same derivations with the driver tables read as streams of files."""
 
@@ -514,8 +528,14 @@ class StreamCorpus(Corpus):
         return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option(
             "maxFilesPerTrigger", 16).parquet(self.sf_dir)
 
+    def by_turns(self, rows: DataFrame, key: str, order: str) -> DataFrame:
+        """Rows of a log, the events' ids being its order, in thirds."""
+        n = self.spark.read.parquet(f"{self.sf_dir}/events.parquet").agg(F.max("event_id")).first()[0] or 0
+        return in_turns(rows, key, F.floor(F.col(order) * 3 / (n + 1)))
+
     @cached_property
     def touches(self) -> DataFrame:
-        return self.table("events").select(
-            F.concat(F.lit("c-"), (F.col("user_id") % 3).cast("string")).alias("client_id"), F.lit("reader").alias("resource_id"), F.col("ts").cast("timestamp").alias("ts"),
-            F.col("event_type").isin("view", "click").alias("heartbeat"))
+        e = Corpus.table(self, "events").select(
+            F.concat(F.lit("c-"), "user_id").alias("client_id"), F.lit("reader").alias("resource_id"), F.col("ts").cast("timestamp").alias("ts"),
+            F.col("event_type").isin("view", "click").alias("heartbeat"), "event_id")
+        return self.by_turns(e, "client_id", "event_id")

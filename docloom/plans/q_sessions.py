@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from docloom.operators import quality as Q
 from docloom.operators import sessions as K
 from docloom.plans.bridge import Corpus, digit
-from docloom.plans.oracle_base import OPEN_OPS, OPS, compose, cte, digit as sql_digit
+from docloom.plans.oracle_base import CTES, OPEN_OPS, OPS, compose, cte, digit as sql_digit
 from docloom.plans.registry import register
 
 cte("commands", """
 SELECT 'session-' || user_id AS session_id, event_id AS seq, 'cmd-' || CASE WHEN k < 20 THEN k ELSE event_id + 1000 END AS command_id,
-  CASE WHEN k % 3 <> 0 THEN k % 37 END AS expected, CASE event_type WHEN 'view' THEN 'focus_chapter' WHEN 'error' THEN 'retry_translation' ELSE 'reading_assistant' END AS type, k % 11 = 5 AS failed
+  CASE WHEN k % 3 <> 0 THEN k % 37 END AS expected, CASE event_type WHEN 'view' THEN 'focus_chapter' WHEN 'error' THEN 'retry_translation' ELSE 'reading_assistant' END AS type, k % 11 = 5 AS failed, ts
 FROM event_keys""")
 cte("fresh_commands", """
 SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY session_id, command_id ORDER BY seq) AS copy FROM commands) WHERE copy = 1""")
@@ -25,6 +25,17 @@ register("K1_replay_commands", lambda c: K.replay_commands(c.commands),
          compose("""SELECT c.session_id, c.seq, c.command_id, CASE WHEN f.rn IS NULL THEN 'duplicate' WHEN r.ok THEN 'accepted' ELSE 'rejected' END AS status, (r.before + r.ok::INT)::BIGINT AS revision,
   CASE WHEN r.ok THEN NULL WHEN r.stale THEN 'stale_revision' ELSE 'action_failed' END AS reason
 FROM commands c JOIN recursive_receipts r ON r.session_id = c.session_id AND r.command_id = c.command_id LEFT JOIN fresh_commands f ON f.session_id = c.session_id AND f.seq = c.seq"""))
+cte("recursive_starts", """
+SELECT session_id, command_id, min(seq) AS seq FROM commands GROUP BY 1, 2
+UNION ALL SELECT r.session_id, r.command_id, min(c.seq) FROM recursive_starts r JOIN commands b ON b.session_id = r.session_id AND b.seq = r.seq
+JOIN commands c ON c.session_id = r.session_id AND c.command_id = r.command_id AND c.seq > r.seq AND c.ts > b.ts + INTERVAL 24 HOUR GROUP BY 1, 2""")
+cte("kept_commands", "SELECT c.*, row_number() OVER (PARTITION BY c.session_id ORDER BY c.seq) AS rn FROM commands c JOIN recursive_starts s ON s.session_id = c.session_id AND s.seq = c.seq")
+cte("recursive_kept", CTES["recursive_receipts"].replace("fresh_commands", "kept_commands").replace("recursive_receipts", "recursive_kept").replace("rn, command_id,", "rn, seq, command_id,").replace("c.rn, c.command_id,", "c.rn, c.seq, c.command_id,"))
+register("K1_replay_with_expiry", lambda c: K.replay_commands(c.commands, keep=K.KEEP_RECEIPTS),
+         compose("""SELECT c.session_id, c.seq, c.command_id, CASE WHEN c.seq <> c.first THEN 'duplicate' WHEN r.ok THEN 'accepted' ELSE 'rejected' END AS status, (r.before + r.ok::INT)::BIGINT AS revision,
+  CASE WHEN r.ok THEN NULL WHEN r.stale THEN 'stale_revision' ELSE 'action_failed' END AS reason
+FROM (SELECT c.session_id, c.seq, c.command_id, max(s.seq) AS first FROM commands c JOIN recursive_starts s ON s.session_id = c.session_id AND s.command_id = c.command_id AND s.seq <= c.seq GROUP BY 1, 2, 3) c
+JOIN recursive_kept r ON r.session_id = c.session_id AND r.seq = c.first"""))
 cte("open_log", "SELECT 'doc-' || user_id AS document_id, event_id AS seq, CASE WHEN event_type IN ('view', 'signup') THEN 'open' ELSE 'close' END AS action, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events")
 cte("recursive_counts", """
 SELECT document_id, rn, seq, action, CASE WHEN action = 'open' THEN 1 ELSE 0 END AS n FROM open_log WHERE rn = 1

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.stage import stage_path
 from docloom.operators import library as L
-from docloom.plans.bridge import Corpus, StreamCorpus, digit
+from docloom.plans.bridge import Corpus, StreamCorpus, digit, in_turns
 from docloom.plans.oracle_base import compose, cte, digit as sql_digit
 from docloom.plans.q_library import EXISTING, INCOMING, VALID_POSITION
 from docloom.plans.registry import ORACLES, register
@@ -194,42 +194,67 @@ def _stream(c: Corpus) -> StreamCorpus:
     return StreamCorpus(c.spark, c.sf_dir)
 
 
-register("X1_stream_commands", lambda c: sinks.drain(X.stream_commands(_stream(c).commands)),
-         "SELECT session_id, seq, command_id, status, revision FROM (" + ORACLES["K1_replay_commands"] + ") q")
-register("X2_stream_leases", lambda c: sinks.drain(X.stream_leases(_stream(c).touches), mode="complete").select(
+register("X1_stream_commands", lambda c: sinks.drain(X.stream_commands(_stream(c).by_turns(c.commands, "session_id", "seq"))),
+         "SELECT session_id, seq, command_id, status, revision FROM (" + ORACLES["K1_replay_with_expiry"] + ") q")
+register("X2_stream_leases", lambda c: sinks.drain(X.stream_leases(_stream(c).touches)).select(
     "client_id", F.unix_micros("started_at").alias("started_us"), F.unix_micros("expires_at").alias("expires_us"), "touches"),
-    """SELECT client_id, epoch_us(min(CASE WHEN NOT heartbeat THEN ts END)) AS started_us, epoch_us(max(ts)) + 120000000 AS expires_us, count(*) AS touches FROM (
+    """SELECT * FROM (SELECT client_id, epoch_us(min(CASE WHEN NOT heartbeat THEN ts END)) AS started_us, epoch_us(max(ts)) + 120000000 AS expires_us, count(*) AS touches FROM (
   SELECT *, sum(CASE WHEN gap > 120000000 THEN 1 ELSE 0 END) OVER (PARTITION BY client_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS no FROM (
-    SELECT event_id, ts, 'c-' || (user_id % 3) AS client_id, event_type IN ('view', 'click') AS heartbeat,
-      epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id)) AS gap FROM events)) GROUP BY client_id, no HAVING min(CASE WHEN NOT heartbeat THEN ts END) IS NOT NULL""")
+    SELECT event_id, ts, 'c-' || user_id AS client_id, event_type IN ('view', 'click') AS heartbeat,
+      epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events)) GROUP BY client_id, no HAVING min(CASE WHEN NOT heartbeat THEN ts END) IS NOT NULL)
+WHERE expires_us <= 1000 * ((SELECT epoch_us(max(ts)) FROM events) // 1000 - 600000)""")
 
 
 def _answer_fragments(c: Corpus):
     a = c.answers
     n = F.ceil(F.length("text") / 9).cast("int")
     parts = a.select("request_id", "text", "sequence", n.alias("n"), F.explode(F.sequence(F.lit(0), n)).alias("i"))
+    i = F.col("i")
+    # every fifth fragment comes a turn late
+    turn = F.least(F.floor(i * 3 / (F.col("n") + 1)) + (i % 5 == 3).cast("int"), F.lit(2))
     rows = parts.select(
-        "request_id", F.col("i").cast("long").alias("seq"), F.substring("text", F.col("i") * 9 + 1, F.lit(9)).alias("fragment"),
-        F.when(F.col("i") == F.col("n"), "stop").alias("finish_reason"), (F.col("i") == F.col("n")).alias("done"),
-        F.array(F.concat(F.lit("ctx-"), F.col("sequence").cast("string"))).alias("allowed"))
-    path = stage_path(rows.repartition(8, "request_id"), "fragments")
-    return c.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
-
-
-register("X3_stream_responses", lambda c: sinks.drain(X.stream_responses(_answer_fragments(c))).filter("event <> 'checkpoint'").select("request_id", "event", "value"),
-         compose("""SELECT request_id, 'final' AS event, original AS value FROM answers UNION ALL SELECT request_id, 'citation', 'ctx-' || sequence FROM answers
+        "request_id", i.cast("long").alias("seq"), F.substring("text", i * 9 + 1, F.lit(9)).alias("fragment"), (i == F.col("n")).alias("done"),
+        F.array(F.concat(F.lit("ctx-"), F.col("sequence").cast("string"))).alias("allowed"), turn.alias("turn"))
+    return in_turns(rows, "request_id", F.col("turn"))
+
+
+def _answer_events(c: Corpus):
+    """Citations and warnings as they came, and the text put together from its checkpoints."""
+    events = sinks.drain(X.stream_responses(_answer_fragments(c)), timers=True)
+    parts = events.filter("event IN ('checkpoint', 'final')").groupBy("request_id").agg(
+        F.array_sort(F.collect_list(F.struct("start", "event_no", "event", "value"))).alias("p"))
+    # each part begins where the ones before end, and the last one is final
+    text = F.array_join(F.transform("p", lambda x: x["value"]), "")
+    gaps = F.aggregate("p", F.struct(F.lit(0).cast("long").alias("at"), F.lit(True).alias("ok")), lambda acc, x: F.struct(
+        (acc["at"] + F.length(x["value"])).alias("at"), (acc["ok"] & (x["start"] == acc["at"])).alias("ok")))
+    whole = parts.filter(gaps["ok"] & (F.element_at("p", -1)["event"] == "final") & (F.size("p") > 1)).select(
+        "request_id", F.lit("text").alias("event"), text.alias("value"))
+    return events.filter("event NOT IN ('checkpoint', 'final')").select("request_id", "event", "value").unionByName(whole)
+
+
+register("X3_stream_responses", _answer_events,
+         compose("""SELECT request_id, 'text' AS event, original AS value FROM answers UNION ALL SELECT request_id, 'citation', 'ctx-' || sequence FROM answers
 UNION ALL SELECT request_id, 'warning', 'citation_duplicate' FROM answers WHERE k % 3 = 0 UNION ALL SELECT request_id, 'warning', 'citation_out_of_context' FROM answers WHERE k % 4 = 1
 UNION ALL SELECT request_id, 'warning', 'citation_marker_invalid' FROM answers WHERE k IN (2, 3, 4)"""))
 
 
 def _record_stream(c: Corpus):
-    path = stage_path(_events(c).repartition(8, "request_id"), "events")
-    return T.read_response_fragments(c.spark, path, stream=True)
-
-
-register("X4_stream_translation_records", lambda c: sinks.drain(X.stream_translation_records(_record_stream(c))).filter("error_code IS NULL").select(
-    "request_id", "ord", "block_id", "target"), ORACLES["T10_parse_outputs"])
-register("X5_stream_job_events", lambda c: sinks.drain(X.stream_job_events(_stream(c).job_history.select(F.col("id").alias("job_id"), "seq", "state"))),
+    """The answers' events over three micro-batches, and for each one a second answer without a record."""
+    events = _events(c)
+    last = events.groupBy("request_id").agg(F.max("seq").alias("last"))
+    none = events.join(last, "request_id").filter(F.col("seq") >= F.col("last") - 1).select(
+        F.concat(F.lit("none-"), "request_id").alias("request_id"), (F.col("seq") - F.col("last") + 2).alias("seq"), "data", F.lit(3).alias("last"))
+    words = last.select(F.concat(F.lit("none-"), "request_id").alias("request_id"), F.lit(0).cast("long").alias("seq"),
+                        F.lit('{"choices":[{"delta":{"content":"I am {sorry}"}}]}').alias("data"), F.lit(3).alias("last"))
+    rows = events.join(last, "request_id").unionByName(none).unionByName(words).withColumn(
+        "turn", F.floor(F.col("seq") * 3 / (F.col("last") + 1)))
+    return T.parse_fragments(in_turns(rows, "request_id", F.col("turn")))
+
+
+register("X4_stream_translation_records", lambda c: sinks.drain(X.stream_translation_records(_record_stream(c)), timers=True),
+         "SELECT request_id, ord, block_id, target, NULL AS error_code FROM (" + ORACLES["T10_parse_outputs"] + ") q UNION ALL SELECT 'none-' || request_id, -1, NULL, NULL, 'invalid_json' FROM ("
+         + compose("SELECT request_id FROM bodies") + ") b")
+register("X5_stream_job_events", lambda c: sinks.drain(X.stream_job_events(_stream(c).by_turns(c.job_history.select(F.col("id").alias("job_id"), "seq", "state"), "job_id", "seq")), timers=True),
          ORACLES["J2_state_change_events"])
 register("X6_stream_upsert_library", lambda c: sinks.stream_upsert_library(_stream(c).imports, c.library.limit(0)).select("id", "sha256", "title", "created_at", "updated_at"),
          compose("""SELECT arg_min(id, imported_at) AS id, sha256, arg_max(title, imported_at) AS title, min(imported_at) AS created_at, max(imported_at) AS updated_at FROM imports GROUP BY sha256"""))

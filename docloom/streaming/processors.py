@@ -1,78 +1,116 @@
 """Stateful stream operators: commands, leases, answers, translation records, job events.
 
-State travels with the rows of its key in Arrow batches (one read and one write per key and
-batch). What a key keeps is bounded: a revision and the last receipts, one unfinished response
-(at most 2 MiB), one state name. Rows of a key are taken in order of ``seq``.
+What a key keeps is bounded and ends: receipts last for a day of event time, fragments that wait for
+an earlier one are limited in bytes, answers keep only the text that no checkpoint has carried yet,
+translation responses only their unfinished record, and everything idle is dropped after a time to
+live. Rows of a key are taken in order of ``seq`` within a micro-batch; a source's limit per trigger
+bounds how many those are.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from docloom.operators.conversation import CITE_TAG, MAX_MARKER_BYTES
-from docloom.operators.sessions import FREE_COMMAND
-from docloom.operators.translate import read_records
+from docloom.operators.sessions import FREE_COMMAND, KEEP_RECEIPTS
+from docloom.operators.translate import load_record
 from docloom.schemas import MAX_RESPONSE_BYTES
 
 # fixed values
-KEPT_RECEIPTS = 1024
 CHECKPOINT_BYTES = 8 * 1024
-STATE = "data string"
+CHECKPOINT_MS = 250
+#: Requests and jobs without news are forgotten after so long.
+IDLE_MS = 24 * 3600 * 1000
+JOB_IDLE_MS = 30 * IDLE_MS
 
 
 def _none(value):
     return None if value is None or value is pd.NA or (isinstance(value, float) and value != value) else value
 
 
-def per_key(rows: DataFrame, key: str, schema: str, initial: dict, step: Callable) -> DataFrame:
-    """``step(key, state, rows in order)`` returns the new state and output rows of one key."""
-    names = [part.split()[0] for part in schema.split(", ")]
+def _in_order(rows: Iterator[pd.DataFrame]) -> list:
+    return list(pd.concat(list(rows)).sort_values("seq", kind="stable").itertuples(index=False))
 
-    def run(keys: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        state = json.loads(group.get[0]) if group.exists else json.loads(json.dumps(initial))
-        ordered = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        state, out = step(keys[0], state, list(ordered.itertuples(index=False)))
-        group.update((json.dumps(state),))
-        yield pd.DataFrame(out, columns=names)
 
-    return rows.groupBy(key).applyInPandasWithState(run, schema, STATE, "append", GroupStateTimeout.NoTimeout)
+def _run(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, time_mode: str) -> DataFrame:
+    return rows.groupBy(key).transformWithStateInPandas(processor, StructType.fromDDL(schema), "Append", time_mode)
 
 
-def _command_step(key: str, state: dict, rows: list) -> tuple[dict, list]:
-    revision, receipts, out = state["revision"], state["receipts"], []
-    for row in rows:
-        if row.command_id in receipts:
-            out.append((key, row.seq, row.command_id, "duplicate", receipts[row.command_id]))
-            continue
-        expected = _none(row.expected_revision)
-        stale = expected is not None and row.type != FREE_COMMAND and int(expected) != revision
-        accepted = not stale and not row.failed
-        revision += int(accepted)
-        receipts[row.command_id] = revision
-        if len(receipts) > KEPT_RECEIPTS:
-            # the oldest goes first
-            del receipts[next(iter(receipts))]
-        out.append((key, row.seq, row.command_id, "accepted" if accepted else "rejected", revision))
-    return {"revision": revision, "receipts": receipts}, out
+# ---- commands --------------------------------------------------------------------------
+class CommandLog(StatefulProcessor):
+    """Revision of a session, and receipts of its commands until they are ``keep_ms`` old.
 
+    Whether a receipt still counts is decided by the commands' own times; timers of event time then
+    free the memory, once the watermark says that no command can ask for it any more.
+    """
+
+    SCHEMA = "session_id string, seq long, command_id string, status string, revision long"
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.revision = handle.getValueState("revision", "revision long")
+        self.receipts = handle.getMapState("receipts", "command_id string", "revision long, at_us long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        revision = self.revision.get()[0] if self.revision.exists() else 0
+        receipts = {k[0]: tuple(v) for k, v in self.receipts.iterator()}
+        fresh, out, had = {}, [], bool(receipts)
+        for row in _in_order(rows):
+            at_us = row.at.value // 1000
+            known = receipts.get(row.command_id)
+            if known and at_us - known[1] <= self.keep_ms * 1000:
+                out.append((key[0], row.seq, row.command_id, "duplicate", known[0]))
+                continue
+            expected = _none(row.expected_revision)
+            stale = expected is not None and row.type != FREE_COMMAND and int(expected) != revision
+            accepted = not stale and not row.failed
+            revision += int(accepted)
+            receipts[row.command_id] = fresh[row.command_id] = (revision, at_us)
+            out.append((key[0], row.seq, row.command_id, "accepted" if accepted else "rejected", revision))
+        self.revision.update((revision,))
+        for command, receipt in fresh.items():
+            self.receipts.updateValue((command,), receipt)
+        if fresh and not had:
+            self._wait(min(at for _, at in fresh.values()))
+        yield pd.DataFrame(out, columns=[p.split()[0] for p in self.SCHEMA.split(", ")])
+
+    def _wait(self, oldest_us: int) -> None:
+        self.handle.registerTimer(oldest_us // 1000 + self.keep_ms + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        end_us = expiredTimerInfo.getExpiryTimeInMs() * 1000 - self.keep_ms * 1000
+        left = None
+        for command, (_, at_us) in list(self.receipts.iterator()):
+            if at_us <= end_us:
+                self.receipts.removeKey(tuple(command))
+            else:
+                left = at_us if left is None else min(left, at_us)
+        if left is not None:
+            self._wait(left)
+        return iter([])
 
-def stream_commands(commands: DataFrame) -> DataFrame:
-    """Receipts of commands as they come; a session remembers its last 1024 of them."""
-    return per_key(
-        commands, "session_id", "session_id string, seq long, command_id string, status string, revision long",
-        {"revision": 0, "receipts": {}}, _command_step)
 
+def stream_commands(commands: DataFrame, keep: int = KEEP_RECEIPTS, lateness: str = "10 minutes") -> DataFrame:
+    """Receipts of commands (as K1's, with ``at``) as they come; a receipt lasts ``keep`` seconds."""
+    return _run(commands.withWatermark("at", lateness), "session_id", CommandLog(keep * 1000), CommandLog.SCHEMA, "EventTime")
 
+
+# ---- leases ----------------------------------------------------------------------------
 def stream_leases(touches: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     """Lease of each (client_id, resource_id): it lasts until 120 s without a touch.
 
-    Heartbeats only extend a lease; a run of them without a touch is none.
+    Heartbeats only extend a lease; a run of them without a touch is none. A lease comes out once,
+    when the watermark has passed its end; touches later than that are dropped, and so is its state.
     """
     lease = F.session_window("ts", "120 seconds")
     return touches.withWatermark("ts", lateness).groupBy("client_id", "resource_id", lease).agg(
@@ -81,6 +119,37 @@ def stream_leases(touches: DataFrame, lateness: str = "10 minutes") -> DataFrame
         "client_id", "resource_id", F.col("first_touch").alias("started_at"), F.col("session_window.end").alias("expires_at"), "touches")
 
 
+# ---- fragments -------------------------------------------------------------------------
+class Fragments:
+    """Fragments of one request, handed out by consecutive ``seq``; later ones wait in a list state.
+
+    More than ``MAX_RESPONSE_BYTES`` of waiting text ends the request.
+    """
+
+    DDL = "seq long, fragment string, done boolean"
+
+    def __init__(self, state):
+        self.state = state
+
+    def take(self, rows: list, expected: int) -> tuple[list[tuple[str, bool]], int, bool]:
+        """(fragment, done) in turn, the next number, and whether too much waits."""
+        waiting = {int(r[0]): (r[1], bool(r[2])) for r in self.state.get()} if self.state.exists() else {}
+        had = bool(waiting)
+        for r in rows:
+            if r.seq >= expected:
+                waiting.setdefault(int(r.seq), (r.fragment or "", bool(r.done)))
+        ready = []
+        while expected in waiting:
+            ready.append(waiting.pop(expected))
+            expected += 1
+        over = sum(len(f.encode()) for f, _ in waiting.values()) > MAX_RESPONSE_BYTES
+        if waiting and not over:
+            self.state.put([(n, *v) for n, v in sorted(waiting.items())])
+        elif had:
+            self.state.clear()
+        return ready, expected, over
+
+
 class CitationReader:
     """Text, citations and warnings of one answer, whatever the fragment borders are."""
 
@@ -134,109 +203,231 @@ class CitationReader:
         return events
 
 
-class Ordered:
-    """Rows handed out by consecutive ``seq``; later ones wait."""
+class Response(StatefulProcessor):
+    """An answer as it is written: citations and warnings at once, text in checkpoints.
+
+    A checkpoint carries the text since the last one and where it begins. It is due with the first
+    text, after 8 KiB, after 250 ms without one (a timer of processing time), and at the end.
+    """
+
+    SCHEMA = "request_id string, event_no long, event string, start long, value string"
+    HEAD = ("pending string, discarding boolean, allowed array<string>, seen array<string>, expected long, closed boolean, "
+            "events long, fresh string, start long, size long, saved long")
+    NEW = ("", False, None, [], 0, False, 0, "", 0, 0, 0)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.head = handle.getValueState("head", self.HEAD, ttlDurationMs=IDLE_MS)
+        self.fragments = Fragments(handle.getListState("waiting", Fragments.DDL, ttlDurationMs=IDLE_MS))
+
+    def _emit(self, kind: str, value: str, start: int | None = None) -> None:
+        self.out.append((self.key, self.events, kind, start, value))
+        self.events += 1
+
+    def _save(self, kind: str) -> None:
+        self._emit(kind, self.fresh, self.start)
+        self.start, self.saved, self.fresh = self.start + len(self.fresh), self.size, ""
+
+    def _open(self, key) -> None:
+        known = tuple(self.head.get()) if self.head.exists() else self.NEW
+        (self.pending, self.discarding, self.allowed, self.seen, self.expected, self.closed,
+         self.events, self.fresh, self.start, self.size, self.saved) = known
+        self.key, self.out = key[0], []
+
+    def _close(self) -> pd.DataFrame:
+        self.head.update((self.pending, self.discarding, self.allowed, list(self.seen), self.expected, self.closed,
+                          self.events, self.fresh, self.start, self.size, self.saved))
+        return pd.DataFrame(self.out, columns=[p.split()[0] for p in self.SCHEMA.split(", ")]).astype({"start": "Int64"})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        self._open(key)
+        if self.closed:
+            return
+        ordered = _in_order(rows)
+        self.allowed = [str(x) for x in (ordered[0].allowed if self.allowed is None else self.allowed)]
+        waited = bool(self.fresh)
+        reader = CitationReader(self.allowed, self.seen, self.pending, self.discarding)
+        ready, self.expected, over = self.fragments.take(ordered, self.expected)
+        for fragment, done in ready:
+            for kind, value in reader.feed(fragment, done):
+                if kind == "text":
+                    self.fresh, self.size = self.fresh + value, self.size + len(value.encode())
+                else:
+                    self._emit(kind, value)
+            over = over or self.size > MAX_RESPONSE_BYTES
+            if over:
+                break
+            if done:
+                self._save("final")
+                self.closed = True
+                break
+            if self.fresh and (self.saved == 0 or self.size - self.saved >= CHECKPOINT_BYTES):
+                self._save("checkpoint")
+        if over:
+            self._emit("error", "response_too_large")
+            self.closed = True
+        if self.closed:
+            self.fragments.state.clear()
+            reader, self.fresh, self.allowed = CitationReader([]), "", []
+        elif self.fresh and not waited:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + CHECKPOINT_MS)
+        self.seen, self.pending, self.discarding = reader.seen, reader.pending, reader.discarding
+        yield self._close()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._open(key)
+        if self.fresh and not self.closed:
+            self._save("checkpoint")
+            yield self._close()
+
 
-    def __init__(self, waiting, expected: int):
-        self.waiting, self.expected = dict(waiting), expected
+def stream_responses(fragments: DataFrame) -> DataFrame:
+    """Events of answer streams (request_id, seq from 0, fragment, done, allowed), fragments in any order."""
+    return _run(fragments, "request_id", Response(), Response.SCHEMA, "ProcessingTime")
 
-    def take(self, rows):
-        for row in rows:
-            if row[0] >= self.expected:
-                self.waiting[row[0]] = row
-        while self.expected in self.waiting:
-            yield self.waiting.pop(self.expected)
-            self.expected += 1
 
+# ---- translation records ---------------------------------------------------------------
+class RecordScanner:
+    """Top-level ``{...}`` stretches of a text that comes in pieces, without its fence lines.
 
-def _rows_of(state: dict, rows: list) -> tuple[Ordered, Iterator[tuple]]:
-    line = Ordered({int(k): tuple(v) for k, v in state["waiting"].items()}, state["expected"])
-    fresh = [(int(r.seq), r.fragment or "", _none(r.finish_reason), bool(r.done)) for r in rows]
-    return line, line.take(fresh)
+    What is kept is the unfinished stretch, and the head of a line that may still become a fence.
+    """
 
+    STATE = "depth int, quoted boolean, escaped boolean, text string, head string, fenced boolean, first string"
+    NEW = (0, False, False, "", "", False, "")
+    _SIGN = re.compile(r'["{}\\]')
 
-def _response_step(key: str, state: dict, rows: list) -> tuple[dict, list]:
-    allowed = state["allowed"] if state["allowed"] is not None else [str(x) for x in rows[0].allowed]
-    reader = CitationReader(allowed, state["seen"], state["pending"], state["discarding"])
-    line, ready = _rows_of(state, rows)
-    text, size, saved, version, closed, number = (state[k] for k in ("text", "size", "saved", "version", "closed", "events"))
-    out = []
+    def __init__(self, depth, quoted, escaped, text, head, fenced, first):
+        # ``head`` is None behind a line's first characters; ``first`` are the first three visible ones
+        self.depth, self.quoted, self.escaped, self.text = depth, quoted, escaped, text
+        self.head, self.fenced, self.first = head, fenced, first
 
-    def emit(kind: str, value: str) -> None:
-        nonlocal number
-        out.append((key, number, kind, value))
-        number += 1
+    def state(self) -> tuple:
+        return self.depth, self.quoted, self.escaped, self.text, self.head, self.fenced, self.first
 
-    for _, fragment, _finish, done in ready:
-        if closed:
-            continue
-        for kind, value in reader.feed(fragment, done):
-            if kind == "text":
-                text, size = text + value, size + len(value.encode())
+    def _lines(self, piece: str, last: bool) -> str:
+        out, lines = [], piece.split("\n")
+        for i, line in enumerate(lines):
+            ends = i + 1 < len(lines)
+            if self.head is None:
+                out.append("" if self.fenced else line)
             else:
-                emit(kind, value)
-        if size > MAX_RESPONSE_BYTES:
-            emit("error", "response_too_large")
-            closed = True
-        elif done or (size and version == 0) or size - saved >= CHECKPOINT_BYTES:
-            version, saved, closed = version + 1, size, done
-            emit("final" if done else "checkpoint", text)
-    kept = {} if closed else {str(k): v for k, v in line.waiting.items()}
-    return {
-        "allowed": allowed, "seen": reader.seen, "pending": reader.pending, "discarding": reader.discarding, "waiting": kept,
-        "expected": line.expected, "text": "" if closed else text, "size": size, "saved": saved, "version": version,
-        "closed": closed, "events": number}, out
+                self.head += line
+                begin = self.head.lstrip()
+                if begin.startswith("```"):
+                    self.fenced, self.head = True, None
+                elif ends or last or not "```".startswith(begin):
+                    out.append(self.head)
+                    self.head = None
+            if ends:
+                out.append("" if self.fenced else "\n")
+                self.fenced, self.head = False, ""
+        return "".join(out)
+
+    def feed(self, piece: str, last: bool = False) -> list[str]:
+        text, found = self._lines(piece, last), []
+        if len(self.first) < 3:
+            self.first = (self.first + "".join(text.split())[:3])[:3]
+        begin, skip = 0, int(self.escaped)
+        if text:
+            self.escaped = False
+        for mark in self._SIGN.finditer(text):
+            at, sign = mark.start(), mark.group()
+            if at < skip:
+                continue
+            if self.quoted:
+                if sign == "\\":
+                    skip, self.escaped = at + 2, at + 1 == len(text)
+                elif sign == '"':
+                    self.quoted = False
+            elif sign == '"':
+                self.quoted = self.depth > 0
+            elif sign == "{":
+                begin = at if self.depth == 0 else begin
+                self.depth += 1
+            elif sign == "}" and self.depth:
+                self.depth -= 1
+                if self.depth == 0:
+                    found.append(self.text + text[begin:at + 1])
+                    self.text = ""
+        if self.depth:
+            self.text += text[begin:]
+        return found
+
+    def empty(self) -> bool:
+        """Whether there was nothing, or an empty list."""
+        return self.first in ("", "[]")
+
+
+class Records(StatefulProcessor):
+    """Records of a translation response, each as soon as it is whole."""
+
+    SCHEMA = "request_id string, ord int, block_id string, target string, error_code string"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.head = handle.getValueState("head", f"expected long, size long, found int, closed boolean, {RecordScanner.STATE}", ttlDurationMs=IDLE_MS)
+        self.fragments = Fragments(handle.getListState("waiting", Fragments.DDL, ttlDurationMs=IDLE_MS))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = tuple(self.head.get()) if self.head.exists() else (0, 0, 0, False, *RecordScanner.NEW)
+        expected, size, count, closed = known[:4]
+        if closed:
+            return
+        scanner, out = RecordScanner(*known[4:]), []
+        ready, expected, over = self.fragments.take(_in_order(rows), expected)
+        for fragment, done in ready:
+            size += len(fragment.encode())
+            over = over or size > MAX_RESPONSE_BYTES
+            if over:
+                break
+            for text in scanner.feed(fragment, done):
+                record = load_record(text)
+                if record:
+                    out.append((key[0], count, record["id"], record["target"], None))
+                    count += 1
+            if done:
+                closed = True
+                if not count and not scanner.empty():
+                    out.append((key[0], -1, None, None, "invalid_json"))
+                break
+        if over:
+            out.append((key[0], -1, None, None, "response_too_large"))
+        if closed or over:
+            closed, scanner = True, RecordScanner(*RecordScanner.NEW)
+            self.fragments.state.clear()
+        self.head.update((expected, size, count, closed, *scanner.state()))
+        yield pd.DataFrame(out, columns=[p.split()[0] for p in self.SCHEMA.split(", ")])
 
 
-def stream_responses(fragments: DataFrame) -> DataFrame:
-    """Events of answer streams (request_id, seq from 0, fragment, finish_reason, done, allowed).
+def stream_translation_records(fragments: DataFrame) -> DataFrame:
+    """Records of responses as they come in, and how a response without any ends.
 
-    Citations and warnings come at once; the text so far with the first text, after each
-    8 KiB and at the end. Fragments may arrive in any order.
+    A response may end by an error: what came in whole is kept.
     """
-    initial = {"allowed": None, "seen": [], "pending": "", "discarding": False, "waiting": {}, "expected": 0, "text": "", "size": 0,
-               "saved": 0, "version": 0, "closed": False, "events": 0}
-    return per_key(fragments, "request_id", "request_id string, event_no long, event string, value string", initial, _response_step)
+    return _run(fragments, "request_id", Records(), Records.SCHEMA, "ProcessingTime")
 
 
-def _record_step(key: str, state: dict, rows: list) -> tuple[dict, list]:
-    line, ready = _rows_of(state, rows)
-    parts, size, closed, out = state["parts"], state["size"], state["closed"], []
-    for _, fragment, _finish, done in ready:
-        if closed:
-            continue
-        parts.append(fragment)
-        size += len(fragment.encode())
-        closed = done or size > MAX_RESPONSE_BYTES
-        if size > MAX_RESPONSE_BYTES:
-            out.append((key, -1, None, None, "response_too_large"))
-        elif done:
-            lines = [x for x in "".join(parts).replace("\r\n", "\n").split("\n") if not x.lstrip().startswith("```")]
-            records = read_records("\n".join(lines).strip())
-            if records is None:
-                out.append((key, -1, None, None, "invalid_json"))
-            out.extend((key, i, r["id"], r["target"], None) for i, r in enumerate(records or []))
-    kept = {} if closed else {str(k): v for k, v in line.waiting.items()}
-    return {"parts": [] if closed else parts, "size": size, "closed": closed, "waiting": kept, "expected": line.expected}, out
+# ---- jobs ------------------------------------------------------------------------------
+class JobEvents(StatefulProcessor):
+    """The last state of a job and the number of its changes, until nothing has come for 30 days."""
 
+    SCHEMA = "job_id string, sequence long, state string, created_at long"
 
-def stream_translation_records(fragments: DataFrame) -> DataFrame:
-    """Records of responses once they end, also by an error: what came in whole is kept."""
-    initial = {"parts": [], "size": 0, "closed": False, "waiting": {}, "expected": 0}
-    return per_key(
-        fragments, "request_id", "request_id string, ord int, block_id string, target string, error_code string", initial, _record_step)
-
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "state string, sequence long", ttlDurationMs=JOB_IDLE_MS)
 
-def _job_step(key: str, state: dict, rows: list) -> tuple[dict, list]:
-    current, sequence, out = state["state"], state["sequence"], []
-    for row in rows:
-        if current == "cancelled" or row.state == current:
-            continue
-        current, sequence = row.state, sequence + 1
-        out.append((key, sequence, current, row.seq))
-    return {"state": current, "sequence": sequence}, out
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        current, sequence = tuple(self.last.get()) if self.last.exists() else (None, 0)
+        out = []
+        for row in _in_order(rows):
+            if current == "cancelled" or row.state == current:
+                continue
+            current, sequence = row.state, sequence + 1
+            out.append((key[0], sequence, current, row.seq))
+        self.last.update((current, sequence))
+        yield pd.DataFrame(out, columns=[p.split()[0] for p in self.SCHEMA.split(", ")])
 
 
 def stream_job_events(changes: DataFrame) -> DataFrame:
     """Events of job writes (job_id, seq, state) as they come; nothing follows a cancelled state."""
-    return per_key(changes, "job_id", "job_id string, sequence long, state string, created_at long", {"state": None, "sequence": 0}, _job_step)
+    return _run(changes, "job_id", JobEvents(), JobEvents.SCHEMA, "ProcessingTime")

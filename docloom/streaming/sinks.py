@@ -7,31 +7,54 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from docloom.operators.library import upsert_documents, upsert_positions
 from docloom.session import checkpoint_dir
 
 
-def drain(stream: DataFrame, root: str | None = None, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and return what it wrote.
+#: Keyed state with timers and time to live needs this store.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    In complete mode each batch replaces the one before.
+
+def drain(stream: DataFrame, root: str | None = None, timers: bool = False) -> DataFrame:
+    """Run a stream over what is there now and return what it has appended.
+
+    A stream with ``timers`` of processing time, or a time to live, always has another batch to run;
+    it is stopped once a few batches in a row had no rows, so that short timers have gone off.
     """
     spark = stream.sparkSession
     root = root or f"{checkpoint_dir(spark)}/docloom-{uuid.uuid4().hex}"
     out = f"{root}/out"
-    writer = stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
-    if mode == "complete":
-        def replace(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(out)
-
-        query = writer.outputMode("complete").foreachBatch(replace).start()
+    writer = stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").outputMode("append").format("parquet").option("path", out)
+    writer = writer.trigger(processingTime="300 milliseconds") if timers else writer.trigger(availableNow=True)
+    before = spark.conf.get(STORE[0])
+    spark.conf.set(*STORE)
+    try:
+        query = writer.start()
+    finally:
+        spark.conf.set(STORE[0], before)
+    if timers:
+        _stop_when_idle(query)
     else:
-        query = writer.outputMode(mode).format("parquet").option("path", out).start()
-    query.awaitTermination()
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def _stop_when_idle(query: StreamingQuery, batches: int = 3) -> None:
+    """Stop after so many batches in a row without rows; only progress reports reach the driver."""
+    last, idle = -1, 0
+    while query.isActive and idle < batches:
+        query.awaitTermination(0.2)
+        for progress in query.recentProgress:
+            if progress["batchId"] > last:
+                last = progress["batchId"]
+                idle = 0 if progress["numInputRows"] else idle + 1
+    query.stop()
+    if query.exception():
+        raise query.exception()
+
+
 def fold_stream(stream: DataFrame, empty: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], root: str | None = None) -> DataFrame:
     """Apply ``step(table, batch)`` per micro-batch, each result a version named by its batch.
 

@@ -11,7 +11,6 @@ from docloom.operators import conversation as C
 from docloom.operators import sessions as K
 from docloom.operators import translate as T
 from docloom.streaming.processors import CitationReader
-from docloom.streaming import processors as X
 from tests.test_normalize import SHA, run, text
 
 CONFIG = T.TranslationConfig("m", "fp", 4096)
@@ -151,11 +150,3 @@ def test_endpoint_variants(spark):
     rows = {r["endpoint"]: r for r in K.normalize_endpoints(df).collect()}
     assert len({rows[e]["fingerprint"] for e in same}) == 1 and rows[same[0]]["fingerprint"]
     assert [rows[e]["error_code"] for e in odd] == ["insecure_remote_url", "invalid_url", "invalid_url", "invalid_url", None]
-
-
-def test_stream_steps_remember_across_batches():
-    state = {"revision": 0, "receipts": {}}
-    row = lambda seq, cid, exp: type("R", (), dict(seq=seq, command_id=cid, expected_revision=exp, type="x", failed=False))
-    state, first = X._command_step("s", state, [row(0, "a", 0), row(1, "b", 0)])
-    state, second = X._command_step("s", state, [row(2, "a", 5), row(3, "c", 1)])
-    assert [r[3:] for r in first + second] == [("accepted", 1), ("rejected", 1), ("duplicate", 1), ("accepted", 2)]
