@@ -71,18 +71,20 @@ def _same_source() -> Column:
 def _cut(rows: DataFrame, parts: DataFrame) -> DataFrame:
     """Rows with _whole (copies everyone gets), _extra (words for the fraction) and _more.
 
-    _more goes to documents in the order of their hash for as long as the next one still fits in.
+    _more goes to documents in the order of their hash for as long as the next one still fits in;
+    repeated rows go together.
     """
     joined = _placed(rows, "_id").join(parts, _same_source() & (F.col("_slice") == F.col("slice")))
     joined = joined.withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     joined = joined.withColumn("_extra", F.col("target") - F.col("_whole") * F.col("source_size"))
-    through = Window.partitionBy("_source", "_slice").orderBy("_place", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)
+    through = Window.partitionBy("_source", "_slice").orderBy("_place", "_id", "_size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return joined.withColumn("_more", (F.col("_extra") > 0) & (F.col("before") + F.sum("_size").over(through) <= F.col("_extra")))
 
 
 def plan(sized: DataFrame) -> DataFrame:
-    """What each source takes, with the words in earlier slices, for each slice of it; and, in its
-    slice, the one document beyond the cut whose size comes nearest to what the cut leaves open."""
+    """One row for each source: size, target, the copies everyone gets, the last document in the order
+    of hashes that gets one more, and the one document beyond it whose size comes nearest to what is
+    then left open. Only ids, sources and sizes are shuffled for it."""
     rows = sized.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"))
     slices = _placed(rows, "_id").groupBy("_source", "_slice").agg(F.sum("_size").alias("_sum"))
     earlier = Window.partitionBy("_source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -92,27 +94,35 @@ def plan(sized: DataFrame) -> DataFrame:
         "source_size", "target"), "shares")
     # a source comes down to its distinct sizes before the open words are looked at
     by_size = materialize(_cut(rows, parts).groupBy("_source", "_size").agg(
-        F.first("_extra").alias("_extra"), F.coalesce(F.sum(F.when(F.col("_more"), F.col("_size"))), F.lit(0)).alias("_taken"),
-        F.min(F.when(~F.col("_more"), F.struct("_place", "_slice", "_id"))).alias("_first")), "open")
-    left = by_size.groupBy("_source").agg((F.first("_extra") - F.sum("_taken")).alias("_open"))
+        *(F.first(c).alias(c) for c in ("source_size", "target", "_whole", "_extra")),
+        F.coalesce(F.sum(F.when(F.col("_more"), F.col("_size"))), F.lit(0)).alias("_taken"),
+        F.max(F.when(F.col("_more"), _order())).alias("_last"),
+        F.min(F.when(~F.col("_more"), _order())).alias("_first")), "open")
+    left = by_size.groupBy("_source").agg(
+        *(F.first(c).alias(c) for c in ("source_size", "target", "_whole")),
+        (F.first("_extra") - F.sum("_taken")).alias("_open"), F.max("_last").alias("last"))
+    left = left.select(F.col("_source").alias("source"), "source_size", "target", F.col("_whole").alias("whole"), "last", "_open")
     off = F.abs(F.col("_open") - F.col("_size"))
-    picks = by_size.where("_first IS NOT NULL").join(
-        left.select(F.col("_source").alias("source"), "_open"), _same_source()).where(off < F.col("_open")).groupBy("_source").agg(
-        F.min(F.struct(off.alias("off"), F.col("_first._place"), F.col("_first._id"), F.col("_first._slice"), "_size")).alias("p"))
-    picks = picks.select("_source", F.col("p._slice").alias("p_slice"), F.struct("p._place", "p._id", "p._size").alias("pick"))
-    # the documents, which may carry texts, are then joined once only
-    return materialize(parts.join(picks, _same_source() & (F.col("slice") == F.col("p_slice")), "left").select(*parts.columns, "pick"), "plan")
+    picks = by_size.where("_first IS NOT NULL").select("_source", "_size", "_first").join(
+        left.select("source", "_open"), _same_source()).where(off < F.col("_open")).groupBy("_source").agg(
+        F.min(F.struct(off.alias("off"), F.col("_first"))).alias("p")).select("_source", F.col("p._first").alias("pick"))
+    return materialize(left.join(picks, _same_source(), "left").drop("_source", "_open"), "plan")
 
 
-def decide(rows: DataFrame, parts: DataFrame) -> DataFrame:
+def _order() -> Column:
+    return F.struct("_place", "_id", "_size")
+
+
+def decide(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Rows (with _id, _source, _size) with _copies, source_size and target.
 
     A source's rate is target / size: everyone gets its whole part; for the fraction's words,
-    documents get one more in the order of their hash, and one beyond them closes the gap.
+    documents get one more in the order of their hash, and one beyond them closes the gap. Rows,
+    which may carry texts, meet the one row of their source and are not ordered.
     """
-    picked = F.col("pick").isNotNull() & (F.col("_place") == F.col("pick._place")) & (
-        F.col("_size") == F.col("pick._size")) & F.col("_id").eqNullSafe(F.col("pick._id"))
-    return _cut(rows, parts).withColumn("_copies", (F.col("_whole") + (F.col("_more") | picked).cast("int")).cast("long"))
+    joined = _placed(rows, "_id").join(sources, _same_source())
+    more = F.coalesce(_order() <= F.col("last"), F.lit(False)) | F.coalesce(_order() == F.col("pick"), F.lit(False))
+    return joined.withColumn("_copies", (F.col("whole") + more.cast("int")).cast("long"))
 
 
 def _sized(docs: DataFrame) -> DataFrame:
