@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from docloom.llm import decision_list, knn, language, mixing, packing, repeats, reputation, secrets, simhash, toxicity
 from docloom.llm.queries import ORACLES, QUERIES, tokenizer_path
@@ -442,3 +443,32 @@ def test_first_goes_by_key_and_text(spark):
     kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     got = Counter((r.doc_id, r.text.lower()) for r in kept)
     assert got == {(1, same): 1, (2, other): 2, (None, lone): 1, (None, same): 1}
+
+
+def test_word_memory_forgets_and_learns_again(monkeypatch):
+    """Any order of texts and any size of the memory gives the tokenizer's own ids."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "REMEMBER", 60)
+    tokenizer, words = Tokenizer.from_file(tokenizer_path()), packing.WordIds(tokenizer_path())
+    rng = random.Random(9)
+    pool = ["".join(rng.choice("abcé~.,") for _ in range(rng.randrange(1, 9))) for _ in range(200)] + ["<|end|>", "A.", "日本", "x" * 400]
+    for _ in range(40):
+        texts = ["".join(rng.choice((" ", "\n", "\x1c", "  ", ". ", ", ")).join(rng.choices(pool, k=rng.randrange(12)))) for _ in range(5)] + [None, "", " "]
+        ids, ends = words(texts)
+        begin = 0
+        for text, end in zip(texts, ends.tolist()):
+            assert ids[begin:end].tolist() == [*tokenizer.encode(text or "", add_special_tokens=False).ids, packing.END]
+            begin = end
+
+
+def test_repeated_rows_spread_over_groups(spark, monkeypatch):
+    """One row many times is dealt over all groups, and the total is within a sequence of the bound."""
+    monkeypatch.setattr(packing, "PART", 16)
+    rows = [(7, 0, 0, 1000, 5)] * 200 + [(i, 0, 0, 96, i) for i in range(100, 150)]
+    found = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    dealt = packing._packed(found.withColumn("part", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(16)).cast("long")), 0)
+    assert dealt.where("doc_id = 7").select("part").distinct().count() == 16
+    out = packing.pack(found).select("sequence_id", "length").collect()
+    bound = packing.least_sequences(found)
+    assert len(out) == 250 and bound == 50 and len({r.sequence_id for r in out}) <= bound + 2
