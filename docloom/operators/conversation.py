@@ -38,6 +38,8 @@ ACTIVE = ["queued", "streaming"]
 TERMINAL = ["ready", "failed", "cancelled"]
 INTERRUPTED_MESSAGE = "Reading Assistant response was interrupted; retry it"
 IGNORED_MARKERS_MESSAGE = "Some invalid citation markers were ignored"
+#: UTF-16 units of a stretch in which selections look for atoms.
+BIN = 256
 
 
 @dataclass(frozen=True)
@@ -486,11 +488,25 @@ def clear_conversations(
 
 
 def highlight_spans(atoms: DataFrame, selections: DataFrame) -> DataFrame:
-    """Part of each leaf atom that a selection of the same block covers, in atom coordinates."""
-    joined = atoms.join(selections.select("selection_id", "block_id", F.col("start_utf16").alias("__s"), F.col("end_utf16").alias("__e")), "block_id")
-    overlap = (F.col("__e") > F.col("start_utf16")) & (F.col("__s") < F.col("end_utf16"))
-    begin = F.greatest("__s", "start_utf16") - F.col("start_utf16")
-    stop = F.least("__e", "end_utf16") - F.col("start_utf16")
-    return joined.filter(overlap).select(
-        "selection_id", "block_id", "leaf_index", begin.alias("from_utf16"), stop.alias("to_utf16"),
+    """Part of each leaf atom that a selection of the same block covers, in atom coordinates.
+
+    Atoms and selections meet in the stretches of ``BIN`` units that both reach into, and a pair
+    counts in the first of these alone, so a block with many of both is no product of the two. What is
+    empty covers nothing, but counts where it lies inside the other.
+    """
+    at = F.struct(F.col("selection_id"), F.col("start_utf16").alias("s"), F.col("end_utf16").alias("e"))
+    marks = _binned(selections).select("block_id", "__bin", at.alias("__m"))
+    joined = _binned(atoms).join(marks, ["block_id", "__bin"])
+    overlap = (F.col("__m.e") > F.col("start_utf16")) & (F.col("__m.s") < F.col("end_utf16"))
+    first = F.col("__bin") == F.floor(F.greatest("__m.s", "start_utf16") / BIN)
+    begin = F.greatest("__m.s", "start_utf16") - F.col("start_utf16")
+    stop = F.least("__m.e", "end_utf16") - F.col("start_utf16")
+    return joined.filter(overlap & first).select(
+        "__m.selection_id", "block_id", "leaf_index", begin.alias("from_utf16"), stop.alias("to_utf16"),
         utf16_slice("text", begin, stop).alias("text"))
+
+
+def _binned(spans: DataFrame) -> DataFrame:
+    """A row for each stretch that a span reaches into."""
+    return spans.withColumn("__bin", F.explode(F.sequence(
+        F.floor(F.col("start_utf16") / BIN), F.floor(F.greatest(F.col("end_utf16") - 1, F.col("start_utf16")) / BIN))))

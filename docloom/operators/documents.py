@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions.atoms import atom_text, leaf_text, plain_text, strip_marks
+from docloom.functions.atoms import atom_text, leaf_text, plain_text, strip_marks, without_marks
 from docloom.functions.digest import ordered_digest
 from docloom.functions.scan import ordered_scan
 from docloom.functions.text import ascii_lower, is_blank, utf16_len
@@ -25,6 +25,8 @@ LAYOUT_NAME = "layout.json"
 ASSET_EXTENSIONS = ["png", "jpg", "jpeg", "webp"]
 
 
+#: Folders of a stored term index.
+TERM_BUCKETS = 64
 # a document's JSON is kept in pieces; those after all chapters have this chapter number
 AFTER_CHAPTERS = 2**31 - 1
 LAST = 2**62
@@ -191,21 +193,46 @@ def block_terms(blocks: DataFrame, text: str = "plain_text") -> DataFrame:
     return blocks.select("block_id", F.explode(tokens).alias("term"))
 
 
-def build_term_index(blocks: DataFrame, text: str = "plain_text") -> DataFrame:
-    """Posting rows (term, block_id), clustered by term for writing; a hot term spans many tasks.
+def write_term_index(blocks: DataFrame, path: str, text: str = "plain_text", buckets: int = TERM_BUCKETS) -> str:
+    """Store the postings (term, block_id) in ``path``, in folders by the term's hash.
 
-    Postings stay rows: a term in a third of all blocks would not fit one array.
+    Files are sorted by term and carry a Bloom filter of their terms, so a reader opens one folder and
+    reads the few pages with its term. Postings stay rows, and a folder's are dealt over several
+    files: a term in a third of all blocks would fit neither one array nor one task.
     """
-    return block_terms(blocks, text).repartition("term", F.pmod(F.xxhash64("block_id"), F.lit(64))) \
-        .sortWithinPartitions("term", "block_id")
+    rows = block_terms(blocks, text).withColumn("bucket", term_bucket(F.col("term"), buckets))
+    rows.repartition("bucket", F.pmod(F.xxhash64("block_id"), F.lit(16))).sortWithinPartitions("bucket", "term", "block_id").write.partitionBy(
+        "bucket").option("parquet.bloom.filter.enabled#term", "true").option("parquet.block.size", 16 << 20).parquet(path)
+    return path
+
+
+def term_bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def read_term_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("term string, block_id string, bucket int").parquet(path)
 
 
 def term_statistics(blocks: DataFrame, text: str = "plain_text") -> DataFrame:
     return block_terms(blocks, text).groupBy("term").agg(F.count(F.lit(1)).alias("block_count"))
 
 
-def match_term(index: DataFrame, term: str) -> DataFrame:
-    return index.filter(F.col("term") == strip_marks(F.lower(F.lit(term)))).select("block_id")
+def match_terms(index: DataFrame, terms: list[str], buckets: int = TERM_BUCKETS) -> DataFrame:
+    """(block_id) of the blocks with all terms, from a stored index.
+
+    Terms are folded as the index's are, and looked up by their folders and by a filter that the file
+    reader gets; no text is read. No term, or one that is no term, matches nothing.
+    """
+    folded = sorted({without_marks(t.lower()) for t in terms})
+    keys = index.sparkSession.createDataFrame([(t,) for t in folded], "term string").select(term_bucket(F.col("term"), buckets))
+    found = sorted({r[0] for r in keys.collect()})
+    hits = index.filter(F.col("bucket").isin(found) & F.col("term").isin(folded))
+    return hits.groupBy("block_id").agg(F.count("*").alias("n")).filter(F.col("n") == len(folded)).select("block_id")
+
+
+def match_term(index: DataFrame, term: str, buckets: int = TERM_BUCKETS) -> DataFrame:
+    return match_terms(index, [term], buckets)
 
 
 def audit_archive_entries(entries: DataFrame) -> DataFrame:

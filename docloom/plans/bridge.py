@@ -47,7 +47,7 @@ class Corpus:
         return d.select(
             F.concat(F.lit("doc-"), F.col("doc_id")).alias("id"),
             F.sha2("text", 256).alias("sha256"),
-            F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"),
+            F.substring_index("text", "\n", 1).alias("title"),
             F.array("source").alias("authors"),
             F.floor(F.lit(1) + F.col("n_chars") / 2000).cast("int").alias("page_count"),
             F.concat(F.lit("/library/"), "lang", F.lit("/"), "doc_id", F.lit(".pdf")).alias("file_path"),
@@ -173,7 +173,7 @@ class Corpus:
         key = F.sha2(F.concat(F.lit("asset-"), "doc_id"), 256)
         image = F.when(k == 13, F.lit("images/none.jpg")).otherwise(
             F.concat(F.lit("images/"), F.when(p % 2 == 0, F.col("sha")).otherwise(key), F.lit(".jpg")))
-        cell = F.regexp_replace(F.substring(line, 1, 40), "[^A-Za-z ]", "")
+        cell = F.regexp_replace(line, "[^A-Za-z ]", "")
         table = F.concat(F.lit("<table><tr><th>a</th><td colspan=\"2\">"), cell, F.lit("</td></tr><tr></tr><tr><td>"),
                          p, F.lit(" [1]</td></tr></table>"))
         cap = F.when(p % 2 == 1, F.array(F.lit("Figure"), line)).otherwise(F.array().cast("array<string>"))
@@ -445,7 +445,7 @@ class Corpus:
         mark = F.concat(F.lit("⟦WEAVE-CITE:ctx-"), F.col("sequence").cast("string"), F.lit("⟧"))
         text = F.concat(
             F.substring("text", 1, 40), mark, F.substring("text", 41, 40),
-            F.when(k % 3 == 0, mark).otherwise(""), F.when(k % 4 == 1, F.lit("⟦WEAVE-CITE:ctx-x⟧")).otherwise(""), F.substring("text", 81, 100000),
+            F.when(k % 3 == 0, mark).otherwise(""), F.when(k % 4 == 1, F.lit("⟦WEAVE-CITE:ctx-x⟧")).otherwise(""), F.expr("substring(text, 81)"),
             F.when(k == 2, F.concat(F.lit("⟦WEAVE-CITE:"), F.repeat(F.lit("y"), 130), F.lit("⟧"))).otherwise(""),
             F.when(k == 3, F.lit("⟦WEAVE-CITE:ct")).when(k == 4, F.lit("⟦WEA")).otherwise(""))
         return a.select(F.col("id").alias("request_id"), text.alias("text"), "sequence")

@@ -64,7 +64,7 @@ def compose(body: str) -> str:
 
 cte("imports", """
 SELECT 'doc-' || doc_id AS id, sha256(text) AS sha256,
-  left(split_part(text, chr(10), 1), 80) AS title, [source] AS authors,
+  split_part(text, chr(10), 1) AS title, [source] AS authors,
   (1 + n_chars // 2000)::INT AS page_count, '/library/' || lang || '/' || doc_id || '.pdf' AS file_path,
   n_chars AS file_size_bytes, doc_id * 1000 AS file_mtime_ms,
   CASE WHEN doc_id % 9 = 0 THEN 'changed' ELSE 'available' END AS file_state,
@@ -154,7 +154,7 @@ SELECT *, is_heading OR (type = 'ref_text' AND coalesce(last_role, '') <> 'refer
 FROM heading_runs""")
 cte("segmented", """
 SELECT *, count(*) FILTER (is_start) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS segment FROM starts_marked""")
-CELL = "regexp_replace(left(line, 40), '[^A-Za-z ]', '', 'g')"
+CELL = "regexp_replace(line, '[^A-Za-z ]', '', 'g')"
 cte("block_parts", f"""
 SELECT doc_id, pos, page_idx + 1 AS page, segment, 0 AS sub, sha, img_path,
   CASE WHEN type = 'text' AND text_level IS NOT NULL THEN 'heading' WHEN type = 'text' AND regexp_matches(clean, '^(- |• |\\* |[0-9]+[.)])') THEN 'list'
@@ -412,6 +412,6 @@ SELECT conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY
   SELECT a.conversation_id, a.sequence, a.responding_to, q.text AS question, a.text AS answer, row_number() OVER (PARTITION BY a.conversation_id ORDER BY a.sequence DESC) AS r
   FROM messages a JOIN messages q ON q.conversation_id = a.conversation_id AND q.id = a.responding_to AND q.role = 'reader' WHERE a.role = 'assistant' AND a.state = 'ready') WHERE r <= 4""")
 cte("answers", f"""
-SELECT id AS request_id, left(text, 40) || mark || substr(text, 41, 40) || CASE WHEN k % 3 = 0 THEN mark ELSE '' END || CASE WHEN k % 4 = 1 THEN '⟦WEAVE-CITE:ctx-x⟧' ELSE '' END || substr(text, 81, 100000)
+SELECT id AS request_id, left(text, 40) || mark || substr(text, 41, 40) || CASE WHEN k % 3 = 0 THEN mark ELSE '' END || CASE WHEN k % 4 = 1 THEN '⟦WEAVE-CITE:ctx-x⟧' ELSE '' END || substr(text, 81)
   || CASE WHEN k = 2 THEN '⟦WEAVE-CITE:' || repeat('y', 130) || '⟧' ELSE '' END || CASE WHEN k = 3 THEN '⟦WEAVE-CITE:ct' WHEN k = 4 THEN '⟦WEA' ELSE '' END AS text, text AS original, k, sequence
 FROM (SELECT *, '⟦WEAVE-CITE:ctx-' || sequence || '⟧' AS mark FROM messages WHERE role = 'assistant')""")

@@ -163,16 +163,16 @@ register(
   WHEN page_count > 2 THEN 'pdf_too_many_pages'
   WHEN length <> final_length OR mtime_ms <> final_mtime_ms THEN 'source_unreadable' END AS error_code FROM inventory"""),
 )
-NAME = "'/in/' || replace(left(text, 150), '/', ' ') || '.PDF'"
+NAME = "'/in/' || replace(text, '/', ' ') || '.PDF'"
 register(
     "L12_clean_names",
     lambda c: L.clean_names(c.table("documents").select(
-        "doc_id", F.concat(F.lit("/in/"), F.replace(F.substring("text", 1, 150), F.lit("/"), F.lit(" ")), F.lit(".PDF")).alias("file_path"),
+        "doc_id", F.concat(F.lit("/in/"), F.replace(F.col("text"), F.lit("/"), F.lit(" ")), F.lit(".PDF")).alias("file_path"),
         F.when(F.col("doc_id") % 3 == 0, F.lit("  ")).when(F.col("doc_id") % 3 == 1, F.col("text")).alias("metadata_title"),
     )).select("doc_id", "clean_title", "safe_name"),
     f"""SELECT doc_id, CASE WHEN doc_id % 3 = 1 AND {clean('text')} <> '' THEN left({clean('text')}, 1000)
-    WHEN {clean("replace(left(text,150),'/',' ')")} <> '' THEN left({clean("replace(left(text,150),'/',' ')")}, 1000) ELSE 'Untitled paper' END AS clean_title,
-  coalesce(nullif(regexp_replace(regexp_replace(left(replace(left(text,150),'/',' '), 120), '[^\\p{{L}}\\p{{N}} ._\\-()\\[\\]]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g'), ''), 'paper') || '.pdf' AS safe_name
+    WHEN {clean("replace(text,'/',' ')")} <> '' THEN left({clean("replace(text,'/',' ')")}, 1000) ELSE 'Untitled paper' END AS clean_title,
+  coalesce(nullif(regexp_replace(regexp_replace(left(replace(text,'/',' '), 120), '[^\\p{{L}}\\p{{N}} ._\\-()\\[\\]]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g'), ''), 'paper') || '.pdf' AS safe_name
 FROM documents""",
 )
 register(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docloom.functions.atoms import leaf_text
@@ -10,6 +12,7 @@ from docloom.operators import normalize as N
 from docloom.plans.bridge import Corpus
 from docloom.plans.oracle_base import compose
 from docloom.plans.registry import register
+from docloom.session import checkpoint_dir
 
 
 def _boxed(c: Corpus):
@@ -104,7 +107,7 @@ register(
         F.to_json("x.content").alias("content")),
     compose("""SELECT doc_id, pos, 0 AS "row", 0 AS "column", 1 AS "rowSpan", 1 AS "columnSpan", '[{"type":"text","value":"a"}]' AS content FROM raw WHERE type = 'table'
 UNION ALL SELECT doc_id, pos, 0, 1, 1, 2, CASE WHEN cell = '' THEN '[]' ELSE '[{"type":"text","value":"' || cell || '"}]' END
-FROM (SELECT *, trim(regexp_replace(regexp_replace(left(line, 40), '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g')) AS cell FROM raw WHERE type = 'table')
+FROM (SELECT *, trim(regexp_replace(regexp_replace(line, '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g')) AS cell FROM raw WHERE type = 'table')
 UNION ALL SELECT doc_id, pos, 2, 0, 1, 1, '[{"type":"text","value":"' || pos || ' "},{"type":"citation","id":"citation-' || left(sha256('[1]'), 16) || '","label":"[1]"}]'
 FROM raw WHERE type = 'table'"""),
 )
@@ -195,12 +198,17 @@ register(
     compose(r"""SELECT term, count(*) AS block_count FROM (SELECT DISTINCT block_id,
   unnest(regexp_extract_all(lower(strip_accents(plain_text)), '[\pL\pN]+')) AS term FROM blocks_all) GROUP BY term"""),
 )
-register(
-    "N22_match_term",
-    lambda c: D.match_term(D.block_terms(c.normalized.blocks, "content.plainText"), "the"),
-    compose(r"""SELECT DISTINCT block_id FROM (SELECT block_id, unnest(regexp_extract_all(lower(strip_accents(plain_text)), '[\pL\pN]+')) AS term FROM blocks_all)
-WHERE term = 'the'"""),
-)
+TERMS = r"(SELECT DISTINCT block_id, unnest(regexp_extract_all(lower(strip_accents(plain_text)), '[\pL\pN]+')) AS term FROM blocks_all)"
+
+
+def _index(c: Corpus):
+    path = f"{checkpoint_dir(c.spark)}/docloom-{uuid.uuid4().hex}/terms"
+    return D.read_term_index(c.spark, D.write_term_index(c.normalized.blocks, path, "content.plainText"))
+
+
+register("N22_match_term", lambda c: D.match_term(_index(c), "The"), compose(f"SELECT block_id FROM {TERMS} WHERE term = 'the'"))
+register("N22_match_terms", lambda c: D.match_terms(_index(c), ["The", "of", "ánd"]),
+         compose(f"SELECT block_id FROM {TERMS} WHERE term IN ('the', 'of', 'and') GROUP BY block_id HAVING count(*) = 3"))
 
 
 def _entries(c: Corpus):

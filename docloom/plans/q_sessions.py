@@ -74,7 +74,7 @@ register("K5_normalize_endpoints", lambda c: K.normalize_endpoints(c.endpoints).
 
 def _profiles(c: Corpus):
     schema = "owner_id string, kind string, origin string, base_path string, fingerprint string, model_id string, context_window long, updated_at long, created_at long"
-    good = K.normalize_endpoints(c.profile_updates.filter("updated_at < 400")).filter("error_code IS NULL").withColumn("created_at", F.lit(0).cast("long"))
+    good = K.normalize_endpoints(c.profile_updates).filter("error_code IS NULL").withColumn("created_at", F.lit(0).cast("long"))
     names = [p.split()[0] for p in schema.split(", ")]
     return good.groupBy("owner_id", "kind").agg(F.min_by(F.struct(*names[2:]), "updated_at").alias("p")).select("owner_id", "kind", "p.*")
 
@@ -82,7 +82,7 @@ def _profiles(c: Corpus):
 register("K6_upsert_profiles", lambda c: K.upsert_profiles(_profiles(c), c.profile_updates)[0],
          compose("""WITH u AS (SELECT 'u-' || user_id AS owner_id, kind, o AS origin, p AS base_path, fingerprint, CASE WHEN event_id % 5 <> 0 THEN 'model-' || (event_id % 3) END AS model_id,
   (CASE WHEN event_id % 7 = 0 THEN 100 WHEN event_id % 7 < 4 THEN 8192 END)::BIGINT AS context_window, event_id AS updated_at FROM endpoint_rows WHERE error_code IS NULL),
-old AS (SELECT * FROM (SELECT *, 0 AS created_at, row_number() OVER (PARTITION BY owner_id, kind ORDER BY updated_at) AS rn FROM u WHERE updated_at < 400) WHERE rn = 1),
+old AS (SELECT * FROM (SELECT *, 0 AS created_at, row_number() OVER (PARTITION BY owner_id, kind ORDER BY updated_at) AS rn FROM u) WHERE rn = 1),
 n AS (SELECT * EXCLUDE (rn) FROM old UNION ALL SELECT *, updated_at FROM u WHERE NOT (kind = 'translation' AND model_id IS NULL) AND coalesce(context_window, 8192) >= 1024)
 SELECT * EXCLUDE (rn, created_at), (SELECT min(created_at) FROM n m WHERE m.owner_id = q.owner_id AND m.kind = q.kind)::BIGINT AS created_at
 FROM (SELECT *, row_number() OVER (PARTITION BY owner_id, kind ORDER BY updated_at DESC) AS rn FROM n) q WHERE rn = 1"""))

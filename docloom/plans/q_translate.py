@@ -50,14 +50,14 @@ FROM (SELECT chapter_id, batch, '{T.REQUEST_HEAD}' || string_agg('{{"id":"' || b
 packing("halves_packed", "half_items", "half_key")
 from docloom.plans.oracle_base import cte  # noqa: E402
 
-cte("half_items", f"""
+cte("half_items", """
 SELECT *, row_number() OVER (PARTITION BY half_key ORDER BY order_index) AS rn FROM (
   SELECT chapter_id, batch AS parent_batch, block_id, order_index, w, h AS half, chapter_id || '|' || batch || '|' || h AS half_key
   FROM (SELECT *, CASE WHEN n > 1 THEN CASE WHEN i < n // 2 THEN 0 ELSE 1 END END AS h FROM (
     SELECT *, count(*) OVER (PARTITION BY chapter_id, batch) AS n, row_number() OVER (PARTITION BY chapter_id, batch ORDER BY order_index) - 1 AS i
-    FROM batched WHERE batch IS NOT NULL AND {sql_digit('request_id')} < 6)))""")
+    FROM batched WHERE batch IS NOT NULL)))""")
 register("T9_split_batches", lambda c: T.split_batches(
-    c.batched.filter("batch IS NOT NULL").filter(digit("request_id") < 6).withColumn("split_once", F.lit(False)), CONFIG).select(
+    c.batched.filter("batch IS NOT NULL").withColumn("split_once", F.lit(False)), CONFIG).select(
     "block_id", "parent_batch", "half", "batch"),
     compose("""SELECT i.block_id, i.parent_batch, i.half::INT AS half, CASE WHEN i.half IS NOT NULL THEN p.batch END::BIGINT AS batch
 FROM half_items i LEFT JOIN halves_packed p ON p.half_key = i.half_key AND p.block_id = i.block_id"""))
