@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from docloom.functions.stage import materialize
 from docloom.operators.library import upsert_documents, upsert_positions
 from docloom.session import checkpoint_dir
 
@@ -55,36 +56,42 @@ def _stop_when_idle(query: StreamingQuery, batches: int = 3) -> None:
         raise query.exception()
 
 
-def fold_stream(stream: DataFrame, empty: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], root: str | None = None) -> DataFrame:
-    """Apply ``step(table, batch)`` per micro-batch, each result a version named by its batch.
+#: Parts of a table that streams are folded into; a micro-batch rewrites those it touches.
+PARTS = 16
 
-    A repeated batch overwrites its own version from the version before it, so a replay after
-    a failure changes nothing.
+
+def fold_stream(
+    stream: DataFrame, empty: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], key: str, root: str | None = None,
+) -> DataFrame:
+    """Apply ``step(rows, batch)`` per micro-batch to the parts of a stored table that the batch touches.
+
+    Rows lie in parts by the hash of ``key``, which the step must not change; a part is overwritten from
+    its own rows and the batch's. Steps keep first and last values, so a batch that comes again, after a
+    failure in its middle too, changes nothing more.
     """
     spark = stream.sparkSession
     root = root or f"{checkpoint_dir(spark)}/docloom-{uuid.uuid4().hex}"
-
-    def version(n: int) -> str:
-        return f"{root}/versions/v={n}"
+    table, part = f"{root}/table", F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
+    stored = empty.withColumn("part", part)
+    stored.limit(0).write.mode("append").partitionBy("part").parquet(table)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        old = session.read.schema(empty.schema).parquet(version(batch_id - 1)) if batch_id else empty
-        step(old, batch).select(*empty.columns).write.mode("overwrite").parquet(version(batch_id))
-        marker = session.range(1).select(F.lit(batch_id).alias("batch_id"))
-        marker.coalesce(1).write.mode("append").parquet(f"{root}/pointer")
+        # a few part numbers
+        touched = [r[0] for r in batch.select(part.alias("part")).distinct().collect()]
+        old = batch.sparkSession.read.schema(stored.schema).parquet(table).filter(F.col("part").isin(touched)).select(*empty.columns)
+        new = materialize(step(old, batch).select(*empty.columns).withColumn("part", part), "upserted")
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(table)
 
     query = stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(upsert).start()
     query.awaitTermination()
-    last = spark.read.schema("batch_id int").parquet(f"{root}/pointer").agg(F.max("batch_id")).first()[0]
-    return spark.read.schema(empty.schema).parquet(version(last))
+    return spark.read.schema(stored.schema).parquet(table).select(*empty.columns)
 
 
 def stream_upsert_library(stream: DataFrame, empty: DataFrame, root: str | None = None) -> DataFrame:
     """Imports folded into the library as they come."""
-    return fold_stream(stream, empty, upsert_documents, root)
+    return fold_stream(stream, empty, upsert_documents, "sha256", root)
 
 
 def stream_upsert_positions(stream: DataFrame, empty: DataFrame, library: DataFrame, root: str | None = None) -> DataFrame:
     """Reading positions folded in as they come; the last valid write wins."""
-    return fold_stream(stream, empty, lambda table, batch: upsert_positions(table, batch, library), root)
+    return fold_stream(stream, empty, lambda table, batch: upsert_positions(table, batch, library), "document_id", root)

@@ -206,3 +206,23 @@ def test_job_events_over_batches(spark, tmp_path):
     df = spark.createDataFrame([("j", i, s) for i, s in enumerate(states)], "job_id string, seq long, state string")
     got = sinks.drain(X.stream_job_events(in_turns(df, "job_id", F.floor(F.col("seq") / 3), 3, 1)), str(tmp_path), timers=True).collect()
     assert sorted((r["sequence"], r["state"], r["created_at"]) for r in got) == [(1, "queued", 0), (2, "running", 1), (3, "failed", 3), (4, "queued", 4), (5, "cancelled", 5)]
+
+
+def test_upserts_rewrite_touched_parts_only(spark, tmp_path):
+    """Three turns, the last of one key: the other parts' files stay, and a batch that comes again changes nothing."""
+    rows = [(f"k{i % 9}", i, i // 20) for i in range(40)] + [("k1", 99, 2)]
+    df = spark.createDataFrame(rows, "document_id string, updated_at long, turn int")
+
+    def last(table, batch):
+        return table.unionByName(batch.drop("turn")).groupBy("document_id").agg(F.max("updated_at").alias("updated_at"))
+
+    root, parts = str(tmp_path / "fold"), lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "fold" / "table").glob("part=*/*.parquet")}
+    empty = df.drop("turn").limit(0)
+    sinks.fold_stream(in_turns(df.filter("turn < 2"), "document_id", F.col("turn"), 2, 1), empty, last, "document_id", root)
+    before = parts()
+    again = in_turns(df.filter("turn = 2"), "document_id", F.col("turn") - 2, 1, 1)
+    (tmp_path / "fold" / "checkpoint").rename(tmp_path / "old")
+    out = sinks.fold_stream(again, empty, last, "document_id", root)
+    assert {r["document_id"]: r["updated_at"] for r in out.collect()} == {f"k{k}": max(u for d, u, _ in rows if d == f"k{k}") for k in range(9)}
+    kept = set(before) & set(parts())
+    assert len(kept) >= len(before) - 1 and len(kept) > 3
