@@ -8,9 +8,11 @@ PHRASE-word sequences), so passages are found by phrases:
 2. Stretches around recurring phrases go to their owner's shard. A shard compiles the phrases in its
    owners' stretches into an Aho-Corasick automaton, streams all stretches through it and extends
    every occurrence word by word along the owner's text: runs of WINDOW words or more go.
-3. What stays open, windows whose least phrase recurs but that do not occur in its owner, is small.
-   Every document that has such a window finds it open, as they all have the same owner, so the
-   smallest of these is the first, and the others' windows go too.
+3. Windows stay open whose least phrase recurs but that do not occur in its owner, as around small
+   changes in copies. Every document that has such a window finds it open, and in the same shard, as
+   they all have the same owner: the smallest of these is the first, and the others' windows go too.
+   A shard settles that by 128-bit hashes for itself; only where it is streamed in several copies do
+   the windows that one copy saw in a single document go on, as rows.
 """
 
 from __future__ import annotations
@@ -179,21 +181,72 @@ def locate(words: list[str], machine, own: list[list[str]], mine: set[int]) -> l
     return out
 
 
-def _open_windows(size: int, firsts: list[int], counts: list[int], runs: list[tuple[int, int]]) -> np.ndarray:
+def _open_windows(size: int, firsts: np.ndarray, counts: np.ndarray, runs: list[tuple[int, int]]) -> np.ndarray:
     """Windows whose least phrase is a hit and that lie in no run."""
     n = max(0, size - WINDOW + 1)
-    have, done = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32)
-    for a, k in zip(firsts, counts):
-        have[a] += 1
-        have[a + k] -= 1
+    change = np.zeros(n + 1, np.int32)
+    np.add.at(change, firsts, 1)
+    np.add.at(change, firsts + counts, -1)
+    still = np.cumsum(change)[:n] > 0
     for a, b in runs:
-        done[a] += 1
-        done[b - WINDOW + 1] -= 1
-    return np.flatnonzero((np.cumsum(have)[:n] > 0) & (np.cumsum(done)[:n] == 0))
+        still[a:b - WINDOW + 1] = False
+    return np.flatnonzero(still)
+
+
+def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same words in stretches without overlaps; runs in order."""
+    out: list[list[int]] = []
+    for a, b in runs:
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+class _Open:
+    """Open windows of the documents that a shard's copy has streamed, as arrays."""
+
+    def __init__(self):
+        self.rows: list[tuple] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, doc_id, text_hash: int, start: int, words: list[str], still: np.ndarray) -> None:
+        if len(still):
+            hashes = word_hashes([w.encode() for w in words])
+            h1, h2 = (rolling(hashes, WINDOW, f)[still] for f in _FACTORS)
+            self.parts.append((np.full(len(still), len(self.rows)), start + still, h1, h2))
+            self.rows.append((doc_id, text_hash))
+
+    def settle(self, alone: bool) -> tuple[list[tuple], list[tuple[np.ndarray, ...]]]:
+        """Runs of documents that are not the first here to have their windows, and, unless the copy
+        is ``alone``, one of each different window as (row, start, h1, h2)."""
+        if not self.parts:
+            return [], []
+        row, start, h1, h2 = (np.concatenate(c) for c in zip(*self.parts))
+        ids = [r[0] for r in self.rows]
+        rank = {d: i for i, d in enumerate(sorted(set(ids)))}
+        doc = np.array([rank[d] for d in ids])[row]
+        order = np.lexsort((doc, h2, h1))
+        new = np.ones(len(order), bool)
+        new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+        first = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        late = np.sort(order[doc[order] > first])
+        runs = []
+        if len(late):
+            # starts of a document in a row make one run
+            cut = np.flatnonzero((np.diff(row[late]) != 0) | (np.diff(start[late]) != 1)) + 1
+            for part in np.split(late, cut):
+                runs.append((*self.rows[row[part[0]]], int(start[part[0]]), int(start[part[-1]] - start[part[0]]) + WINDOW))
+        if alone:
+            return runs, []
+        # all windows of the first document with each, so that another copy may still find it late
+        stay = np.sort(order[doc[order] == first])
+        return runs, [(row[stay], start[stay], h1[stay], h2[stay])]
 
 
 def _search(stretches: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, start, length, h1, h2): runs to remove, and open windows with their hashes."""
+    """(doc_id, text_hash, start, length, h1, h2): runs to remove, and windows still open with their hashes."""
     owned = stretches.where("owner = doc_id").agg(F.sum("words")).first()[0] or 0
     shard = F.pmod(F.xxhash64("owner"), F.lit(max(1, -(-owned // SHARD_WORDS)))).alias("shard")
     own = stretches.where("owner = doc_id").select(shard, "owner", "text", "hits")
@@ -212,20 +265,27 @@ def _search(stretches: DataFrame) -> DataFrame:
         of: dict = {}
         for i, owner in enumerate(left["own_owner"]):
             of.setdefault(owner, set()).add(i)
-        rows = []
+        rows, windows = [], _Open()
         for r in right.itertuples():
             words = r.text.split(" ")
-            runs = locate(words, machine, texts, of.get(r.owner, set()))
-            rows += [(r.doc_id, r.text_hash, r.start + a, b - a, None, None) for a, b in runs]
-            still = _open_windows(len(words), r.firsts, r.counts, runs)
-            if len(still):
-                hashes = word_hashes([w.encode() for w in words])
-                h1, h2 = (rolling(hashes, WINDOW, f)[still].view(np.int64).tolist() for f in _FACTORS)
-                rows += [(r.doc_id, r.text_hash, r.start + int(s), WINDOW, x, y) for s, x, y in zip(still, h1, h2)]
-        columns = list(zip(*rows)) or [()] * 6
+            runs = sorted(set(locate(words, machine, texts, of.get(r.owner, set()))))
+            rows += [(r.doc_id, r.text_hash, r.start + a, b - a) for a, b in merged(runs)]
+            windows.add(r.doc_id, r.text_hash, r.start, words, _open_windows(len(words), np.asarray(r.firsts), np.asarray(r.counts), runs))
+        late, still = windows.settle(not len(right) or right["copies"].iloc[0] == 1)
+        rows += late
+        names = ("doc_id", "text_hash", "start", "length", "h1", "h2")
+        done = dict(zip(names, (list(c) for c in zip(*rows)) if rows else ([],) * 4))
+        out = pd.DataFrame({n: done[n] if n == "doc_id" else pd.array(done[n], "Int64") for n in names[:4]}).assign(
+            **{n: pd.array([None] * len(rows), "Int64") for n in names[4:]})
+        if not still:
+            return out
+        row, start, h1, h2 = still[0]
+        ids = pd.Series([r[0] for r in windows.rows]).iloc[row].reset_index(drop=True)
         # nullable integers from the start: a detour by floats would round the hashes
-        return pd.DataFrame({n: list(c) if n == "doc_id" else pd.array(list(c), "Int64") for n, c in zip(
-            ("doc_id", "text_hash", "start", "length", "h1", "h2"), columns)})
+        more = pd.DataFrame({"doc_id": ids, "text_hash": pd.array(np.array([r[1] for r in windows.rows], np.int64)[row], "Int64"),
+                             "start": pd.array(start, "Int64"), "length": pd.array(np.full(len(row), WINDOW), "Int64"),
+                             "h1": pd.array(h1.view(np.int64), "Int64"), "h2": pd.array(h2.view(np.int64), "Int64")})
+        return more if out.empty else pd.concat([out, more], ignore_index=True)
 
     return own.groupBy("own_shard", "own_copy").cogroup(others.groupBy("shard", "copy")).applyInPandas(
         run, f"doc_id {kind}, text_hash long, start int, length int, h1 long, h2 long")
@@ -240,8 +300,9 @@ def removed_runs(docs: DataFrame, surveyed: DataFrame) -> tuple[DataFrame, DataF
         "owner < last").select("phrase", "owner"), "recurring")
     hits = found.join(recurring, "phrase").groupBy("doc_id", "text_hash").agg(
         F.collect_set(F.struct("place", "owner")).alias("hits"))
-    suspects = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(hits, ["doc_id", "text_hash"])
-    suspects = materialize(suspects, "suspects")
+    # a repeated row is searched once
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(hits, ["doc_id", "text_hash"])
+    suspects = materialize(texts.dropDuplicates(["doc_id", "text_hash"]), "suspects")
     stretches = materialize(_stretches(suspects), "stretches")
     gone = materialize(_search(stretches), "runs")
     still = gone.where("h1 IS NOT NULL")
@@ -263,7 +324,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     """
     surveyed = materialize(_survey(docs), "survey")
     runs, texts = removed_runs(docs, surveyed)
-    damaged = texts.dropDuplicates(["doc_id", "text_hash"]).join(runs, ["doc_id", "text_hash"])
+    damaged = texts.join(runs, ["doc_id", "text_hash"])
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"_id {kind}, _hash long, n_removed long, kept_sha256 string, kept string"
 

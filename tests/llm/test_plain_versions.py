@@ -472,3 +472,25 @@ def test_repeated_rows_spread_over_groups(spark, monkeypatch):
     out = packing.pack(found).select("sequence_id", "length").collect()
     bound = packing.least_sequences(found)
     assert len(out) == 250 and bound == 50 and len({r.sequence_id for r in out}) <= bound + 2
+
+
+@pytest.mark.parametrize("stream", [300_000, 900])
+def test_changed_copies_of_changed_copies(spark, monkeypatch, stream):
+    """Copies share changes that their owner does not have, also where a shard is streamed in several copies."""
+    monkeypatch.setattr(repeats, "STREAM_WORDS", stream)
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(4000)}" for _ in range(260)]
+    edits = [{rng.randrange(260): f"e{n}" for _ in range(2)} for n in range(4)]
+    texts = {0: " ".join(base)}
+    for i in range(1, 30):
+        words = list(base)
+        for n in rng.sample(range(4), rng.randrange(3)):
+            for at, word in edits[n].items():
+                words[at] = word
+        if i % 5 == 0:
+            words[rng.randrange(260)] = f"own{i}"
+        texts[i] = " ".join(words)
+    rows = list(texts.items())
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in repeats.drop_repeats(
+        spark.createDataFrame(rows + rows[3:9], "doc_id long, text string")).collect()}
+    assert got == plain_repeats(texts)
