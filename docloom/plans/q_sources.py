@@ -20,13 +20,18 @@ from docloom.streaming import sinks
 
 NOW = 9_000_000
 
+def _folder(c: Corpus) -> str:
+    return f"{checkpoint_dir(c.spark)}/docloom-{uuid.uuid4().hex}"
+
+
 def _inventory(c: Corpus):
-    """Every document as a file of its own, a third of them with a PDF's first bytes, scanned."""
-    folder = f"{checkpoint_dir(c.spark)}/docloom-{uuid.uuid4().hex}/files"
+    """Every document as a file of its own, a third of them with a PDF's first bytes, listed and read."""
+    root = _folder(c)
     mark = F.when(F.col("doc_id") % 3 == 0, "%PDF-1.7 ").otherwise("")
-    c.table("documents").select("doc_id", F.concat(mark, "text").alias("value")).repartition("doc_id").write.partitionBy("doc_id").text(folder)
-    return S.scan_pdf_inventory(c.spark, folder).select(
-        F.regexp_extract("path", "doc_id=([0-9]+)/", 1).cast("long").alias("doc_id"), "length", "sha256", "has_header")
+    path = F.concat((F.col("doc_id") % 64).cast("string"), F.lit("/"), "doc_id", F.lit(".pdf"))
+    S.write_files(c.table("documents").select(path.alias("path"), F.encode(F.concat(mark, "text", F.lit("\n")), "UTF-8").alias("content")), root)
+    return S.scan_pdf_inventory(c.spark, root).select(
+        F.regexp_extract("path", "([0-9]+)[.]pdf$", 1).cast("long").alias("doc_id"), "length", "sha256", "has_header")
 
 
 register("S1_scan_pdf_inventory", _inventory,
@@ -34,30 +39,34 @@ register("S1_scan_pdf_inventory", _inventory,
 FROM (SELECT doc_id, encode(CASE WHEN doc_id % 3 = 0 THEN '%PDF-1.7 ' ELSE '' END || text || chr(10)) AS b FROM documents)""")
 
 
-#: Rows of one content list.
-FILE_ROWS = 10_000
+def _parsed(c: Corpus):
+    """Parser output of every document as files, a folder for each, scanned."""
+    root = _folder(c)
+    row = F.struct(*[x for x in c.raw.columns if x not in ("doc_id", "pos")])
+    lists = c.raw.groupBy("doc_id").agg(F.to_json(F.transform(
+        F.array_sort(F.collect_list(F.struct("pos", F.struct(row.alias("r")).alias("s")))), lambda x: x["s"]["r"])).alias("json"))
+    layouts = c.layout.select("doc_id", F.to_json(F.struct("pdf_info")).alias("json"))
 
+    def named(rows, name):
+        return rows.select(F.concat(F.col("doc_id").cast("string"), F.lit("/"), name).alias("path"), F.encode("json", "UTF-8").alias("content"))
 
-def _content_lists(c: Corpus):
-    row = F.struct(*[x for x in c.raw.columns if x not in ("doc_id", "pos")])
-    part = F.floor(F.col("pos") / FILE_ROWS)
-    return c.raw.groupBy("doc_id", part.alias("part")).agg(F.to_json(F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", F.struct(row.alias("r")).alias("s")))), lambda x: x["s"]["r"])).alias("content_list")).withColumn(
-        "first_pos", F.col("part") * FILE_ROWS)
+    S.write_files(named(lists, F.concat("doc_id", F.lit("_content_list.json"))).unionByName(named(layouts, F.lit("layout.json"))), root)
+    raw, layout = S.scan_parser_output(c.spark, root)
+    return raw.withColumn("doc_id", F.col("doc_id").cast("long")), layout.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-register("S2_scan_parser_output", lambda c: S.parse_content_lists(_content_lists(c)).select("doc_id", "pos", "type", "text", "text_level", "page_idx", "img_path"),
+register("S2_scan_parser_output", lambda c: _parsed(c)[0].select("doc_id", "pos", "type", "text", "text_level", "page_idx", "img_path"),
          compose("SELECT doc_id, pos, type, text, text_level, page_idx::INT AS page_idx, img_path FROM raw"))
-register("S2_scan_layouts", lambda c: S.parse_layouts(c.layout.select("doc_id", F.to_json(F.struct("pdf_info")).alias("layout"))).select(
+register("S2_scan_layouts", lambda c: _parsed(c)[1].select(
     "doc_id", F.size("pdf_info").alias("pages")), compose("SELECT doc_id, count(*)::INT AS pages FROM page_rows GROUP BY 1"))
 
 
-def _images(c: Corpus):
+def _images(c: Corpus, folder=None):
     k = digit("doc_id")
     magic = F.when(k < 5, "89504E470D0A1A0A").when(k < 9, "FFD8FFE0").when(k < 12, "524946460000000057454250").otherwise("00")
     ext = F.when(k % 3 == 0, ".png").when(k % 3 == 1, ".JPG").otherwise(".webp")
     content = F.concat(F.unhex(magic), F.encode("text", "UTF-8"))
-    return c.table("documents").select(F.concat(F.lit("images/"), F.sha2(content, 256), ext).alias("path"), content.alias("content"))
+    return c.table("documents").select(F.concat(F.lit("images/") if folder is None else folder, F.sha2(content, 256), ext).alias("path"), content.alias("content"))
 
 
 register("S3_verify_assets", lambda c: S.verify_assets(_images(c)).select("path", "sha256", "size_bytes", "mime_type", "ok", "name_matches_hash"),
@@ -67,6 +76,17 @@ FROM (SELECT unhex(CASE WHEN k < 5 THEN '89504E470D0A1A0A' WHEN k < 9 THEN 'FFD8
   CASE k % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.JPG' ELSE '.webp' END AS e, CASE WHEN k < 5 THEN 'image/png' WHEN k < 9 THEN 'image/jpeg' WHEN k < 12 THEN 'image/webp' END AS m FROM doc_keys)"""))
 
 
+def _scanned_assets(c: Corpus):
+    """The same images as files below their documents' folders."""
+    root = _folder(c)
+    S.write_files(_images(c, F.concat("doc_id", F.lit("/images/"))), root)
+    return S.scan_assets(c.spark, root).withColumn("path", F.regexp_extract("path", "([0-9]+/images/.*)", 1))
+
+
+register("S3_scan_assets", lambda c: _scanned_assets(c).select("path", "sha256", "size_bytes", "mime_type", "ok", "name_matches_hash"),
+         ORACLES["S3_verify_assets"].replace("'images/' || sha256(b)", "doc_id || '/images/' || sha256(b)").replace("encode(text) AS b,", "encode(text) AS b, doc_id,"))
+
+
 def _published(c: Corpus):
     old = c.sources.filter(F.col("doc_id") % 2 == 0).select(
         F.concat(F.lit("old-"), "doc_id").alias("id"), F.col("doc_id").cast("string").alias("document_id"), F.lit(True).alias("is_active"),

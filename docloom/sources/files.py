@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import uuid
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from typing import BinaryIO
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docloom.functions.text import ascii_lower
 from docloom.schemas import LAYOUT, RAW_BLOCK
@@ -11,32 +20,117 @@ from docloom.schemas import LAYOUT, RAW_BLOCK
 # fixed values
 PDF_MARK = "%PDF-"
 HEADER_BYTES = 1024
+HEAD_BYTES = 12
 CONTENT_LIST = "content_list.json"
 LAYOUT_FILE = "layout.json"
 # extension -> MIME type
 IMAGE_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp"}
 
 
-def inspect_files(files: DataFrame) -> DataFrame:
-    """path, length, mtime_ms, sha256, has_header from binaryFile rows; the bytes go no further."""
-    head = F.decode(F.substring("content", 1, HEADER_BYTES), "ISO-8859-1")
-    return files.select(
-        "path", "length", F.unix_millis("modificationTime").alias("mtime_ms"), F.sha2("content", 256).alias("sha256"),
-        head.contains(PDF_MARK).alias("has_header"))
+#: Bytes of a file that a task holds at a time.
+PIECE_BYTES = 4 * 1024 * 1024
 
 
-def scan_pdf_inventory(spark: SparkSession, glob: str, only: DataFrame | None = None) -> DataFrame:
-    """Inventory of PDFs with hashes.
+# ---- listing, opening, writing ---------------------------------------------------------
+@lru_cache(16)
+def _file_system(root: str):
+    """File system of ``scheme://authority/`` and where its paths begin."""
+    from pyarrow import fs
 
-    ``only`` (path) narrows the files to open, as found by ``library.sources_to_hash``: a
-    library of unchanged files is then listed but not read.
-    """
+    system, base = fs.FileSystem.from_uri(root)
+    return system, base.rstrip("/")
+
+
+def locate(path: str):
+    """Arrow's file system and path for a path as Spark writes it (``file:/a b``, ``hdfs://host/a``, ``/a``)."""
+    scheme, rest = re.fullmatch(r"(?s)(?:([A-Za-z][A-Za-z0-9+.-]*):)?(.*)", path).groups()
+    authority, place = re.fullmatch(r"(?s)(?://([^/]*))?(.*)", rest).groups()
+    system, base = _file_system(f"{scheme or 'file'}://{authority or ''}/")
+    return system, base + place
+
+
+def open_file(path: str) -> BinaryIO:
+    """The file as a stream; what a task opens where no other ``opener`` is given."""
+    system, place = locate(path)
+    return system.open_input_stream(place)
+
+
+def list_files(spark: SparkSession, glob: str) -> DataFrame:
+    """path, length, mtime_ms of files; none of them is opened."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(glob)
+    return files.select("path", "length", F.unix_millis("modificationTime").alias("mtime_ms"))
+
+
+def read_files(files: DataFrame, head_bytes: int, opener: Callable[[str], BinaryIO] = open_file) -> DataFrame:
+    """Adds sha256, the first ``head_bytes`` bytes as ``head``, ``read_bytes`` and ``readable``.
+
+    Files stream through their task in pieces, so that none has to fit into a row or has a limit of
+    size. One that cannot be read, or is gone since it was listed, has ``readable`` false and nulls.
+    """
+    schema = StructType([*files.schema.fields, *StructType.fromDDL("sha256 string, head binary, read_bytes long, readable boolean").fields])
+
+    def one(path: str) -> tuple[str | None, bytes | None, int | None, bool]:
+        digest, head, total = hashlib.sha256(), b"", 0
+        try:
+            with opener(path) as stream:
+                while piece := stream.read(PIECE_BYTES):
+                    digest.update(piece)
+                    head += piece[:head_bytes - len(head)]
+                    total += len(piece)
+        except OSError:
+            return None, None, None, False
+        return digest.hexdigest(), head, total, True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [one(p) for p in batch.column("path").to_pylist()]
+            kinds = (pa.string(), pa.binary(), pa.int64(), pa.bool_())
+            new = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "sha256", "head", "read_bytes", "readable"])
+
+    return files.mapInArrow(run, schema)
+
+
+def write_files(rows: DataFrame, root: str) -> int:
+    """Write each row's ``content`` (binary) as the file ``root``/``path``; returns how many.
+
+    Paths must be distinct. A file appears whole under its name, so a task that runs twice, or two
+    that run at once, leave the same files.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                system, place = locate(f"{root}/{path}")
+                folder = place.rsplit("/", 1)[0]
+                system.create_dir(folder)
+                # a name that readers pass over
+                draft = f"{folder}/_{uuid.uuid4().hex}"
+                with system.open_output_stream(draft) as stream:
+                    stream.write(content or b"")
+                system.move(draft, place)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    done = rows.select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0]
+    return done or 0
+
+
+def scan_pdf_inventory(
+    spark: SparkSession, glob: str, only: DataFrame | None = None, opener: Callable[[str], BinaryIO] = open_file,
+) -> DataFrame:
+    """path, length, mtime_ms, sha256, has_header, readable of PDFs.
+
+    ``only`` (path) narrows the files to open, as ``library.sources_to_hash`` finds them in a listing:
+    a library of unchanged files is listed, and only what changed is read.
+    """
+    files = list_files(spark, glob)
     if only is not None:
-        files = files.join(only.select("path"), "path", "left_semi")
-    return inspect_files(files)
+        files = files.join(only.select("path").distinct(), "path", "left_semi")
+    head = F.decode("head", "ISO-8859-1")
+    return read_files(files, HEADER_BYTES, opener).select(
+        "path", "length", "mtime_ms", "sha256", head.contains(PDF_MARK).alias("has_header"), "readable")
 
 
+# ---- parser output ---------------------------------------------------------------------
 def parse_content_lists(texts: DataFrame) -> DataFrame:
     """One row per raw block with its position, from (doc_id, content_list).
 
@@ -67,9 +161,10 @@ def scan_parser_output(spark: SparkSession, root: str) -> tuple[DataFrame, DataF
     return parse_content_lists(whole(f"*{CONTENT_LIST}", "content_list")), parse_layouts(whole(LAYOUT_FILE, "layout"))
 
 
-def verify_assets(files: DataFrame) -> DataFrame:
-    """sha256, MIME type by first bytes and by extension, and ``ok`` from (path, content)."""
-    head = F.hex(F.substring("content", 1, 12))
+# ---- assets ----------------------------------------------------------------------------
+def check_assets(files: DataFrame) -> DataFrame:
+    """MIME type by first bytes and by extension, and ``ok``, from (path, sha256, size_bytes, head)."""
+    head = F.hex(F.substring("head", 1, 12))
     sniffed = (
         F.when(head.startswith("89504E470D0A1A0A"), "image/png").when(head.startswith("FFD8FF"), "image/jpeg")
         .when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "image/webp"))
@@ -78,13 +173,23 @@ def verify_assets(files: DataFrame) -> DataFrame:
     for suffix, mime in IMAGE_TYPES.items():
         named = F.when(ext == suffix, mime).otherwise(named)
     stem = F.regexp_extract("path", r"([^/]*)\.[^./]+$", 1)
-    out = files.select("path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("size_bytes"),
-                       sniffed.alias("mime_type"), named.alias("named_type"), stem.alias("__stem"))
+    out = files.select("path", "sha256", "size_bytes", sniffed.alias("mime_type"), named.alias("named_type"), stem.alias("__stem"))
     return out.withColumn("ok", F.coalesce(F.col("mime_type") == F.col("named_type"), F.lit(False))).withColumn(
         "name_matches_hash", ascii_lower("__stem") == F.col("sha256")).drop("__stem")
 
 
-def scan_assets(spark: SparkSession, glob: str) -> DataFrame:
-    """Image files checked by content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(glob)
-    return verify_assets(files.select("path", "content"))
+def verify_assets(files: DataFrame) -> DataFrame:
+    """The same for rows that hold their bytes: (path, content)."""
+    return check_assets(files.select(
+        "path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("size_bytes"),
+        F.substring("content", 1, HEAD_BYTES).alias("head")))
+
+
+def scan_assets(
+    spark: SparkSession, glob: str, only: DataFrame | None = None, opener: Callable[[str], BinaryIO] = open_file,
+) -> DataFrame:
+    """Image files checked by content; ``only`` (path) narrows those that are opened."""
+    files = list_files(spark, glob)
+    if only is not None:
+        files = files.join(only.select("path").distinct(), "path", "left_semi")
+    return check_assets(read_files(files, HEAD_BYTES, opener).withColumnRenamed("read_bytes", "size_bytes"))
