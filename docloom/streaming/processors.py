@@ -59,11 +59,12 @@ class CommandLog(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.revision = handle.getValueState("revision", "revision long")
-        self.receipts = handle.getMapState("receipts", "command_id string", "revision long, at_us long")
+        # a list, as a micro-batch adds all its receipts in one call to the store; the last one of a command counts
+        self.receipts = handle.getListState("receipts", "command_id string, revision long, at_us long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        revision = self.revision.get()[0] if self.revision.exists() else 0
-        receipts = {k[0]: tuple(v) for k, v in self.receipts.iterator()}
+        revision = (self.revision.get() or (0,))[0]
+        receipts = {command: tuple(receipt) for command, *receipt in self.receipts.get()}
         fresh, out, had = {}, [], bool(receipts)
         for row in _in_order(rows):
             at_us = row.at.value // 1000
@@ -78,8 +79,8 @@ class CommandLog(StatefulProcessor):
             receipts[row.command_id] = fresh[row.command_id] = (revision, at_us)
             out.append((key[0], row.seq, row.command_id, "accepted" if accepted else "rejected", revision))
         self.revision.update((revision,))
-        for command, receipt in fresh.items():
-            self.receipts.updateValue((command,), receipt)
+        if fresh:
+            self.receipts.appendList([(command, *receipt) for command, receipt in fresh.items()])
         if fresh and not had:
             self._wait(min(at for _, at in fresh.values()))
         yield pd.DataFrame(out, columns=[p.split()[0] for p in self.SCHEMA.split(", ")])
@@ -88,15 +89,14 @@ class CommandLog(StatefulProcessor):
         self.handle.registerTimer(oldest_us // 1000 + self.keep_ms + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end_us = expiredTimerInfo.getExpiryTimeInMs() * 1000 - self.keep_ms * 1000
-        left = None
-        for command, (_, at_us) in list(self.receipts.iterator()):
-            if at_us <= end_us:
-                self.receipts.removeKey(tuple(command))
-            else:
-                left = at_us if left is None else min(left, at_us)
-        if left is not None:
-            self._wait(left)
+        # later commands have at least the watermark's time
+        end_us = (timerValues.getCurrentWatermarkInMs() - self.keep_ms) * 1000
+        left = {command: (command, revision, at_us) for command, revision, at_us in self.receipts.get() if at_us >= end_us}
+        if left:
+            self.receipts.put(list(left.values()))
+            self._wait(min(at_us for _, _, at_us in left.values()))
+        else:
+            self.receipts.clear()
         return iter([])
 
 
