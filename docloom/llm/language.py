@@ -21,6 +21,8 @@ FOLDS, HELD_OUT = 4, 2
 #: The training sample: about so many texts of a language, chosen by a hash of their id, and the
 #: characters one may have; no more than so many texts in all.
 SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_ALL = 400, 20_000, 3000
+#: The languages that can be learned: those with most texts.
+LANGUAGES = 256
 BUCKETS = 4096
 ORDERS = (1, 2, 3)
 #: Below this probability an answer is ambiguous.
@@ -122,11 +124,16 @@ def fit(docs: DataFrame) -> Model | None:
     """Learn from texts and non-null languages outside the held-out fold, a bounded sample of each."""
     known = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(
         fold_of(F.col("doc_id"), FOLDS) != HELD_OUT).where(F.length("text").between(1, SAMPLE_CHARS))
-    # a row for each language; a language keeps the share of its texts that SAMPLE_TEXTS makes
-    share = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(SAMPLE_TEXTS)) / F.count("*")).alias("share"))
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    if not counts:
+        return None
+    most = min(SAMPLE_TEXTS, 2 * SAMPLE_ALL / len(counts))
+    # a language keeps the share of its texts that the sample needs; shares are a literal, so texts stay where they are
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, most / r["count"]))])[F.col("lang")]
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    rows = known.select("doc_id", "text", "lang", place.alias("place")).join(share.withColumnRenamed("lang", "_lang"), F.col("lang") == F.col("_lang")).where(
-        F.col("place") < F.col("share")).orderBy(F.col("place") / F.col("share"), "doc_id").limit(SAMPLE_ALL).select("text", "lang").collect()
+    chosen = known.select("doc_id", F.struct("text", "lang").alias("r"), (place / share).alias("rank")).where("rank < 1")
+    # one row of an id, however often it is repeated
+    rows = chosen.groupBy("doc_id").agg(F.min("r").alias("r"), F.min("rank").alias("rank")).orderBy("rank", "doc_id").limit(SAMPLE_ALL).select("r.*").collect()
     return train([r.text for r in rows], [r.lang for r in rows])
 
 
