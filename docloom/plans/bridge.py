@@ -454,6 +454,15 @@ class Corpus:
     def allowed(self) -> DataFrame:
         return self.answers.select("request_id", F.concat(F.lit("ctx-"), F.col("sequence").cast("string")).alias("context_id"))
 
+    @cached_property
+    def stored_citations(self) -> DataFrame:
+        """Citations of stored answers: some blocks and answers are gone, some pages are wrong, some places taken twice."""
+        k = digit("block_id")
+        return self.normalized.blocks.filter(k < 3).select(
+            F.concat(F.lit("m-"), "doc_id", F.lit("-"), F.col("order_index") % 4).alias("message_id"), (k % 2).alias("order_index"),
+            F.when(k == 2, F.concat(F.lit("gone-"), "block_id")).otherwise(F.col("block_id")).alias("block_id"),
+            F.when(k == 1, 0).otherwise(F.col("page")).alias("page"))
+
     # ---- sessions ------------------------------------------------------------------
     @cached_property
     def commands(self) -> DataFrame:

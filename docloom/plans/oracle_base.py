@@ -415,3 +415,6 @@ cte("answers", f"""
 SELECT id AS request_id, left(text, 40) || mark || substr(text, 41, 40) || CASE WHEN k % 3 = 0 THEN mark ELSE '' END || CASE WHEN k % 4 = 1 THEN '⟦WEAVE-CITE:ctx-x⟧' ELSE '' END || substr(text, 81)
   || CASE WHEN k = 2 THEN '⟦WEAVE-CITE:' || repeat('y', 130) || '⟧' ELSE '' END || CASE WHEN k = 3 THEN '⟦WEAVE-CITE:ct' WHEN k = 4 THEN '⟦WEA' ELSE '' END AS text, text AS original, k, sequence
 FROM (SELECT *, '⟦WEAVE-CITE:ctx-' || sequence || '⟧' AS mark FROM messages WHERE role = 'assistant')""")
+cte("stored_citations", f"""
+SELECT 'm-' || doc_id || '-' || (order_index % 4) AS message_id, k % 2 AS order_index, CASE WHEN k = 2 THEN 'gone-' || block_id ELSE block_id END AS block_id,
+  CASE WHEN k = 1 THEN 0 ELSE page END AS page FROM (SELECT *, {digit('block_id')} AS k FROM blocks_all) WHERE k < 3""")

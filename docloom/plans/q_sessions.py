@@ -98,28 +98,87 @@ def _checked(c: Corpus):
     ops = c.operations.withColumn("state", F.when(F.col("created_at") % 50 == 3, "odd").otherwise(F.col("state"))).withColumn(
         "progress", F.when(F.col("created_at") % 40 == 2, F.lit(1.5)).otherwise(F.col("progress")))
     messages = c.messages.withColumn("state", F.when(F.col("sequence") == 5, "lost").otherwise(F.col("state")))
+    jobs = c.jobs.withColumn("kind", F.when(digit("id") == 3, "guess").otherwise(F.col("kind"))).withColumn(
+        "state", F.when(digit("id") == 4, "waiting_remote").when(digit("id") == 5, "ready").otherwise(F.col("state")))
+    blocks = c.normalized.blocks.withColumn("page", F.when(digit("block_id") == 6, 0).when(digit("block_id") == 7, F.lit(None)).otherwise(F.col("page")))
     return {
-        "documents": (c.library, "id"), "jobs": (c.jobs, "id"), "parse_operations": (ops, "id"),
+        "documents": (c.library.withColumn("file_state", F.when(digit("id") == 2, "gone").otherwise(F.col("file_state"))), "id"),
+        "jobs": (jobs, "id"), "parse_operations": (ops, "id"),
         "chapters": (c.normalized.chapters.withColumn("depth", F.col("depth") - (F.col("order_index") % 3)), "chapter_id"),
-        "blocks": (c.normalized.blocks, "block_id"), "reading_messages": (messages, "id")}
+        "blocks": (blocks.withColumn("kind", F.when(digit("block_id") == 8, "box").otherwise(F.col("kind"))), "block_id"),
+        "translations": (c.translations.withColumn("state", F.when(digit("block_id") == 9, "lost").otherwise(F.col("state"))), "id"),
+        "reading_messages": (messages, "id"), "reading_citations": (c.stored_citations, "block_id")}
 
 
 register("Q1_check_constraints", lambda c: Q.check_constraints(_checked(c)),
-         compose("""SELECT 'parse_operations' AS "table", 'state' AS rule, id AS row_key FROM operations WHERE created_at % 50 = 3
+         compose(f"""SELECT 'parse_operations' AS "table", 'state' AS rule, id AS row_key FROM operations WHERE created_at % 50 = 3
 UNION ALL SELECT 'parse_operations', 'progress', id FROM operations WHERE created_at % 40 = 2
+UNION ALL SELECT 'documents', 'file_state', id FROM library WHERE {sql_digit('id')} = 2
+UNION ALL SELECT 'jobs', 'kind', id FROM jobs WHERE {sql_digit('id')} = 3 UNION ALL SELECT 'jobs', 'state', id FROM jobs WHERE {sql_digit('id')} = 5
 UNION ALL SELECT 'chapters', 'depth', chapter_id FROM chapters_all WHERE depth - order_index % 3 < 1
+UNION ALL SELECT 'blocks', CASE WHEN {sql_digit('block_id')} = 6 THEN 'pages' ELSE 'kind' END, block_id FROM blocks_all WHERE {sql_digit('block_id')} IN (6, 8)
+UNION ALL SELECT 'translations', 'state', id FROM translations WHERE {sql_digit('block_id')} = 9
+UNION ALL SELECT 'reading_citations', 'page', block_id FROM stored_citations WHERE page < 1
 UNION ALL SELECT 'reading_messages', 'shape', id FROM messages WHERE sequence = 5"""))
-register("Q2_check_uniques", lambda c: Q.check_uniques({
-    "documents": c.library, "parse_operations": c.operations, "job_events": c.job_events, "translations": c.translations,
-    "blocks": c.normalized.blocks, "reading_messages": c.messages}),
-    compose("""SELECT 'documents' AS "table", 'sha256' AS "key", sha256 AS value, count(*) AS copies FROM library GROUP BY sha256 HAVING count(*) > 1
+
+
+def _keyed(c: Corpus):
+    """Stored tables with keys taken twice."""
+    artifacts = c.sources.select(F.col("artifact_id").alias("id"), F.concat(F.lit("doc-"), "doc_id").alias("document_id"), F.lit(True).alias("is_active"))
+    older = artifacts.select(F.concat(F.lit("old-"), "id").alias("id"), "document_id", (digit("id") == 3).alias("is_active"))
+    redone = c.translations.filter(digit("block_id") == 5).withColumn("request_digest", F.sha2("request_digest", 256))
+    return {
+        "documents": c.library, "parse_operations": c.operations, "job_events": c.job_events, "blocks": c.normalized.blocks,
+        "parse_artifacts": artifacts.unionByName(older), "chapters": c.normalized.chapters.withColumn("order_index", F.floor(F.col("order_index") / 2)),
+        "translations": c.translations.unionByName(redone), "reading_messages": c.messages, "reading_citations": c.stored_citations,
+        "reading_conversations": c.chats.withColumn("document_id", F.concat(F.lit("doc-"), F.col("updated_at").cast("string")))}
+
+
+register("Q2_check_uniques", lambda c: Q.check_uniques(_keyed(c)),
+    compose(f"""SELECT 'documents' AS "table", 'sha256' AS "key", sha256 AS value, count(*) AS copies FROM library GROUP BY sha256 HAVING count(*) > 1
 UNION ALL SELECT 'parse_operations', 'job_id', job_id, count(*) FROM operations GROUP BY job_id HAVING count(*) > 1
-UNION ALL SELECT 'reading_messages', 'conversation_id', conversation_id, count(*) FROM messages WHERE role = 'assistant' AND state = 'streaming' GROUP BY conversation_id HAVING count(*) > 1"""))
-register("Q3_check_references", lambda c: Q.check_references({
-    "documents": c.library.filter(digit("id") < 12), "jobs": c.jobs.filter(digit("id") < 12), "parse_operations": c.operations,
-    "job_events": c.job_events, "reading_messages": c.messages, "reading_conversations": c.chats}),
-    compose(f"""SELECT 'jobs' AS "table", 'document_id' AS "column", document_id AS value, count(*) AS rows FROM jobs WHERE {sql_digit('id')} < 12 AND document_id NOT IN (SELECT id FROM library WHERE {sql_digit('id')} < 12) GROUP BY document_id
-UNION ALL SELECT 'parse_operations', 'document_id', document_id, count(*) FROM operations WHERE document_id NOT IN (SELECT id FROM library WHERE {sql_digit('id')} < 12) GROUP BY document_id
-UNION ALL SELECT 'parse_operations', 'job_id', job_id, count(*) FROM operations WHERE job_id NOT IN (SELECT id FROM jobs WHERE {sql_digit('id')} < 12) GROUP BY job_id
-UNION ALL SELECT 'job_events', 'job_id', job_id, count(*) FROM job_events WHERE job_id NOT IN (SELECT id FROM jobs WHERE {sql_digit('id')} < 12) GROUP BY job_id
-UNION ALL SELECT 'reading_conversations', 'document_id', document_id, count(*) FROM chats WHERE document_id NOT IN (SELECT id FROM library WHERE {sql_digit('id')} < 12) GROUP BY document_id"""))
+UNION ALL SELECT 'parse_artifacts', 'document_id', 'doc-' || doc_id, 2 FROM doc_keys WHERE {sql_digit("'art-' || doc_id")} = 3
+UNION ALL SELECT 'chapters', 'doc_id,order_index', doc_id || ',' || (order_index // 2), count(*) FROM chapters_all GROUP BY doc_id, order_index // 2 HAVING count(*) > 1
+UNION ALL SELECT 'translations', 'block_id', block_id, 2 FROM translations WHERE {sql_digit('block_id')} = 5
+UNION ALL SELECT 'reading_conversations', 'document_id', 'doc-' || updated_at, count(*) FROM chats GROUP BY updated_at HAVING count(*) > 1
+UNION ALL SELECT 'reading_messages', 'conversation_id', conversation_id, count(*) FROM messages WHERE role = 'assistant' AND state = 'streaming' GROUP BY conversation_id HAVING count(*) > 1
+UNION ALL SELECT 'reading_citations', 'message_id,order_index', message_id || ',' || order_index, count(*) FROM stored_citations GROUP BY message_id, order_index HAVING count(*) > 1"""))
+
+
+def _linked(c: Corpus):
+    """Stored tables with a quarter of most parents gone."""
+    n = c.normalized
+    jobs = c.jobs.select("id", "document_id").unionByName(c.chapter_jobs.select("id", F.lit(None).cast("string").alias("document_id")))
+    return {
+        "documents": c.library.filter(digit("id") < 12), "jobs": jobs.filter(digit("id") < 12), "parse_operations": c.operations, "job_events": c.job_events,
+        "parse_artifacts": c.sources.select(F.col("artifact_id").alias("id"), F.concat(F.lit("doc-"), "doc_id").alias("document_id")).filter(digit("id") < 12),
+        "chapters": n.chapters.filter(digit("chapter_id") < 12), "blocks": n.blocks.filter(digit("block_id") < 12), "translations": c.translations,
+        "reading_messages": c.messages, "reading_conversations": c.chats, "reading_citations": c.stored_citations}
+
+
+def _orphans(child: str, column: str, rows: str, parents: str) -> str:
+    return f"""SELECT '{child}' AS "table", '{column}' AS "column", value, count(*) AS rows FROM (SELECT {column} AS value FROM {rows})
+WHERE value IS NOT NULL AND value NOT IN ({parents}) GROUP BY value"""
+
+
+_D = sql_digit
+LEFT_DOCUMENTS = f"SELECT id FROM library WHERE {_D('id')} < 12"
+LEFT_JOBS = f"SELECT id FROM jobs WHERE {_D('id')} < 12 UNION ALL SELECT id FROM chapter_jobs WHERE {_D('id')} < 12"
+LEFT_BLOCKS = f"SELECT block_id FROM blocks_all WHERE {_D('block_id')} < 12"
+LEFT_ARTIFACTS = f"SELECT 'art-' || doc_id FROM doc_keys WHERE {_D(chr(39) + 'art-' + chr(39) + ' || doc_id')} < 12"
+LEFT_CHAPTERS = f"SELECT chapter_id FROM chapters_all WHERE {_D('chapter_id')} < 12"
+register("Q3_check_references", lambda c: Q.check_references(_linked(c)), compose(" UNION ALL ".join([
+    _orphans("jobs", "document_id", f"jobs WHERE {_D('id')} < 12", LEFT_DOCUMENTS),
+    _orphans("parse_operations", "document_id", "operations", LEFT_DOCUMENTS),
+    _orphans("parse_operations", "job_id", "operations", LEFT_JOBS),
+    _orphans("parse_artifacts", "document_id", f"(SELECT 'doc-' || doc_id AS document_id FROM doc_keys WHERE {_D(chr(39) + 'art-' + chr(39) + ' || doc_id')} < 12)", LEFT_DOCUMENTS),
+    _orphans("chapters", "artifact_id", f"(SELECT 'art-' || doc_id AS artifact_id FROM chapters_all WHERE {_D('chapter_id')} < 12)", LEFT_ARTIFACTS),
+    _orphans("blocks", "chapter_id", f"blocks_all WHERE {_D('block_id')} < 12", LEFT_CHAPTERS),
+    _orphans("job_events", "job_id", "job_events", LEFT_JOBS),
+    _orphans("translations", "block_id", "translations", LEFT_BLOCKS),
+    _orphans("translations", "job_id", "translations", LEFT_JOBS),
+    _orphans("reading_conversations", "document_id", "chats", LEFT_DOCUMENTS),
+    _orphans("reading_messages", "conversation_id", "messages", "SELECT id FROM chats"),
+    _orphans("reading_messages", "responding_to", "messages", "SELECT id FROM messages"),
+    _orphans("reading_citations", "message_id", "stored_citations", "SELECT id FROM messages"),
+    _orphans("reading_citations", "block_id", "stored_citations", LEFT_BLOCKS)])))

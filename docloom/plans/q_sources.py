@@ -190,15 +190,21 @@ def _removed(c: Corpus):
         "documents": docs, "parse_artifacts": c.sources.select(F.col("artifact_id").alias("id"), F.concat(F.lit("doc-"), "doc_id").alias("document_id")),
         "jobs": c.jobs.select("id", "document_id"), "chapters": n.chapters.select(F.col("chapter_id").alias("id"), "artifact_id"),
         "blocks": n.blocks.select(F.col("block_id").alias("id"), "chapter_id"), "translations": c.translations.select("id", "block_id"),
-        "reading_conversations": c.chats.select("id", "document_id"), "reading_messages": c.messages.select("id", "conversation_id")}
+        "parse_operations": c.operations.select("id", "document_id"),
+        "reading_positions": c.position_updates.select("document_id", "updated_at"),
+        "reading_conversations": c.chats.select("id", "document_id"), "reading_messages": c.messages.select("id", "conversation_id"),
+        "reading_citations": c.stored_citations}
+    # tables without an id of their own
+    keys = {"reading_positions": ("document_id", "updated_at"), "reading_citations": ("message_id", "block_id")}
     kept = L.remove_documents(tables, docs.filter(digit("id") < 5))
     out = None
     for name, rows in kept.items():
-        part = rows.select(F.lit(name).alias("table"), "id")
+        part = rows.select(F.lit(name).alias("table"), F.concat_ws("@", *keys[name]).alias("id") if name in keys else "id")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+STAYS = f"NOT coalesce({sql_digit('document_id')} < 5 AND document_id IN (SELECT id FROM imports), false)"
 KEPT = f"(SELECT id FROM imports WHERE {sql_digit('id')} >= 5)"
 register("L6_remove_documents", _removed, compose(f"""
 SELECT 'documents' AS "table", id FROM {KEPT} UNION ALL SELECT 'parse_artifacts', 'art-' || substr(id, 5) FROM {KEPT}
@@ -206,7 +212,11 @@ UNION ALL SELECT 'jobs', id FROM jobs WHERE NOT coalesce({sql_digit('document_id
 UNION ALL SELECT 'chapters', chapter_id FROM chapters_all WHERE 'doc-' || doc_id IN {KEPT} UNION ALL SELECT 'blocks', block_id FROM blocks_all WHERE 'doc-' || doc_id IN {KEPT}
 UNION ALL SELECT 'translations', t.id FROM translations t JOIN blocks_all b ON b.block_id = t.block_id WHERE 'doc-' || b.doc_id IN {KEPT}
 UNION ALL SELECT 'reading_conversations', id FROM chats WHERE {sql_digit('document_id')} >= 5
-UNION ALL SELECT 'reading_messages', m.id FROM messages m JOIN chats c ON c.id = m.conversation_id WHERE {sql_digit('c.document_id')} >= 5"""))
+UNION ALL SELECT 'parse_operations', id FROM operations WHERE {STAYS}
+UNION ALL SELECT 'reading_positions', document_id || '@' || updated_at FROM position_updates WHERE {STAYS}
+UNION ALL SELECT 'reading_messages', m.id FROM messages m JOIN chats c ON c.id = m.conversation_id WHERE {sql_digit('c.document_id')} >= 5
+UNION ALL SELECT 'reading_citations', s.message_id || '@' || s.block_id FROM stored_citations s LEFT JOIN messages m ON m.id = s.message_id LEFT JOIN chats c ON c.id = m.conversation_id
+  WHERE c.id IS NULL OR {sql_digit('c.document_id')} >= 5"""))
 
 
 # ---- streams ---------------------------------------------------------------------------
