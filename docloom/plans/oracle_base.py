@@ -418,3 +418,13 @@ FROM (SELECT *, '⟦WEAVE-CITE:ctx-' || sequence || '⟧' AS mark FROM messages
 cte("stored_citations", f"""
 SELECT 'm-' || doc_id || '-' || (order_index % 4) AS message_id, k % 2 AS order_index, CASE WHEN k = 2 THEN 'gone-' || block_id ELSE block_id END AS block_id,
   CASE WHEN k = 1 THEN 0 ELSE page END AS page FROM (SELECT *, {digit('block_id')} AS k FROM blocks_all) WHERE k < 3""")
+# visible leaves of all kinds of blocks; gap: what separates a leaf from the one before it
+cte("table_parts", """
+SELECT b.block_id, p.pos, p.cell, p.img_path, p.alt FROM blocks_all b JOIN block_parts p ON p.doc_id = b.doc_id AND p.pos = b.pos AND p.sub = b.sub AND p.kind = 'table' WHERE b.kind = 'table'""")
+cte("inline_atoms", "SELECT a.* FROM text_atoms a JOIN blocks_all b ON b.block_id = a.block_id WHERE b.kind NOT IN ('equation', 'figure', 'table')")
+cte("leaves", """
+SELECT block_id, akey AS ord, CASE WHEN special AND value LIKE '$%' THEN value[2:-2] ELSE value END AS t, 0 AS gap FROM inline_atoms
+UNION ALL SELECT block_id, 0, plain_text, 0 FROM blocks_all WHERE kind IN ('equation', 'figure')
+UNION ALL SELECT block_id, 0, 'a', 0 FROM table_parts UNION ALL SELECT block_id, 1, cell, 3 FROM table_parts WHERE cell <> ''
+UNION ALL SELECT block_id, 2, pos || ' ', CASE WHEN cell = '' THEN 4 ELSE 1 END FROM table_parts UNION ALL SELECT block_id, 3, '[1]', 0 FROM table_parts
+UNION ALL SELECT block_id, 4, coalesce(alt, ''), 0 FROM table_parts WHERE img_path IS NOT NULL""")

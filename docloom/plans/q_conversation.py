@@ -184,13 +184,13 @@ register("C15_clear_citations", lambda c: _cleared(c, 2).select("message_id"),
 
 
 def _spans(c: Corpus):
-    blocks = c.normalized.blocks.filter("kind NOT IN ('equation', 'figure', 'table')")
+    blocks = c.normalized.blocks
     k = digit("block_id")
     sel = blocks.select(F.concat(F.lit("h-"), "block_id").alias("selection_id"), "block_id", (k * 2).alias("start_utf16"), (k * 9 + 20).alias("end_utf16"))
     return C.highlight_spans(atom_offsets(blocks), sel)
 
 
 register("C16_highlight_spans", lambda c: _spans(c).select("block_id", "leaf_index", "from_utf16", "to_utf16"),
-         compose(f"""WITH v AS (SELECT block_id, akey, length(CASE WHEN special AND value LIKE '$%' THEN value[2:-2] ELSE value END) AS n FROM text_atoms),
-o AS (SELECT block_id, row_number() OVER w - 1 AS leaf_index, sum(n) OVER w - n AS a, sum(n) OVER w AS b, {sql_digit('block_id')} AS k FROM v WINDOW w AS (PARTITION BY block_id ORDER BY akey ROWS UNBOUNDED PRECEDING))
+         compose(rf"""WITH v AS (SELECT *, length(t) + length(regexp_replace(t, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')) AS n FROM leaves),
+o AS (SELECT block_id, row_number() OVER w - 1 AS leaf_index, sum(n + gap) OVER w - n AS a, sum(n + gap) OVER w AS b, {sql_digit('block_id')} AS k FROM v WINDOW w AS (PARTITION BY block_id ORDER BY ord ROWS UNBOUNDED PRECEDING))
 SELECT block_id, leaf_index::INT AS leaf_index, (greatest(k * 2, a) - a)::INT AS from_utf16, (least(k * 9 + 20, b) - a)::INT AS to_utf16 FROM o WHERE k * 9 + 20 > a AND k * 2 < b"""))

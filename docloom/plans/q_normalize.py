@@ -91,13 +91,16 @@ register(
 )
 register(
     "N10_inline_atoms",
-    lambda c: c.normalized.blocks.filter("kind NOT IN ('equation', 'figure', 'table')").select(
+    lambda c: c.normalized.blocks.select(
         "block_id", F.posexplode("content.atoms").alias("atom_index", "a")).select(
         "block_id", "atom_index", "a.type", "a.id", leaf_text(F.col("a")).alias("text")),
     compose("""SELECT block_id, (row_number() OVER (PARTITION BY block_id ORDER BY akey) - 1)::INT AS atom_index,
   CASE WHEN NOT special THEN 'text' WHEN value LIKE '$%' THEN 'formula' ELSE 'citation' END AS type,
   CASE WHEN NOT special THEN NULL WHEN value LIKE '$%' THEN 'formula-' || left(sha256(value[2:-2]), 16) ELSE 'citation-' || left(sha256(value), 16) END AS id,
-  CASE WHEN special AND value LIKE '$%' THEN value[2:-2] ELSE value END AS text FROM text_atoms"""),
+  CASE WHEN special AND value LIKE '$%' THEN value[2:-2] ELSE value END AS text FROM inline_atoms
+UNION ALL SELECT block_id, 0, 'formula', 'formula-' || left(sha256(plain_text), 16), plain_text FROM blocks_all WHERE kind = 'equation'
+UNION ALL SELECT block_id, 0, 'asset', NULL, '' FROM blocks_all WHERE kind = 'figure' UNION ALL SELECT block_id, 0, 'table', NULL, '' FROM table_parts
+UNION ALL SELECT block_id, 1, 'asset', NULL, '' FROM table_parts WHERE img_path IS NOT NULL"""),
 )
 register(
     "N11_table_cells",
@@ -178,19 +181,18 @@ register(
 )
 register(
     "N20_plain_text",
-    lambda c: D.block_plain_text(c.normalized.blocks.filter("kind <> 'table'")).select("block_id", "plain_text"),
+    lambda c: D.block_plain_text(c.normalized.blocks).select("block_id", "plain_text"),
     compose("""SELECT block_id, CASE WHEN kind IN ('equation', 'figure') THEN plain_text ELSE
-  (SELECT string_agg(CASE WHEN special AND value LIKE '$%' THEN value[2:-2] ELSE value END, '' ORDER BY akey) FROM text_atoms a WHERE a.block_id = b.block_id) END AS plain_text
-FROM blocks_all b WHERE kind <> 'table'"""),
+  (SELECT string_agg(CASE WHEN special AND value LIKE '$%' THEN value[2:-2] ELSE value END, '' ORDER BY akey) FROM inline_atoms a WHERE a.block_id = b.block_id) END AS plain_text
+FROM blocks_all b WHERE kind <> 'table'
+UNION ALL SELECT block_id, 'a | ' || cell || chr(10) || pos || ' [1]' || CASE WHEN img_path IS NOT NULL THEN coalesce(alt, '') ELSE '' END FROM table_parts"""),
 )
 register(
     "N21_atom_offsets",
-    lambda c: D.atom_offsets(c.normalized.blocks.filter("kind NOT IN ('equation', 'figure', 'table')")).select(
-        "block_id", "leaf_index", "start_utf16", "end_utf16"),
-    compose("""WITH v AS (SELECT block_id, akey, CASE WHEN special AND value LIKE '$%' THEN value[2:-2] ELSE value END AS t FROM text_atoms),
-u AS (SELECT *, length(t) + length(regexp_replace(t, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) AS n FROM v)
-SELECT block_id, (row_number() OVER w - 1)::INT AS leaf_index, (sum(n) OVER w - n)::INT AS start_utf16, (sum(n) OVER w)::INT AS end_utf16
-FROM u WINDOW w AS (PARTITION BY block_id ORDER BY akey ROWS UNBOUNDED PRECEDING)"""),
+    lambda c: D.atom_offsets(c.normalized.blocks).select("block_id", "leaf_index", "start_utf16", "end_utf16"),
+    compose("""WITH u AS (SELECT *, length(t) + length(regexp_replace(t, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) AS n FROM leaves)
+SELECT block_id, (row_number() OVER w - 1)::INT AS leaf_index, (sum(n + gap) OVER w - n)::INT AS start_utf16, (sum(n + gap) OVER w)::INT AS end_utf16
+FROM u WINDOW w AS (PARTITION BY block_id ORDER BY ord ROWS UNBOUNDED PRECEDING)"""),
 )
 register(
     "N22_term_statistics",
