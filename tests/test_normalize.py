@@ -134,3 +134,22 @@ def test_headings(spark):
     row = spark.createDataFrame([("12) x", "$$$", "$$ a\nb $$")], "a string, b string, c string").select(
         looks_like_list_item(F.col("a")).alias("a"), strip_display_math(F.col("b")).alias("b"), strip_display_math(F.col("c")).alias("c")).first()
     assert tuple(row) == (True, "$$$", "a\nb")
+
+
+def test_scans_carry_no_text(spark):
+    """Layouts and scans run over shapes without texts, which tell how many blocks a row makes."""
+    from docloom.operators import normalize as N
+
+    long = "A sentence that is no heading. " * 20
+    raw = raw_rows(spark, {"d": [
+        text("T", 1), text(long), text(" "), text("1 Intro", 2), {"type": "footer", "text": long}, {"type": "equation", "text": "$$x$$"},
+        {"type": "table", "table_body": "<table><tr><td>" + long + "</td></tr></table>", "table_caption": [long]}, {"type": "table", "table_caption": [" "]},
+        {"type": "image", "img_path": "images/a.png", "image_caption": [long], "image_footnote": [long]}, {"type": "chart", "chart_footnote": [long]}]})
+    rows = N.row_shapes(raw)
+    assert long.strip() not in str(rows.collect())
+    aliases = spark.createDataFrame([("d", "images/a.png", SHA)], "doc_id string, relative_path string, asset_id string")
+    sizes = {r["pos"]: r["n"] for r in N.with_assets(rows, aliases).withColumn("n", N.shape_size()).filter("n > 0").collect()}
+    whole = N.with_assets(N.classify_text(raw), aliases).withColumn("page", F.lit(1)).withColumn("box", F.lit(None)).withColumn("segment", F.lit(0))
+    made = {r["pos"]: r["count"] for r in N.expand_blocks(N.drop_layout_noise(whole))[0].groupBy("pos").count().collect()}
+    sizes.pop(4, None)
+    assert sizes == made and made[8] == 3 and 9 not in made
