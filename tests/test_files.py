@@ -72,3 +72,29 @@ def test_written_assets_are_scanned(spark, tmp_path):
                    rows[4][0]: (4, None, False, False)}
     only = spark.createDataFrame([(f"file:{tmp_path}/5/plain",)], "path string")
     assert S.scan_assets(spark, str(tmp_path), only).count() == 1
+
+
+def test_listing_by_tasks(spark, tmp_path):
+    """Levels, globs and hidden names as Spark's reader has them, without the names in a plan."""
+    for name in ("a/x.pdf", "a/b/c/y.pdf", "b/z.txt", "_h/n.pdf", "a/.s.pdf", "a/_t.pdf", "a/b/é {1}.pdf", "b[1]/q.pdf"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"%PDF-")
+    for glob in (str(tmp_path), f"{tmp_path}/*/*.pdf", f"{tmp_path}/[ab]/*", f"{tmp_path}/{{a,b}}/?.*", f"file:{tmp_path}/a", f"{tmp_path}/b/z.txt"):
+        files = S.list_files(spark, glob)
+        spark_own = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(glob)
+        want = spark_own.select("path", "length", F.unix_millis("modificationTime").alias("mtime_ms"))
+        assert sorted(map(tuple, files.collect())) == sorted(map(tuple, want.collect())), glob
+        assert not any(f.endswith((".pdf", ".txt")) for f in files.inputFiles())
+
+
+def test_parser_output(spark, tmp_path):
+    files = {"d1/x_content_list.json": '[{"type":"text","text":"é"},{"type":"text"}]', "d1/layout.json": '{"pdf_info":[{"page_idx":0,"page_size":[1.0,2.0]}]}',
+             "_d2/content_list.json": '[{"type":"table"}]', "d3/deep/x_content_list.json": '[{"type":"text"}]', "d4/layout.json": '{"pdf_info":[]}', "d4/_x_content_list.json": "[]"}
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    raw, layouts = S.scan_parser_output(spark, str(tmp_path))
+    assert sorted((r["doc_id"], r["pos"], r["type"], r["text"]) for r in raw.collect()) == [
+        ("_d2", 0, "table", ""), ("d1", 0, "text", "é"), ("d1", 1, "text", "")]
+    assert {r["doc_id"]: len(r["pdf_info"]) for r in layouts.collect()} == {"d1": 1, "d4": 0}
+    assert not any(f.endswith(".json") for f in [*raw.inputFiles(), *layouts.inputFiles()])
