@@ -21,6 +21,17 @@ def test_stored_index_is_pruned(spark, tmp_path):
     assert "regexp_extract_all" not in plan and "Python" not in plan
 
 
+def test_postings_hold_numbers_and_are_not_shuffled(spark, tmp_path):
+    blocks = spark.createDataFrame([(f"b{i}", f"common w{i}") for i in range(100)] + [("none", None), ("blank", " ")], "block_id string, plain_text string")
+    index = D.read_term_index(spark, D.write_term_index(blocks.repartition(5), str(tmp_path / "terms")))
+    postings, ids = index.filter("term IS NOT NULL"), index.filter("term IS NULL")
+    assert postings.count() == 200 and postings.filter("block_id IS NOT NULL").count() == 0
+    assert ids.select("block").distinct().count() == ids.select("block_id").distinct().count() == 102
+    # a task's files hold numbers of its own
+    files = postings.select("block", F.regexp_extract(F.col("_metadata.file_name"), "part-([0-9]+)", 1).alias("task")).distinct()
+    assert files.groupBy("block").count().filter("count > 1").count() == 0
+
+
 def test_highlights_are_no_product(spark):
     """One block with many atoms and many short selections: pairs in proportion to overlaps."""
     rng = random.Random(1)
