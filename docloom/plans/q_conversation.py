@@ -51,12 +51,7 @@ register("C4_validate_selections", lambda c: C.validate_selections(c.selections,
          compose("SELECT selection_id, chapter_id, error_code FROM selections_judged"))
 
 
-def _neighbours(c: Corpus):
-    ok = C.validate_selections(c.selections, c.block_facts, c.view).filter("error_code IS NULL").drop("error_code")
-    return C.neighbour_context(ok, c.block_facts, c.view, CONTEXT_BUDGET)
-
-
-register("C5_neighbour_context", lambda c: _neighbours(c).select(
+register("C5_neighbour_context", lambda c: c.neighbours.select(
     "selection_id", "used_bytes", "context_error", F.array_join(F.transform("blocks", lambda b: b["blockId"]), ",").alias("block_ids")),
     compose(f"""SELECT a.selection_id, CASE WHEN a.base <= {CONTEXT_BUDGET} THEN a.u4 END AS used_bytes, CASE WHEN a.base > {CONTEXT_BUDGET} THEN 'context_too_large' END AS context_error,
   (SELECT string_agg(block_id, ',' ORDER BY off) FROM admitted d WHERE d.selection_id = a.selection_id) AS block_ids FROM admission4 a"""))
