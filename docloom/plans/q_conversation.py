@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docloom.functions.stage import materialize
 from docloom.operators import conversation as C
 from docloom.operators.documents import atom_offsets
 from docloom.plans.bridge import CONTEXT_BUDGET, Corpus, digit
@@ -119,7 +120,8 @@ UNION ALL SELECT request_id, 'citation_marker_invalid' FROM answers WHERE k IN (
 
 
 def _resolved(c: Corpus):
-    targets = C.citation_targets(_fitted(c))
+    # ids and pages only; both sides of the join read them
+    targets = materialize(C.citation_targets(_fitted(c)), "targets")
     k = digit(F.concat("request_id", "context_id"))
     cites = targets.select("request_id", F.when(k < 4, F.lit("ctx-gone")).otherwise(F.col("context_id")).alias("context_id"))
     return C.resolve_citations(cites, targets)
