@@ -85,7 +85,7 @@ SELECT i.* REPLACE (row_number() OVER (PARTITION BY i.chapter_id ORDER BY i.orde
 FROM items i JOIN judged j ON j.block_id = i.block_id WHERE j.code IS NOT NULL""")
 packing("repair_packed", "repair_items", "chapter_id")
 PLAIN_TARGET = """CASE WHEN j.kind = 'table' THEN NULL ELSE j.target END"""
-register("T14_commit_results", lambda c: T.commit_results(c.translations, _commits(c), c.chapter_jobs)[0].select(
+register("T14_commit_results", lambda c: T.commit_results(c.translations, _commits(_judged(c), F.col("restored.plainText")), c.chapter_job_states)[0].select(
     "id", "state", "is_active", "validation_json", "error_code", "error_message", "updated_at"),
     compose(f"""SELECT t.id, CASE WHEN hit AND j.code IS NULL THEN 'ready' WHEN hit AND t.state <> 'ready' THEN 'failed' ELSE t.state END AS state, t.is_active,
   CASE WHEN hit AND j.code IS NULL THEN '{T.VALIDATION_JSON}' END AS validation_json,
@@ -98,7 +98,7 @@ FROM (SELECT t.*, t.is_active AND j.block_id IS NOT NULL AND b.id IS NOT NULL AN
       AND (b.id, j.block_id) NOT IN (SELECT (job_id, block_id) FROM translations WHERE is_active))) AS hit
   FROM translations t LEFT JOIN judged j ON j.block_id = t.block_id
   LEFT JOIN chapter_jobs b ON b.id = t.job_id AND b.state <> 'cancelled') t LEFT JOIN judged j ON j.block_id = t.block_id"""))
-register("T14_commit_errors", lambda c: T.commit_results(c.translations, _commits(c), c.chapter_jobs)[1],
+register("T14_commit_errors", lambda c: T.commit_results(c.translations, _commits(_verdicts(c), F.lit(None)), c.chapter_job_states)[1],
          compose("""SELECT b.id AS job_id, j.block_id, CASE WHEN b.state = 'cancelled' THEN 'job_cancelled' ELSE 'cache_changed' END AS error_code
 FROM judged j JOIN chapter_jobs b ON b.chapter_id = j.chapter_id WHERE j.code IS NULL
   AND (b.state = 'cancelled' OR j.block_id NOT IN (SELECT block_id FROM translations WHERE is_active))"""))

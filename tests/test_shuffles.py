@@ -46,3 +46,19 @@ def test_repair_judges_once(spark):
     assert {r["block_id"] for r in again.collect()} == {b for b, code in CODES.items() if code}
     # failed blocks are written, so that packing does not judge the answers a second time
     assert "ArrowEvalPython" not in plan_of(again)
+
+
+def test_commit_errors_judge_once(spark):
+    judged = spark.createDataFrame(
+        [("j", "a", None), ("j", "b", None), ("j", "c", "late"), ("stop", "d", None), ("none", "e", None)], "job_id string, block_id string, code string").select(
+        "*", *[F.lit(None).cast("string").alias(c) for c in ("safe_message", "target_json", "target_plain_text")], F.lit(1).cast("long").alias("at"))
+    columns = ["state", "target_json", "target_plain_text", "validation_json", "error_code", "error_message"]
+    rows = spark.createDataFrame([("j", "a", True), ("j", "b", False)], "job_id string, block_id string, is_active boolean").select(
+        "*", *[F.lit("queued" if c == "state" else None).cast("string").alias(c) for c in columns], F.lit(0).cast("long").alias("updated_at"))
+    jobs = spark.createDataFrame([("j", "running"), ("stop", "cancelled")], "id string, state string")
+    after, errors = T.commit_results(rows, judged, jobs)
+    assert {tuple(r) for r in errors.collect()} == {("j", "b", "cache_changed"), ("stop", "d", "job_cancelled")}
+    # one lost row undoes the job's others
+    assert {r["state"] for r in after.collect()} == {"queued"}
+    # answers and stored rows are read once each
+    assert plan_of(errors).count("LogicalRDD [job_id") == 2
