@@ -153,3 +153,19 @@ def test_scans_carry_no_text(spark):
     made = {r["pos"]: r["count"] for r in N.expand_blocks(N.drop_layout_noise(whole))[0].groupBy("pos").count().collect()}
     sizes.pop(4, None)
     assert sizes == made and made[8] == 3 and 9 not in made
+
+
+def test_pointers_need_no_texts(spark):
+    """Who is published is known from the manifests' heads, so operations finish without the digests."""
+    n, sources = run(spark, {"d": PAPER, "bad": [{"type": "footer", "page_idx": 7}]})
+    schema = ("id string, document_id string, is_active boolean, backend string, parser_version string, normalizer_version string, "
+              "source_sha256 string, manifest_path string, content_digest string, created_at long")
+    old = spark.createDataFrame([(f"old-{d}", d, True, *["x"] * 6, 0) for d in ("d", "bad")], schema)
+    out = tables.publish_artifacts(n, sources, old, 1)
+    pointers = {tuple(r) for r in out["pointers"].collect()}
+    assert pointers == {tuple(r) for r in out["parse_artifacts"].select("id", "document_id", "is_active").collect()}
+    assert {(d, a) for i, d, a in pointers if i.startswith("old-")} == {("d", False), ("bad", True)} and len(pointers) == 3
+    ops = spark.createDataFrame([(d, "normalizing", 0.5, None) for d in ("d", "bad", "none")], "document_id string, state string, progress double, completed_at long")
+    done = tables.finish_operations(ops, out["pointers"], 9)
+    assert {(r["document_id"], r["state"]) for r in done.collect()} == {("d", "succeeded"), ("bad", "succeeded"), ("none", "normalizing")}
+    assert "source_digest" not in done._jdf.queryExecution().optimizedPlan().toString()
