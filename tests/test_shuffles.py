@@ -62,3 +62,17 @@ def test_commit_errors_judge_once(spark):
     assert {r["state"] for r in after.collect()} == {"queued"}
     # answers and stored rows are read once each
     assert plan_of(errors).count("LogicalRDD [job_id") == 2
+
+
+def test_job_events_lay_out_states_only(spark, tmp_path):
+    """What numbers the events is laid out without the jobs' other columns, and the events stay the same."""
+    from docloom.operators.oplog import state_change_events
+    from docloom.plans.bridge import Corpus
+
+    rows = [(i, i % 3, ("signup", "view", "error", "purchase", "click")[i % 5], f'{{"k": {i % 4}}}') for i in range(60)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
+    c = Corpus(spark, str(tmp_path))
+    whole = state_change_events(c.job_history.withColumnRenamed("id", "job_id")).select("job_id", "sequence", "state", "seq")
+    assert {tuple(r) for r in c.job_events.collect()} == {tuple(r) for r in whole.collect()} and whole.count() > 12
+    plan = plan_of(c.job_events)
+    assert "seq#" in plan and not any(name in plan for name in ("plan_digest", "chapter_id", "safe_message"))
