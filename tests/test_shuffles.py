@@ -76,3 +76,32 @@ def test_job_events_lay_out_states_only(spark, tmp_path):
     assert {tuple(r) for r in c.job_events.collect()} == {tuple(r) for r in whole.collect()} and whole.count() > 12
     plan = plan_of(c.job_events)
     assert "seq#" in plan and not any(name in plan for name in ("plan_digest", "chapter_id", "safe_message"))
+
+
+def test_removal_shuffles_a_table_once(spark):
+    """Rows that stay and rows that go come of one shuffle, whatever their readers filter; null keys and copies stay as they are."""
+    from docloom.operators.library import remove_documents
+
+    def table(rows, names):
+        return spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names.split()))
+
+    tables = {
+        "documents": table([("d1",), ("d2",)], "id"), "parse_artifacts": table([("a1", "d1"), ("a1", "d1"), ("a2", "d2"), ("a3", None)], "id document_id"),
+        "chapters": table([("c1", "a1"), ("c2", "a2"), ("c3", None)], "id artifact_id"),
+        "blocks": table([("b1", "c1"), ("b2", "c2"), ("b3", None), ("b4", "c1")], "id chapter_id"),
+        "translations": table([("t1", "b1"), ("t2", "b2"), ("t3", "b9"), ("t4", "b4")], "id block_id").filter("block_id > 'b1'")}
+    kept = remove_documents(tables, spark.createDataFrame([("d1",), ("d1",)], "id string"))
+    assert {name: sorted(r["id"] for r in rows.collect()) for name, rows in kept.items()} == {
+        "documents": ["d2"], "parse_artifacts": ["a2", "a3"], "chapters": ["c2", "c3"], "blocks": ["b2", "b3"], "translations": ["t2", "t3"]}
+    assert all(set(kept[name].columns) == set(rows.columns) for name, rows in tables.items())
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        both = kept["blocks"].select("id").unionByName(kept["translations"].select("id"))
+        made = [line for line in plan_of(both, optimized=False).splitlines() if "Exchange hashpartitioning(chapter_id" in line and "ReusedExchange" not in line]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # the blocks meet the removed chapters, which are distributed by their own ids
+    assert len(made) == 1
