@@ -105,3 +105,19 @@ def test_removal_shuffles_a_table_once(spark):
             spark.conf.set(k, v)
     # the blocks meet the removed chapters, which are distributed by their own ids
     assert len(made) == 1
+
+
+def test_checked_jobs_carry_checked_columns_only(spark, tmp_path):
+    """The checks shuffle jobs without plan digests, messages and times, and see the same kinds and states."""
+    from unittest.mock import MagicMock
+
+    from docloom.plans.bridge import Corpus
+    from docloom.plans.q_sessions import _checked
+
+    rows = [(i, i % 3, ("signup", "view", "error", "purchase", "click")[i % 5], f'{{"k": {i % 4}}}') for i in range(60)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
+    real = Corpus(spark, str(tmp_path))
+    whole = {tuple(r) for r in real.jobs.select("id", "kind", "state", "document_id").collect()}
+    assert {tuple(r) for r in real.job_columns("id", "kind", "state", "document_id").collect()} == whole and len(whole) == 12
+    plan = plan_of(_checked(MagicMock(jobs=real.jobs, job_columns=real.job_columns))["jobs"][0])
+    assert "seq#" in plan and not any(name in plan for name in ("plan_digest", "chapter_id", "safe_message", "completed_at"))
