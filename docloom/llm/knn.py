@@ -4,7 +4,8 @@ Data vectors go to the nearest pivot. A group's summary (size, radius, largest n
 scores any of its members can have with a query: by Cauchy-Schwarz a member's score lies within
 norm(query) * radius of the pivot's. The scores of the pivots themselves, which are data, and the
 groups' lower bounds give each query a score that k others reach for certain; only groups whose
-upper bound comes up to it get the query. Groups are solved in blocks of bounded size.
+upper bound comes up to it get the query. Neighbouring groups are solved together, in blocks of
+bounded size, so that a query that needs many groups is sent once for each block.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ SCALE = 256
 K = 5
 #: Pivots: the square root of the number of vectors, within these limits.
 LEAST_PIVOTS, MOST_PIVOTS = 16, 1024
-#: Vectors of a group, and queries, that one task multiplies at a time.
-BLOCK, QUERY_BLOCK = 2048, 2048
+#: Vectors of a block, and queries, that one task multiplies.
+BLOCK, QUERY_BLOCK = 8192, 8192
+#: Vectors that are compared with all pivots, or with a block, at a time; rows of a batch that leaves.
+STEP, BATCH = 256, 4096
 
 
 def whole_vectors(table: DataFrame) -> DataFrame:
@@ -40,6 +43,15 @@ def _matrix(vectors, width: int) -> np.ndarray:
     return out
 
 
+def _dense(column, width: int) -> np.ndarray:
+    """The same of an Arrow column of lists without nulls."""
+    ends = column.offsets.to_numpy()
+    flat, sizes = column.values.to_numpy(zero_copy_only=False)[ends[0]:ends[-1]], np.diff(ends)
+    out = np.zeros((len(column), width), np.int64)
+    out[np.arange(width) < sizes[:, None]] = flat
+    return out
+
+
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Integer inner products; by floating point where that is exact."""
     bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
@@ -51,13 +63,12 @@ def assign(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     width = pivots.shape[1]
 
     def run(batches):
-        for batch in batches:
-            import pyarrow as pa
+        import pyarrow as pa
 
-            m = _matrix(batch.column(1).to_pylist(), width).astype(float)
-            p = pivots.astype(float)
-            squares = (m * m).sum(1)[:, None] - 2 * m @ p.T + (p * p).sum(1)
-            cell = squares.argmin(1)
+        p = pivots.astype(float)
+        for batch in (whole.slice(start, STEP) for whole in batches for start in range(0, whole.num_rows, STEP)):
+            m = _dense(batch.column(1), width).astype(float)
+            cell = ((m * m).sum(1)[:, None] - 2 * m @ p.T + (p * p).sum(1)).argmin(1)
             # the distance itself is taken without cancellation
             far = np.sqrt(((m - p[cell]) ** 2).sum(1))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far), pa.array(np.sqrt((m * m).sum(1)))],
@@ -66,21 +77,40 @@ def assign(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     return vectors.select("vec_id", "v", "copies").mapInArrow(run, "vec_id long, v array<long>, copies int, cell int, far double, norm double")
 
 
+def blocks_of(pivots: np.ndarray, cells: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The number of each group's block: neighbours, by halves of the widest direction, of up to ``BLOCK`` vectors or one group."""
+    blocks, todo, made = np.zeros(len(cells), np.int32), [np.arange(len(cells))], 0
+    while todo:
+        part = todo.pop()
+        if len(part) == 1 or sizes[part].sum() <= BLOCK:
+            blocks[part], made = made, made + 1
+            continue
+        places = pivots[cells[part]].astype(float)
+        part = part[np.argsort(places[:, np.ptp(places, 0).argmax()], kind="stable")]
+        upto = np.cumsum(sizes[part])
+        half = min(max(1, int(np.searchsorted(upto, upto[-1] / 2))), len(part) - 1)
+        todo += [part[:half], part[half:]]
+    return blocks
+
+
 def needed(queries: DataFrame, pivots: np.ndarray, pivot_ids: list[int], summary: pd.DataFrame, k: int) -> DataFrame:
-    """(query_id, v, copies, cell): each query with every group that may hold one of its k best.
+    """(query_id, v, copies, block): each query with every block of a group that may hold one of its k best.
 
     Queries come with ``own``, how many rows of the data have their id: those are no candidates.
+    A batch that leaves is bounded, whatever number of blocks its queries need.
     """
     width = pivots.shape[1]
     cells, sizes = summary["cell"].to_numpy(), summary["n"].to_numpy()
     radius, norm = summary["radius"].to_numpy(), summary["norm"].to_numpy()
     ids = np.array(pivot_ids)
+    numbers, by_block = np.unique(summary["block"].to_numpy()), np.argsort(summary["block"].to_numpy(), kind="stable")
+    firsts = np.searchsorted(summary["block"].to_numpy()[by_block], numbers)
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            m = _matrix(batch.column(1).to_pylist(), width)
+        for batch in (whole.slice(start, STEP) for whole in batches for start in range(0, whole.num_rows, STEP)):
+            m = _dense(batch.column(1), width)
             own = batch.column(0).to_numpy()
             scores = products(m, pivots).astype(float)
             length = np.sqrt((m.astype(float) ** 2).sum(1))[:, None]
@@ -98,12 +128,14 @@ def needed(queries: DataFrame, pivots: np.ndarray, pivot_ids: list[int], summary
             at = np.where(reached.any(1), reached.argmax(1), -1)
             bound = np.where(at >= 0, np.take_along_axis(low, np.take_along_axis(order, np.maximum(at, 0)[:, None], 1), 1)[:, 0], -np.inf)
             take = high >= np.maximum(sure, bound)[:, None]
-            rows, chosen = np.nonzero(take)
-            yield pa.RecordBatch.from_arrays([
-                *(batch.column(i).take(pa.array(rows)) for i in range(3)), pa.array(cells[chosen].astype(np.int32))],
-                names=["query_id", "v", "copies", "cell"])
+            rows, chosen = np.nonzero(np.logical_or.reduceat(take[:, by_block], firsts, axis=1))
+            for start in range(0, len(rows), BATCH):
+                piece = slice(start, start + BATCH)
+                yield pa.RecordBatch.from_arrays([
+                    *(batch.column(i).take(pa.array(rows[piece])) for i in range(3)), pa.array(numbers[chosen[piece]].astype(np.int32))],
+                    names=["query_id", "v", "copies", "block"])
 
-    return queries.select("query_id", "v", "copies", "own").mapInArrow(run, "query_id long, v array<long>, copies int, cell int")
+    return queries.select("query_id", "v", "copies", "own").mapInArrow(run, "query_id long, v array<long>, copies int, block int")
 
 
 def _solve(k: int, width: int):
@@ -114,8 +146,8 @@ def _solve(k: int, width: int):
             order = np.argsort(ids, kind="stable")
             ids, m = ids[order], _matrix(right["v"].to_numpy()[order], width)
             copies = right["copies"].to_numpy()[order]
-            for start in range(0, len(left), 512):
-                part = left.iloc[start:start + 512]
+            for start in range(0, len(left), STEP):
+                part = left.iloc[start:start + STEP]
                 scores = products(_matrix(part["v"].to_numpy(), width), m)
                 for q, times, row in zip(part["query_id"].to_numpy(), part["copies"].to_numpy(), scores):
                     row = np.where(ids == q, np.iinfo(np.int64).min, row)
@@ -154,18 +186,24 @@ def top_k(table: DataFrame, every: int = 50, k: int = K) -> DataFrame:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     pivots, pivot_ids = _matrix([r.v for r in chosen], width), [r.vec_id for r in chosen]
     placed = materialize(assign(vectors, pivots), "placed")
+    # a row for each pivot
     summary = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"), F.max("norm").alias("norm")).toPandas()
+    summary["block"] = blocks_of(pivots, summary["cell"].to_numpy(), summary["n"].to_numpy())
     queries = vectors.where(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query_id")
     queries = queries.join(queries.groupBy("query_id").agg(F.count("*").alias("own")), "query_id")
     asked = materialize(needed(queries, pivots, pivot_ids, summary, k), "asked")
-    # blocks: as many as the group's vectors, and the queries that want it, take
-    shape = asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks")).join(
-        placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "cell")
-    data = placed.join(shape, "cell").select("vec_id", "v", "copies", "cell", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).alias("block"),
-                                             F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("query_block"))
-    asked = asked.join(shape, "cell").select("query_id", "v", "copies", "cell", F.pmod(F.xxhash64("query_id", "v"), F.col("query_blocks")).cast("int").alias("query_block"),
-                                             F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"))
-    keys = ["cell", "block", "query_block"]
+    # a block goes in as many parts as its vectors, and the queries that want it, take
+    wanted = dict(asked.groupBy("block").count().toPandas().itertuples(index=False))
+    sizes = summary.groupby("block")["n"].sum()
+    shape = vectors.sparkSession.createDataFrame(
+        [(int(c), int(b), -(-int(sizes[b]) // BLOCK), -(-int(wanted[b]) // QUERY_BLOCK)) for c, b in zip(summary["cell"], summary["block"]) if b in wanted],
+        "cell int, block int, parts int, query_parts int")
+    part, query_part = F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("query_id", "v"), F.col("query_parts")).cast("int")
+    data = placed.join(F.broadcast(shape), "cell").select(
+        "vec_id", "v", "copies", "block", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)).alias("query_part"))
+    asked = asked.join(F.broadcast(shape.drop("cell").distinct()), "block").select(
+        "query_id", "v", "copies", "block", query_part.alias("query_part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    keys = ["block", "part", "query_part"]
     found = asked.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(_solve(k, width), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

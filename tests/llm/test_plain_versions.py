@@ -436,6 +436,24 @@ def test_top_k_with_repeated_rows(spark, monkeypatch):
     assert sorted(map(tuple, con.execute(f"SELECT {', '.join(names)} FROM ({knn.SQL})").fetchall())) == sorted(want)
 
 
+def test_neighbouring_groups_are_asked_together(spark, monkeypatch):
+    """Where nothing can be pruned, a query goes to each block once and not to each group."""
+    written = {}
+    monkeypatch.setattr(knn, "materialize", lambda df, name, keep=knn.materialize: written.setdefault(name, keep(df, name)))
+    monkeypatch.setattr(knn, "BLOCK", 500)
+    v = np.random.default_rng(3).normal(0, .5, (2000, 24)).astype(np.float32)
+    got = knn.top_k(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")).collect()
+    whole = np.floor(256 * v.astype(float)).astype(int)
+    want = []
+    for q in range(0, 2000, 50):
+        score = whole @ whole[q]
+        best = sorted((-score[i], i) for i in range(2000) if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    blocks = written["asked"].select("block").distinct().count()
+    assert 4 <= blocks <= 8 and written["asked"].count() <= 40 * blocks
+
+
 def test_first_goes_by_key_and_text(spark):
     """Another text of a dropped key stays, and one row of a group without keys."""
     same, other, lone = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
