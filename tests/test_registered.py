@@ -36,3 +36,17 @@ def test_against_sql(spark, duck, name):
     columns = [d[0] for d in cursor.description]
     assert sorted(columns) == sorted(df.columns)
     assert rows_of(df.columns, df.collect()) == rows_of(columns, cursor.fetchall())
+
+
+def test_documents_without_text_are_rejected_as_in_sql(spark, tmp_path):
+    """Empty texts and null ones have no content, unless their files disagree."""
+    texts = [None, "", "one line", "a\nb\nc\nd\ne", " \n"]
+    rows = [(i, texts[i % 5], "en", "s", None if texts[i % 5] is None else len(texts[i % 5])) for i in range(160)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in ("N16_reject_documents", "N1_page_sizes", "N2_canonical_assets"):
+        df = QUERIES[name](spark, str(tmp_path))
+        cursor = con.execute(ORACLES[name])
+        columns = [d[0] for d in cursor.description]
+        assert rows_of(df.columns, df.collect()) == rows_of(columns, cursor.fetchall()), name
