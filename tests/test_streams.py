@@ -215,6 +215,22 @@ def test_job_events_over_batches(spark, tmp_path):
     assert sorted((r["sequence"], r["state"], r["created_at"]) for r in got) == [(1, "queued", 0), (2, "running", 1), (3, "failed", 3), (4, "queued", 4), (5, "cancelled", 5)]
 
 
+def _groups(spark, path, name):
+    return spark.read.format("statestore").option("stateVarName", name).load(str(path)).select("key").distinct().count()
+
+
+def test_responses_share_groups(spark, tmp_path, monkeypatch):
+    """Forty responses over three micro-batches in three groups: state is read by group, records stay each response's own."""
+    monkeypatch.setattr(X, "GROUPS", 3)
+    js = [json.dumps({"id": f"b{i}", "target": "{" * i}) for i in range(3)]
+    rows = [(f"r{k:02}", 2 * i + h, half, False, i) for k in range(40) for i, p in enumerate(js[: 1 + k % 3]) for h, half in enumerate((p[:9], p[9:]))]
+    rows += [(f"r{k:02}", 2 + 2 * (k % 3), "", True, 2) for k in range(0, 40, 2)] + [(f"r{k:02}", 90, "{", False, 0) for k in range(1, 40, 2)]
+    df = spark.createDataFrame(rows, "request_id string, seq long, fragment string, done boolean, turn int")
+    got = sinks.drain(X.stream_translation_records(in_turns(df, "request_id", F.col("turn"), 3, 1)), str(tmp_path), timers=True, idle=1).collect()
+    assert sorted((r["request_id"], r["ord"], r["block_id"]) for r in got) == [(f"r{k:02}", i, f"b{i}") for k in range(40) for i in range(1 + k % 3)]
+    assert _groups(spark, tmp_path / "checkpoint", "open") <= 3 and _groups(spark, tmp_path / "checkpoint", "closed") <= 3
+
+
 def test_upserts_rewrite_touched_parts_only(spark, tmp_path):
     """Three turns, the last of one key: the other parts' files stay, and a batch that comes again changes nothing."""
     rows = [(f"k{i % 9}", i, i // 20) for i in range(40)] + [("k1", 99, 2)]
