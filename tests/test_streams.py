@@ -231,6 +231,72 @@ def test_responses_share_groups(spark, tmp_path, monkeypatch):
     assert _groups(spark, tmp_path / "checkpoint", "open") <= 3 and _groups(spark, tmp_path / "checkpoint", "closed") <= 3
 
 
+def test_jobs_share_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(X, "GROUPS", 3)
+    df = spark.createDataFrame([(f"j{i % 40}", i, str(i // 80)) for i in range(240)], "job_id string, seq long, state string")
+    got = sinks.drain(X.stream_job_events(in_turns(df, "job_id", F.floor(F.col("seq") / 100), 3, 1)), str(tmp_path), timers=True, idle=1).collect()
+    want = [(f"j{k}", n + 1, str(n), 80 * n + k) for k in range(40) for n in range(3)]
+    assert sorted((r["job_id"], r["sequence"], r["state"], r["created_at"]) for r in got) == sorted(want)
+    assert _groups(spark, tmp_path / "checkpoint", "jobs") <= 3
+
+
+class _Value:
+    """A value state in memory."""
+
+    def __init__(self):
+        self.value = None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+class _Handle:
+    """State variables in memory and a clock."""
+
+    def __init__(self):
+        self.now = 10 ** 9
+
+    def getListState(self, *_, **__):
+        return _List()
+
+    def getValueState(self, *_, **__):
+        return _Value()
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+def test_idle_keys_of_a_busy_group_are_forgotten():
+    """A key without news goes after its time to live, though others of its group have news."""
+    import pandas as pd
+
+    clock = _Handle()
+    jobs, records = X.JobEvents(), X.Records()
+    jobs.init(clock)
+    records.init(clock)
+
+    def take(processor, columns, *rows):
+        return [tuple(r) for frame in processor.handleInputRows((0,), iter([pd.DataFrame(rows, columns=columns)]), clock) for r in frame.itertuples(index=False)]
+
+    job, response = ["job_id", "seq", "state"], ["request_id", "seq", "fragment", "done"]
+    assert len(take(jobs, job, ("a", 0, "queued"), ("b", 1, "queued"))) == 2
+    assert take(records, response, ("a", 0, '{"id":', False), ("b", 0, '{"id":', False), ("c", 0, "", True)) == []
+    clock.now += X.IDLE_MS - 1
+    assert take(records, response, ("b", 1, '"x",', False), ("c", 1, "late", True)) == []
+    clock.now += 2
+    assert take(records, response, ("b", 2, '"target":"y"}', False))[0][:3] == ("b", 0, "x")
+    assert [r[0] for r in records.open.rows] == ["b"]
+    # c is forgotten too, so it is read anew
+    assert take(records, response, ("c", 0, "sorry", True))[0][-1] == "invalid_json"
+    clock.now += X.JOB_IDLE_MS - X.IDLE_MS - 2
+    assert take(jobs, job, ("b", 2, "queued")) == []
+    clock.now += 2
+    assert take(jobs, job, ("b", 3, "running")) == [("b", 2, "running", 3)] and jobs.jobs.value[0] == ["b"]
+
+
 def test_upserts_rewrite_touched_parts_only(spark, tmp_path):
     """Three turns, the last of one key: the other parts' files stay, and a batch that comes again changes nothing."""
     rows = [(f"k{i % 9}", i, i // 20) for i in range(40)] + [("k1", 99, 2)]
